@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substring_dedup
+from . import decontaminate, near_dedup, substring_dedup
 
 QUERIES = {
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL = {
+    "op5_near_dedup": near_dedup.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
