@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, substring_dedup
+from . import decontaminate, near_dedup, quality, substring_dedup
 
 QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
