@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parts, table
-from .words import NON_SPACE, buffers, chunks, gram_hashes, gram_places, mix
+from .words import NON_SPACE, buffers, chunks, gram_hashes, gram_places, mix, slices
 
 WINDOW = 13
 #: Rounds of recompression: symbols of up to 2 words after one, of up to 4 after two.
@@ -37,7 +37,9 @@ ROUNDS = 1
 #: Words at either end of a window whose symbols may depend on what stands outside it.
 MARGIN = {1: 2, 2: 4}
 #: Text bytes whose windows one group handles.
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 8_000_000
+#: Text bytes whose windows a task compares and sends together.
+SEND_BYTES = 8_000_000
 _NULL = np.iinfo(np.int64).max
 
 
@@ -146,7 +148,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
     groups = max(parts(docs.sparkSession), -(-size // GROUP_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1, SEND_BYTES):
             ids = _ids(b.column(0))
             got = []
             for c in chunks(b.column(1), NON_SPACE):

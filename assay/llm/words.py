@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once in a task (a longer text is handled alone).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _BYTES = np.arange(256)
 #: `[^\x20\x09-\x0D]+`
@@ -47,7 +47,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, for n bytes at least."""
-    return _powers(max(1 << max(n, 1).bit_length(), 1 << 22))
+    return _powers(max(1 << max(n, 1).bit_length(), 1 << 20))
 
 
 @dataclass
@@ -100,6 +100,17 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return offsets, np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into whole rows of about `size` bytes of the text in a column."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < b.num_rows:
+            last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, "right")), first + 1)
+            yield b.slice(first, last - first)
+            first = last
+
+
 def chunks(column: pa.Array, word: np.ndarray, fold: np.ndarray = IDENTITY, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Words of a string column, in chunks of whole rows of about `size` bytes."""
     offsets, data = buffers(column)
