@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, quality, substring_dedup
+from . import decontaminate, near_dedup, packing, quality, substring_dedup
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op9_quality": quality.op9_quality,
