@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, packing, quality, substring_dedup
+from . import chat, decontaminate, near_dedup, packing, quality, sharding, substring_dedup
 
 QUERIES = {
+    "op2_chat": chat.op2_chat,
     "op4_packing": packing.op4_packing,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_sharding": sharding.op7_sharding,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL = {
+    "op2_chat": chat.SQL,
     "op5_near_dedup": near_dedup.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
