@@ -143,7 +143,7 @@ _SENT = pa.schema([("grp", pa.int32()), ("doc", pa.int64()), ("blob", pa.binary(
 
 
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id and `starts`, arrays of little-endian uint32 first words of windows that start in a smaller document too."""
+    """doc_id and `starts`, little-endian uint32 first words of windows that start in a smaller document too."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
     groups = max(parts(docs.sparkSession), -(-size // GROUP_BYTES))
 
@@ -184,7 +184,8 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
         got, done = [], []
         for doc, blob in zip(t["doc"].to_pylist(), t["blob"].to_pylist(), strict=True):
             if doc is not None:
-                done.append((doc, blob))
+                place = np.frombuffer(blob, np.uint32)
+                done.append((np.full(len(place), doc), place))
                 continue
             m, k, w = np.frombuffer(blob, np.uint32, 3).tolist()
             at = 12
@@ -200,11 +201,27 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
             identity, doc, place = (np.concatenate(x) for x in zip(*got, strict=True))
             del got
             _, larger = _settle(identity, doc)
-            done.extend(_by_document(doc[larger], place[larger]))
+            done.append((doc[larger], place[larger]))
+        # repeats go to their documents in one row for each group and bucket of documents
+        doc, place = (np.concatenate(x) for x in zip(*done, strict=True))
+        bucket = (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(groups + 1))
+        full = np.flatnonzero(np.diff(ends))
+        blobs = [doc[at].tobytes() + place[at].astype(np.uint32).tobytes() for at in (order[ends[k] : ends[k + 1]] for k in full)]
+        return pa.table({"bucket": pa.array(full.astype(np.int32)), "blob": pa.array(blobs, pa.binary())})
+
+    def gather(t: pa.Table) -> pa.Table:
+        got = []
+        for blob in t["blob"].to_pylist():
+            n = len(blob) // 12
+            got.append((np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.uint32, n, 8 * n)))
+        done = list(_by_document(*(np.concatenate(x) for x in zip(*got, strict=True))))
         return pa.table({"doc_id": pa.array([d for d, _ in done], pa.int64()), "starts": pa.array([s for _, s in done], pa.binary())})
 
     sent = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(send, "grp int, doc long, blob binary")
-    return sent.groupBy("grp").applyInArrow(meet, "doc_id long, starts binary").groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    met = sent.groupBy("grp").applyInArrow(meet, "bucket int, blob binary")
+    return met.groupBy("bucket").applyInArrow(gather, "doc_id long, starts binary")
 
 
 def kept_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False, rounds: int = ROUNDS) -> DataFrame:
@@ -220,12 +237,12 @@ def kept_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
         for b in batches:
             offsets, data = buffers(b.column(b.schema.get_field_index(text)))
             raw, out = data.tobytes(), []
-            for i, blobs in enumerate(b.column(b.schema.get_field_index("starts")).to_pylist()):
+            for i, blob in enumerate(b.column(b.schema.get_field_index("starts")).to_pylist()):
                 w = raw[offsets[i] : offsets[i + 1]].split()
                 n = len(w)
-                if blobs:
+                if blob:
                     mark = np.zeros(n + 1, np.int64)
-                    at = np.unique(np.frombuffer(b"".join(blobs), np.uint32)).astype(np.int64)
+                    at = np.unique(np.frombuffer(blob, np.uint32)).astype(np.int64)
                     at = at[at + window <= n]
                     mark[at] += 1
                     np.subtract.at(mark, at + window, 1)
