@@ -23,14 +23,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """`df`, written once to the shared folder and read back: cuts the lineage, survives lost executors."""
+#: Tables that the stage of a pipeline now under way has written.
+_stage_tables: list[str] | None = None
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
+    """`df`, written once to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    keep: the table outlives the stage of a pipeline that writes it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/assay-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    if _stage_tables is not None and not keep:
+        _stage_tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def next_stage(spark: SparkSession) -> None:
+    """A stage begins, whose input has been written: what the stage before it wrote on its way is deleted."""
+    global _stage_tables
+    for path in _stage_tables or ():
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _stage_tables = []
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

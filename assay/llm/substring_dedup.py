@@ -224,8 +224,11 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
     return met.groupBy("bucket").applyInArrow(gather, "doc_id long, starts binary")
 
 
-def kept_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False, rounds: int = ROUNDS) -> DataFrame:
-    """Every row with n_words, n_removed and kept_text (with digest, only its doc_id and the SHA-256 of kept_text)."""
+def kept_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False, untouched: bool = False, rounds: int = ROUNDS) -> DataFrame:
+    """Every row with n_words, n_removed and kept_text, the words left joined by single blanks.
+
+    digest: only doc_id and the SHA-256 of kept_text. untouched: texts that lose nothing keep their white space.
+    """
     hits = repeats(docs, doc_id=doc_id, text=text, window=window, rounds=rounds)
     keyed = docs.select(doc_id, text) if digest else docs
     joined = keyed.withColumn("_k", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL))).hint("merge").join(hits.withColumnRenamed("doc_id", "_k"), "_k", "left").drop("_k")
@@ -247,7 +250,7 @@ def kept_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
                     mark[at] += 1
                     np.subtract.at(mark, at + window, 1)
                     w = list(compress(w, (np.cumsum(mark)[:-1] == 0).tolist()))
-                left = b" ".join(w)
+                left = raw[offsets[i] : offsets[i + 1]] if untouched and len(w) == n else b" ".join(w)
                 out.append((n, n - len(w), hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "replace")))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
