@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Tables that the stage of a pipeline now under way has written.
-_stage_tables: list[str] | None = None
+#: Tables that the stage of a pipeline now under way has written; those of the one before it.
+_recorded: list[str] | None = None
+_before: list[str] = []
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
@@ -35,18 +37,27 @@ def written(df: DataFrame, name: str, compression: str = "zstd", keep: bool = Fa
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/assay-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    if _stage_tables is not None and not keep:
-        _stage_tables.append(path)
+    if _recorded is not None and not keep:
+        _recorded.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def next_stage(spark: SparkSession) -> None:
-    """A stage begins, whose input has been written: what the stage before it wrote on its way is deleted."""
-    global _stage_tables
-    for path in _stage_tables or ():
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _stage_tables = []
+def stage(f):
+    """Marks a stage of a pipeline. When one begins its input has been written, so what the stage before it wrote on its way is deleted."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _recorded, _before
+        for path in _before:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _recorded = []
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _before, _recorded = _recorded, None
+
+    return run
 
 
 def parts(spark: SparkSession) -> int:

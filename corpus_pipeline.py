@@ -19,37 +19,37 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.hint("merge").join(ids, "doc_id", "left_anti").select(*docs.columns)
 
 
+@common.stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
-    common.next_stage(spark)
     found = quality.classified(docs, common.table(spark, sf_dir, "labels"))
     return _without(docs, found.where("NOT kept"))
 
 
+@common.stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, keeps the document of the smallest id."""
-    common.next_stage(spark)
     return _without(docs, near_dedup.near_groups(docs).where("doc_id <> component_id"))
 
 
+@common.stage
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that a document of a smaller id has too, and documents of which nothing is left."""
-    common.next_stage(spark)
     cut = substring_dedup.kept_texts(docs, untouched=True)
     left = cut.where("n_removed = 0 OR n_removed < n_words").drop("text").withColumnRenamed("kept_text", "text")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@common.stage
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are contaminated by benchmark items."""
-    common.next_stage(spark)
     found = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where(decontaminate.contaminated()))
 
 
+@common.stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences."""
-    common.next_stage(spark)
     return packing.packed(packing.pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
