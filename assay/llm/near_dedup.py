@@ -1,9 +1,9 @@
 """Near-duplicate groups by min-max hashing, banding and exact confirmation.
 
 Method: each of `PERMUTATIONS` hash functions gives a document two signature values, its smallest and its
-largest, so half the hash evaluations make a signature. Bands of four values (two functions) propose
-pairs; the sets of every proposed pair are compared in full. A pair at similarity 0.8 is missed by all 28 bands
-with probability 1e-6, one at 0.9 with less than 1e-12.
+largest, so half the hash evaluations make a signature. Bands of six values (three functions) propose
+pairs; the sets of every proposed pair are compared in full. A pair at similarity 0.8 is missed by all 46 bands
+with probability 1e-6, one at 0.9 with less than 1e-15. Sets too different in size to be linked do not share buckets.
 
 Documents with the same words are joined first. In a bucket, a few members (the pivots) are compared with
 all members that are not yet in their component, then leave; the next round has more pivots, until no bucket
@@ -25,18 +25,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .components import components
+from .components import stars
 from .words import LOWER, NON_SPACE, Chunk, chunks, gram_hashes, gram_places, mix
 
 SHINGLE = 4
-BANDS = 28
+BANDS = 46
 #: Hash functions in a band; each gives two of its values.
-PER_BAND = 2
+PER_BAND = 3
 PERMUTATIONS = BANDS * PER_BAND
 #: Similarity of linked documents, as a fraction.
 THRESHOLD = (80, 100)
 #: Pivots of a bucket in the first round, and how many times more there are in each later one.
-PIVOTS, MORE = 1, 8
+PIVOTS, MORE = 1, 16
 
 _RNG = np.random.default_rng(77003)
 _XOR = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2)
@@ -127,47 +127,48 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: tuple
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array((down * both >= up * union) & (union > 0)))
 
     left, right = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
+    joined = left.join(pairs, "a").join(right, "b")  # pairs and texts are tables whose sizes are known
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     signed = written(signatures(docs, doc_id, text, shingle), "signatures")
-    texts_of = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
-    bucketed = written(texts_of.select("rep", "k1", "k2", "bands"), "texts")
-    rows = bucketed.select("rep", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = written(rows.hint("merge").join(shared, "bucket"), "buckets")
-    wanted = members.select("rep").distinct()
-    named = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    texts = written(named.hint("merge").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "members")
-    found = labels = seen = None
-    live, k = members, PIVOTS
+    same = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    same = written(same, "texts")
+    rows = same.select("rep", "n", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
+    up, down = threshold
+    # linked sets differ in size by the threshold at most, so they share a size class or have neighbouring ones
+    size = F.floor(F.log("n") / F.log(F.lit(down / up)) + 1e-9).cast("int")
+    members = rows.hint("merge").join(shared, "band").select(F.explode(F.array(size, size + 1)).alias("size"), "band", "rep", "n")
+    live = written(members.select(F.xxhash64("band", "size").alias("bucket"), "rep", "n"), "buckets")
+    wanted = live.select("rep").distinct()
+    texts = written(docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).hint("merge").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "members")
+    near = F.least("n", "pivot_n") * down >= F.greatest("n", "pivot_n") * up
+    tied = seen = None
+    k = PIVOTS
     while True:
-        at = live.withColumn("label", F.col("rep")) if labels is None else live.hint("merge").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        if labels is not None:
-            mixed = at.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-            at = at.hint("merge").join(mixed, "bucket")
-        at = written(at.select("bucket", "rep", "label"), "live")
-        if at.isEmpty():
-            break
-        if k == 1:
-            chosen = at.groupBy("bucket").agg(F.min(F.struct("rep", "label")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.label").alias("pivot_label"))
+        if tied is None:
+            at = live.withColumn("label", F.col("rep"))
+            chosen = at.groupBy("bucket").agg(F.min(F.struct("rep", "n", "label")).alias("p"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.label").alias("pivot_label"))
         else:
-            chosen = at.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))).where(F.col("i") <= k).select("bucket", F.col("rep").alias("pivot"), F.col("label").alias("pivot_label"))
+            at = live.hint("merge").join(tied.select(F.col("a").alias("rep"), F.col("b").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+            mixed = at.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+            at = written(at.hint("merge").join(mixed, "bucket").select("bucket", "rep", "n", "label"), "live")
+            if at.isEmpty():
+                break
+            chosen = at.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))).where(F.col("i") <= k).select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
         chosen = written(chosen, "pivots")
-        pairs = at.hint("merge").join(chosen, "bucket").where("label <> pivot_label").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        pairs = at.hint("merge").join(chosen, "bucket").where((F.col("label") != F.col("pivot_label")) & near).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         pairs = written(pairs if seen is None else pairs.hint("merge").join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
-        links = written(confirmed(pairs, texts, shingle, threshold), "links")
-        found = links if found is None else found.unionByName(links)
-        labels = components(found).select(F.col("node").alias("rep"), F.col("component").alias("label"))
-        live = at.select("bucket", "rep").hint("merge").join(chosen.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
+        links = confirmed(pairs, texts, shingle, threshold)
+        tied = stars(links if tied is None else tied.unionByName(links))
+        live = at.select("bucket", "rep", "n").hint("merge").join(chosen.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
         k *= MORE
-    groups = bucketed.select("k1", "k2", "rep")
-    groups = groups.withColumn("label", F.col("rep")) if labels is None else groups.hint("merge").join(labels, "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("label"))
-    out = signed.select("doc_id", "n", "k1", "k2").hint("merge").join(groups.select("k1", "k2", "label"), ["k1", "k2"], "left")
+    groups = same.select("k1", "k2", "rep").hint("merge").join(tied.select(F.col("a").alias("rep"), F.col("b").alias("label")), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("label"))
+    out = signed.select("doc_id", "n", "k1", "k2").hint("merge").join(groups, ["k1", "k2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
 
