@@ -36,6 +36,8 @@ from .common import table, written
 
 ORDER = 4
 PIECE_BYTES = 8_000_000
+#: Code points whose grams a task makes at once.
+BLOCK_CHARS = 500_000
 QUANTILE = 0.995
 SLACK = 0.25
 SHRINK = 60
@@ -63,6 +65,17 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return g[at], np.repeat(np.arange(len(texts)), n)
 
 
+def _blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Grams of some texts at a time: the first text's place, the grams and the place of each one's text."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= BLOCK_CHARS or i == len(texts) - 1:
+            g, text = grams(texts[first : i + 1])
+            yield first, g, text + first
+            first, size = i + 1, 0
+
+
 def _pieces(docs: DataFrame) -> DataFrame:
     """Rows of whole texts, compressed, of about PIECE_BYTES each: piece, ids, langs, trusted, texts."""
 
@@ -103,11 +116,13 @@ def _counted(pieces: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece, trusted, lengths, blob in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                g, text = grams(_texts(blob, lengths))
-                code, names = pd.factorize(g)
-                n = np.bincount(code[np.array(trusted, bool)[text]], minlength=len(names))
-                order = np.argsort(names)
-                yield pa.RecordBatch.from_pydict({"piece": pa.array(np.full(len(names), piece)), "gram": pa.array(names[order]), "n": pa.array(n[order])})
+                good, held = np.array(trusted, bool), []
+                for _, g, text in _blocks(_texts(blob, lengths)):
+                    code, names = pd.factorize(g)
+                    held.append((names, np.bincount(code[good[text]], minlength=len(names))))
+                names, code = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+                n = np.bincount(code, weights=np.concatenate([x for _, x in held]), minlength=len(names)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"piece": pa.array(np.full(len(names), piece)), "gram": pa.array(names), "n": pa.array(n)})
 
     return pieces.select("piece", "trusted", "lengths", "texts").mapInArrow(count, "piece long, gram long, n long")
 
@@ -171,12 +186,14 @@ def surprise(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", tex
         for b in batches:
             for r in range(b.num_rows):
                 ids, langs, trusted, lengths, blob = (b.column(k)[r] for k in range(5))
-                g, text = grams(_texts(blob.as_py(), lengths.as_py()))
                 known = b.column(5)[r].values.to_numpy()
                 value = b.column(6)[r].values.to_numpy().astype(np.float64)
-                code, names = pd.factorize(g)
-                nats = np.bincount(text, weights=-value[np.searchsorted(known, names)][code], minlength=len(ids))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.values, "lang": langs.values, "trusted": trusted.values, "n_grams": pa.array(np.bincount(text, minlength=len(ids))), "nats": pa.array(np.round(nats, 3))})
+                nats, n = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+                for _, g, text in _blocks(_texts(blob.as_py(), lengths.as_py())):
+                    code, names = pd.factorize(g)
+                    nats += np.bincount(text, weights=-value[np.searchsorted(known, names)][code], minlength=len(ids))
+                    n += np.bincount(text, minlength=len(ids))
+                yield pa.RecordBatch.from_pydict({"doc_id": ids.values, "lang": langs.values, "trusted": trusted.values, "n_grams": pa.array(n), "nats": pa.array(np.round(nats, 3))})
 
     both = pieces.hint("merge").join(answers, "piece").select("ids", "langs", "trusted", "lengths", "texts", "gram", "logp")
     return both.mapInArrow(score, "doc_id long, lang string, trusted boolean, n_grams long, nats double")
