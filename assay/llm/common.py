@@ -42,6 +42,16 @@ def written(df: DataFrame, name: str, compression: str = "zstd", keep: bool = Fa
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """Like `written`, in buckets by a column: joins on it move the other side only. For rows that are large and few."""
+    spark = df.sparkSession
+    path, key = f"{shared_folder(spark)}/assay-{name}-{uuid.uuid4().hex}", f"assay_{name}_{uuid.uuid4().hex}"
+    df.write.option("path", path).option("compression", "none").bucketBy(parts(spark), by).format("parquet").saveAsTable(key)
+    if _recorded is not None:
+        _recorded.append(path)
+    return spark.table(key)
+
+
 def stage(f):
     """Marks a stage of a pipeline. When one begins its input has been written, so what the stage before it wrote on its way is deleted."""
 

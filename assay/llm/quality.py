@@ -32,10 +32,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bucketed, table, written
 
 ORDER = 4
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 16_000_000
+#: Trusted documents whose ids may be broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 #: Code points whose grams a task makes at once.
 BLOCK_CHARS = 500_000
 QUANTILE = 0.995
@@ -83,7 +85,7 @@ def _pieces(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         part, piece = TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=6)
         for b in batches:
             texts = pc.fill_null(b.column(3), "")
             ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
@@ -174,8 +176,9 @@ def surprise(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", tex
     marks = docs.select(F.col(doc_id).cast("long").alias("doc_id")).distinct().hint("merge").join(ids, "doc_id", "left_semi").select("doc_id")
     trusted_ids = written(marks, "trusted")
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    joined = plain.hint("merge").join(trusted_ids.withColumn("trusted", F.lit(True)), "doc_id", "left").select("doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
-    pieces = written(_pieces(joined), "pieces", "uncompressed")
+    how = "broadcast" if trusted_ids.count() <= MOST_BROADCAST else "merge"
+    joined = plain.join(trusted_ids.withColumn("trusted", F.lit(True)).hint(how), "doc_id", "left").select("doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+    pieces = bucketed(_pieces(joined), "pieces", "piece")
     counted = written(_counted(pieces), "grams")
     asked = written(counted.groupBy("gram").agg(F.sum("n").alias("c")), "asked")
     logp = probabilities(asked.where("c > 0"), asked)
@@ -195,7 +198,7 @@ def surprise(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", tex
                     n += np.bincount(text, minlength=len(ids))
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.values, "lang": langs.values, "trusted": trusted.values, "n_grams": pa.array(n), "nats": pa.array(np.round(nats, 3))})
 
-    both = pieces.hint("merge").join(answers, "piece").select("ids", "langs", "trusted", "lengths", "texts", "gram", "logp")
+    both = pieces.join(answers.hint("merge"), "piece").select("ids", "langs", "trusted", "lengths", "texts", "gram", "logp")
     return both.mapInArrow(score, "doc_id long, lang string, trusted boolean, n_grams long, nats double")
 
 
