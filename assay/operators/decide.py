@@ -29,7 +29,7 @@ def features(parts: DataFrame, requests: DataFrame, corpus: DataFrame) -> DataFr
     rows = parts.withColumn("best", F.row_number().over(nth)).join(corpus.select("path", F.lower(F.left("content", F.lit(240))).alias("snippet")), "path", "left")
     warn = F.concat_ws(" ", F.lower("path"), "snippet").rlike("|".join(fixed.WARNING_TERMS))
     got = rows.groupBy("request_id").agg(
-        F.count_if(ev).alias("n_evidence"), F.count_if(tw).alias("n_twins"), F.round(F.coalesce(F.avg(F.when(ev & (F.col("best") <= 3), F.col("score"))), F.lit(0.0)), 6).alias("support"),
+        F.count_if(ev).alias("n_evidence"), F.count_if(tw).alias("n_twins"), F.round(F.coalesce(F.avg(F.when(ev & (F.col("best") <= 3), F.col("score"))), F.lit(0.0)) + 1e-9, 6).alias("support"),
         has(ev & F.col("verified")).alias("any_verified"), has(ev & (F.col("source_type") == "test")).alias("test_support"), has(ev & (F.col("source_type") == "runbook")).alias("runbook_support"),
         has(ev & F.col("verified") & F.col("source_type").isin("code", "test", "runbook")).alias("verified_code_like"), has(ev & F.col("verified") & (F.col("source_type") == "code")).alias("verified_code"),
         has(ev & F.col("verified") & F.col("source_type").isin("doc", "test")).alias("verified_second"), has(tw & (F.col("source_type") == "incident")).alias("incident_twin"),
@@ -62,7 +62,7 @@ def missing(f: DataFrame) -> DataFrame:
 def decided(f: DataFrame) -> DataFrame:
     """hazard, confidence, recurrence and decision; needs missing, gap and impacted_files."""
     files, lack = F.col("impacted_files"), F.size("missing")
-    clamp = lambda c: F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)), 6)
+    clamp = lambda c: F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)) + 1e-9, 6)
     part = lambda c: F.when(c, 0.05).otherwise(0.0)
     f = f.withColumn("hazard", clamp(0.65 - F.col("support") + 0.08 * lack + 0.02 * F.greatest(F.lit(0), files - 5)))
     f = f.withColumn("confidence", clamp(F.col("support") + part(F.col("n_twins") > 0) + part(F.col("test_support")) + part(F.col("runbook_support")) - 0.03 * F.greatest(F.lit(0), files - 4)))

@@ -1,7 +1,6 @@
 """Hashed-vector and structural scores, and their fusion with lexical hits."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +8,10 @@ from assay.functions import fixed, paths, text
 from assay.sources.tables import sized
 
 
+#: Added before rounding, so that sums of rounded values do not sit on a rounding boundary.
+TIE = 1e-9
+
+
 def bucket(token):
     """One of 256 buckets: the first byte of the token's MD5."""
     return F.conv(F.left(F.md5(token), F.lit(2)), 16, 10).cast("int")
@@ -38,17 +41,17 @@ def structural(candidates: DataFrame, corpus: DataFrame, requests: DataFrame, sp
     q, s = text.qgrams(F.col("query")), text.qgrams(F.col("span"))
     c = c.withColumn("structural", F.round(F.size(F.array_intersect(q, s)) / F.greatest(F.lit(1), F.size(q)), 6))
     bonus = F.exists(text.tokens(F.col("query")), lambda t: F.contains(F.lower("path"), t))
-    c = c.withColumn("final", F.round(F.least(F.lit(1.0), 0.45 * F.col("structural") + 0.47 * F.col("cosine") + F.when(bonus, 0.08).otherwise(0.0)), 6))
+    c = c.withColumn("final", F.round(F.least(F.lit(1.0), 0.45 * F.col("structural") + 0.47 * F.col("cosine") + F.when(bonus, 0.08).otherwise(0.0)) + TIE, 6))
     pattern = 1 - F.col("hazard")
     score = F.least(F.lit(1.0), 0.45 * F.col("final") + 0.25 * F.col("coverage") + 0.15 * pattern + 0.15 * F.col("cosine"))
     ok = (F.col("coverage") >= fixed.COVERAGE_MIN) & F.col("calm") & ((F.col("cosine") >= fixed.SEMANTIC_MIN) | (pattern >= fixed.PATTERN_MIN))
-    return c.select("request_id", "path", "source_type", "structural", "final", F.round(score, 6).alias("score"), ok.alias("verified"))
+    return c.select("request_id", "path", "source_type", "structural", "final", F.round(score + TIE, 6).alias("score"), ok.alias("verified"))
 
 
 def fused(hits: DataFrame, boosts: DataFrame | None = None) -> DataFrame:
     """hits (request_id, path, source_type, score, weight, verified) to one row for each path: noisy-or of weighted scores, plus boosts."""
     w = F.least(F.lit(1.0), F.col("score") * F.col("weight"))
-    out = hits.groupBy("request_id", "path", "source_type").agg(F.round(1 - F.product(1 - w), 6).alias("score"), F.bool_or("verified").alias("verified"))
+    out = hits.groupBy("request_id", "path", "source_type").agg(F.round(1 - F.product(1 - w) + TIE, 6).alias("score"), F.bool_or("verified").alias("verified"))
     if boosts is not None:
         out = out.join(boosts, ["request_id", "path"], "left").withColumn("score", F.round(F.least(F.lit(1.0), F.col("score") + F.coalesce("boost", F.lit(0.0))), 6)).drop("boost")
     return out
@@ -70,8 +73,6 @@ def planned_queries(requests: DataFrame) -> DataFrame:
 
 def ratio(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Sequence-matcher ratio of two text columns; for short lists of pairs, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

@@ -8,6 +8,7 @@ from assay.functions import fixed, paths
 from assay.operators import decide, fusion, lexical, spans
 from assay.plans.lexical import SCORES_SQL
 from assay.plans.spans import windows_sql
+from assay.sources.shared import written
 from assay.sources.tables import corpus, requests
 
 
@@ -16,7 +17,7 @@ def _cosine_hits(spark, d):
 
 
 def _span_facts(spark, d):
-    w = spans.windows(corpus(spark, d), "path", "content")
+    w = written(spans.windows(corpus(spark, d), "path", "content").select("path", "hazard"), "hazards")
     limit = spans.hazard_threshold(w)
     cov = spans.coverage(w, limit, "path").select("path", "coverage")
     top = F.greatest(F.lit(fixed.HAZARD_FLOOR), F.lit(limit.first().threshold or 0.0))
@@ -31,7 +32,7 @@ def _hits(spark, d):
     s = _structural(spark, d).select("request_id", "path", "source_type", "score", F.lit(1.0).alias("weight"), "verified")
     x = lexical.top(lexical.scores(corpus(spark, d), requests(spark, d)), 12)
     x = x.select("request_id", "path", paths.source_type(F.col("path")).alias("source_type"), "score", F.lit(0.75).alias("weight"), F.lit(False).alias("verified"))
-    return fusion.ranked(fusion.fused(s.unionByName(x)), 10)
+    return written(fusion.ranked(fusion.fused(s.unionByName(x)), 10), "hits")
 
 
 def _features(spark, d):
@@ -132,11 +133,11 @@ facts AS (SELECT path, round(avg(hazard), 6) hazard, round(avg(CASE WHEN round(h
 g AS (SELECT request_id, path, source_type, score cosine, coverage, hazard, {_G.format('q')} q, {_G.format('s')} s, bonus FROM (SELECT ch.request_id, path, source_type, ch.score, coverage, hazard, {_NORM.format('query')} q, {_NORM.format('content[:500]')} s,
   EXISTS (SELECT 1 FROM qt WHERE qt.request_id = ch.request_id AND contains(lower(path), token)) bonus FROM ch JOIN docs USING (path) JOIN reqs USING (request_id) JOIN facts USING (path))),
 f AS (SELECT *, round(len(list_intersect(q, s)) / greatest(1, len(q)), 6) structural FROM g),
-f2 AS (SELECT *, round(least(1.0, 0.45 * structural + 0.47 * cosine + CASE WHEN bonus THEN 0.08 ELSE 0 END), 6) final FROM f),
-st AS (SELECT request_id, path, source_type, structural, final, round(least(1.0, 0.45 * final + 0.25 * coverage + 0.15 * (1 - hazard) + 0.15 * cosine), 6) score,
+f2 AS (SELECT *, round(least(1.0, 0.45 * structural + 0.47 * cosine + CASE WHEN bonus THEN 0.08 ELSE 0 END) + 1e-9, 6) final FROM f),
+st AS (SELECT request_id, path, source_type, structural, final, round(least(1.0, 0.45 * final + 0.25 * coverage + 0.15 * (1 - hazard) + 0.15 * cosine) + 1e-9, 6) score,
   coverage >= 0.5 AND hazard <= greatest(0.75, (SELECT threshold FROM lim)) AND (cosine >= 0.08 OR 1 - hazard >= 0.08) verified FROM f2)"""
 _HITS = f"""{_ST},
-fu AS (SELECT request_id, path, source_type, round(1 - product(1 - least(1.0, score * weight)), 6) score, bool_or(verified) verified FROM
+fu AS (SELECT request_id, path, source_type, round(1 - product(1 - least(1.0, score * weight)) + 1e-9, 6) score, bool_or(verified) verified FROM
   (SELECT request_id, path, source_type, score, 1.0 weight, verified FROM st UNION ALL SELECT request_id, path, source_type, score, 0.75, FALSE FROM ranked JOIN docs USING (path)) GROUP BY ALL),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY verified DESC, score DESC, path) rank FROM fu) WHERE rank <= 10)"""
 _PARTS = f"""{_HITS},
@@ -144,7 +145,7 @@ tw AS (SELECT *, source_type IN ('pr', 'incident') twin FROM hits), pl AS (SELEC
 parts AS (SELECT request_id, path, source_type, twin, place, score, verified FROM pl WHERE place <= CASE WHEN twin THEN 3 ELSE 5 END UNION ALL SELECT request_id, path, source_type, FALSE, rank, score, verified FROM pl WHERE plain = 0 AND rank <= 5)"""
 _FEATURES = f"""{_PARTS},
 bp AS (SELECT *, row_number() OVER (PARTITION BY request_id, twin ORDER BY score DESC, path) best FROM parts LEFT JOIN (SELECT path, content FROM docs) USING (path)),
-ft AS (SELECT request_id, count(*) FILTER (WHERE NOT twin) n_evidence, count(*) FILTER (WHERE twin) n_twins, round(coalesce(avg(score) FILTER (WHERE NOT twin AND best <= 3), 0), 6) support, bool_or(NOT twin AND verified) any_verified,
+ft AS (SELECT request_id, count(*) FILTER (WHERE NOT twin) n_evidence, count(*) FILTER (WHERE twin) n_twins, round(coalesce(avg(score) FILTER (WHERE NOT twin AND best <= 3), 0) + 1e-9, 6) support, bool_or(NOT twin AND verified) any_verified,
   bool_or(NOT twin AND source_type = 'test') test_support, bool_or(NOT twin AND source_type = 'runbook') runbook_support, bool_or(NOT twin AND verified AND source_type IN ('code', 'test', 'runbook')) vcl, bool_or(NOT twin AND verified AND source_type = 'code') vc,
   bool_or(NOT twin AND verified AND source_type IN ('doc', 'test')) v2, bool_or(twin AND source_type = 'incident') incident_twin, bool_or(NOT twin AND place <= 3 AND regexp_matches(lower(path) || ' ' || lower(content[:240]), '{"|".join(fixed.WARNING_TERMS)}')) warning FROM bp GROUP BY request_id),
 ga AS (SELECT request_id, NOT EXISTS (SELECT 1 FROM hits WHERE hits.request_id = reqs.request_id AND (path = changed_path OR regexp_extract(path, '([^/]*)\\.[^.]*$', 1) = regexp_extract(changed_path, '([^/]*)\\.[^.]*$', 1))) gap FROM reqs),
@@ -152,8 +153,8 @@ fe AS (SELECT request_id, changed_path, coalesce(n_evidence, 0) n_evidence, coal
   coalesce(vcl, FALSE) vcl, coalesce(vc, FALSE) vc, coalesce(v2, FALSE) v2, coalesce(incident_twin, FALSE) incident_twin, coalesce(warning, FALSE) warning, gap, CAST(1 + request_id % 9 AS INTEGER) files, CAST(request_id % 3 AS INTEGER) tests FROM reqs LEFT JOIN ft USING (request_id) JOIN ga USING (request_id)),
 mi AS (SELECT *, list_filter([CASE WHEN n_evidence = 0 THEN '{fixed.NOTE_NO_EVIDENCE}' END, CASE WHEN n_evidence > 0 AND NOT any_verified THEN '{fixed.NOTE_UNVERIFIED}' END, CASE WHEN gap THEN '{fixed.NOTE_GAP}' END, CASE WHEN warning THEN '{fixed.NOTE_WARNING}' END,
   CASE WHEN NOT test_support THEN '{fixed.NOTE_NO_TEST}' END, CASE WHEN NOT runbook_support THEN '{fixed.NOTE_NO_RUNBOOK}' END, CASE WHEN n_twins = 0 THEN '{fixed.NOTE_NO_PRECEDENT}' END], lambda x: x IS NOT NULL) missing FROM fe),
-de AS (SELECT *, round(least(1.0, greatest(0.0, 0.65 - support + 0.08 * len(missing) + 0.02 * greatest(0, files - 5))), 6) hazard,
-  round(least(1.0, greatest(0.0, support + CASE WHEN n_twins > 0 THEN 0.05 ELSE 0 END + CASE WHEN test_support THEN 0.05 ELSE 0 END + CASE WHEN runbook_support THEN 0.05 ELSE 0 END - 0.03 * greatest(0, files - 4))), 6) confidence,
+de AS (SELECT *, round(least(1.0, greatest(0.0, 0.65 - support + 0.08 * len(missing) + 0.02 * greatest(0, files - 5))) + 1e-9, 6) hazard,
+  round(least(1.0, greatest(0.0, support + CASE WHEN n_twins > 0 THEN 0.05 ELSE 0 END + CASE WHEN test_support THEN 0.05 ELSE 0 END + CASE WHEN runbook_support THEN 0.05 ELSE 0 END - 0.03 * greatest(0, files - 4))) + 1e-9, 6) confidence,
   CASE WHEN gap THEN 'escalate' WHEN warning AND NOT (vcl AND test_support AND n_twins > 0) THEN 'escalate' WHEN n_evidence >= 2 AND support >= 0.25 AND (n_twins > 0 OR (test_support AND runbook_support)) AND len(missing) <= 1 THEN 'admit'
   WHEN n_evidence >= 1 AND support >= 0.12 THEN 'escalate' ELSE 'abstain' END decision FROM mi)"""
 _lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)

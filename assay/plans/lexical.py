@@ -19,9 +19,9 @@ POSTINGS_SQL = f"""{CORPUS_SQL}, {tokens_sql("ct", "docs", "content", "path")},
 post AS (SELECT path, token, sum(c) tf, sum(p) path_tf FROM (SELECT path, token, 1 c, 0 p FROM ct UNION ALL SELECT path, token, 0, 1 FROM pt) GROUP BY ALL),
 dfs AS (SELECT token, count(*) FILTER (WHERE tf > 0) df FROM post GROUP BY token)"""
 SCORES_SQL = f"""{POSTINGS_SQL}, {REQUESTS_SQL}, {tokens_sql("qt", "reqs", "query", "request_id")}, qc AS (SELECT request_id, token, count(*) q FROM qt GROUP BY ALL),
-w AS (SELECT qc.*, ln(((SELECT count(*) FROM docs) + 1) / (1 + coalesce(df, 0))) + 1.0 idf FROM qc LEFT JOIN dfs USING (token)),
-most AS (SELECT request_id, sum(idf * q) most, count(*) n FROM w GROUP BY ALL),
-scored AS (SELECT request_id, path, round(least(1.0, 0.6 * count(*) / max(n) + 0.4 * least(1.0, sum(least(q, greatest(tf, path_tf)) * idf) / max(most))), 6) score FROM post JOIN w USING (token) JOIN most USING (request_id) GROUP BY ALL),
+qw AS (SELECT qc.*, ln(((SELECT count(*) FROM docs) + 1) / (1 + coalesce(df, 0))) + 1.0 idf FROM qc LEFT JOIN dfs USING (token)),
+most AS (SELECT request_id, sum(idf * q) most, count(*) n FROM qw GROUP BY ALL),
+scored AS (SELECT request_id, path, round(least(1.0, 0.6 * count(*) / max(n) + 0.4 * least(1.0, sum(least(q, greatest(tf, path_tf)) * idf) / max(most))), 6) score FROM post JOIN qw USING (token) JOIN most USING (request_id) GROUP BY ALL),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, path) rank FROM scored) WHERE rank <= 12)"""
 
 
