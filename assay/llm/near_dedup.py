@@ -7,7 +7,7 @@ with probability 1e-6, one at 0.9 with less than 1e-15. Sets too different in si
 
 Documents with the same words are joined first. In a bucket, a few members (the pivots) are compared with
 all members that are not yet in their component, then leave; the next round has more pivots, until no bucket
-holds two components. So a group of copies costs a comparison for each copy and not for each pair, and no
+holds two components. After the first round, buckets of more than `SMALL` rows are made anew by an exact prefix filter. So a group of copies costs a comparison for each copy and not for each pair, and no
 pair of different components that shares a bucket is left out.
 
 Cases: null texts and texts without words have n_shingles 0 and stay alone; texts of one to three words
@@ -35,8 +35,10 @@ PER_BAND = 3
 PERMUTATIONS = BANDS * PER_BAND
 #: Similarity of linked documents, as a fraction.
 THRESHOLD = (80, 100)
-#: Pivots of a bucket in the first round, and how many times more there are in each later one.
-PIVOTS, MORE = 1, 16
+#: Pivots of a bucket in the first round, and how many times more there are in the second; in the third all are.
+PIVOTS, MORE = 1, 64
+#: Rows of a bucket that may all be compared; of larger ones the prefix filter makes new buckets after the first round.
+SMALL = 32
 
 _RNG = np.random.default_rng(77003)
 _XOR = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2)
@@ -131,6 +133,40 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: tuple
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def prefix_buckets(texts: DataFrame, members: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+    """Buckets (bucket, rep, pos) of members (rep, n) by the shingles of their prefixes, which linked texts must share.
+
+    A text's shingles are ordered by how many members have them, rarest first. Two sets that are similar enough
+    share one of their first n - ceil(t n) + 1 shingles; those that no other member has count, but need no bucket.
+    pos is the shingle's place in the order: at the first one that two sets share, what comes after bounds their overlap.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b.column(1), NON_SPACE, LOWER):
+                h, bounds = shingles(c, shingle)
+                row = np.repeat(np.arange(c.rows), np.diff(bounds))
+                _, at = np.unique(mix(h ^ mix(row.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))), return_index=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.rows).take(pa.array(row[at])), pa.array(h[at].view(np.int64))], ["rep", "gram"])
+
+    up, down = threshold
+    rows = written(members.join(texts, "rep").select("rep", "text").mapInArrow(spell, "rep long, gram long"), "grams")
+    held = rows.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
+    common = rows.hint("merge").join(held, "gram").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("held", "gram"))).withColumn("c", F.count("*").over(Window.partitionBy("rep")))
+    prefix = F.col("n") - F.ceil(F.col("n") * up / down) + 1
+    kept = common.hint("merge").join(members, "rep").where(F.col("i") + F.col("n") - F.col("c") <= prefix)
+    size = F.floor(F.log("n") / F.log(F.lit(down / up)) + 1e-9).cast("int")
+    pos = (F.col("i") + F.col("n") - F.col("c")).alias("pos")
+    return kept.select("rep", "gram", pos, F.explode(F.array(size, size + 1)).alias("size")).select(F.xxhash64("gram", "size", F.lit(1)).alias("bucket"), "rep", "pos")
+
+
+def open_buckets(live: DataFrame, tied: DataFrame) -> DataFrame:
+    """Rows of buckets in which more than one component is left, with their components as label."""
+    at = live.hint("merge").join(tied.select(F.col("a").alias("rep"), F.col("b").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = at.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    return written(at.hint("merge").join(mixed, "bucket").select("bucket", "rep", "n", "turn", "pos", "label"), "live")
+
+
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     signed = written(signatures(docs, doc_id, text, shingle), "signatures")
@@ -142,31 +178,38 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # linked sets differ in size by the threshold at most, so they share a size class or have neighbouring ones
     size = F.floor(F.log("n") / F.log(F.lit(down / up)) + 1e-9).cast("int")
     members = rows.hint("merge").join(shared, "band").select(F.explode(F.array(size, size + 1)).alias("size"), "band", "rep", "n")
-    live = written(members.select(F.xxhash64("band", "size").alias("bucket"), "rep", "n"), "buckets")
+    held = written(members.select(F.xxhash64("band", "size").alias("bucket"), "rep", "n"), "held")
+    # a text that shares its buckets with many is likely to be linked to many: it becomes a pivot first
+    fame = held.hint("merge").join(held.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "bucket").groupBy("rep").agg(F.sum("c").alias("fame"))
+    live = written(held.hint("merge").join(fame, "rep").select("bucket", "rep", "n", (-F.col("fame")).alias("turn"), F.lit(1).cast("long").alias("pos")), "buckets")
     wanted = live.select("rep").distinct()
     texts = written(docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).hint("merge").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "members")
-    near = F.least("n", "pivot_n") * down >= F.greatest("n", "pivot_n") * up
-    tied = seen = None
-    k = PIVOTS
+    # the overlap that the threshold asks for, against what is left of both sets from their places in the bucket's order
+    near = (F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos")) + 1) * (up + down) >= (F.col("n") + F.col("pivot_n")) * up
+    tied, seen, k = None, None, PIVOTS
+    at = live.withColumn("label", F.col("rep"))
+    chosen = at.groupBy("bucket").agg(F.min(F.struct("turn", "rep", "n", "pos", "label")).alias("p"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos"), F.col("p.label").alias("pivot_label"))
     while True:
-        if tied is None:
-            at = live.withColumn("label", F.col("rep"))
-            chosen = at.groupBy("bucket").agg(F.min(F.struct("rep", "n", "label")).alias("p"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.label").alias("pivot_label"))
-        else:
-            at = live.hint("merge").join(tied.select(F.col("a").alias("rep"), F.col("b").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            mixed = at.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-            at = written(at.hint("merge").join(mixed, "bucket").select("bucket", "rep", "n", "label"), "live")
-            if at.isEmpty():
-                break
-            chosen = at.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))).where(F.col("i") <= k).select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
         chosen = written(chosen, "pivots")
         pairs = at.hint("merge").join(chosen, "bucket").where((F.col("label") != F.col("pivot_label")) & near).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         pairs = written(pairs if seen is None else pairs.hint("merge").join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
         links = confirmed(pairs, texts, shingle, threshold)
-        tied = stars(links if tied is None else tied.unionByName(links))
-        live = at.select("bucket", "rep", "n").hint("merge").join(chosen.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
-        k *= MORE
+        first = tied is None
+        tied = stars(links if first else tied.unionByName(links))
+        rest = at.select("bucket", "rep", "n", "turn", "pos").hint("merge").join(chosen.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
+        at = open_buckets(rest, tied)
+        if first:
+            large = at.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > SMALL).select("bucket")
+            large = written(at.hint("merge").join(large, "bucket"), "large")
+            crowd = written(large.select("rep", "n", "turn").distinct(), "crowd")
+            again = prefix_buckets(texts, crowd.select("rep", "n"), shingle, threshold).join(crowd.hint("merge"), "rep")
+            small = at.hint("merge").join(large.select("bucket").distinct(), "bucket", "left_anti").select("bucket", "rep", "n", "turn", "pos")
+            at = open_buckets(small.unionByName(again.select("bucket", "rep", "n", "turn", "pos")), tied)
+        if at.isEmpty():
+            break
+        k = k * MORE if k == PIVOTS else 1 << 30
+        chosen = at.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "rep"))).where(F.col("i") <= k).select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("pos").alias("pivot_pos"), F.col("label").alias("pivot_label"))
     groups = same.select("k1", "k2", "rep").hint("merge").join(tied.select(F.col("a").alias("rep"), F.col("b").alias("label")), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("label"))
     out = signed.select("doc_id", "n", "k1", "k2").hint("merge").join(groups, ["k1", "k2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
