@@ -30,6 +30,6 @@ def newest(manifests: DataFrame) -> DataFrame:
 def retention(manifests: DataFrame, now, max_age_hours: int, most: int) -> DataFrame:
     """Why each manifest goes: stale before expired before overflow; overflow ranks all of them by time."""
     rank = F.row_number().over(Window.orderBy(F.desc("built_at"), F.desc("build_id")))
-    age = (F.unix_micros(now) - F.unix_micros("built_at")) / 3.6e9
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("built_at").cast("timestamp"))) / 3.6e9
     reason = F.when(F.col("status") == "stale", "stale").when(age >= max_age_hours, "expired").when(F.col("rank") > most, "overflow")
     return manifests.withColumn("rank", rank).withColumn("reason", reason)

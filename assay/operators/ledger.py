@@ -21,7 +21,7 @@ def sequences(ledger: DataFrame) -> DataFrame:
         F.count_if(b).alias("blocked_attempts"), F.min_by(F.when(b, F.col("decision_id")), F.when(b, F.col("at"))).alias("first_blocked"), F.max_by(F.when(b, F.col("decision_id")), F.when(b, F.col("at"))).alias("latest_blocked"),
         F.min(F.when(b, F.col("created_at"))).alias("blocked_at"), F.max(F.when(b, F.col("created_at"))).alias("latest_blocked_at"), F.max(F.when(a, F.col("decision_id"))).alias("healed"), F.max(F.when(a, F.col("created_at"))).alias("healed_at"),
     ).where("blocked_attempts > 0")
-    return out.withColumn("minutes", F.round((F.unix_micros("healed_at") - F.unix_micros("blocked_at")) / 6e7, 4))
+    return out.withColumn("minutes", F.round((F.unix_micros(F.col("healed_at").cast("timestamp")) - F.unix_micros(F.col("blocked_at").cast("timestamp"))) / 6e7, 4))
 
 
 def healing(seq: DataFrame) -> DataFrame:

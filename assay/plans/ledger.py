@@ -115,7 +115,7 @@ QUERIES = {
 
 _SEQ = f"""WITH {LEDGER_SQL}, s AS (SELECT *, coalesce(sum(CASE WHEN blocked THEN 0 ELSE 1 END) OVER (PARTITION BY fingerprint ORDER BY created_at, decision_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) seq FROM ledger),
 q AS (SELECT fingerprint, seq, count(*) FILTER (WHERE blocked) blocked_attempts, arg_min(decision_id, (created_at, -decision_id)) FILTER (WHERE blocked) first_blocked, arg_max(decision_id, (created_at, -decision_id)) FILTER (WHERE blocked) latest_blocked,
-  max(decision_id) FILTER (WHERE NOT blocked) healed, max(created_at) FILTER (WHERE NOT blocked) healed_at, round((epoch_us(max(created_at) FILTER (WHERE NOT blocked)) - epoch_us(min(created_at) FILTER (WHERE blocked))) / 6e7, 4) minutes FROM s GROUP BY ALL HAVING count(*) FILTER (WHERE blocked) > 0)"""
+  max(decision_id) FILTER (WHERE NOT blocked) healed, max(created_at) FILTER (WHERE NOT blocked) healed_at, round((epoch_us(max(created_at) FILTER (WHERE NOT blocked)) - epoch_us(min(created_at) FILTER (WHERE blocked))) / 6e7, 4) AS minutes FROM s GROUP BY ALL HAVING count(*) FILTER (WHERE blocked) > 0)"""
 _M = "m AS (SELECT user_id corpus, event_id build_id, ts built_at, CASE WHEN value < 10 THEN 'stale' ELSE 'ready' END status FROM events WHERE event_type = 'signup'), nm AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY built_at DESC, build_id DESC) n FROM m)"
 _RET = f"""WITH {_M}, r AS (SELECT corpus, build_id, row_number() OVER (ORDER BY built_at DESC, build_id DESC) rank, status, (SELECT epoch_us(max(ts)) FROM events) - epoch_us(built_at) age FROM nm WHERE n = 1),
 p AS (SELECT corpus, build_id, CAST(rank AS INTEGER) rank, CASE WHEN status = 'stale' THEN 'stale' WHEN age / 3.6e9 >= 48 THEN 'expired' WHEN rank > 20 THEN 'overflow' END reason FROM r)"""

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def modules() -> list:
-    return []
+    from assay.plans import decisions, evaluate, graph, ledger, lexical, spans, streaming
+
+    return [lexical, spans, decisions, ledger, graph, evaluate, streaming]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
