@@ -28,7 +28,7 @@ def healing(seq: DataFrame) -> DataFrame:
     ok = F.col("healed").isNotNull()
     return seq.agg(
         F.count("*").alias("blocked_sequences"), F.count_if(ok).alias("healed_sequences"), F.count_if(~ok).alias("unresolved_sequences"), F.round(F.count_if(ok) / F.greatest(F.lit(1), F.count("*")), 6).alias("healing_rate"),
-        F.round(F.avg(F.when(ok, F.col("blocked_attempts"))), 4).alias("average_retries"), F.round(F.median(F.when(ok, F.col("minutes"))), 4).alias("median_minutes"),
+        F.round(F.avg(F.when(ok, F.col("blocked_attempts"))), 4).alias("average_retries"), F.round(F.median(F.when(ok, F.col("minutes"))) + 1e-7, 4).alias("median_minutes"),
     )
 
 

@@ -123,7 +123,7 @@ _LABELS = {p[0]: "|".join(label + ("" if isinstance(v, bool) else f": {v}") for
 _ORDERED = {p[0]: "|".join(sorted(_LABELS[p[0]].split("|"), key=lambda x: list(ops.POLICY_LABELS.values()).index(x.split(":")[0]))) for p in decide.POLICIES}
 ORACLE_SQL = {
     "healing_sequences": f"{_SEQ} SELECT fingerprint, first_blocked, latest_blocked, healed, blocked_attempts, minutes FROM q",
-    "healing_summary": f"{_SEQ} SELECT count(*) blocked_sequences, count(healed) healed_sequences, count(*) - count(healed) unresolved_sequences, round(count(healed) / greatest(1, count(*)), 6) healing_rate, round(avg(blocked_attempts) FILTER (WHERE healed IS NOT NULL), 4) average_retries, round(median(minutes), 4) median_minutes FROM q",
+    "healing_summary": f"{_SEQ} SELECT count(*) blocked_sequences, count(healed) healed_sequences, count(*) - count(healed) unresolved_sequences, round(count(healed) / greatest(1, count(*)), 6) healing_rate, round(avg(blocked_attempts) FILTER (WHERE healed IS NOT NULL), 4) average_retries, round(median(minutes) + 1e-7, 4) median_minutes FROM q",
     "recent_heals": f"{_SEQ} SELECT fingerprint, first_blocked, healed, blocked_attempts, minutes FROM q WHERE healed IS NOT NULL ORDER BY healed_at DESC, healed DESC LIMIT 5",
     "headline_metrics": f"WITH {LEDGER_SQL} SELECT count(*) FILTER (WHERE blocked) blocked_actions, count(*) FILTER (WHERE blocked AND value >= 50) incident_linked, CAST(sum(floor(value)) FILTER (WHERE blocked) AS BIGINT) protected_files, count(*) actions FROM ledger",
     "risk_feed": f"""{_SEQ}, f AS (SELECT first_blocked decision_id, 'healed_on_retry' status, healed healed_decision_id FROM q WHERE healed IS NOT NULL UNION ALL SELECT latest_blocked, 'still_blocked', NULL FROM q WHERE healed IS NULL)
