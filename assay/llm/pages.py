@@ -132,7 +132,7 @@ def weights(pages: DataFrame, html: str = "html") -> dict[str, float]:
         name = r.kind[1:]
         if r.kind[0] == "<":
             out[r.kind] = 0.0 if name in INLINE else min(odds, 0.0) - 0.1
-        else:
+        elif r.inside + r.outside:  # elements without words in labelled pages keep the standard score
             out[r.kind] = max(-4.0, min(4.0, odds))
     return out
 

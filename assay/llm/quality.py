@@ -1,11 +1,11 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Method: the units are code points and the order is four. Counts are taken over all trusted documents (labelled
-of good quality and not toxic). A gram of four code points is one long, sixteen bits for each, so contexts and
+Method: the units are code points and the order is four. Counts are taken over the trusted documents (labelled
+of good quality and not toxic) but one in `HELD_OUT`. A gram of four code points is one long, sixteen bits for each, so contexts and
 suffixes are shifts, and every level of the model is a table joined by its grams: raw counts at the highest order,
 continuation counts below, three discounts for each order from its counts of counts. The probabilities are made
 for all grams that any document has, joined back to the pieces of the corpus that hold them, and averaged for each
-document. The thresholds are quantiles of the trusted documents' scores in each language.
+document. The thresholds are quantiles of trusted documents' scores in each language, of those that were held out of the counts.
 
 A score is the mean surprise in nats for each gram, drawn towards the language's trusted mean by `SHRINK` grams
 so that a few words are not judged on chance. A document is rejected beyond its language's `QUANTILE` plus
@@ -43,7 +43,9 @@ BLOCK_CHARS = 500_000
 QUANTILE = 0.995
 SLACK = 0.25
 SHRINK = 60
-LEAST_TRUSTED = 100
+LEAST_TRUSTED = 30
+#: Of so many trusted documents one is kept out of the counts, to set the thresholds.
+HELD_OUT = 5
 #: Scores are compared and counted in steps of this size.
 STEP = 0.001
 
@@ -79,7 +81,7 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """Rows of whole texts, compressed, of about PIECE_BYTES each: piece, ids, langs, trusted, texts."""
+    """Rows of whole texts, compressed, of about PIECE_BYTES each: piece, ids, langs, roles, texts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -98,12 +100,12 @@ def _pieces(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "piece": pa.array([(part << 32) | piece], pa.int64()), "ids": pa.array([part_.column(0).to_pylist()], pa.list_(pa.int64())), "langs": pa.array([part_.column(1).to_pylist()], pa.list_(pa.string())),
-                        "trusted": pa.array([part_.column(2).to_pylist()], pa.list_(pa.bool_())), "lengths": pa.array([lengths], pa.list_(pa.int32())), "texts": pa.array([squeeze.compress("".join(body).encode("utf-8"))], pa.binary()),
+                        "roles": pa.array([part_.column(2).to_pylist()], pa.list_(pa.int32())), "lengths": pa.array([lengths], pa.list_(pa.int32())), "texts": pa.array([squeeze.compress("".join(body).encode("utf-8"))], pa.binary()),
                     }
                 )
                 first, piece = last, piece + 1
 
-    return docs.mapInArrow(pack, "piece long, ids array<long>, langs array<string>, trusted array<boolean>, lengths array<int>, texts binary")
+    return docs.mapInArrow(pack, "piece long, ids array<long>, langs array<string>, roles array<int>, lengths array<int>, texts binary")
 
 
 def _texts(blob: bytes, lengths: list[int]) -> list[str]:
@@ -117,8 +119,8 @@ def _counted(pieces: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece, trusted, lengths, blob in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                good, held = np.array(trusted, bool), []
+            for piece, roles, lengths, blob in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                good, held = np.array(roles) == 1, []
                 for _, g, text in _blocks(_texts(blob, lengths)):
                     code, names = pd.factorize(g)
                     held.append((names, np.bincount(code[good[text]], minlength=len(names))))
@@ -126,7 +128,7 @@ def _counted(pieces: DataFrame) -> DataFrame:
                 n = np.bincount(code, weights=np.concatenate([x for _, x in held]), minlength=len(names)).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"piece": pa.array(np.full(len(names), piece)), "gram": pa.array(names), "n": pa.array(n)})
 
-    return pieces.select("piece", "trusted", "lengths", "texts").mapInArrow(count, "piece long, gram long, n long")
+    return pieces.select("piece", "roles", "lengths", "texts").mapInArrow(count, "piece long, gram long, n long")
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -171,13 +173,15 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def surprise(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, lang, trusted, n_grams and nats (the sum of surprise); trusted: doc_id of the training documents."""
+    """doc_id, lang, role, n_grams and nats (the sum of surprise); trusted: doc_id of the trusted documents, role 1 if counted and 2 if held out."""
     ids = trusted.select(F.col(doc_id).cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
     marks = docs.select(F.col(doc_id).cast("long").alias("doc_id")).distinct().hint("merge").join(ids, "doc_id", "left_semi").select("doc_id")
     trusted_ids = written(marks, "trusted")
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+    role = F.when(F.col("trusted") & out, 2).when(F.col("trusted"), 1).otherwise(0)
     how = "broadcast" if trusted_ids.count() <= MOST_BROADCAST else "merge"
-    joined = plain.join(trusted_ids.withColumn("trusted", F.lit(True)).hint(how), "doc_id", "left").select("doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+    joined = plain.join(trusted_ids.withColumn("trusted", F.lit(True)).hint(how), "doc_id", "left").select("doc_id", "lang", role.alias("role"), "text")
     pieces = bucketed(_pieces(joined), "pieces", "piece")
     counted = written(_counted(pieces), "grams")
     asked = written(counted.groupBy("gram").agg(F.sum("n").alias("c")), "asked")
@@ -188,7 +192,7 @@ def surprise(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", tex
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                ids, langs, trusted, lengths, blob = (b.column(k)[r] for k in range(5))
+                ids, langs, roles, lengths, blob = (b.column(k)[r] for k in range(5))
                 known = b.column(5)[r].values.to_numpy()
                 value = b.column(6)[r].values.to_numpy().astype(np.float64)
                 nats, n = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
@@ -196,10 +200,10 @@ def surprise(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", tex
                     code, names = pd.factorize(g)
                     nats += np.bincount(text, weights=-value[np.searchsorted(known, names)][code], minlength=len(ids))
                     n += np.bincount(text, minlength=len(ids))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.values, "lang": langs.values, "trusted": trusted.values, "n_grams": pa.array(n), "nats": pa.array(np.round(nats, 3))})
+                yield pa.RecordBatch.from_pydict({"doc_id": ids.values, "lang": langs.values, "role": roles.values, "n_grams": pa.array(n), "nats": pa.array(np.round(nats, 3))})
 
-    both = pieces.join(answers.hint("merge"), "piece").select("ids", "langs", "trusted", "lengths", "texts", "gram", "logp")
-    return both.mapInArrow(score, "doc_id long, lang string, trusted boolean, n_grams long, nats double")
+    both = pieces.join(answers.hint("merge"), "piece").select("ids", "langs", "roles", "lengths", "texts", "gram", "logp")
+    return both.mapInArrow(score, "doc_id long, lang string, role int, n_grams long, nats double")
 
 
 def thresholds(scored: DataFrame, quantile: float, by: list[str]) -> DataFrame:
@@ -218,6 +222,8 @@ def classified(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     trusted = agreed.where("q = 1 AND t = 0 AND u = 0")
     scored = written(surprise(docs, trusted.withColumnRenamed("doc_id", doc_id), doc_id=doc_id, text=text, lang=lang), "surprise")
     scored = scored.withColumn("lang", F.coalesce("lang", F.lit("")))
+    judges = 2 if not scored.where("role = 2").isEmpty() else 1
+    scored = scored.withColumn("trusted", F.col("role") == judges)
     sums = (F.sum("nats").alias("nats"), F.sum("n_grams").alias("grams"), F.count("*").alias("docs"))
     mean = scored.where("trusted").groupBy("lang").agg(*sums)
     every = mean.agg(F.sum("nats").alias("nats"), F.sum("grams").alias("grams"), F.sum("docs").alias("docs")).first()
