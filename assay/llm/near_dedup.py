@@ -5,10 +5,11 @@ largest, so half the hash evaluations make a signature. Bands of six values (thr
 pairs; the sets of every proposed pair are compared in full. A pair at similarity 0.8 is missed by all 46 bands
 with probability 1e-6, one at 0.9 with less than 1e-15. Sets too different in size to be linked do not share buckets.
 
-Documents with the same words are joined first. In a bucket, a few members (the pivots) are compared with
-all members that are not yet in their component, then leave; the next round has more pivots, until no bucket
-holds two components. After the first round, buckets of more than `SMALL` rows are made anew by an exact prefix filter. So a group of copies costs a comparison for each copy and not for each pair, and no
-pair of different components that shares a bucket is left out.
+Documents with the same words are joined first. In the first round one member of each bucket, the pivot, is compared
+with the others: the one that shares its buckets with most texts, so a group of copies costs a comparison for each copy
+and not for each pair. In the second, members of one bucket that are not yet in one component are compared with each other. In buckets of
+more than `SMALL` rows that is done by an exact prefix filter with a positional bound instead, which proposes every pair that can
+reach the threshold and few others, so no link is lost.
 
 Cases: null texts and texts without words have n_shingles 0 and stay alone; texts of one to three words
 have one shingle, their whole sequence; repeated rows of a doc_id each get a row; rows of null doc_id are kept,
@@ -35,8 +36,6 @@ PER_BAND = 3
 PERMUTATIONS = BANDS * PER_BAND
 #: Similarity of linked documents, as a fraction.
 THRESHOLD = (80, 100)
-#: Pivots of a bucket in the first round, and how many times more there are in the second; in the third all are.
-PIVOTS, MORE = 1, 64
 #: Rows of a bucket that may all be compared; of larger ones the prefix filter makes new buckets after the first round.
 SMALL = 32
 
@@ -134,7 +133,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: tuple
 
 
 def prefix_buckets(texts: DataFrame, members: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """Buckets (bucket, rep, pos) of members (rep, n) by the shingles of their prefixes, which linked texts must share.
+    """Buckets (bucket, rep, n, pos) of members (rep, n) by the shingles of their prefixes, which linked texts must share.
 
     A text's shingles are ordered by how many members have them, rarest first. Two sets that are similar enough
     share one of their first n - ceil(t n) + 1 shingles; those that no other member has count, but need no bucket.
@@ -157,14 +156,14 @@ def prefix_buckets(texts: DataFrame, members: DataFrame, shingle: int, threshold
     kept = common.hint("merge").join(members, "rep").where(F.col("i") + F.col("n") - F.col("c") <= prefix)
     size = F.floor(F.log("n") / F.log(F.lit(down / up)) + 1e-9).cast("int")
     pos = (F.col("i") + F.col("n") - F.col("c")).alias("pos")
-    return kept.select("rep", "gram", pos, F.explode(F.array(size, size + 1)).alias("size")).select(F.xxhash64("gram", "size", F.lit(1)).alias("bucket"), "rep", "pos")
+    return kept.select("rep", "n", "gram", pos, F.explode(F.array(size, size + 1)).alias("size")).select(F.xxhash64("gram", "size", F.lit(1)).alias("bucket"), "rep", "n", "pos")
 
 
 def open_buckets(live: DataFrame, tied: DataFrame) -> DataFrame:
-    """Rows of buckets in which more than one component is left, with their components as label."""
+    """Rows of buckets in which more than one component is left, with their components as label and the bucket's size."""
     at = live.hint("merge").join(tied.select(F.col("a").alias("rep"), F.col("b").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = at.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-    return written(at.hint("merge").join(mixed, "bucket").select("bucket", "rep", "n", "turn", "pos", "label"), "live")
+    mixed = at.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("held")).where("x < y").select("bucket", "held")
+    return written(at.hint("merge").join(mixed, "bucket").select("bucket", "rep", "n", "pos", "label", "held"), "open")
 
 
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -181,35 +180,23 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     held = written(members.select(F.xxhash64("band", "size").alias("bucket"), "rep", "n"), "held")
     # a text that shares its buckets with many is likely to be linked to many: it becomes a pivot first
     fame = held.hint("merge").join(held.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "bucket").groupBy("rep").agg(F.sum("c").alias("fame"))
-    live = written(held.hint("merge").join(fame, "rep").select("bucket", "rep", "n", (-F.col("fame")).alias("turn"), F.lit(1).cast("long").alias("pos")), "buckets")
+    live = written(held.hint("merge").join(fame, "rep").select("bucket", "rep", "n", (-F.col("fame")).alias("turn")), "buckets")
     wanted = live.select("rep").distinct()
     texts = written(docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).hint("merge").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "members")
+    first = live.groupBy("bucket").agg(F.min(F.struct("turn", "rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    pivots = written(first.select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
+    near = F.least("n", "pivot_n") * down >= F.greatest("n", "pivot_n") * up
+    pairs = live.hint("merge").join(pivots, "bucket").where((F.col("rep") != F.col("pivot")) & near).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    tied = stars(confirmed(written(pairs, "pairs"), texts, shingle, threshold))
+    rest = live.hint("merge").join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
+    left = open_buckets(rest.withColumn("pos", F.lit(1).cast("long")), tied)
+    crowd = written(left.where(F.col("held") > SMALL).select("rep", "n").distinct(), "crowd")
+    left = left.where(F.col("held") <= SMALL).unionByName(open_buckets(prefix_buckets(texts, crowd, shingle, threshold), tied))
     # the overlap that the threshold asks for, against what is left of both sets from their places in the bucket's order
-    near = (F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos")) + 1) * (up + down) >= (F.col("n") + F.col("pivot_n")) * up
-    tied, seen, k = None, None, PIVOTS
-    at = live.withColumn("label", F.col("rep"))
-    chosen = at.groupBy("bucket").agg(F.min(F.struct("turn", "rep", "n", "pos", "label")).alias("p"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos"), F.col("p.label").alias("pivot_label"))
-    while True:
-        chosen = written(chosen, "pivots")
-        pairs = at.hint("merge").join(chosen, "bucket").where((F.col("label") != F.col("pivot_label")) & near).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        pairs = written(pairs if seen is None else pairs.hint("merge").join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        links = confirmed(pairs, texts, shingle, threshold)
-        first = tied is None
-        tied = stars(links if first else tied.unionByName(links))
-        rest = at.select("bucket", "rep", "n", "turn", "pos").hint("merge").join(chosen.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
-        at = open_buckets(rest, tied)
-        if first:
-            large = at.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > SMALL).select("bucket")
-            large = written(at.hint("merge").join(large, "bucket"), "large")
-            crowd = written(large.select("rep", "n", "turn").distinct(), "crowd")
-            again = prefix_buckets(texts, crowd.select("rep", "n"), shingle, threshold).join(crowd.hint("merge"), "rep")
-            small = at.hint("merge").join(large.select("bucket").distinct(), "bucket", "left_anti").select("bucket", "rep", "n", "turn", "pos")
-            at = open_buckets(small.unionByName(again.select("bucket", "rep", "n", "turn", "pos")), tied)
-        if at.isEmpty():
-            break
-        k = k * MORE if k == PIVOTS else 1 << 30
-        chosen = at.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "rep"))).where(F.col("i") <= k).select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("pos").alias("pivot_pos"), F.col("label").alias("pivot_label"))
+    other = left.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("rep", "n", "pos", "label")])
+    reach = (F.least(F.col("n") - F.col("pos"), F.col("other_n") - F.col("other_pos")) + 1) * (up + down) >= (F.col("n") + F.col("other_n")) * up
+    pairs = left.hint("merge").join(other, "bucket").where((F.col("rep") < F.col("other_rep")) & (F.col("label") != F.col("other_label")) & reach).select(F.col("rep").alias("a"), F.col("other_rep").alias("b")).distinct()
+    tied = stars(tied.unionByName(confirmed(written(pairs, "pairs"), texts, shingle, threshold)))
     groups = same.select("k1", "k2", "rep").hint("merge").join(tied.select(F.col("a").alias("rep"), F.col("b").alias("label")), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("label"))
     out = signed.select("doc_id", "n", "k1", "k2").hint("merge").join(groups, ["k1", "k2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
