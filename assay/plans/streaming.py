@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.sources.shared import written
+from assay.sources.shared import folder, written
 from assay.sources.tables import LEDGER_SQL, ledger
 from assay.streaming import ledger as streams
 
@@ -21,7 +21,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 def _run(stream: DataFrame, mode: str) -> DataFrame:
     """All output of a stream, by way of a table in the shared folder."""
     spark = stream.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/assay-stream-{uuid.uuid4().hex}"
+    base = f"{folder(spark)}/assay-stream-{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/at").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -34,9 +34,9 @@ def _none() -> list[Column]:
     return [F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("external_url"), F.lit(None).cast("timestamp").alias("time")]
 
 
-def records(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+def records(spark: SparkSession, path: str, *keys: str, names: str = "*.{json,txt}") -> DataFrame:
     """file and record (JSON text): of arrays their members, of objects those of the first collection key that they have, else the object."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("j"))
+    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("j"))
     inner = F.coalesce(*[F.get_json_object("j", f"$.{k}") for k in keys], F.col("j")) if keys else F.col("j")
     body = F.when(F.col("j").startswith("["), F.col("j")).otherwise(inner)
     parts = F.when(body.startswith("["), F.from_json(body, "array<string>")).otherwise(F.array(body))
