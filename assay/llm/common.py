@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="assay-checkpoint-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate tables; a temporary one only where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="assay-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or _own_folder()).rstrip("/")
 
 
 #: Tables that the stage of a pipeline now under way has written; those of the one before it.
