@@ -5,9 +5,11 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from assay.llm import decontaminate, licenses, near_dedup, packing, quality, sharding, substring_dedup
+from assay.llm.words import NON_SPACE, chunks
 from tests_llm_rows import CLASHES, ROWS  # noqa: F401
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -86,6 +88,16 @@ def test_substring_dedup(docs, empty, rounds):
     assert substring_dedup.kept_texts(empty).count() == 0
 
 
+def test_windows_of_one_anchor_are_told_apart(spark):
+    """Two windows whose anchors and low 32 bits of the hash are equal, from different tasks: no word is repeated."""
+    texts = [f"a{i} one two three four five six seven eight nine ten eleven b{i}" for i in (109949, 116104)]
+    at = [substring_dedup.anchors(c.hashes, c.bounds, 13, 1) for t in texts for c in chunks(pa.array([t]), NON_SPACE)]
+    (_, key, whole), (_, other_key, other) = at
+    assert key == other_key and whole.astype("uint32") == other.astype("uint32") and whole != other
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 2), "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.kept_texts(df).collect()] == [0, 0]
+
+
 def test_contamination(spark, docs, empty):
     items = [(1, " ".join(f"W{i}" for i in range(20, 40))), (2, "mit license"), (3, None), (4, "!!"), (2, "mit license"), (None, "b c")]
     frame = spark.createDataFrame(items, "item_id long, text string")
