@@ -75,6 +75,11 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_key(*columns) -> F.Column:
+    """64 bits that tell rows of different values apart; equal rows share one, so it is the same on each reading."""
+    return F.xxhash64(*columns, *(F.col(c).isNull() if isinstance(c, str) else c.isNull() for c in columns))
+
+
 def ascii_lower(column):
     """A-Z to lower case and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -81,7 +81,7 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """Rows of whole texts, compressed, of about PIECE_BYTES each: piece, ids, langs, roles, texts."""
+    """Rows of whole texts, compressed, of about PIECE_BYTES each: piece, ids, rows, langs, roles, texts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -100,12 +100,12 @@ def _pieces(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "piece": pa.array([(part << 32) | piece], pa.int64()), "ids": pa.array([part_.column(0).to_pylist()], pa.list_(pa.int64())), "langs": pa.array([part_.column(1).to_pylist()], pa.list_(pa.string())),
-                        "roles": pa.array([part_.column(2).to_pylist()], pa.list_(pa.int32())), "lengths": pa.array([lengths], pa.list_(pa.int32())), "texts": pa.array([squeeze.compress("".join(body).encode("utf-8"))], pa.binary()),
+                        "roles": pa.array([part_.column(2).to_pylist()], pa.list_(pa.int32())), "rows": pa.array([part_.column(4).to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int32())), "texts": pa.array([squeeze.compress("".join(body).encode("utf-8"))], pa.binary()),
                     }
                 )
                 first, piece = last, piece + 1
 
-    return docs.mapInArrow(pack, "piece long, ids array<long>, langs array<string>, roles array<int>, lengths array<int>, texts binary")
+    return docs.mapInArrow(pack, "piece long, ids array<long>, langs array<string>, roles array<int>, rows array<long>, lengths array<int>, texts binary")
 
 
 def _texts(blob: bytes, lengths: list[int]) -> list[str]:
@@ -172,16 +172,16 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
     return below.select("gram", F.log("p").alias("logp"))
 
 
-def surprise(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, lang, role, n_grams and nats (the sum of surprise); trusted: doc_id of the trusted documents, role 1 if counted and 2 if held out."""
+def surprise(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", row: str | None = None) -> DataFrame:
+    """doc_id, row (the column of that name, a long), lang, role, n_grams and nats (the sum of surprise); trusted: doc_id of the trusted documents, role 1 if counted and 2 if held out."""
     ids = trusted.select(F.col(doc_id).cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
     marks = docs.select(F.col(doc_id).cast("long").alias("doc_id")).distinct().hint("merge").join(ids, "doc_id", "left_semi").select("doc_id")
     trusted_ids = written(marks, "trusted")
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"), (F.col(row) if row else F.lit(None).cast("long")).alias("row"))
     out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     role = F.when(F.col("trusted") & out, 2).when(F.col("trusted"), 1).otherwise(0)
     how = "broadcast" if trusted_ids.count() <= MOST_BROADCAST else "merge"
-    joined = plain.join(trusted_ids.withColumn("trusted", F.lit(True)).hint(how), "doc_id", "left").select("doc_id", "lang", role.alias("role"), "text")
+    joined = plain.join(trusted_ids.withColumn("trusted", F.lit(True)).hint(how), "doc_id", "left").select("doc_id", "lang", role.alias("role"), "text", "row")
     pieces = bucketed(_pieces(joined), "pieces", "piece")
     counted = written(_counted(pieces), "grams")
     asked = written(counted.groupBy("gram").agg(F.sum("n").alias("c")), "asked")
@@ -192,18 +192,18 @@ def surprise(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", tex
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                ids, langs, roles, lengths, blob = (b.column(k)[r] for k in range(5))
-                known = b.column(5)[r].values.to_numpy()
-                value = b.column(6)[r].values.to_numpy().astype(np.float64)
+                ids, langs, roles, lengths, blob, rows = (b.column(k)[r] for k in range(6))
+                known = b.column(6)[r].values.to_numpy()
+                value = b.column(7)[r].values.to_numpy().astype(np.float64)
                 nats, n = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
                 for _, g, text in _blocks(_texts(blob.as_py(), lengths.as_py())):
                     code, names = pd.factorize(g)
                     nats += np.bincount(text, weights=-value[np.searchsorted(known, names)][code], minlength=len(ids))
                     n += np.bincount(text, minlength=len(ids))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.values, "lang": langs.values, "role": roles.values, "n_grams": pa.array(n), "nats": pa.array(np.round(nats, 3))})
+                yield pa.RecordBatch.from_pydict({"doc_id": ids.values, "row": rows.values, "lang": langs.values, "role": roles.values, "n_grams": pa.array(n), "nats": pa.array(np.round(nats, 3))})
 
-    both = pieces.join(answers.hint("merge"), "piece").select("ids", "langs", "roles", "lengths", "texts", "gram", "logp")
-    return both.mapInArrow(score, "doc_id long, lang string, role int, n_grams long, nats double")
+    both = pieces.join(answers.hint("merge"), "piece").select("ids", "langs", "roles", "lengths", "texts", "rows", "gram", "logp")
+    return both.mapInArrow(score, "doc_id long, row long, lang string, role int, n_grams long, nats double")
 
 
 def thresholds(scored: DataFrame, quantile: float, by: list[str]) -> DataFrame:
@@ -216,11 +216,12 @@ def thresholds(scored: DataFrame, quantile: float, by: list[str]) -> DataFrame:
     return steps.groupBy(*by).agg(F.max("all").alias("n_trusted"), F.min(F.when(F.col("upto") >= F.col("all") * quantile, (F.col("step") + 1) * STEP)).alias("limit"))
 
 
-def classified(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """Per row: doc_id, n_grams, score and kept."""
+def classified(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", row: str | None = None, quantile: float = QUANTILE) -> DataFrame:
+    """Per row: doc_id, row if asked for (the column of that name, a long), n_grams, score and kept."""
+    names = ["doc_id", "row"] if row else ["doc_id"]
     agreed = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"), F.count_if(F.col("quality").isNull()).alias("u"))
     trusted = agreed.where("q = 1 AND t = 0 AND u = 0")
-    scored = written(surprise(docs, trusted.withColumnRenamed("doc_id", doc_id), doc_id=doc_id, text=text, lang=lang), "surprise")
+    scored = written(surprise(docs, trusted.withColumnRenamed("doc_id", doc_id), doc_id=doc_id, text=text, lang=lang, row=row), "surprise")
     scored = scored.withColumn("lang", F.coalesce("lang", F.lit("")))
     judges = 2 if not scored.where("role = 2").isEmpty() else 1
     scored = scored.withColumn("trusted", F.col("role") == judges)
@@ -228,7 +229,7 @@ def classified(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     mean = scored.where("trusted").groupBy("lang").agg(*sums)
     every = mean.agg(F.sum("nats").alias("nats"), F.sum("grams").alias("grams"), F.sum("docs").alias("docs")).first()
     if not every.docs:
-        return scored.select("doc_id", "n_grams", F.lit(None).cast("double").alias("score"), F.lit(True).alias("kept"))
+        return scored.select(*names, "n_grams", F.lit(None).cast("double").alias("score"), F.lit(True).alias("kept"))
     centre = every.nats / every.grams
     means = mean.select("lang", F.when(F.col("docs") >= LEAST_TRUSTED, F.col("nats") / F.col("grams")).alias("mean"))
     with_mean = scored.join(F.broadcast(bounded(means)), "lang", "left").withColumn("mean", F.coalesce("mean", F.lit(centre)))
@@ -237,7 +238,7 @@ def classified(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     cut = thresholds(s.withColumn("score", F.col("over")), quantile, ["lang"]).where(F.col("n_trusted") >= LEAST_TRUSTED).select("lang", "limit")
     rest = thresholds(s.withColumn("score", F.col("over")).withColumn("g", F.lit(0)), quantile, ["g"]).first().limit
     done = s.join(F.broadcast(bounded(cut)), "lang", "left")
-    return done.select("doc_id", "n_grams", F.round("score", 6).alias("score"), (F.col("over") <= F.coalesce("limit", F.lit(rest)) * (1 + SLACK)).alias("kept"))
+    return done.select(*names, "n_grams", F.round("score", 6).alias("score"), (F.col("over") <= F.coalesce("limit", F.lit(rest)) * (1 + SLACK)).alias("kept"))
 
 
 #: Languages that may have a row of their own in a broadcast table; the rest use all languages' figures.

@@ -16,7 +16,7 @@ inside one batch are settled there and only those of the smallest document trave
 that is in a third of all rows reaches its group once per batch.
 
 Cases: null and empty texts give n_words 0 and the hash of no bytes; texts under 13 words lose nothing;
-repeated rows of a doc_id do not remove each other (ids must be smaller, and doc_id stands for one text);
+rows of one doc_id do not remove each other (ids must be smaller), and each loses its own repeats only;
 rows of null doc_id count as the largest id; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, table
+from .common import parts, row_key, table
 from .words import NON_SPACE, buffers, chunks, gram_hashes, gram_places, mix, slices
 
 WINDOW = 13
@@ -155,14 +155,21 @@ def _by_document(doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, byte
 _SENT = pa.schema([("grp", pa.int32()), ("doc", pa.int64()), ("blob", pa.binary())])
 
 
+def _key(doc_id: str, text: str) -> F.Column:
+    """Rows of equal id and text lose the same words."""
+    return row_key(F.col(doc_id).cast("long"), F.col(text))
+
+
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id and `starts`, little-endian uint32 first words of windows that start in a smaller document too."""
+    """_k (the row's key by `_key`) and `starts`, little-endian uint32 first words of windows that start in a smaller document too."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
     groups = max(parts(docs.sparkSession), -(-size // GROUP_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, SEND_BYTES):
-            ids = _ids(b.column(0))
+            _, once = np.unique(b.column(2).to_numpy(), return_index=True)
+            b = b if len(once) == b.num_rows else b.take(pa.array(np.sort(once)))
+            ids, keys = _ids(b.column(0)), b.column(2).to_numpy()
             got = []
             for c in chunks(b.column(1), NON_SPACE):
                 at, key, whole = anchors(c.hashes, c.bounds, window, rounds)
@@ -174,7 +181,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
             del got
             doc = ids[row]
             stays, known = _settle(whole, doc)
-            out = [(int(d) % groups, d, x) for d, x in _by_document(doc[known], place[known])]
+            out = [(int(d) % groups, d, x) for d, x in _by_document(keys[row[known]], place[known])]
             key, whole, row, place = key[stays], whole[stays], row[stays], place[stays]
             # neighbouring windows of one anchor go together
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)]) if len(key) else np.empty(0, bool)
@@ -189,7 +196,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
                 take = np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 used, local = np.unique(row[f], return_inverse=True)
                 head = np.array([len(sel), len(used), len(take)], np.uint32)
-                out.append((int(g), None, b"".join((head.tobytes(), *(_planes(x) for x in (ids[used], np.diff(local, prepend=0).astype(np.uint32), place[f], n.astype(np.uint32))), whole[take].tobytes()))))
+                out.append((int(g), None, b"".join((head.tobytes(), *(_planes(x) for x in (ids[used], keys[used], np.diff(local, prepend=0).astype(np.uint32), place[f], n.astype(np.uint32))), whole[take].tobytes()))))
             for i in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 4096], strict=True), _SENT.types, strict=True)], schema=_SENT)
 
@@ -203,19 +210,19 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
             m, k, w = np.frombuffer(blob, np.uint32, 3).tolist()
             at = 12
             x = []
-            for dtype, n in ((np.int64, k), (np.uint32, m), (np.uint32, m), (np.uint32, m)):
+            for dtype, n in ((np.int64, k), (np.int64, k), (np.uint32, m), (np.uint32, m), (np.uint32, m)):
                 x.append(_from_planes(blob, dtype, n, at))
                 at += x[-1].nbytes
-            ids, local, place, n = x
+            ids, keys, local, place, n = x
             local, n = np.cumsum(local), n.astype(np.int64)
             step = np.arange(w) - np.repeat(np.cumsum(n) - n, n)
-            got.append((np.frombuffer(blob, np.uint64, w, at), np.repeat(ids[local], n), np.repeat(place, n) + step.astype(np.uint32)))
+            got.append((np.frombuffer(blob, np.uint64, w, at), np.repeat(ids[local], n), np.repeat(keys[local], n), np.repeat(place, n) + step.astype(np.uint32)))
         if got:
-            identity, doc, place = (np.concatenate(x) for x in zip(*got, strict=True))
+            identity, doc, key, place = (np.concatenate(x) for x in zip(*got, strict=True))
             del got
             _, larger = _settle(identity, doc)
-            done.append((doc[larger], place[larger]))
-        # repeats go to their documents in one row for each group and bucket of documents
+            done.append((key[larger], place[larger]))
+        # repeats go to their documents in one row for each group and bucket of documents, told by their keys
         doc, place = (np.concatenate(x) for x in zip(*done, strict=True))
         bucket = (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
@@ -230,11 +237,11 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
             n = len(blob) // 12
             got.append((np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.uint32, n, 8 * n)))
         done = list(_by_document(*(np.concatenate(x) for x in zip(*got, strict=True))))
-        return pa.table({"doc_id": pa.array([d for d, _ in done], pa.int64()), "starts": pa.array([s for _, s in done], pa.binary())})
+        return pa.table({"_k": pa.array([d for d, _ in done], pa.int64()), "starts": pa.array([s for _, s in done], pa.binary())})
 
-    sent = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(send, "grp int, doc long, blob binary")
+    sent = docs.select(F.col(doc_id).cast("long"), F.col(text), _key(doc_id, text)).mapInArrow(send, "grp int, doc long, blob binary")
     met = sent.groupBy("grp").applyInArrow(meet, "bucket int, blob binary")
-    return met.groupBy("bucket").applyInArrow(gather, "doc_id long, starts binary")
+    return met.groupBy("bucket").applyInArrow(gather, "_k long, starts binary")
 
 
 def kept_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False, untouched: bool = False, rounds: int = ROUNDS) -> DataFrame:
@@ -244,7 +251,7 @@ def kept_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     """
     hits = repeats(docs, doc_id=doc_id, text=text, window=window, rounds=rounds)
     keyed = docs.select(doc_id, text) if digest else docs
-    joined = keyed.withColumn("_k", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL))).hint("merge").join(hits.withColumnRenamed("doc_id", "_k"), "_k", "left").drop("_k")
+    joined = keyed.withColumn("_k", _key(doc_id, text)).hint("merge").join(hits, "_k", "left").drop("_k")
     rest = [c for c in joined.columns if c not in (text, "starts")] if not digest else [doc_id]
     kept = "kept_sha256" if digest else "kept_text"
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in rest) + f", n_words long, n_removed long, {kept} string"

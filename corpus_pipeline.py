@@ -1,8 +1,8 @@
 """The corpus pipeline: quality, near duplicates, repeated passages, benchmark passages, then packing.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, in the columns of documents; the last one
-returns the packed pieces. Documents are told apart by doc_id: a stage that drops documents names the ids to
-drop, so rows of null doc_id stay. SQL can't express the stages (a language model, hashing, a tokenizer), so the
+returns the packed pieces. A stage that drops documents names the rows to drop by a key of all their columns, so rows of
+null or repeated doc_id are judged one by one; rows that are equal in every column share their fate. SQL can't express the stages (a language model, hashing, a tokenizer), so the
 tests compare the pipeline with brute force.
 """
 
@@ -14,22 +14,31 @@ from pyspark.sql import functions as F
 from assay.llm import common, decontaminate, near_dedup, packing, quality, substring_dedup
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_row", common.row_key(*docs.columns))
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    ids = common.written(dropped.select("doc_id").distinct(), "dropped")
-    return docs.hint("merge").join(ids, "doc_id", "left_anti").select(*docs.columns)
+    rows = common.written(dropped.select("_row").distinct(), "dropped")
+    return _keyed(docs).hint("merge").join(rows, "_row", "left_anti").select(*docs.columns)
 
 
 @common.stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
-    found = quality.classified(docs, common.table(spark, sf_dir, "labels"))
-    return _without(docs, found.where("NOT kept"))
+    found = quality.classified(_keyed(docs), common.table(spark, sf_dir, "labels"), row="_row")
+    return _without(docs, found.where("NOT kept").withColumnRenamed("row", "_row"))
 
 
 @common.stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, keeps the document of the smallest id."""
-    return _without(docs, near_dedup.near_groups(docs).where("doc_id <> component_id"))
+    """Of each group of near duplicates, keeps the document of the smallest id, null being the largest; of equal rows, one."""
+    rows = _keyed(docs)
+    found = near_dedup.near_groups(rows, doc_id="_row").withColumnRenamed("doc_id", "_row")
+    ids = found.hint("merge").join(rows.select("_row", "doc_id").distinct(), "_row")
+    least = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
+    kept = common.written(least.select("least._row"), "kept")
+    return rows.hint("merge").join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 @common.stage
@@ -43,8 +52,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @common.stage
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are contaminated by benchmark items."""
-    found = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where(decontaminate.contaminated()))
+    found = decontaminate.contamination(_keyed(docs), common.table(spark, sf_dir, "benchmark"), doc_id="_row")
+    return _without(docs, found.where(decontaminate.contaminated()).withColumnRenamed("doc_id", "_row"))
 
 
 @common.stage

@@ -98,6 +98,16 @@ def test_windows_of_one_anchor_are_told_apart(spark):
     assert [r.n_removed for r in substring_dedup.kept_texts(df).collect()] == [0, 0]
 
 
+def test_repeats_are_cut_row_by_row(spark):
+    """Rows of null or repeated ids lose their own repeats only."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    other = [" ".join(f"{x}{i}" for i in range(30)) for x in "uv"]
+    rows = [(1, passage), (None, passage), (None, other[0]), (5, passage + " tail"), (5, other[1]), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter([(1, passage), (None, ""), (None, other[0]), (5, "tail"), (5, other[1]), (None, "")])
+    assert Counter((r.doc_id, r.kept_text) for r in substring_dedup.kept_texts(df).collect()) == want
+
+
 def test_contamination(spark, docs, empty):
     items = [(1, " ".join(f"W{i}" for i in range(20, 40))), (2, "mit license"), (3, None), (4, "!!"), (2, "mit license"), (None, "b c")]
     frame = spark.createDataFrame(items, "item_id long, text string")

@@ -84,6 +84,25 @@ def test_components(spark):
     assert components.stars(edges.limit(0)).count() == 0
 
 
+def test_stages_drop_row_by_row(spark, tmp_path):
+    """Rows of null or repeated ids are dropped or kept by what they hold themselves; of equal rows one stays."""
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}" for a in ("ba", "co", "di") for b in ("len", "mar", "nos", "ter") for c in ("", "a", "ion")]
+    plain = [" ".join(rng.choices(words, k=40)) for _ in range(480)]
+    junk = ["#@%^" * 60, "{}|~" * 60]
+    item = " ".join(f"w{i}" for i in range(30))
+    spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [*enumerate(plain[:470]), (None, junk[0]), (None, plain[470]), (465, junk[1]), (None, item), (466, item), (None, plain[471]), (None, plain[471]), (467, plain[472]), (467, plain[472]), (None, plain[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    left = set(key(stages["quality"](spark, docs, str(tmp_path))))
+    assert not left & {(None, junk[0]), (465, junk[1])} and {(None, plain[470]), (None, plain[471]), (465, plain[465])} <= left
+    assert key(stages["near_dedup"](spark, docs, str(tmp_path))) == sorted((set(rows) - {(None, plain[0]), (None, item)}), key=str)
+    assert key(stages["decontaminate"](spark, docs, str(tmp_path))) == sorted([r for r in rows if r[1] != item], key=str)
+
+
 def test_pipeline_against_its_parts(spark):
     """What each stage keeps follows from its own input by brute force where that is plain: near copies and passages."""
     folder = "/root/testdata/sf0.001"
