@@ -4,7 +4,8 @@ Method: every window of an item is a set of word shingles ordered by their rarit
 A document that contains the window must contain its rarest shingle (the prefix that containment 1.0
 makes necessary), so only places of that shingle are looked at. The shingle's place fixes where the window
 would have to start (positional bound) and whether it fits in the document (length bound); the few places
-left are verified word by word.
+left are verified word by word. With several blocks of items, what they find is joined by a key of the row's id and
+text; equal rows, which find the same, are counted and given back as often.
 
 Cases: null texts and texts without words give zero counts; a null doc_id or item_id is kept as it is
 (null items count as one item, "null"); repeated document rows each get their own row; repeated items give
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import row_key, table
 from .words import ALNUM, LOWER, chunks, gram_hashes
 
 #: Words of a window; an item of fewer words is one window.
@@ -139,6 +140,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-size // BLOCK_BYTES))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    narrow = narrow if blocks == 1 else narrow.withColumn("row", row_key("doc_id", "text"))
     found = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
@@ -169,16 +171,19 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
                         places.append([] if whole or i not in by else np.flatnonzero(covered[c.bounds[i] : c.bounds[i + 1]]))
                 empty = np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.concatenate([empty, *n_words])), pa.array(np.concatenate([empty, *hits])), pa.array(names, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int64()))],
-                    ["doc_id", "n_words", "n_hit", "items", "places"],
+                    [b.column(0), pa.array(np.concatenate([empty, *n_words])), pa.array(np.concatenate([empty, *hits])), pa.array(names, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int64())), *b.columns[2:]],
+                    ["doc_id", "n_words", "n_hit", "items", "places", *b.schema.names[2:]],
                 )
 
-        part = narrow.mapInArrow(scan, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, places array<long>")
+        part = narrow.mapInArrow(scan, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, places array<long>" + (", row long" if blocks > 1 else ""))
         found = part if found is None else found.unionByName(part)
     if blocks == 1:
         return found.drop("places")
-    every = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return every.select("doc_id", "n_words", F.size("p").cast("long").alias("n_hit"), "items")
+    every = found.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("places"))).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count("*").alias("n"),
+    )
+    copies = F.explode(F.sequence(F.lit(1), (F.col("n") / blocks).cast("int")))
+    return every.withColumn("copy", copies).select("doc_id", "n_words", F.size("p").cast("long").alias("n_hit"), "items")
 
 
 def contaminated() -> F.Column:

@@ -137,6 +137,18 @@ def test_contamination_in_blocks(spark, docs, monkeypatch):
     assert key(decontaminate.contamination(docs, frame)) == whole
 
 
+def test_contamination_in_blocks_keeps_every_row(spark, docs, monkeypatch):
+    """Null and repeated ids, with different texts too, and equal rows: all rows come back, as from one block."""
+    frame = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(5, 25))), (2, " ".join(f"w{i}" for i in range(10, 30))), (3, "mit license")], "item_id long, text string")
+    more = [(None, "the mit license and " + " ".join(f"w{i}" for i in range(40))), (None, "clean words only"), (None, None), (9, "the mit license"), (9, "the mit license"), (9, "clean words only")]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    key = lambda df: Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in df.collect())
+    whole = key(decontaminate.contamination(rows, frame))
+    assert sum(whole.values()) == len(ROWS) + len(more)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    assert key(decontaminate.contamination(rows, frame)) == whole
+
+
 def test_licenses(docs, empty):
     got = licenses.scanned(docs).collect()
     assert len(got) == len(ROWS)
