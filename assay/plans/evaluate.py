@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from assay.functions import text
 from assay.operators import evaluate, lexical
 from assay.plans import lexical as lex
-from assay.sources.tables import CORPUS_SQL, corpus, requests, table
+from assay.sources.shared import written
+from assay.sources.tables import CORPUS_SQL, corpus, requests, sized, table
 
 
 def _results(spark, d):
@@ -39,15 +40,31 @@ def stratified_sample(spark, d):
     return evaluate.stratified(c, "source", [F.length("text"), F.col("doc_id")], 2).select("source", "doc_id", "rank")
 
 
+def _places(paths):
+    """Distinct paths with their place in order: places inside ranges of paths, after the sizes of the ranges before."""
+    from pyspark.sql import Window
+
+    ranges = written(paths.distinct().repartitionByRange("path").withColumn("part", F.spark_partition_id()), "paths")
+    sizes, before, upto = ranges.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect(), [], 0
+    for r in sizes:
+        before.append((r.part, upto))
+        upto += r.n
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("path"))
+    starts = paths.sparkSession.createDataFrame(before, "part int, before long")
+    return ranges.withColumn("i", inside).join(F.broadcast(starts), "part").select("path", (F.col("i") + F.col("before")).alias("place"))
+
+
 def decoy_selection(spark, d):
     """For each request the first path none of whose content tokens is in the query."""
     c, r = corpus(spark, d), requests(spark, d)
-    touched = text.token_rows(c, F.col("content"), "path").distinct().join(F.broadcast(lexical.query_tokens(r).select("request_id", "token").limit(1_000_000)), "token").select("request_id", "path").distinct()
-    # paths in order, up to the number that any request touches and one more
+    c = c.where("source_type NOT IN ('test', 'doc')")
+    asked = lexical.query_tokens(r).select("request_id", "token")
+    tokens = text.token_rows(c, F.col("content"), "path").join(sized(asked.select("token").distinct()), "token", "left_semi").distinct()
+    touched = tokens.join(sized(asked), "token").select("request_id", "path").distinct()
     n = F.row_number
     from pyspark.sql import Window
 
-    order = c.where("source_type NOT IN ('test', 'doc')").select("path").withColumn("place", n().over(Window.orderBy("path")))
+    order = _places(c.select("path"))
     hit = touched.join(order, "path").select("request_id", "place")
     gap = hit.withColumn("k", n().over(Window.partitionBy("request_id").orderBy("place"))).where("place <> k").groupBy("request_id").agg(F.min("k").alias("free"))
     last = hit.groupBy("request_id").agg((F.count("*") + 1).alias("after"))

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import paths, text
 from assay.operators import decide, fusion, graph, ledger
+from assay.plans import evaluate
 
 
 def test_paths(spark):
@@ -52,6 +53,13 @@ def test_policies_override(spark):
     assert {r.policy: r.max_files for r in decide.policies(spark, over).collect()} == {"strict": 9, "agile": 25}
 
 
+def test_decoys_use_all_tokens_and_number_paths_in_ranges(spark):
+    plan = evaluate.decoy_selection(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Limit" not in plan and "SinglePartition" not in plan
+    got = evaluate._places(spark.createDataFrame([(f"p{i:03}",) for i in range(200)] * 2, ["path"])).collect()
+    assert sorted((r.path, r.place) for r in got) == [(f"p{i:03}", i + 1) for i in range(200)]
+
+
 def test_fusion_is_noisy_or(spark):
     hits = spark.createDataFrame([(1, "a", "doc", 0.5, 1.0, False), (1, "a", "doc", 0.5, 1.0, True)], ["request_id", "path", "source_type", "score", "weight", "verified"])
     r = fusion.fused(hits).first()
