@@ -4,15 +4,19 @@ Method: the units are code points and the order is four. Counts are taken over t
 of good quality and not toxic) but one in `HELD_OUT`. A gram of four code points is one long, sixteen bits for each, so contexts and
 suffixes are shifts, and every level of the model is a table joined by its grams: raw counts at the highest order,
 continuation counts below, three discounts for each order from its counts of counts. The probabilities are made
-for all grams that any document has, joined back to the pieces of the corpus that hold them, and averaged for each
-document. The thresholds are quantiles of trusted documents' scores in each language, of those that were held out of the counts.
+for all grams that any document has, joined back to the pieces of the corpus that hold them, and summed for each
+document and each of its words. The thresholds are quantiles of trusted documents' scores in each language, of those that were held
+out of the counts; where none was held out (a handful of trusted documents), of those that were counted.
 
-A score is the mean surprise in nats for each gram, drawn towards the language's trusted mean by `SHRINK` grams
-so that a few words are not judged on chance. A document is rejected beyond its language's `QUANTILE` plus
-`SLACK` times the distance from the language's mean.
+Two scores are judged. `score` is the mean surprise in nats for each gram, drawn towards the language's trusted mean by `SHRINK` grams
+so that a few words are not judged on chance; it is over its limit beyond the language's `QUANTILE` plus `SLACK` times the
+distance from the language's mean. `worst` is the surprise of the document's least likely word of letters alone (numbers, addresses
+and codes are no words here): a single word as trusted text never has it, an insult say, is lost in a mean. It is over its limit beyond its own quantile
+and `WORST_SLACK` of it. A document is rejected if either is over its limit.
 
 Scale: tasks send the distinct grams of a piece (about `PIECE_BYTES` of text) with counts, never the grams of
-each document; the model's tables have a row for each distinct gram. Texts travel once, compressed.
+each document; the model's tables have a row for each distinct gram. Texts travel once, compressed; a longer text lies in several pieces,
+whose grams overlap by three code points, and is summed up at the end.
 
 Cases: null and empty texts score the language's mean and are kept; a null language is one of its own; a language
 with fewer than `LEAST_TRUSTED` trusted documents uses all languages together; labels of unknown documents,
@@ -23,6 +27,7 @@ repeated rows each get a row; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,15 +38,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucketed, table, written
+from .words import slices
 
 ORDER = 4
-PIECE_BYTES = 16_000_000
+PIECE_BYTES = 8_000_000
 #: Trusted documents whose ids may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
+#: Bytes of text that a task turns into Python strings at once.
+SLICE_BYTES = 2_000_000
 #: Code points whose grams a task makes at once.
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 400_000
 QUANTILE = 0.995
 SLACK = 0.25
+WORST_SLACK = 0.1
 SHRINK = 60
 LEAST_TRUSTED = 30
 #: Of so many trusted documents one is kept out of the counts, to set the thresholds.
@@ -50,62 +59,113 @@ HELD_OUT = 5
 STEP = 0.001
 
 
-def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts, each before its end mark (0) and after three start marks (1), and their bounds.
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of every code point of sixteen bits: 1 for a letter, 2 for white space, 3 for digits, `@` and `_`, 0 for the rest."""
+    out = np.zeros(1 << 16, np.uint8)
+    for i in range(1 << 16):
+        c = chr(i)
+        out[i] = 1 if c.isalpha() else 2 if c.isspace() or i < 2 else 3 if c.isnumeric() or c in "@_" else 0
+    return out
 
-    Code points of more than sixteen bits share one place.
+
+def _points(texts: list[str], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts and their bounds. ends: 1 if a text begins its document, plus 2 if it ends it.
+
+    A beginning comes after three start marks (1), an end before an end mark (0); code points of more than sixteen bits share one place.
     """
-    raw = np.frombuffer("".join(f"\x01\x01\x01{t}\x00" for t in texts).encode("utf-32-le", "replace"), np.uint32)
-    bounds = np.concatenate([[0], np.cumsum([len(t) + 4 for t in texts])])
+    marked = [("\x01\x01\x01" if e & 1 else "") + t + ("\x00" if e & 2 else "") for t, e in zip(texts, ends, strict=True)]
+    raw = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32)
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in marked])])
     return np.where(raw > 0xFFFF, 0xFFFD, raw).astype(np.int64), bounds
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All grams of the texts as longs (as unsigned ones they are in order), and the text of each."""
-    points, bounds = _points(texts)
+def grams(texts: list[str], ends: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All grams of the texts as longs (as unsigned ones they are in order), the text of each and its last code point."""
+    points, bounds = _points(texts, ends or [3] * len(texts))
+    if len(points) < 4:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     g = (points[:-3] << 48) | (points[1:-2] << 32) | (points[2:-1] << 16) | points[3:]
-    n = np.diff(bounds) - 3
+    n = np.maximum(np.diff(bounds) - 3, 0)
     at = np.arange(n.sum()) + np.repeat(bounds[:-1] - (np.cumsum(n) - n), n)
-    return g[at], np.repeat(np.arange(len(texts)), n)
-
-
-def _blocks(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Grams of some texts at a time: the first text's place, the grams and the place of each one's text."""
+    return g[at], np.repeat(np.arange(len(texts)), n), points[at + 3]
+
+
+def _worst(nats: np.ndarray, points: np.ndarray, text: np.ndarray, out: np.ndarray) -> None:
+    """Raises `out` (by text) to the nats of each text's least likely word: letters between white space, with punctuation around them at most."""
+    kind = _kinds()[points]
+    inside = kind != 2
+    edge = np.concatenate([[True], text[1:] != text[:-1]])
+    start = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1] | edge[1:]]))
+    if not len(start):
+        return
+    end = np.minimum(np.append(start[1:], len(points)), _next(~inside | edge, start))
+    total = lambda x: np.concatenate([[0], np.cumsum(x)])
+    letters, numbers, sums = total(kind == 1), total(kind == 3), total(nats)
+    place = np.arange(len(points))
+    last = np.maximum.accumulate(np.where(kind == 1, place, -1))[end - 1] + 1
+    ahead = np.where(kind == 1, place, len(points))
+    first = np.minimum.accumulate(ahead[::-1])[::-1][start]
+    ok = (last > first) & (letters[end] - letters[start] == last - first) & (numbers[end] == numbers[start])
+    first, last = first[ok], last[ok]
+    np.maximum.at(out, text[first], sums[np.minimum(last + 1, len(points))] - sums[first])
+
+
+def _next(stop: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The first place after each start where stop holds."""
+    at = np.flatnonzero(stop)
+    return np.append(at, len(stop))[np.searchsorted(at, start, "right")]
+
+
+def _blocks(texts: list[str], ends: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Grams of some texts at a time, the place of each one's text and its last code point."""
     first, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
         if size >= BLOCK_CHARS or i == len(texts) - 1:
-            g, text = grams(texts[first : i + 1])
-            yield first, g, text + first
+            g, text, points = grams(texts[first : i + 1], ends[first : i + 1])
+            yield g, text + first, points
             first, size = i + 1, 0
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """Rows of whole texts, compressed, of about PIECE_BYTES each: piece, ids, rows, langs, roles, texts."""
+    """Rows of texts, compressed, of about PIECE_BYTES each: piece, the rows' ids, numbers, languages and roles, and their texts' ends and lengths."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, piece = TaskContext.get().partitionId(), 0
+        part, piece, number = TaskContext.get().partitionId() << 32, 0, 0
         squeeze = zstandard.ZstdCompressor(level=6)
+        held: list[tuple] = []
+        size = 0
+
+        def full() -> pa.RecordBatch:
+            nonlocal held, size, piece
+            cols = list(zip(*held, strict=True))
+            out = {name: pa.array([cols[k]], pa.list_(kind)) for k, (name, kind) in enumerate(_ROW)}
+            out["texts"] = pa.array([squeeze.compress("".join(cols[len(_ROW)]).encode("utf-8", "replace"))], pa.binary())
+            held, size, piece = [], 0, piece + 1
+            return pa.RecordBatch.from_pydict({"piece": pa.array([part | (piece - 1)], pa.int64())} | out)
+
         for b in batches:
-            texts = pc.fill_null(b.column(3), "")
-            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-            first = 0
-            while first < b.num_rows:
-                last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE_BYTES, "right")), first + 1)
-                part_ = b.slice(first, last - first)
-                body = texts.slice(first, last - first).to_pylist()
-                lengths = [len(t) for t in body]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "piece": pa.array([(part << 32) | piece], pa.int64()), "ids": pa.array([part_.column(0).to_pylist()], pa.list_(pa.int64())), "langs": pa.array([part_.column(1).to_pylist()], pa.list_(pa.string())),
-                        "roles": pa.array([part_.column(2).to_pylist()], pa.list_(pa.int32())), "rows": pa.array([part_.column(4).to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int32())), "texts": pa.array([squeeze.compress("".join(body).encode("utf-8"))], pa.binary()),
-                    }
-                )
-                first, piece = last, piece + 1
-
-    return docs.mapInArrow(pack, "piece long, ids array<long>, langs array<string>, roles array<int>, rows array<long>, lengths array<int>, texts binary")
+            for part_ in slices(iter([b]), 3, SLICE_BYTES):
+                for doc, lang, role, text, row in zip(*(c.to_pylist() for c in part_.columns), strict=True):
+                    text, number = text or "", number + 1
+                    cut = range(0, max(len(text), 1), PIECE_BYTES)
+                    for a in cut:
+                        t = text[max(a - 3, 0) : a + PIECE_BYTES]
+                        ends = (a == 0) + 2 * (a == cut[-1])
+                        held.append((doc, lang, role, row, part | number, ends, len(t), t))
+                        size += len(t)
+                        if size >= PIECE_BYTES:
+                            yield full()
+        if held:
+            yield full()
+
+    return docs.mapInArrow(pack, "piece long, ids array<long>, langs array<string>, roles array<int>, rows array<long>, numbers array<long>, ends array<int>, lengths array<int>, texts binary")
+
+
+_ROW = (("ids", pa.int64()), ("langs", pa.string()), ("roles", pa.int32()), ("rows", pa.int64()), ("numbers", pa.int64()), ("ends", pa.int32()), ("lengths", pa.int32()))
 
 
 def _texts(blob: bytes, lengths: list[int]) -> list[str]:
@@ -119,16 +179,17 @@ def _counted(pieces: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece, roles, lengths, blob in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for r in range(b.num_rows):
+                piece, roles, ends, lengths, blob = (b.column(k)[r].as_py() for k in range(5))
                 good, held = np.array(roles) == 1, []
-                for _, g, text in _blocks(_texts(blob, lengths)):
+                for g, text, _ in _blocks(_texts(blob, lengths), ends):
                     code, names = pd.factorize(g)
                     held.append((names, np.bincount(code[good[text]], minlength=len(names))))
                 names, code = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
                 n = np.bincount(code, weights=np.concatenate([x for _, x in held]), minlength=len(names)).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"piece": pa.array(np.full(len(names), piece)), "gram": pa.array(names), "n": pa.array(n)})
 
-    return pieces.select("piece", "roles", "lengths", "texts").mapInArrow(count, "piece long, gram long, n long")
+    return pieces.select("piece", "roles", "ends", "lengths", "texts").mapInArrow(count, "piece long, gram long, n long")
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -173,7 +234,7 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def surprise(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", row: str | None = None) -> DataFrame:
-    """doc_id, row (the column of that name, a long), lang, role, n_grams and nats (the sum of surprise); trusted: doc_id of the trusted documents, role 1 if counted and 2 if held out."""
+    """doc_id, row (the column of that name, a long), lang, role, n_grams, nats (the sum of surprise) and worst; trusted: doc_id of the trusted documents, role 1 if counted and 2 if held out."""
     ids = trusted.select(F.col(doc_id).cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
     marks = docs.select(F.col(doc_id).cast("long").alias("doc_id")).distinct().hint("merge").join(ids, "doc_id", "left_semi").select("doc_id")
     trusted_ids = written(marks, "trusted")
@@ -192,36 +253,38 @@ def surprise(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", tex
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                ids, langs, roles, lengths, blob, rows = (b.column(k)[r] for k in range(6))
-                known = b.column(6)[r].values.to_numpy()
-                value = b.column(7)[r].values.to_numpy().astype(np.float64)
-                nats, n = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-                for _, g, text in _blocks(_texts(blob.as_py(), lengths.as_py())):
+                ids, rows, langs, roles, numbers, ends, lengths, blob = (b.column(k)[r] for k in range(8))
+                known = b.column(8)[r].values.to_numpy()
+                value = b.column(9)[r].values.to_numpy()
+                size = len(ids)
+                nats, worst, n = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
+                for g, text, points in _blocks(_texts(blob.as_py(), lengths.as_py()), ends.as_py()):
                     code, names = pd.factorize(g)
-                    nats += np.bincount(text, weights=-value[np.searchsorted(known, names)][code], minlength=len(ids))
-                    n += np.bincount(text, minlength=len(ids))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.values, "row": rows.values, "lang": langs.values, "role": roles.values, "n_grams": pa.array(n), "nats": pa.array(np.round(nats, 3))})
+                    each = -value[np.searchsorted(known, names)][code].astype(np.float64)
+                    nats += np.bincount(text, weights=each, minlength=size)
+                    n += np.bincount(text, minlength=size)
+                    _worst(each, points, text, worst)
+                yield pa.RecordBatch.from_pydict({"doc_id": ids.values, "row": rows.values, "lang": langs.values, "role": roles.values, "number": numbers.values, "whole": pa.array(np.array(ends.as_py()) == 3), "n_grams": pa.array(n), "nats": pa.array(np.round(nats, 3)), "worst": pa.array(np.round(worst, 3))})
 
-    both = pieces.join(answers.hint("merge"), "piece").select("ids", "langs", "roles", "lengths", "texts", "rows", "gram", "logp")
-    return both.mapInArrow(score, "doc_id long, row long, lang string, role int, n_grams long, nats double")
+    both = pieces.join(answers.hint("merge"), "piece").select("ids", "rows", "langs", "roles", "numbers", "ends", "lengths", "texts", "gram", "logp")
+    found = written(both.mapInArrow(score, "doc_id long, row long, lang string, role int, number long, whole boolean, n_grams long, nats double, worst double"), "surprise")
+    names = ["doc_id", "row", "lang", "role"]
+    long = found.where("NOT whole").groupBy("number", *names).agg(F.sum("n_grams").alias("n_grams"), F.sum("nats").alias("nats"), F.max("worst").alias("worst"))
+    return found.where("whole").select(*names, "n_grams", "nats", "worst").unionByName(long.drop("number"))
 
 
 def thresholds(scored: DataFrame, quantile: float, by: list[str]) -> DataFrame:
-    """The trusted documents' number, mean and quantile of `score`, exact to a step, from counts of steps."""
-    from pyspark.sql import Window
-
-    steps = scored.where("trusted").groupBy(*by, F.floor(F.col("score") / STEP).alias("step")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy("step")
-    steps = steps.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
-    return steps.groupBy(*by).agg(F.max("all").alias("n_trusted"), F.min(F.when(F.col("upto") >= F.col("all") * quantile, (F.col("step") + 1) * STEP)).alias("limit"))
+    """The trusted documents' number and the quantiles of `over` and `worst`, exact to a step; only counts of steps meet."""
+    at = lambda c, name: (F.percentile(F.floor(F.col(c) / STEP), F.lit(quantile)) * STEP + STEP).alias(name)
+    return scored.where("trusted").groupBy(*by).agg(F.count("*").alias("n_trusted"), at("over", "limit"), at("worst", "worst_limit"))
 
 
 def classified(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", row: str | None = None, quantile: float = QUANTILE) -> DataFrame:
-    """Per row: doc_id, row if asked for (the column of that name, a long), n_grams, score and kept."""
+    """Per row: doc_id, row if asked for (the column of that name, a long), n_grams, score, worst and kept."""
     names = ["doc_id", "row"] if row else ["doc_id"]
     agreed = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"), F.count_if(F.col("quality").isNull()).alias("u"))
     trusted = agreed.where("q = 1 AND t = 0 AND u = 0")
-    scored = written(surprise(docs, trusted.withColumnRenamed("doc_id", doc_id), doc_id=doc_id, text=text, lang=lang, row=row), "surprise")
+    scored = surprise(docs, trusted.withColumnRenamed("doc_id", doc_id), doc_id=doc_id, text=text, lang=lang, row=row)
     scored = scored.withColumn("lang", F.coalesce("lang", F.lit("")))
     judges = 2 if not scored.where("role = 2").isEmpty() else 1
     scored = scored.withColumn("trusted", F.col("role") == judges)
@@ -229,24 +292,27 @@ def classified(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     mean = scored.where("trusted").groupBy("lang").agg(*sums)
     every = mean.agg(F.sum("nats").alias("nats"), F.sum("grams").alias("grams"), F.sum("docs").alias("docs")).first()
     if not every.docs:
-        return scored.select(*names, "n_grams", F.lit(None).cast("double").alias("score"), F.lit(True).alias("kept"))
+        return scored.select(*names, "n_grams", F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("worst"), F.lit(True).alias("kept"))
     centre = every.nats / every.grams
     means = mean.select("lang", F.when(F.col("docs") >= LEAST_TRUSTED, F.col("nats") / F.col("grams")).alias("mean"))
-    with_mean = scored.join(F.broadcast(bounded(means)), "lang", "left").withColumn("mean", F.coalesce("mean", F.lit(centre)))
+    with_mean = scored.join(by_language(means), "lang", "left").withColumn("mean", F.coalesce("mean", F.lit(centre)))
     s = with_mean.withColumn("score", F.when(F.col("n_grams") > 1, (F.col("nats") + SHRINK * F.col("mean")) / (F.col("n_grams") + SHRINK)).otherwise(F.col("mean")))
     s = s.withColumn("over", F.col("score") - F.col("mean"))
-    cut = thresholds(s.withColumn("score", F.col("over")), quantile, ["lang"]).where(F.col("n_trusted") >= LEAST_TRUSTED).select("lang", "limit")
-    rest = thresholds(s.withColumn("score", F.col("over")).withColumn("g", F.lit(0)), quantile, ["g"]).first().limit
-    done = s.join(F.broadcast(bounded(cut)), "lang", "left")
-    return done.select(*names, "n_grams", F.round("score", 6).alias("score"), (F.col("over") <= F.coalesce("limit", F.lit(rest)) * (1 + SLACK)).alias("kept"))
+    cut = thresholds(s, quantile, ["lang"]).where(F.col("n_trusted") >= LEAST_TRUSTED).select("lang", "limit", "worst_limit")
+    rest = thresholds(s, quantile, []).first()
+    done = s.join(by_language(cut), "lang", "left")
+    kept = (F.col("over") <= F.coalesce("limit", F.lit(rest.limit)) * (1 + SLACK)) & (F.col("worst") <= F.coalesce("worst_limit", F.lit(rest.worst_limit)) * (1 + WORST_SLACK))
+    return done.select(*names, "n_grams", F.round("score", 6).alias("score"), "worst", kept.alias("kept"))
 
 
-#: Languages that may have a row of their own in a broadcast table; the rest use all languages' figures.
+#: Languages of which a table may be broadcast; more are joined by a shuffle.
 MOST_LANGUAGES = 10_000
 
 
-def bounded(by_language: DataFrame) -> DataFrame:
-    return by_language.orderBy("lang").limit(MOST_LANGUAGES)
+def by_language(rows: DataFrame) -> DataFrame:
+    """A table with a row for each language, written and marked for the join that its size allows."""
+    rows = written(rows, "languages")
+    return rows.hint("broadcast" if rows.count() <= MOST_LANGUAGES else "merge")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
