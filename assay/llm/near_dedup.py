@@ -2,8 +2,9 @@
 
 Method: each of `PERMUTATIONS` hash functions gives a document two signature values, its smallest and its
 largest, so half the hash evaluations make a signature. Bands of six values (three functions) propose
-pairs; the sets of every proposed pair are compared in full. A pair at similarity 0.8 is missed by all 46 bands
-with probability 1e-6, one at 0.9 with less than 1e-15. Sets too different in size to be linked do not share buckets.
+pairs; the sets of every proposed pair are compared in full. A pair of long texts at similarity 0.8 is missed by all 46 bands
+with probability 1e-6, one at 0.9 with less than 1e-15; of a pair of five shingles in all, four of them shared, the two values depend
+on each other and the probability is 1.4e-5. Sets too different in size to be linked do not share buckets.
 
 Documents with the same words are joined first. In the first round one member of each bucket, the pivot, is compared
 with the others: the one that shares its buckets with most texts, so a group of copies costs a comparison for each copy
@@ -12,7 +13,7 @@ more than `SMALL` rows that is done by an exact prefix filter with a positional
 reach the threshold and few others, so no link is lost.
 
 Cases: null texts and texts without words have n_shingles 0 and stay alone; texts of one to three words
-have one shingle, their whole sequence; repeated rows of a doc_id each get a row; rows of null doc_id are kept,
+have one shingle, their whole sequence; repeated rows of a doc_id each get a row, and its texts are linked one by one if they differ; rows of null doc_id are kept,
 alone; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -66,6 +67,30 @@ def distinct(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return value, row[at]
 
 
+def sequence_keys(c: Chunk) -> np.ndarray:
+    """Two hashes of each row's whole word sequence; zeros without words."""
+    keys = np.zeros((2, c.rows), np.uint64)
+    if len(c.hashes):
+        full = np.flatnonzero(np.diff(c.bounds))
+        place = np.arange(len(c.hashes)) - np.repeat(c.bounds[:-1], np.diff(c.bounds))
+        for k, salt in enumerate((0x1B873593, 0x2545F4914F6CDD1D)):
+            keys[k, full] = np.add.reduceat(mix(mix(c.hashes + np.uint64(salt)) + place.astype(np.uint64)), c.bounds[:-1][full])
+    return keys.view(np.int64)
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """Rows (id, text) with k1 and k2, the hashes of the text's word sequence."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b.column(1), NON_SPACE, LOWER):
+                keys = sequence_keys(c)
+                part = b.slice(c.first, c.rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys[0]), pa.array(keys[1])], ["id", "text", "k1", "k2"])
+
+    return rows.mapInArrow(add, "id long, text string, k1 long, k2 long")
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     """doc_id, n (size of the shingle set), k1 and k2 (hashes of the word sequence) and the bands' hashes."""
 
@@ -85,18 +110,13 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFra
                     band = bands[:, j // PER_BAND]
                     np.copyto(band, mix(band * np.uint64(0xA0761D6478BD642F) + np.minimum.reduceat(v, first) + np.uint64(j)))
                     np.copyto(band, mix(band * np.uint64(0xE7037ED1A0B428DB) + np.maximum.reduceat(v, first)))
-                keys = np.zeros((2, c.rows), np.uint64)
-                if len(c.hashes):
-                    wfull = np.flatnonzero(np.diff(c.bounds))
-                    place = np.arange(len(c.hashes)) - np.repeat(c.bounds[:-1], np.diff(c.bounds))
-                    for k, salt in enumerate((0x1B873593, 0x2545F4914F6CDD1D)):
-                        keys[k, wfull] = np.add.reduceat(mix(mix(c.hashes + np.uint64(salt)) + place.astype(np.uint64)), c.bounds[:-1][wfull])
+                keys = sequence_keys(c)
                 signed = bands.view(np.int64)
                 sizes = np.zeros(c.rows, np.int64)
                 sizes[full] = BANDS
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(c.first, c.rows), pa.array(n.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed.reshape(-1)))],
+                    [b.column(0).slice(c.first, c.rows), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed.reshape(-1)))],
                     ["doc_id", "n", "k1", "k2", "bands"],
                 )
 
@@ -169,20 +189,25 @@ def open_buckets(live: DataFrame, tied: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     signed = written(signatures(docs, doc_id, text, shingle), "signatures")
-    same = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bands").alias("bands"))
-    same = written(same, "texts")
+    # a text is known by a hash of its words, not by a doc_id: one id may have several texts
+    same = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    same = written(same.withColumnRenamed("k1", "rep"), "texts")
     rows = same.select("rep", "n", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
+    shared = written(rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band"), "shared")
     up, down = threshold
     # linked sets differ in size by the threshold at most, so they share a size class or have neighbouring ones
     size = F.floor(F.log("n") / F.log(F.lit(down / up)) + 1e-9).cast("int")
     members = rows.hint("merge").join(shared, "band").select(F.explode(F.array(size, size + 1)).alias("size"), "band", "rep", "n")
     held = written(members.select(F.xxhash64("band", "size").alias("bucket"), "rep", "n"), "held")
     # a text that shares its buckets with many is likely to be linked to many: it becomes a pivot first
-    fame = held.hint("merge").join(held.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "bucket").groupBy("rep").agg(F.sum("c").alias("fame"))
+    sizes = written(held.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "sizes")  # written, so that a large bucket's join can be split
+    fame = held.hint("merge").join(sizes, "bucket").groupBy("rep").agg(F.sum("c").alias("fame"))
     live = written(held.hint("merge").join(fame, "rep").select("bucket", "rep", "n", (-F.col("fame")).alias("turn")), "buckets")
     wanted = live.select("rep").distinct()
-    texts = written(docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).hint("merge").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "members")
+    # of each text wanted, one row that holds it
+    holders = written(same.hint("merge").join(wanted, "rep", "left_semi").select(F.col("least").alias("id"), F.col("rep").alias("k1"), "k2"), "holders")
+    held_by = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).hint("merge").join(holders.select("id").distinct(), "id", "left_semi")
+    texts = written(hashed(held_by).hint("merge").join(holders, ["id", "k1", "k2"]).dropDuplicates(["k1"]).select(F.col("k1").alias("rep"), "text"), "members")
     first = live.groupBy("bucket").agg(F.min(F.struct("turn", "rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
     pivots = written(first.select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
     near = F.least("n", "pivot_n") * down >= F.greatest("n", "pivot_n") * up
@@ -197,7 +222,10 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     reach = (F.least(F.col("n") - F.col("pos"), F.col("other_n") - F.col("other_pos")) + 1) * (up + down) >= (F.col("n") + F.col("other_n")) * up
     pairs = left.hint("merge").join(other, "bucket").where((F.col("rep") < F.col("other_rep")) & (F.col("label") != F.col("other_label")) & reach).select(F.col("rep").alias("a"), F.col("other_rep").alias("b")).distinct()
     tied = stars(tied.unionByName(confirmed(written(pairs, "pairs"), texts, shingle, threshold)))
-    groups = same.select("k1", "k2", "rep").hint("merge").join(tied.select(F.col("a").alias("rep"), F.col("b").alias("label")), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("label"))
+    joined = same.select("rep", "k2", "least").hint("merge").join(tied.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select(F.col("rep").alias("k1"), "k2", "least", F.coalesce("root", "rep").alias("root"))
+    joined = written(joined, "rooted")
+    least = written(joined.groupBy("root").agg(F.min("least").alias("label")), "labels")
+    groups = joined.hint("merge").join(least, "root").select("k1", "k2", "label")
     out = signed.select("doc_id", "n", "k1", "k2").hint("merge").join(groups, ["k1", "k2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
