@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import re
 import tempfile
 import uuid
 
@@ -20,26 +22,41 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder for intermediate tables; a temporary one only where none is set, in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (folder or _own_folder()).rstrip("/")
 
 
-#: Tables that the stage of a pipeline now under way has written; those of the one before it.
-_recorded: list[str] | None = None
-_before: list[str] = []
+#: Paths and catalogue names of tables written inside the scratches now open.
+_scratches: list[list[tuple[str, str | None]]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes what is written inside, but for tables marked to keep, at its end: what is returned from it may only read those."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path, name in _scratches.pop():
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
     """`df`, written once to the shared folder and read back: cuts the lineage, survives lost executors.
 
-    keep: the table outlives the stage of a pipeline that writes it.
+    keep: the table outlives the scratch in which it is written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/assay-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    if _recorded is not None and not keep:
-        _recorded.append(path)
+    if _scratches and not keep:
+        _scratches[-1].append((path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,29 +65,11 @@ def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
     spark = df.sparkSession
     path, key = f"{shared_folder(spark)}/assay-{name}-{uuid.uuid4().hex}", f"assay_{name}_{uuid.uuid4().hex}"
     df.write.option("path", path).option("compression", "none").bucketBy(parts(spark), by).format("parquet").saveAsTable(key)
-    if _recorded is not None:
-        _recorded.append(path)
+    if _scratches:
+        _scratches[-1].append((path, key))
     return spark.table(key)
 
 
-def stage(f):
-    """Marks a stage of a pipeline. When one begins its input has been written, so what the stage before it wrote on its way is deleted."""
-
-    @functools.wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _recorded, _before
-        for path in _before:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _recorded = []
-        try:
-            return f(spark, docs, sf_dir)
-        finally:
-            _before, _recorded = _recorded, None
-
-    return run
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

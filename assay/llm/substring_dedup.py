@@ -1,281 +1,349 @@
 """Substring dedup: removes words of repeated 13-word windows, found by recompression.
 
-Method: rounds of recompression rename a text's words to ever longer symbols. A round first names runs of
-equal symbols, then pairs of neighbours of which the left symbol is of the "left" half of all names and the
-right one of the "right" half. Names are 64-bit hashes of what they stand for and halves are a bit of the
-name, so all tasks name alike without exchanging a name table, and equal substrings get equal symbols
-except near their two ends (`MARGIN` words). A window therefore owns symbols that every copy of it has too;
-it takes the one with the smallest name as its anchor. Windows meet in one shuffle on the hash of their anchor
-with its margins, where equal windows are compared and the smallest doc_id of each is found.
-
-Windows are equal if all 64 bits of their hashes are, and are compared inside a group only: n windows in g groups give
-about n^2/(g 2^65) false matches, 2e-4 for the five thousand million windows of 30 GB, even if millions share an anchor.
-
-Scale: a task sends for a run of windows of one anchor where it starts, and eight bytes for every window. Copies that meet
-inside one batch are settled there and only those of the smallest document travel on, so a passage
-that is in a third of all rows reaches its group once per batch.
+Method: Spark rounds rename a text's words to ever longer symbols. A round first names runs of equal symbols,
+then pairs of neighbours of which the left symbol is of the "left" half of all names and the right one of the "right" half. Names
+are 64-bit hashes of what they stand for and halves are a bit of the name, so equal substrings get equal symbols
+except near their two ends (`margin` words). Each round is an exchange over all texts: every piece of the corpus sends
+the names that it made in the round, each once, to the group that the name belongs to, and learns which of them
+any other document has. A name of one document only is a symbol that no repeat holds: it takes no part in later
+rounds, and windows that hold it are given up. Rounds go on until a window no longer holds a whole symbol for certain: `rounds_of(13)` is two.
+
+The windows that are left, all of whose symbols are shared, are verified in a last exchange of the same
+form: each sends 128 bits of its words and its smallest doc_id, and learns whether a smaller document has it. Windows are
+equal if all 128 bits are; equal names of different symbols only make a window be verified that need not be.
+
+Scale: texts lie compressed in pieces of `PIECE_BYTES`; an exchange moves at most nine bytes for each distinct name of a piece, or
+twenty-four for each distinct window, and answers with one bit. A name or window is sent by a piece once, however often it occurs, and
+groups are ranges of the hash, so a passage that a third of all rows hold weighs no more than one that each piece holds once. Groups
+hold the names of about `GROUP_BYTES` of text. Messages number pieces times groups, so both sizes should be raised beyond some terabytes.
 
 Cases: null and empty texts give n_words 0 and the hash of no bytes; texts under 13 words lose nothing;
 rows of one doc_id do not remove each other (ids must be smaller), and each loses its own repeats only;
-rows of null doc_id count as the largest id; an empty table gives no rows; extra columns are ignored.
+rows of null doc_id count as the largest id; an empty table gives no rows; extra columns are kept, but for those named as the operator's own results.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, row_key, table
+from .common import parts, row_key, table, written
 from .words import NON_SPACE, buffers, chunks, gram_hashes, gram_places, mix, slices
 
 WINDOW = 13
-#: Rounds of recompression: symbols of up to 2 words after one, of up to 4 after two.
-ROUNDS = 1
-#: Words at either end of a window whose symbols may depend on what stands outside it.
-MARGIN = {1: 2, 2: 4}
-#: Text bytes whose windows one group handles.
-GROUP_BYTES = 8_000_000
-#: Text bytes whose windows a task compares and sends together.
-SEND_BYTES = 8_000_000
+#: Text bytes of a piece; a longer text is a piece of its own.
+PIECE_BYTES = 8_000_000
+#: Text bytes whose names one group handles.
+GROUP_BYTES = 16_000_000
 _NULL = np.iinfo(np.int64).max
+_U = np.uint64
+
+
+def rounds_of(window: int) -> int:
+    """The rounds after which a window still holds a whole symbol (of up to 2^r words) between its margins."""
+    r = 0
+    while 2 * margin(r + 1) + 2 ** (r + 1) <= window:
+        r += 1
+    return r
+
+
+def margin(r: int) -> int:
+    """Words at either end of a window whose symbols may depend on what stands outside it, after r rounds."""
+    return 2**r
+
+
+class Parse:
+    """Symbols of a chunk of texts; `step` makes the next round's."""
 
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray):
+        n = len(hashes)
+        self.name, self.start, self.length = hashes, np.arange(n), np.ones(n, np.int64)
+        self.lone = np.zeros(n, bool)
+        self.edge = np.zeros(n + 1, bool)
+        self.edge[bounds] = True
+        #: Words of runs of three symbols or more: windows with such are not judged by their symbols.
+        self.runs = np.zeros(n + 1, np.int64)
+        self.level = 0
 
-def symbols(hashes: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names, first words and lengths of the symbols after so many rounds; no symbol crosses a row's bounds."""
-    name, start = hashes, np.arange(len(hashes))
-    length = np.ones(len(hashes), np.int64)
-    edge = np.zeros(len(hashes) + 1, bool)
-    edge[bounds] = True
-    for r in range(rounds):
-        if len(name) < 2:
-            break
-        first = edge[start]
-        # runs of equal symbols
-        new = np.concatenate([[True], (name[1:] != name[:-1]) | first[1:]])
+    def step(self) -> np.ndarray:
+        """Names runs and pairs; says which symbols are new. Symbols marked `lone` are not named again."""
+        name, start, length, lone = self.name, self.start, self.length, self.lone
+        if not len(name):
+            return np.empty(0, bool)
+        new = np.concatenate([[True], (name[1:] != name[:-1]) | self.edge[start[1:]]])
         at = np.flatnonzero(new)
         count = np.diff(np.append(at, len(name)))
-        length = np.add.reduceat(length, at)
-        name, start, run = name[at], start[at], count > 1
-        name = np.where(run, mix(name + count.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), name)
-        # pairs of a left and a right symbol; runs rest in this round
-        left = ((name >> np.uint64(17 + r)) & np.uint64(1)).astype(bool) & ~run
-        right = ~left & ~run
-        joins = np.concatenate([left[:-1] & right[1:] & ~edge[start[1:]], [False]])
+        length, name, start, lone, run = np.add.reduceat(length, at), name[at], start[at], lone[at], count > 1
+        long = np.flatnonzero(count > 2)
+        np.add.at(self.runs, start[long], 1)
+        np.add.at(self.runs, start[long] + length[long], -1)
+        name = np.where(run, mix(name + count.astype(_U) * _U(0xA0761D6478BD642F)), name)
+        side = ((name >> _U(17 + self.level)) & _U(1)).astype(bool)
+        free = ~run & ~lone
+        joins = np.concatenate([side[:-1] & ~side[1:] & free[:-1] & free[1:] & ~self.edge[start[1:]], [False]])
         keep = np.concatenate([[True], ~joins[:-1]])
-        nxt = np.append(name[1:], np.uint64(0))
-        name = np.where(joins, mix(name * np.uint64(0xE7037ED1A0B428DB) + nxt + np.uint64(r + 1)), name)[keep]
-        length = np.where(joins, length + np.append(length[1:], 0), length)[keep]
-        start = start[keep]
-    return name, start, length
+        following = np.append(name[1:], _U(0))
+        self.level += 1
+        self.name = np.where(joins, mix(name * _U(0xE7037ED1A0B428DB) + following + _U(self.level)), name)[keep]
+        self.length = np.where(joins, length + np.append(length[1:], 0), length)[keep]
+        self.start, self.lone = start[keep], lone[keep]
+        return (joins | run)[keep] & ~self.lone
+
+    def dead(self, window: int) -> np.ndarray:
+        """By first word, how many symbols that no other document has rule a window out."""
+        out, m = np.zeros(len(self.edge) + 1, np.int64), margin(self.level)
+        bad = np.flatnonzero(self.lone)
+        first = np.maximum(self.start[bad] + self.length[bad] + m - window, 0)
+        last = self.start[bad] - m
+        ok = first <= last
+        np.add.at(out, first[ok], 1)
+        np.add.at(out, last[ok] + 1, -1)
+        return np.cumsum(out)
+
+
+class Piece:
+    """A piece's texts as words, taken through as many rounds as there are answers."""
+
+    def __init__(self, texts: list[bytes], ids: np.ndarray, window: int):
+        self.ids, self.window = ids, window
+        self.chunks = list(chunks(pa.array(texts, pa.binary()), NON_SPACE))
+        self.parses = [Parse(c.hashes, c.bounds) for c in self.chunks]
+        self.dead = [np.zeros(len(c.hashes) + 2, np.int64) for c in self.chunks]
+        self.fresh: list[np.ndarray] = []
+
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """The next round's new names in order, each once, and whether more than one document of the piece has it."""
+        self.fresh = [p.step() for p in self.parses]
+        name = np.concatenate([p.name[f] for p, f in zip(self.parses, self.fresh, strict=True)] or [np.empty(0, _U)])
+        doc = np.concatenate([self.ids[c.first + np.searchsorted(c.bounds, p.start[f], "right") - 1] for c, p, f in zip(self.chunks, self.parses, self.fresh, strict=True)] or [np.empty(0, np.int64)])
+        self.unique, self.code = np.unique(name, return_inverse=True)
+        low, high = np.full(len(self.unique), _NULL), np.full(len(self.unique), np.iinfo(np.int64).min)
+        np.minimum.at(low, self.code, doc)
+        np.maximum.at(high, self.code, doc)
+        return self.unique, (low < high) | (low == _NULL)
+
+    def learn(self, shared: np.ndarray) -> None:
+        """Takes the answer to `names`: which of them some other document has too."""
+        lone, at = ~shared[self.code], 0
+        for k, (p, f) in enumerate(zip(self.parses, self.fresh, strict=True)):
+            n = int(f.sum())
+            p.lone[np.flatnonzero(f)[lone[at : at + n]]] = True
+            at += n
+            self.dead[k] += p.dead(self.window)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that no round ruled out: two hashes of each, its document's row, its place there and its first word's id."""
+        got = []
+        for c, p, dead in zip(self.chunks, self.parses, self.dead, strict=True):
+            at = gram_places(c.bounds, self.window)
+            if not len(at):
+                continue
+            long = np.cumsum(np.cumsum(p.runs) > 0)
+            at = at[(dead[at] == 0) | (long[at + self.window - 1] > np.where(at, long[at - 1], 0))]
+            one, two = gram_hashes(c.hashes, self.window), gram_hashes(mix(c.hashes ^ _U(0x2545F4914F6CDD1D)), self.window)
+            row = np.searchsorted(c.bounds, at, "right") - 1
+            got.append((one[at], two[at], c.first + row, at - c.bounds[row]))
+        if not got:
+            none = np.empty(0, np.int64)
+            return none.view(_U), none.view(_U), none, none, none
+        one, two, row, place = (np.concatenate(x) for x in zip(*got, strict=True))
+        return one, two, row, place, self.ids[row]
 
 
-def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows' first words, the key of each one's anchor and the window's own hash."""
-    at, whole, margin = gram_places(bounds, window), gram_hashes(hashes, window), MARGIN[rounds]
-    if not len(at):
-        return at, np.empty(0, np.uint64), np.empty(0, np.uint64)
-    name, start, length = symbols(hashes, bounds, rounds)
-    n = len(hashes)
-    rank, size = np.full(n + window, np.iinfo(np.uint64).max, np.uint64), np.zeros(n + window, np.int64)
-    rank[start], size[start] = mix(name ^ np.uint64(0x8EBC6AF09C88C6E3)) | np.uint64(15), length
-    best = np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
-    for o in range(margin, window - margin):
-        value = rank[at + o]
-        value = np.where(size[at + o] <= window - margin - o, value ^ np.uint64(15 - o), np.uint64(2**64 - 1))
-        np.minimum(best, value, out=best)
-    # windows with a word three times in a row, or with no whole symbol inside the margins, are their own anchors
-    thrice = np.zeros(n + 1, np.int64)
-    thrice[1:-2] = (hashes[2:] == hashes[1:-1]) & (hashes[1:-1] == hashes[:-2])
-    thrice = np.cumsum(thrice)
-    alone = (best == np.iinfo(np.uint64).max) | (thrice[at + window - 2] > thrice[at])
-    o = (best & np.uint64(15)).astype(np.int64)
-    o = np.where(alone, margin, o)
-    s = at + o
-    e = np.where(alone, s + 1, s + size[s])
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _odd_powers(n), dtype=np.uint64)])
-    lo, hi = s - margin, e + margin
-    key = mix((total[hi] - total[lo]) * _odd_powers_down(n)[lo] + (hi - lo).astype(np.uint64))
-    whole = whole[at]
-    return at, np.where(alone, mix(whole), key), whole
+def _least(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows: the first place of each distinct one in the order of their hashes, the number of each one's distinct window, and the distinct ones' least documents."""
+    order = np.lexsort((two, one))
+    new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]) if len(order) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return order[first], code, np.minimum.reduceat(doc[order], first) if len(order) else doc
 
 
-def _odd_powers(n: int) -> np.ndarray:
-    from .words import powers
+def _ends(name: np.ndarray, groups: int) -> np.ndarray:
+    """Where each group's names end in a list that is in order; groups are equal ranges of the names."""
+    return np.searchsorted(name >> _U(32), (np.arange(groups + 1, dtype=np.float64) * (2**32 / groups)).astype(np.int64).astype(_U))
 
-    return powers(n)[0][:n]
 
+def _key(doc_id: str, text: str) -> F.Column:
+    """Rows of equal id and text lose the same words."""
+    return row_key(F.col(doc_id).cast("long"), F.col(text))
 
-def _odd_powers_down(n: int) -> np.ndarray:
-    from .words import powers
 
-    return powers(n)[1][: n + 1]
+def _pieces(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """piece, ids, keys, lengths and texts, compressed; equal rows of one batch are one."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False)
+        part, count, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+        squeeze = zstandard.ZstdCompressor(level=3)
 
+        def full() -> pa.RecordBatch:
+            nonlocal count, held, size
+            texts = [t for x in held for t in x[2]]
+            out = {"piece": pa.array([part | count], pa.int64()), "ids": pa.array([np.concatenate([x[0] for x in held])], pa.list_(pa.int64())), "keys": pa.array([np.concatenate([x[1] for x in held])], pa.list_(pa.int64()))}
+            out |= {"lengths": pa.array([list(map(len, texts))], pa.list_(pa.int32())), "texts": pa.array([squeeze.compress(b"".join(texts))], pa.binary())}
+            count, held, size = count + 1, [], 0
+            return pa.RecordBatch.from_pydict(out)
 
-def _settle(identity: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries are of the smallest document of their identity, and which are of a larger one."""
-    order = np.argsort(identity, kind="stable")
-    sorted_id, sorted_doc = identity[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_id[1:] != sorted_id[:-1]])) if len(order) else np.empty(0, np.int64)
-    least = np.repeat(np.minimum.reduceat(sorted_doc, first), np.diff(np.append(first, len(order)))) if len(order) else sorted_doc
-    larger = np.empty(len(order), bool)
-    larger[order] = sorted_doc > least
-    return ~larger, larger
+        for b in slices(batches, 1, PIECE_BYTES // 4):
+            _, once = np.unique(b.column(2).to_numpy(), return_index=True)
+            b = b.take(pa.array(np.sort(once)))
+            texts = pc.fill_null(b.column(1), "").cast(pa.binary()).to_pylist()
+            held.append((b.column(0).fill_null(_NULL).to_numpy(), b.column(2).to_numpy(), texts))
+            size += sum(map(len, texts))
+            if size >= PIECE_BYTES * 3 // 4:
+                yield full()
+        if held:
+            yield full()
 
+    return docs.select(F.col(doc_id).cast("long"), F.col(text), _key(doc_id, text)).mapInArrow(pack, "piece long, ids array<long>, keys array<long>, lengths array<int>, texts binary")
 
-def _planes(x: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second ones and so on: the high ones, mostly zero, compress."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
+def _opened(b: pa.RecordBatch, r: int, window: int, answers: int) -> tuple[int, np.ndarray, Piece]:
+    """A row of pieces: its number, its keys and its texts after the rounds to which it has answers."""
+    piece, ids, keys, lengths, blob = (b.column(k)[r] for k in range(5))
+    raw, ends = zstandard.ZstdDecompressor().decompress(blob.as_py()), np.cumsum(lengths.values.to_numpy())
+    texts = [raw[e - n : e] for e, n in zip(ends.tolist(), lengths.as_py(), strict=True)]
+    p = Piece(texts, ids.values.to_numpy(), window)
+    for k in range(answers):
+        names, _ = p.names()
+        p.learn(_bits(b.column(5 + k)[r].as_py(), len(names)))
+    return piece.as_py(), keys.values.to_numpy(), p
 
-def _from_planes(blob: bytes, dtype: type, n: int, at: int) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T.copy().view(dtype).reshape(-1)
 
+def _bits(answer: list[dict] | None, n: int) -> np.ndarray:
+    """The answers of all groups, in the order of what was sent."""
+    got = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]) for a in answer or ()]
+    out = np.concatenate(got).astype(bool) if got else np.empty(0, bool)
+    assert len(out) == n
+    return out
 
-def _by_document(doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    if not len(doc):
-        return
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order].astype(np.uint32)
-    cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True):
-        yield int(doc[a]), place[a:b].tobytes()
 
+_SENT = pa.schema([("grp", pa.int32()), ("piece", pa.int64()), ("blob", pa.binary())])
 
-_SENT = pa.schema([("grp", pa.int32()), ("doc", pa.int64()), ("blob", pa.binary())])
 
+def _exchange(asked: DataFrame, ask: Callable, meet: Callable, groups: int) -> DataFrame:
+    """piece and answer, an array of (grp, n, bits). ask: what a row sends, (piece, names in order, blob of a range of them); meet: from a group's blobs to the bits of each."""
 
-def _key(doc_id: str, text: str) -> F.Column:
-    """Rows of equal id and text lose the same words."""
-    return row_key(F.col(doc_id).cast("long"), F.col(text))
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                piece, names, blob = ask(b, r)
+                ends = _ends(names, groups)
+                full = np.flatnonzero(np.diff(ends))
+                for i in range(0, len(full), 1024):
+                    rows = [(int(g), piece, blob(ends[g], ends[g + 1])) for g in full[i : i + 1024]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SENT.types, strict=True)], schema=_SENT)
+
+    def reply(t: pa.Table) -> pa.Table:
+        bits = meet(t["blob"].to_pylist())
+        return pa.table({"piece": t["piece"], "grp": t["grp"], "n": pa.array([len(x) for x in bits], pa.int32()), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
 
+    met = asked.mapInArrow(send, "grp int, piece long, blob binary").groupBy("grp").applyInArrow(reply, "piece long, grp int, n int, bits binary")
+    return written(met.groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("grp", "n", "bits"))).alias("answer")), "answers")
 
-def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+
+def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int | None = None) -> DataFrame:
     """_k (the row's key by `_key`) and `starts`, little-endian uint32 first words of windows that start in a smaller document too."""
+    rounds = rounds_of(window) if rounds is None else rounds
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
     groups = max(parts(docs.sparkSession), -(-size // GROUP_BYTES))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1, SEND_BYTES):
-            _, once = np.unique(b.column(2).to_numpy(), return_index=True)
-            b = b if len(once) == b.num_rows else b.take(pa.array(np.sort(once)))
-            ids, keys = _ids(b.column(0)), b.column(2).to_numpy()
-            got = []
-            for c in chunks(b.column(1), NON_SPACE):
-                at, key, whole = anchors(c.hashes, c.bounds, window, rounds)
-                row = np.searchsorted(c.bounds, at, "right") - 1
-                got.append((key, whole, (c.first + row).astype(np.int32), (at - c.bounds[row]).astype(np.uint32)))
-            if not got:
-                continue
-            key, whole, row, place = (np.concatenate(x) for x in zip(*got, strict=True))
-            del got
-            doc = ids[row]
-            stays, known = _settle(whole, doc)
-            out = [(int(d) % groups, d, x) for d, x in _by_document(keys[row[known]], place[known])]
-            key, whole, row, place = key[stays], whole[stays], row[stays], place[stays]
-            # neighbouring windows of one anchor go together
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)]) if len(key) else np.empty(0, bool)
-            first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(key)))
-            grp = (key[first] % np.uint64(groups)).astype(np.int32)
-            order = np.argsort(grp, kind="stable")
-            ends = np.searchsorted(grp[order], np.arange(groups + 1))
-            for g in np.flatnonzero(np.diff(ends)):
-                sel = order[ends[g] : ends[g + 1]]
-                n, f = count[sel], first[sel]
-                take = np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                used, local = np.unique(row[f], return_inverse=True)
-                head = np.array([len(sel), len(used), len(take)], np.uint32)
-                out.append((int(g), None, b"".join((head.tobytes(), *(_planes(x) for x in (ids[used], keys[used], np.diff(local, prepend=0).astype(np.uint32), place[f], n.astype(np.uint32))), whole[take].tobytes()))))
-            for i in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 4096], strict=True), _SENT.types, strict=True)], schema=_SENT)
-
-    def meet(t: pa.Table) -> pa.Table:
-        got, done = [], []
-        for doc, blob in zip(t["doc"].to_pylist(), t["blob"].to_pylist(), strict=True):
-            if doc is not None:
-                place = np.frombuffer(blob, np.uint32)
-                done.append((np.full(len(place), doc), place))
-                continue
-            m, k, w = np.frombuffer(blob, np.uint32, 3).tolist()
-            at = 12
-            x = []
-            for dtype, n in ((np.int64, k), (np.int64, k), (np.uint32, m), (np.uint32, m), (np.uint32, m)):
-                x.append(_from_planes(blob, dtype, n, at))
-                at += x[-1].nbytes
-            ids, keys, local, place, n = x
-            local, n = np.cumsum(local), n.astype(np.int64)
-            step = np.arange(w) - np.repeat(np.cumsum(n) - n, n)
-            got.append((np.frombuffer(blob, np.uint64, w, at), np.repeat(ids[local], n), np.repeat(keys[local], n), np.repeat(place, n) + step.astype(np.uint32)))
-        if got:
-            identity, doc, key, place = (np.concatenate(x) for x in zip(*got, strict=True))
-            del got
-            _, larger = _settle(identity, doc)
-            done.append((key[larger], place[larger]))
-        # repeats go to their documents in one row for each group and bucket of documents, told by their keys
-        doc, place = (np.concatenate(x) for x in zip(*done, strict=True))
-        bucket = (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(groups + 1))
-        full = np.flatnonzero(np.diff(ends))
-        blobs = [doc[at].tobytes() + place[at].astype(np.uint32).tobytes() for at in (order[ends[k] : ends[k + 1]] for k in full)]
-        return pa.table({"bucket": pa.array(full.astype(np.int32)), "blob": pa.array(blobs, pa.binary())})
-
-    def gather(t: pa.Table) -> pa.Table:
-        got = []
-        for blob in t["blob"].to_pylist():
-            n = len(blob) // 12
-            got.append((np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.uint32, n, 8 * n)))
-        done = list(_by_document(*(np.concatenate(x) for x in zip(*got, strict=True))))
-        return pa.table({"_k": pa.array([d for d, _ in done], pa.int64()), "starts": pa.array([s for _, s in done], pa.binary())})
-
-    sent = docs.select(F.col(doc_id).cast("long"), F.col(text), _key(doc_id, text)).mapInArrow(send, "grp int, doc long, blob binary")
-    met = sent.groupBy("grp").applyInArrow(meet, "bucket int, blob binary")
-    return met.groupBy("bucket").applyInArrow(gather, "_k long, starts binary")
-
-
-def kept_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False, untouched: bool = False, rounds: int = ROUNDS) -> DataFrame:
+    pieces = written(_pieces(docs, doc_id, text), "pieces", compression="none")
+
+    def with_answers(answers: list[DataFrame]) -> DataFrame:
+        out = pieces
+        for k, a in enumerate(answers):
+            out = out.hint("merge").join(a.withColumnRenamed("answer", f"answer{k}"), "piece", "left")
+        return out.select("piece", "ids", "keys", "lengths", "texts", *[f"answer{k}" for k in range(len(answers))])
+
+    def meet_names(blobs: list[bytes]) -> list[np.ndarray]:
+        n = [int(np.frombuffer(x, np.int64, 1)[0]) for x in blobs]
+        names = np.concatenate([np.frombuffer(x, _U, m, 8) for x, m in zip(blobs, n, strict=True)])
+        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, -1, 8 + 8 * m), count=m) for x, m in zip(blobs, n, strict=True)])
+        _, code, count = np.unique(names, return_inverse=True, return_counts=True)
+        shared = (count + np.bincount(code, weights=many)) > 1
+        return np.split(shared[code], np.cumsum(n)[:-1])
+
+    def meet_windows(blobs: list[bytes]) -> list[np.ndarray]:
+        n = [len(x) // 24 for x in blobs]
+        one, two, doc = (np.concatenate([np.frombuffer(x, t, m, 8 * m * k) for x, m in zip(blobs, n, strict=True)]) for k, t in enumerate((_U, _U, np.int64)))
+        _, code, least = _least(one, two, doc)
+        return np.split(least[code] < doc, np.cumsum(n)[:-1])
+
+    answers: list[DataFrame] = []
+    for k in range(rounds):
+
+        def ask_names(b: pa.RecordBatch, r: int, k: int = k) -> tuple:
+            piece, _, p = _opened(b, r, window, k)
+            names, many = p.names()
+            return piece, names, lambda i, j: np.int64(j - i).tobytes() + names[i:j].tobytes() + np.packbits(many[i:j]).tobytes()
+
+        answers.append(_exchange(with_answers(answers), ask_names, meet_names, groups))
+
+    def ask_windows(b: pa.RecordBatch, r: int) -> tuple:
+        piece, _, p = _opened(b, r, window, rounds)
+        one, two, _, _, doc = p.windows()
+        at, _, least = _least(one, two, doc)
+        one, two = one[at], two[at]
+        return piece, one, lambda i, j: one[i:j].tobytes() + two[i:j].tobytes() + least[i:j].tobytes()
+
+    answers.append(_exchange(with_answers(answers), ask_windows, meet_windows, groups))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                _, keys, p = _opened(b, r, window, rounds)
+                one, two, row, place, doc = p.windows()
+                at, code, least = _least(one, two, doc)
+                gone = (doc > least[code]) | _bits(b.column(5 + rounds)[r].as_py(), len(at))[code] if len(at) else np.empty(0, bool)
+                row, place = row[gone], place[gone]
+                order = np.lexsort((place, row))
+                row, place = row[order], place[order].astype(np.uint32)
+                cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
+                starts = [x.tobytes() for x in np.split(place, cut[1:])] if len(cut) else []
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row[cut]], pa.int64()), pa.array(starts, pa.binary())], ["_k", "starts"])
+
+    return with_answers(answers).mapInArrow(mark, "_k long, starts binary").groupBy("_k").agg(F.first("starts").alias("starts"))
+
+
+def kept_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False, untouched: bool = False, rounds: int | None = None) -> DataFrame:
     """Every row with n_words, n_removed and kept_text, the words left joined by single blanks.
 
     digest: only doc_id and the SHA-256 of kept_text. untouched: texts that lose nothing keep their white space.
     """
-    hits = repeats(docs, doc_id=doc_id, text=text, window=window, rounds=rounds)
-    keyed = docs.select(doc_id, text) if digest else docs
-    joined = keyed.withColumn("_k", _key(doc_id, text)).hint("merge").join(hits, "_k", "left").drop("_k")
-    rest = [c for c in joined.columns if c not in (text, "starts")] if not digest else [doc_id]
+    hits = written(repeats(docs, doc_id=doc_id, text=text, window=window, rounds=rounds), "repeats", keep=True)
     kept = "kept_sha256" if digest else "kept_text"
+    rest = [doc_id] if digest else [c for c in docs.columns if c not in (text, "n_words", "n_removed", kept)]
+    joined = docs.select(*rest, F.col(text).alias("_text"), _key(doc_id, text).alias("_k")).hint("merge").join(hits.withColumnRenamed("starts", "_starts"), "_k", "left").select(*rest, "_text", "_starts")
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in rest) + f", n_words long, n_removed long, {kept} string"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            offsets, data = buffers(b.column(b.schema.get_field_index(text)))
+            offsets, data = buffers(b.column(len(rest)))
             raw, out = data.tobytes(), []
-            for i, blob in enumerate(b.column(b.schema.get_field_index("starts")).to_pylist()):
+            for i, blob in enumerate(b.column(len(rest) + 1).to_pylist()):
                 w = raw[offsets[i] : offsets[i + 1]].split()
                 n = len(w)
                 if blob:
                     mark = np.zeros(n + 1, np.int64)
-                    at = np.unique(np.frombuffer(blob, np.uint32)).astype(np.int64)
-                    at = at[at + window <= n]
+                    at = np.frombuffer(blob, np.uint32).astype(np.int64)
                     mark[at] += 1
                     np.subtract.at(mark, at + window, 1)
                     w = list(compress(w, (np.cumsum(mark)[:-1] == 0).tolist()))
                 left = raw[offsets[i] : offsets[i + 1]] if untouched and len(w) == n else b" ".join(w)
                 out.append((n, n - len(w), hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "replace")))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(c)) for c in rest] + [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], [*rest, "n_words", "n_removed", kept]
-            )
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], [*rest, "n_words", "n_removed", kept])
 
     return joined.mapInArrow(cut, schema)
 

@@ -5,11 +5,10 @@ import re
 import zlib
 from collections import Counter
 
-import pyarrow as pa
+import numpy as np
 import pytest
 
 from assay.llm import decontaminate, licenses, near_dedup, packing, quality, sharding, substring_dedup
-from assay.llm.words import NON_SPACE, chunks
 from tests_llm_rows import CLASHES, ROWS  # noqa: F401
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -40,6 +39,14 @@ def test_near_groups(docs, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_one_id_with_two_texts_loses_no_link(spark):
+    """Each text of an id is linked by itself; components go by texts."""
+    a, b = (" ".join(f"{x}{i}" for i in range(25)) for x in "ab")
+    rows = [(5, a), (5, b), (6, a), (7, b + " more"), (9, "alone here today now")]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(5, 5), (5, 5), (6, 5), (7, 5), (9, 9)])
+
+
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     """Many texts around a shared line, in buckets over the limit, against all pairs."""
     import random
@@ -67,7 +74,7 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == comp
 
 
-@pytest.mark.parametrize("rounds", [1, 2])
+@pytest.mark.parametrize("rounds", [0, 1, 2])
 def test_substring_dedup(docs, empty, rounds):
     first = {}
     texts = [(i, space(t)) for i, t, *_ in ROWS]
@@ -83,19 +90,54 @@ def test_substring_dedup(docs, empty, rounds):
         want[i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
     got = substring_dedup.kept_texts(docs, digest=True, rounds=rounds).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
-    whole = substring_dedup.kept_texts(docs.select("doc_id", "text", "lang"), untouched=True).where("doc_id = 3").first()
+    whole = substring_dedup.kept_texts(docs, untouched=True).where("doc_id = 3").first()
     assert whole.kept_text == " \n\t " and whole.n_removed == 0 and whole.lang == "en"
     assert substring_dedup.kept_texts(empty).count() == 0
 
 
-def test_windows_of_one_anchor_are_told_apart(spark):
-    """Two windows whose anchors and low 32 bits of the hash are equal, from different tasks: no word is repeated."""
-    texts = [f"a{i} one two three four five six seven eight nine ten eleven b{i}" for i in (109949, 116104)]
-    at = [substring_dedup.anchors(c.hashes, c.bounds, 13, 1) for t in texts for c in chunks(pa.array([t]), NON_SPACE)]
-    (_, key, whole), (_, other_key, other) = at
-    assert key == other_key and whole.astype("uint32") == other.astype("uint32") and whole != other
-    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 2), "doc_id long, text string")
-    assert [r.n_removed for r in substring_dedup.kept_texts(df).collect()] == [0, 0]
+@pytest.mark.parametrize("window", [5, 13])
+def test_no_repeat_is_given_up(spark, window, monkeypatch):
+    """Texts over few words with runs, periods and shared passages, in many small pieces, against brute force."""
+    import random
+
+    monkeypatch.setattr(substring_dedup, "PIECE_BYTES", 600)
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 500)
+    rng = random.Random(window)
+    passages = [[rng.choice("abcdefgh") for _ in range(rng.randrange(window, 3 * window))] for _ in range(12)]
+    passages += [["a"] * 20, ["a", "b"] * 15, ["a", "b", "c"] * 10, ["a", "a", "b", "b"] * 8]
+    rows = []
+    for i in range(150):
+        w = []
+        for _ in range(rng.randrange(1, 4)):
+            x = rng.choice(passages)
+            at = rng.randrange(len(x))
+            w += [rng.choice("abcdefghij") for _ in range(rng.randrange(6))] + (x if rng.random() < 0.5 else x[at:]) + [f"u{rng.randrange(10**6)}"] * rng.randrange(2)
+        rows.append((rng.choice([None, i, i, i, i // 2]), " ".join(w)))
+    first, big = {}, 1 << 62
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - window + 1):
+            g = tuple(w[k : k + window])
+            first[g] = min(first.get(g, big), big if i is None else i)
+    want = Counter()
+    for i, t in rows:
+        w = t.split()
+        gone = {p for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < (big if i is None else i) for p in range(k, k + window)}
+        want[i, " ".join(x for p, x in enumerate(w) if p not in gone)] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for rounds in (None, 1):
+        assert Counter((r.doc_id, r.kept_text) for r in substring_dedup.kept_texts(docs, window=window, rounds=rounds).collect()) == want
+
+
+def test_rounds_rule_windows_out():
+    """Texts that share no passage leave no window to verify."""
+    texts = [" ".join(f"{x}{i}" for i in range(200)).encode() for x in "pqr"]
+    p = substring_dedup.Piece(texts, np.arange(3), 13)
+    for _ in range(substring_dedup.rounds_of(13)):
+        names, many = p.names()
+        assert not many.any()
+        p.learn(np.zeros(len(names), bool))
+    assert substring_dedup.rounds_of(13) == 2 and len(p.windows()[0]) < 3 * 188 // 10
 
 
 def test_repeats_are_cut_row_by_row(spark):
@@ -246,9 +288,58 @@ def test_kneser_ney_sums_to_one(spark):
     assert abs(p - 1) < 1e-6
 
 
+def test_model_equals_brute_force(spark, monkeypatch):
+    """Scores of whole and of cut texts against interpolated modified Kneser-Ney by hand."""
+    import math
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randrange(1, 6)))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(1, 30))), "en") for i in range(60)] + [(60, "idiot ab x1y (cad). #", "en"), (61, "ab\tcab", None)]
+    trained = [i for i in range(40) if spark.range(1).selectExpr(f"pmod(xxhash64({i}L), {quality.HELD_OUT})").first()[0] != 0]
+    counts = {4: Counter(g for i, t, _ in rows if i in trained for p in ["\x01" * 3 + t + "\x00"] for g in (p[k : k + 4] for k in range(len(p) - 3)))}
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def discount(k, c):
+        n = Counter(counts[k].values())
+        if not c or not n[1] or not n[2]:
+            return 0 if not c else [0.5, 1.0, 1.5][min(c, 3) - 1]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [min(max(j - (j + 1) * y * n[j + 1] / n[j], 0), j) if n[j] else 0.5 * j for j in (1, 2, 3)][min(c, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        of = {x: c for x, c in counts[len(g)].items() if x[:-1] == g[:-1]}
+        if not of:
+            return p(g[1:])
+        c = of.get(g, 0)
+        return (max(c - discount(len(g), c), 0) + sum(discount(len(g), x) for x in of.values()) * p(g[1:])) / sum(of.values())
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for size in (quality.PIECE_BYTES, 7):
+        monkeypatch.setattr(quality, "PIECE_BYTES", size)
+        got = {r.doc_id: r for r in quality.surprise(docs, docs.where("doc_id < 40").select("doc_id")).collect()}
+        assert len(got) == len(rows)
+        for i, t, _ in rows:
+            x = "\x01" * 3 + t + "\x00"
+            nats = [-math.log(p(x[k : k + 4])) for k in range(len(x) - 3)]
+            assert got[i].n_grams == len(nats) and abs(got[i].nats - sum(nats)) < 0.01 + 1e-4 * sum(nats)
+            if size > 7:  # a word may be cut where a text is
+                words = [m for m in re.finditer(r"(?<!\S)[^\w\s]*([a-z]+)[^\w\s]*(?!\S)", t)]
+                worst = max((sum(nats[m.start(1) : m.end(1) + 1]) for m in words), default=0)
+                assert abs(got[i].worst - worst) < 0.01, (t, got[i].worst, worst)
+
+
 def test_quality_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     got = quality.classified(docs, labels.where("doc_id % 3 <> 0")).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
     good, bad = [r.kept for r in got if r.quality == 1 and r.toxic == 0], [r.kept for r in got if r.quality == 0]
     assert sum(good) / len(good) > 0.95 and sum(bad) / len(bad) < 0.2
+    insults = re.compile("idiot|moron|worthless|disgusting|clown|stupid")
+    toxic = docs.join(labels.where("doc_id % 3 = 0 AND toxic = 1 AND quality = 1"), "doc_id").collect()
+    found = {r.doc_id: r.kept for r in got}
+    named = [found[r.doc_id] for r in toxic if insults.search(r.text)]
+    assert len(named) > 5 and sum(named) <= 0.2 * len(named)

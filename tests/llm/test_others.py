@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from oracle import same
@@ -103,6 +104,20 @@ def test_stages_drop_row_by_row(spark, tmp_path):
     assert key(stages["decontaminate"](spark, docs, str(tmp_path))) == sorted([r for r in rows if r[1] != item], key=str)
 
 
+def test_stages_take_odd_tables(spark, docs, empty, tmp_path):
+    """Nulls, empty texts, ties, repeated rows and clashing columns pass each stage; empty tables give none; a stage can be called twice."""
+    spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "mit license")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = docs.withColumns({"starts": F.lit(1), "n_words": F.lit(2), "kept_text": F.lit("x"), "_k": F.lit(3)}).drop("n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        one, two = stage(spark, more, str(tmp_path)), stage(spark, more, str(tmp_path))
+        assert one.count() == two.count() > 0
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+        if name != "packing":
+            assert one.columns == more.columns and one.dtypes == more.dtypes
+            assert {2, 3, 4} <= {r.doc_id for r in one.collect()}
+
+
 def test_pipeline_against_its_parts(spark):
     """What each stage keeps follows from its own input by brute force where that is plain: near copies and passages."""
     folder = "/root/testdata/sf0.001"
@@ -115,13 +130,21 @@ def test_pipeline_against_its_parts(spark):
         rows = {r.doc_id: r for r in docs.collect()}
         assert rows and set(rows) <= set(before)
         if name == "near_dedup":
-            sets = {i: {tuple(w[k : k + 4]) for k in range(max(len(w) - 3, 1))} for i, r in before.items() if (w := r.text.lower().split())}
+            sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, r in before.items() if (w := r.text.lower().split())}
             for i in set(before) - set(rows):
                 assert any(j != i and 100 * len(sets[i] & s) >= 80 * len(sets[i] | s) for j, s in sets.items())
             kept = [i for i in rows if i in sets]
             assert not any(i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for i in kept for j in kept)
         if name == "substring_dedup":
             assert all(len(r.text) == r.n_chars for r in rows.values())
+        if name == "decontaminate":
+            words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+            windows = {tuple(w[k : k + 13]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if (w := words(r.text)) for k in range(max(len(w) - 12, 1))}
+            sizes = sorted({len(w) for w in windows})
+            for i, r in before.items():
+                w = words(r.text)
+                hit = {p for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for p in range(k, k + n)}
+                assert (i in rows) == (not hit or 20 * len(hit) < len(w))
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
     assert "pipeline" in __spark_entry__.queries()
