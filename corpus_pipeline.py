@@ -1,9 +1,13 @@
 """The corpus pipeline: quality, near duplicates, repeated passages, benchmark passages, then packing.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, in the columns of documents; the last one
-returns the packed pieces. A stage that drops documents names the rows to drop by a key of all their columns, so rows of
-null or repeated doc_id are judged one by one; rows that are equal in every column share their fate. SQL can't express the stages (a language model, hashing, a tokenizer), so the
-tests compare the pipeline with brute force.
+returns the packed pieces. A stage decides on rows by a key of all their columns, so rows of null or repeated doc_id are judged one
+by one; rows that are equal in every column share their fate. What a stage writes on its way is deleted when it has decided; the small table of its
+decisions stays, so its result can be read at any time. SQL can't express the stages (a language model, hashing, a tokenizer):
+tests hold near duplicates, passages and contamination against brute force, and the classifier's model against one made by hand.
+
+Cases: null and empty texts pass (their shingle sets are empty, so they are no copies of each other); an empty table gives none; ties go to
+the smaller doc_id; further columns pass unchanged, whatever their names; n_chars follows the text where the table has it.
 """
 
 from __future__ import annotations
@@ -13,50 +17,65 @@ from pyspark.sql import functions as F
 
 from assay.llm import common, decontaminate, near_dedup, packing, quality, substring_dedup
 
+ROW = "_corpus_row"
+
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", common.row_key(*docs.columns))
+    return docs.withColumn(ROW, common.row_key(*docs.columns))
+
+
+def _narrow(docs: DataFrame, *columns: str) -> DataFrame:
+    """The key and the named columns only: no other column's name can clash."""
+    return _keyed(docs).select(ROW, *columns)
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    rows = common.written(dropped.select("_row").distinct(), "dropped")
-    return _keyed(docs).hint("merge").join(rows, "_row", "left_anti").select(*docs.columns)
+    return _keyed(docs).hint("merge").join(dropped, ROW, "left_anti").select(*docs.columns)
+
+
+def _decided(rows: DataFrame, name: str) -> DataFrame:
+    return common.written(rows.select(ROW).distinct(), name, keep=True)
 
 
-@common.stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
-    found = quality.classified(_keyed(docs), common.table(spark, sf_dir, "labels"), row="_row")
-    return _without(docs, found.where("NOT kept").withColumnRenamed("row", "_row"))
+    with common.scratch(spark):
+        found = quality.classified(_narrow(docs, "doc_id", "text", "lang"), common.table(spark, sf_dir, "labels"), row=ROW)
+        dropped = _decided(found.where("NOT kept").withColumnRenamed("row", ROW), "dropped")
+    return _without(docs, dropped)
 
 
-@common.stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, keeps the document of the smallest id, null being the largest; of equal rows, one."""
-    rows = _keyed(docs)
-    found = near_dedup.near_groups(rows, doc_id="_row").withColumnRenamed("doc_id", "_row")
-    ids = found.hint("merge").join(rows.select("_row", "doc_id").distinct(), "_row")
-    least = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
-    kept = common.written(least.select("least._row"), "kept")
-    return rows.hint("merge").join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    """Of each group of near duplicates (five-word shingles), keeps the document of the smallest id, null being the largest; of equal rows, one."""
+    rows = _narrow(docs, "doc_id", "text")
+    with common.scratch(spark):
+        found = near_dedup.near_groups(rows, doc_id=ROW, shingle=5).withColumnRenamed("doc_id", ROW)
+        ids = found.hint("merge").join(rows.select(ROW, "doc_id").distinct(), ROW)
+        least = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("least"))
+        kept = _decided(least.select(f"least.{ROW}"), "kept")
+    return _keyed(docs).hint("merge").join(kept, ROW, "left_semi").dropDuplicates([ROW]).select(*docs.columns)
 
 
-@common.stage
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that a document of a smaller id has too, and documents of which nothing is left."""
-    cut = substring_dedup.kept_texts(docs, untouched=True)
-    left = cut.where("n_removed = 0 OR n_removed < n_words").drop("text").withColumnRenamed("kept_text", "text")
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    plain = docs.select(*[F.col(c).alias({"doc_id": "id", "text": "text"}.get(c, f"c{i}")) for i, c in enumerate(docs.columns)])
+    with common.scratch(spark):
+        cut = substring_dedup.kept_texts(plain, doc_id="id", untouched=True)
+    left = cut.where("n_removed = 0 OR n_removed < n_words")
+    now = {"doc_id": F.col("id"), "text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        now["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return left.select(*[now.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
-@common.stage
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are contaminated by benchmark items."""
-    found = decontaminate.contamination(_keyed(docs), common.table(spark, sf_dir, "benchmark"), doc_id="_row")
-    return _without(docs, found.where(decontaminate.contaminated()).withColumnRenamed("doc_id", "_row"))
+    with common.scratch(spark):
+        found = decontaminate.contamination(_narrow(docs, "text"), common.table(spark, sf_dir, "benchmark"), doc_id=ROW)
+        dropped = _decided(found.where(decontaminate.contaminated()).withColumnRenamed("doc_id", ROW), "dropped")
+    return _without(docs, dropped)
 
 
-@common.stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences."""
     return packing.packed(packing.pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
