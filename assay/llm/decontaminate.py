@@ -1,14 +1,18 @@
 """Benchmark decontamination: a prefix-filtered join of item windows with documents.
 
-Method: every window of an item is a set of word shingles ordered by their rarity over all documents.
+Method: every window of an item is a set of word shingles, ordered by their rarity over all documents.
 A document that contains the window must contain its rarest shingle (the prefix that containment 1.0
-makes necessary), so only places of that shingle are looked at. The shingle's place fixes where the window
+makes necessary), so windows and documents are joined on that shingle alone. The shingle's place fixes where the window
 would have to start (positional bound) and whether it fits in the document (length bound); the few places
-left are verified word by word. With several blocks of items, what they find is joined by a key of the row's id and
-text; equal rows, which find the same, are counted and given back as often.
+left are verified word by word, on the words themselves.
+
+Scale: windows, counts, prefixes and candidates are tables of Spark jobs. One scan of the documents finds the places of
+shingles that any item has, by a sieve of `SIEVE_BITS` bits made of the benchmark's shingles; its size is fixed, and what it lets through by
+chance falls out in the join. The texts of documents that have candidates are read again to verify them. A shingle, window or document that many
+rows share only ever meets the other side of a merge join, which can be split.
 
 Cases: null texts and texts without words give zero counts; a null doc_id or item_id is kept as it is
-(null items count as one item, "null"); repeated document rows each get their own row; repeated items give
+(null items count as one item, "null"); repeated document rows each get their own row, equal ones the same; repeated items give
 one id; an empty benchmark or corpus gives no hits or no rows; extra columns are ignored.
 """
 
@@ -21,169 +25,129 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table
-from .words import ALNUM, LOWER, chunks, gram_hashes
+from .common import row_key, table, written
+from .words import ALNUM, LOWER, Chunk, chunks, gram_hashes
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
-#: Words of a shingle in the prefix.
+#: Words of a shingle; a window of fewer words is one shingle.
 SHINGLE = 3
-#: Bytes of item text in one broadcast index; a larger benchmark is joined block by block.
-BLOCK_BYTES = 32_000_000
-
-
-class Index:
-    """The windows of a block of items, with the shingles by which they are found."""
-
-    def __init__(self, ids: list[str], texts: list[str], window: int):
-        self.ids, rows, lengths, owners, seen = ids, [], [], [], {}
-        for c in chunks(pa.array(texts, pa.string()), ALNUM, LOWER):
-            for i in range(c.rows):
-                h = c.hashes[c.bounds[i] : c.bounds[i + 1]]
-                n = min(len(h), window)
-                for s in range(len(h) - n + 1 if n else 0):
-                    w = h[s : s + n]
-                    k = seen.setdefault((n, w.tobytes()), len(rows))
-                    if k == len(rows):
-                        rows.append(w)
-                        lengths.append(n)
-                        owners.append(set())
-                    owners[k].add(c.first + i)
-        self.lengths = np.array(lengths, np.int64)
-        self.words = np.zeros((len(rows), window), np.uint64)
-        for k, w in enumerate(rows):
-            self.words[k, : len(w)] = w
-        self.owner_at = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-        self.owner = np.array([o for x in owners for o in sorted(x)], np.int64)
-        # all shingles of each window, by (size of the shingle, hash)
-        self.shingles = [[(min(SHINGLE, len(w)), int(g)) for g in gram_hashes(w, min(SHINGLE, len(w)))] for w in rows]
-        self.vocabulary = {n: np.unique(np.array([g for x in self.shingles for m, g in x if m == n], np.uint64)) for n in range(1, SHINGLE + 1)}
-
-    def choose(self, counts: dict[tuple[int, int], int]) -> Index:
-        """Keeps for each window its rarest shingle; counts: how often each occurs in all documents."""
-        by: dict[int, list[tuple[int, int, int]]] = {}
-        for k, grams in enumerate(self.shingles):
-            at = min(range(len(grams)), key=lambda i: (counts.get(grams[i], 0), i))
-            by.setdefault(grams[at][0], []).append((grams[at][1], k, at))
-        self.prefix = {}
-        for n, entries in by.items():
-            entries.sort()
-            g = np.array([e[0] for e in entries], np.uint64)
-            keys, first = np.unique(g, return_index=True)
-            self.prefix[n] = (keys, np.append(first, len(g)), np.array([e[1] for e in entries]), np.array([e[2] for e in entries]))
-        self.shingles = self.vocabulary = None
-        return self
-
-
-def _member(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in values that are in the sorted keys, and which key each is."""
-    if not len(keys) or not len(values):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    sieve = np.zeros(1 << 16, bool)
-    sieve[keys >> np.uint64(48)] = True
-    at = np.flatnonzero(sieve[values >> np.uint64(48)])
-    k = np.minimum(np.searchsorted(keys, values[at]), len(keys) - 1)
-    same = keys[k] == values[at]
-    return at[same], k[same]
-
-
-def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges first:last, and the range of each."""
-    n = last - first
-    of = np.repeat(np.arange(len(n)), n)
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[of], of
-
-
-def occurrences(c, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows of the index occur in a chunk: their first words and which windows they are."""
-    found = []
-    for n, (keys, first, window, offset) in index.prefix.items():
-        at, k = _member(keys, gram_hashes(c.hashes, n))
-        e, of = _expand(first[k], first[k + 1])
-        start, w = at[of] - offset[e], window[e]
-        row = np.searchsorted(c.bounds, at[of], "right") - 1
-        fits = (start >= c.bounds[row]) & (start + index.lengths[w] <= c.bounds[row + 1])
-        start, w = start[fits], w[fits]
-        good = np.ones(len(start), bool)
-        for i in range(index.words.shape[1]):
-            inside = index.lengths[w] > i
-            good &= ~inside | (c.hashes[np.where(inside, start + i, 0)] == index.words[w, i])
-        found.append((start[good], w[good]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-
-
-def _counts(docs: DataFrame, index, text: str) -> dict[tuple[int, int], int]:
-    """How often each shingle of the index occurs in all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = index.value.vocabulary
+#: Bits of the sieve, as a power of two.
+SIEVE_BITS = 26
+#: Documents with candidates whose keys may be broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def _spelled(c: Chunk, at: int, n: int, raw: bytes) -> bytes:
+    return b" ".join(raw[s:e] for s, e in zip(c.starts[at : at + n].tolist(), c.ends[at : at + n].tolist(), strict=True))
+
+
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """item_id, words (a window's, joined by blanks), n, and its shingles as arrays of hashes; items: item_id and text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b.column(1), ALNUM, LOWER):
+                raw, rows = c.data.tobytes(), []
+                for i in range(c.rows):
+                    a, z = int(c.bounds[i]), int(c.bounds[i + 1])
+                    n = min(z - a, window)
+                    k = min(n, SHINGLE)
+                    g = gram_hashes(c.hashes[a:z], k) if n else None
+                    rows += [(c.first + i, _spelled(c, s, n, raw), n, g[s - a : s - a + n - k + 1].view(np.int64)) for s in range(a, z - n + 1 if n else a)]
+                at, words, n, g = zip(*rows, strict=True) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.binary()), pa.array(n, pa.int32()), pa.array(list(g), pa.list_(pa.int64()))], ["item_id", "words", "n", "grams"])
+
+    return items.mapInArrow(cut, "item_id string, words binary, n int, grams array<long>")
+
+
+def _sieve(grams: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each value that the leading bits of the grams take; of fixed size, whatever their number."""
+    x = F.shiftrightunsigned("gram", 64 - bits) + 1
+    rows = grams.select(F.bitmap_bucket_number(x).alias("bucket"), F.bitmap_bit_position(x).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(max(1 << bits, 1 << 15), bool)
+    for r in rows.toLocalIterator():
+        out[(r.bucket - 1) << 15 : r.bucket << 15] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+    return np.packbits(out)
+
+
+def _scan(docs: DataFrame, sieve, bits: int, sizes: list[int]) -> DataFrame:
+    """key, doc_id, n_words and the places (first words) and hashes of shingles that pass the sieve; docs: key, doc_id, text."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(sieve.value).astype(bool)
         for b in batches:
-            total = {n: np.zeros(len(v), np.int64) for n, v in vocabulary.items()}
-            for c in chunks(b.column(0), ALNUM, LOWER):
-                for n, v in vocabulary.items():
-                    total[n] += np.bincount(_member(v, gram_hashes(c.hashes, n))[1], minlength=len(v))
-            for n, t in total.items():
-                at = np.flatnonzero(t)
-                yield pa.RecordBatch.from_pydict({"n": pa.array(np.full(len(at), n, np.int32)), "k": pa.array(at), "c": pa.array(t[at])})
+            for c in chunks(b.column(2), ALNUM, LOWER):
+                at, gram = [], []
+                for k in sizes:
+                    g = gram_hashes(c.hashes, k)
+                    hit = np.flatnonzero(held[g >> np.uint64(64 - bits)])
+                    row = np.searchsorted(c.bounds, hit, "right") - 1
+                    hit = hit[hit + k <= c.bounds[row + 1]]
+                    at.append(hit)
+                    gram.append(g[hit])
+                at, gram = np.concatenate([np.empty(0, np.int64), *at]), np.concatenate([np.empty(0, np.uint64), *gram])
+                order = np.argsort(at, kind="stable")
+                at, gram = at[order], gram[order].view(np.int64)
+                ends = pa.array(np.searchsorted(at, c.bounds).astype(np.int32))
+                place = at - c.bounds[np.searchsorted(c.bounds, at, "right") - 1]
+                part = b.slice(c.first, c.rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(c.bounds)), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(gram))], ["key", "doc_id", "n_words", "at", "grams"])
+
+    return docs.mapInArrow(look, f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, at array<int>, grams array<long>")
+
+
+def _verified(texts: DataFrame) -> DataFrame:
+    """key, n_hit (words inside a verified window) and the windows found; texts: key, text and candidates (start, n, words)."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b.column(1), ALNUM, LOWER):
+                raw, hits, found = c.data.tobytes(), [], []
+                for i in range(c.rows):
+                    covered, own = np.zeros(int(c.bounds[i + 1] - c.bounds[i]), bool), set()
+                    for x in b.column(2)[c.first + i].as_py():
+                        if _spelled(c, int(c.bounds[i]) + x["start"], x["n"], raw) == x["words"]:
+                            covered[x["start"] : x["start"] + x["n"]] = True
+                            own.add(x["words"])
+                    hits.append(int(covered.sum()))
+                    found.append(sorted(own))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.rows), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.binary()))], ["key", "n_hit", "found"])
 
-    summed = docs.select(text).mapInArrow(count, "n int, k long, c long").groupBy("n", "k").agg(F.sum("c").alias("c"))
-    vocabulary = index.value.vocabulary
-    return {(r.n, int(vocabulary[r.n][r.k])): r.c for r in summed.toLocalIterator()}
+    return texts.mapInArrow(check, "key long, n_hit long, found array<binary>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside any occurrence of an item's window) and the items found."""
     spark = docs.sparkSession
-    items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    narrow = narrow if blocks == 1 else narrow.withColumn("row", row_key("doc_id", "text"))
-    found = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        plain = Index([r.item_id for r in rows], [r.text for r in rows], window)
-        shared = spark.sparkContext.broadcast(plain)
-        index = spark.sparkContext.broadcast(plain.choose(_counts(narrow.select("text"), shared, "text")))
-
-        def scan(batches: Iterator[pa.RecordBatch], index=index, whole=blocks == 1) -> Iterator[pa.RecordBatch]:
-            ix = index.value
-            for b in batches:
-                n_words, hits, names, places = [], [], [], []
-                for c in chunks(b.column(1), ALNUM, LOWER):
-                    start, w = occurrences(c, ix)
-                    mark = np.zeros(len(c.hashes) + 1, np.int64)
-                    np.add.at(mark, start, 1)
-                    np.add.at(mark, start + ix.lengths[w], -1)
-                    covered = np.cumsum(mark)[:-1] > 0
-                    total = np.concatenate([[0], np.cumsum(covered)])
-                    n_words.append(np.diff(c.bounds))
-                    hits.append(total[c.bounds[1:]] - total[c.bounds[:-1]])
-                    e, of = _expand(ix.owner_at[w], ix.owner_at[w + 1])
-                    row = np.searchsorted(c.bounds, start[of], "right") - 1
-                    by: dict[int, set[str]] = {}
-                    for r, o in np.unique(np.stack([row, ix.owner[e]], 1), axis=0):
-                        by.setdefault(int(r), set()).add(ix.ids[o])
-                    names.extend(sorted(by.get(i, ())) for i in range(c.rows))
-                    for i in range(c.rows):
-                        places.append([] if whole or i not in by else np.flatnonzero(covered[c.bounds[i] : c.bounds[i + 1]]))
-                empty = np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.concatenate([empty, *n_words])), pa.array(np.concatenate([empty, *hits])), pa.array(names, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int64())), *b.columns[2:]],
-                    ["doc_id", "n_words", "n_hit", "items", "places", *b.schema.names[2:]],
-                )
-
-        part = narrow.mapInArrow(scan, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, places array<long>" + (", row long" if blocks > 1 else ""))
-        found = part if found is None else found.unionByName(part)
-    if blocks == 1:
-        return found.drop("places")
-    every = found.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("places"))).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count("*").alias("n"),
-    )
-    copies = F.explode(F.sequence(F.lit(1), (F.col("n") / blocks).cast("int")))
-    return every.withColumn("copy", copies).select("doc_id", "n_words", F.size("p").cast("long").alias("n_hit"), "items")
+    items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item_id"), F.col(item_text).alias("text"))
+    own = written(item_windows(items, window), "windows")
+    windows = own.dropDuplicates(["words"]).select("words", "n", "grams")
+    shingles = written(windows.select("words", "n", F.posexplode("grams").alias("offset", "gram")), "shingles")
+    sizes = [r.k for r in own.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect()]  # three rows at most
+    sieve = spark.sparkContext.broadcast(_sieve(shingles, SIEVE_BITS))
+    rows = docs.select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    scan = written(_scan(rows, sieve, SIEVE_BITS, sorted(sizes)), "scan")
+    places = scan.where(F.size("at") > 0).select("key", "n_words", F.explode(F.arrays_zip("at", "grams")).alias("p")).select("key", "n_words", "p.at", F.col("p.grams").alias("gram"))
+    counts = written(places.groupBy("gram").agg(F.count("*").alias("held")), "counts")
+    # a window of which any shingle has no count is in no document
+    ranked = shingles.hint("merge").join(counts, "gram", "left")
+    rarest = ranked.groupBy("words", "n").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "offset", "gram")).alias("r")).where("r.held > 0")
+    prefixes = written(rarest.select("words", "n", F.col("r.offset").alias("offset"), F.col("r.gram").alias("gram")), "prefixes")
+    start = F.col("at") - F.col("offset")
+    near = places.hint("merge").join(prefixes, "gram").where((start >= 0) & (start + F.col("n") <= F.col("n_words"))).select("key", start.alias("start"), "n", "words").distinct()
+    # a document's candidates are bounded by its own words and the windows that share a prefix
+    candidates = written(near.groupBy("key").agg(F.collect_list(F.struct("start", "n", "words")).alias("candidates")), "candidates")
+    few = candidates.count() <= MOST_BROADCAST
+    texts = rows.select("key", "text")
+    if few:
+        texts = texts.join(F.broadcast(candidates.select("key")), "key", "left_semi")
+    verified = written(_verified(texts.hint("merge").join(candidates, "key").dropDuplicates(["key"]).select("key", "text", "candidates")).where("n_hit > 0"), "verified")
+    names = verified.select("key", F.explode("found").alias("words")).hint("merge").join(own.select("words", "item_id").distinct(), "words")
+    found = names.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    hits = written(verified.select("key", "n_hit").hint("merge").join(found, "key"), "hits")
+    out = scan.select("key", "doc_id", "n_words").hint("merge").join(hits, "key", "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contaminated() -> F.Column:
