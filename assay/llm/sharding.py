@@ -1,33 +1,38 @@
 """Uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix.
 
-Method: rows belong to blocks by a hash of their id. How many rows of each block go to each shard is drawn
+Method: rows are numbered, and belong to blocks by a hash of their number. How many rows of each block go to each shard is drawn
 exactly from the multivariate hypergeometric law with the blocks' and the shards' sizes as margins. Each block
 is permuted and its first rows go to shard 0, the next to shard 1 and so on, as the matrix says; after that exchange each
 shard is permuted again. The law is `rows`: shard sizes are at most one apart.
 
-Scale: the matrix has a row for each block of about `BLOCK_ROWS` rows and is all that the driver sees. Ranks are
-taken inside blocks, and inside strips of a shard that a second hash makes, never over a whole shard. The exchange
-moves the columns that the caller asks for.
+Scale: the matrix has a row for each block of about `BLOCK_ROWS` rows (of more, where there are over `MOST_BLOCKS` such blocks); it is drawn on the driver from one
+count for each block, written as a table and joined. Ranks are taken inside blocks, and inside strips of a shard that a second hash makes, never over a whole
+shard. Numbers do not depend on what rows hold, so rows of null id or copies of one row crowd nowhere. The numbered rows are written
+once, so that a lost executor does not number them anew; the exchange moves the columns that the caller asks for.
 
 Cases: a null text has size 16 and the checksum of no bytes; rows of null id and repeated rows are placed like
-others (rows alike in id and content are interchangeable); an empty table gives no rows; other columns pass unchanged,
-and names that this operator uses (`shard`, `slot`) are replaced.
+others; an empty table gives no rows; other columns pass unchanged, and names that this operator uses (`shard`, `slot`) are
+replaced. The order depends on the seed and on how the input is partitioned. Equal texts are not kept together: no uniform shuffle does that,
+and a group that is larger than a shard could not be.
 """
 
 from __future__ import annotations
 
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 SHARDS = 40
 SEED = 20240611
 BLOCK_ROWS = 20_000
-#: Blocks whose draws one literal of the plan may hold.
+#: Blocks whose draws the driver makes; more rows make larger blocks.
 MOST_BLOCKS = 1 << 16
+#: Blocks whose draws may be broadcast.
+MOST_BROADCAST = 10_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -79,32 +84,30 @@ def matrix(blocks: dict[int, int], sizes: list[int], seed: int) -> dict[int, lis
     return out
 
 
-def sharded(df: DataFrame, *, key: str = "doc_id", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def sharded(df: DataFrame, *, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The rows with `shard` and `slot`: a uniform random order, cut into shards of sizes at most one apart."""
-    df = df.drop("shard", "slot")
-    n = df.count()
+    spark, df = df.sparkSession, df.drop("shard", "slot")
+    numbered = written(df.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    n = numbered.count()
     blocks = min(max(1, -(-n // BLOCK_ROWS)), MOST_BLOCKS)
-    mark = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    row = F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed + 1))
-    keyed = df.withColumn("_block", F.pmod(mark, F.lit(blocks)).cast("int")).withColumn("_first", row).withColumn("_again", F.xxhash64(F.lit(seed + 2), F.col("_first")))
+    draw = lambda k: F.xxhash64("_number", F.lit(seed + k))
+    keyed = numbered.withColumn("_block", F.pmod(draw(0), F.lit(blocks)).cast("int"))
     held = {r._block: r["count"] for r in keyed.groupBy("_block").count().toLocalIterator()}
-    sizes = [n // shards + (j < n % shards) for j in range(shards)]
-    drawn = matrix(held, sizes, seed)
-    # ends[b][j]: the rank in block b at which shard j's rows end
-    ends = {b: [sum(r[: j + 1]) for j in range(shards)] for b, r in drawn.items()}
-    text = ";".join(",".join(map(str, ends.get(b, [0] * shards))) for b in range(blocks))
-    bounds = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(text), ";")).alias("_block", "t")).select("_block", F.split("t", ",").cast("array<int>").alias("_ends"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_block").orderBy("_first")))
-    placed = ranked.join(F.broadcast(bounds), "_block").withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_rank"))))
+    drawn = matrix(held, [n // shards + (j < n % shards) for j in range(shards)], seed)
+    # ends[j]: the rank in its block at which shard j's rows end
+    rows = [(b, list(accumulate(r))) for b, r in drawn.items()]
+    bounds = written(spark.createDataFrame(rows, "_block int, _ends array<int>"), "matrix")
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_block").orderBy(draw(1), "_number")))
+    placed = ranked.join(bounds.hint("broadcast" if blocks <= MOST_BROADCAST else "merge"), "_block").withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_rank"))))
     # the second permutation: by another hash, in strips so that no task ranks a whole shard
     strips = max(1, -(-n // (shards * BLOCK_ROWS)))
-    placed = placed.withColumn("_strip", F.floor((F.shiftrightunsigned("_again", 32)) * F.lit(strips) / F.lit(1 << 32)).cast("int"))
+    placed = placed.withColumn("_again", draw(2)).withColumn("_strip", F.floor((F.shiftrightunsigned("_again", 32)) * F.lit(strips) / F.lit(1 << 32)).cast("int"))
     if strips == 1:
-        slot = F.row_number().over(Window.partitionBy("shard").orderBy("_again")) - 1
-        return placed.withColumn("slot", slot.cast("long")).drop("_block", "_first", "_again", "_ends", "_rank", "_strip")
+        slot = F.row_number().over(Window.partitionBy("shard").orderBy("_again", "_number")) - 1
+        return placed.withColumn("slot", slot.cast("long")).select(*df.columns, "shard", "slot")
     counts = placed.groupBy("shard", "_strip").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = placed.withColumn("_in", F.row_number().over(Window.partitionBy("shard", "_strip").orderBy("_again")))
+    inside = placed.withColumn("_in", F.row_number().over(Window.partitionBy("shard", "_strip").orderBy("_again", "_number")))
     out = inside.hint("merge").join(before, ["shard", "_strip"]).withColumn("slot", (F.col("_before") + F.col("_in") - 1).cast("long"))
     return out.select(*df.columns, "shard", "slot")
 

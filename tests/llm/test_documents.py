@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assay.llm import decontaminate, licenses, near_dedup, packing, quality, sharding, substring_dedup
 from tests_llm_rows import CLASHES, ROWS  # noqa: F401
@@ -171,24 +172,27 @@ def test_contamination(spark, docs, empty):
     assert decontaminate.contamination(docs, frame.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_contamination_in_blocks(spark, docs, monkeypatch):
-    frame = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(5, 25))), (2, " ".join(f"w{i}" for i in range(10, 30))), (3, "mit license")], "item_id long, text string")
-    key = lambda df: sorted((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in df.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect())
-    whole = key(decontaminate.contamination(docs, frame))
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
-    assert key(decontaminate.contamination(docs, frame)) == whole
-
-
-def test_contamination_in_blocks_keeps_every_row(spark, docs, monkeypatch):
-    """Null and repeated ids, with different texts too, and equal rows: all rows come back, as from one block."""
-    frame = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(5, 25))), (2, " ".join(f"w{i}" for i in range(10, 30))), (3, "mit license")], "item_id long, text string")
-    more = [(None, "the mit license and " + " ".join(f"w{i}" for i in range(40))), (None, "clean words only"), (None, None), (9, "the mit license"), (9, "the mit license"), (9, "clean words only")]
+@pytest.mark.parametrize("bits", [4, 26])
+def test_contamination_keeps_every_row(spark, docs, monkeypatch, bits):
+    """Null and repeated ids, with different texts too, equal rows, long common passages, and a sieve that lets all through: against brute force."""
+    monkeypatch.setattr(decontaminate, "SIEVE_BITS", bits)
+    items = [(i, " ".join(f"w{k}" for k in range(a, b))) for i, (a, b) in enumerate([(5, 25), (10, 30), (5, 18), (40, 42), (50, 51)])] + [(7, "mit license"), (8, "aa " * 20)]
+    more = [(None, "the mit license and " + " ".join(f"w{i}" for i in range(40))), (None, "clean words only"), (None, None), (9, "the mit license"), (9, "the mit license"), (9, "clean words only"), (20, "aa " * 30), (21, "aa " * 12)]
     rows = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
-    key = lambda df: Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in df.collect())
-    whole = key(decontaminate.contamination(rows, frame))
-    assert sum(whole.values()) == len(ROWS) + len(more)
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
-    assert key(decontaminate.contamination(rows, frame)) == whole
+    want = Counter()
+    for i, t in [(r[0], r[1]) for r in ROWS] + more:
+        w, hit, names = ALNUM.findall(lower(t)), set(), set()
+        for n, it in items:
+            x = it.split()
+            m = min(len(x), 13)
+            for s in range(len(x) - m + 1):
+                for k in range(len(w) - m + 1):
+                    if w[k : k + m] == x[s : s + m]:
+                        hit.update(range(k, k + m))
+                        names.add(str(n))
+        want[i, len(w), len(hit), ",".join(sorted(names))] += 1
+    found = decontaminate.contamination(rows, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in found) == want
 
 
 def test_licenses(docs, empty):
@@ -255,6 +259,42 @@ def test_sharding(docs, empty, monkeypatch):
     assert sharding.sharded(empty).count() == 0
 
 
+def test_shuffle_is_uniform(spark, monkeypatch):
+    """Chi-square of where rows of a third-sized crowd of equal rows, and all others, go: by shard, and by slot."""
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 100)
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), (F.col("id") % 10).alias("part"))
+    seen, slots = Counter(), Counter()
+    for seed in range(4):
+        rows = sharding.sharded(df, shards=6, seed=seed).collect()
+        n = Counter(r.shard for r in rows)
+        assert set(n.values()) == {500} and all(sorted(r.slot for r in rows if r.shard == s) == list(range(500)) for s in n)
+        seen.update((r.part, r.shard) for r in rows)
+        slots.update((r.part, r.slot // 100) for r in rows)
+    for table, cells in ((seen, 60), (slots, 50)):
+        each = 12000 / cells
+        chi = sum((table[a, b] - each) ** 2 / each for a in range(10) for b in range(cells // 10))
+        assert chi < cells + 4 * (2 * cells) ** 0.5
+
+
+def test_matrix_law():
+    """Draws of small matrices against the exact law: the multinomial of all ways to deal the rows."""
+    from math import comb
+
+    blocks, sizes, n = {0: 3, 1: 2, 2: 3}, [4, 2, 2], 20000
+    got = Counter(tuple(map(tuple, sharding.matrix(blocks, sizes, seed).values())) for seed in range(n))
+    ways = {}
+    deals = lambda rows, left: [(a, b, rows - a - b) for a in range(min(rows, left[0]) + 1) for b in range(min(rows - a, left[1]) + 1) if rows - a - b <= left[2]]
+    pick = lambda left, row: comb(left[0], row[0]) * comb(left[1], row[1]) * comb(left[2], row[2])
+    for one in deals(3, sizes):
+        left = [x - y for x, y in zip(sizes, one)]
+        for two in deals(2, left):
+            ways[one, two, tuple(x - y for x, y in zip(left, two))] = pick(sizes, one) * pick(left, two)
+    total = sum(ways.values())
+    assert set(got) <= set(ways)
+    chi = sum((got[m] - n * w / total) ** 2 / (n * w / total) for m, w in ways.items())
+    assert chi < len(ways) + 4 * (2 * len(ways)) ** 0.5
+
+
 def test_hypergeometric_mean():
     import random
 
