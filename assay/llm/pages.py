@@ -1,140 +1,201 @@
 """Main text of HTML pages: the maximum-scoring run of words and tags.
 
-Method: a page is a sequence of tags and texts. Words score by the element they stand in, positive where labelled pages have
-more of them inside articles than outside; a tag scores negative, by how many more of its name stand
-outside. One linear scan finds the contiguous run of the highest total, and the run's text, without
-elements that are never content, is the page's text. Pages that mark their article (`article`, or `main`) are
-the labelled ones; the weights are log odds over all of them, for the `MOST_KINDS` commonest kinds of element.
+Method: a page is a sequence of tags and texts. A word scores by the block it stands in: the log odds that words under an element
+of that name, class, id and role lie inside the article of a labelled page, lowered by what classes and furniture around it have against them. A tag
+scores negative, by how much more often its name stands outside. One linear scan finds the contiguous run of the
+highest total. Inside the run, blocks whose words score under `DROP` (an advert or reader comments within the article) are left out. Pages that
+mark their article (`article`, or `main`) are the labelled ones.
 
-Elements that are never content: those in NEVER, and those whose class, id or role has a word of NOTICES.
+All names and classes are features; they are hashed to `SLOTS` weights, so the model's size is fixed. Without labelled words an element has the
+prior of its name: content, or furniture for those in FURNITURE. NEVER holds elements whose text no reader sees.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by
 one space; inline elements do not part words, `br` and blocks do.
 
 Cases: null or empty html, and pages without words in a positive run, give an empty text; unclosed and
 crossing elements close with the element around them; truncated pages, comments and scripts end with the page;
-repeated rows and null ids are kept; an empty table gives no rows; extra columns are ignored.
+repeated rows and null ids are kept; an empty table gives no rows; extra columns are ignored by the query.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
-from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-MOST_KINDS = 10_000
-#: Scores without labelled pages.
-WORD, TAG = 1.0, -2.0
-NEVER = frozenset("script style noscript template head title nav header footer aside form button select option textarea input label iframe object svg canvas dialog menu".split())
-NOTICES = frozenset("ad ads advert advertisement sponsored promo banner cookie cookies consent notice popup modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer copyright share social related comment comments reply replies".split())
+#: Weights of the model; features are hashed to them.
+SLOTS = 1 << 18
+#: Score of a word under which its block is left out of a run.
+DROP = -1.0
+#: Most that an element's features add up to, either way.
+MOST = 4.0
+NEVER = frozenset("script style noscript template head title iframe object svg canvas".split())
+FURNITURE = frozenset("nav header footer aside form button select option textarea input label dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(("article", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_PART = re.compile(r"[A-Za-z]+")
-
-
-def tokens(html: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """Tags and texts: (tag's name or "", text, kind of the enclosing block, whether never content, whether in an article)."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "body", False, False)]
-    at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            _, kind, never, inside = stack[-1]
-            yield "", html[at : m.start()], kind, never, inside
-        at = m.end()
-        name = (m.group(3) or "").lower()
-        if not name:
-            continue
-        if m.group(2):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-            yield name, "", stack[-1][1], stack[-1][2], stack[-1][3]
-            continue
-        attributes = m.group(4)
-        if name == "p" or name == "li":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        words = [w for x in _NAMES.findall(attributes) for w in _PART.findall(x[1] or x[2] or x[3])] if "=" in attributes else []
-        never = stack[-1][2] or name in NEVER or any(w.lower() in NOTICES for w in words)
-        inside = stack[-1][3] or name in ARTICLE
-        kind = stack[-1][1] if name in INLINE else ".".join([name, *words[:1]]).lower()
-        yield name, "", kind, never, inside
-        if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, kind, never, inside))
-    if at < len(html):
-        _, kind, never, inside = stack[-1]
-        yield "", html[at:], kind, never, inside
-
-
-def extract(html: str, weights: dict[str, float]) -> str:
-    """The main text of a page; weights: of words by kind of element, and of tags by <name."""
-    run, best, start, score = [], (0.0, 0, 0), 0, 0.0
-    for i, (name, text, kind, never, _) in enumerate(tokens(html)):
-        run.append((name, text, never))
+_DIGITS = re.compile(r"\d+")
+
+
+def _slot(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "replace")) % SLOTS
+
+
+@lru_cache(maxsize=1 << 15)
+def _features(name: str, attributes: str) -> tuple[int, ...]:
+    """Slots of an element: of its name, and of each class, id and role, digits apart. The name's is -1 - slot for furniture, which speaks against all that it encloses."""
+    named = [w for x in _NAMES.findall(attributes) for w in (x[1] or x[2] or x[3]).split()] if "=" in attributes else []
+    return (-1 - _slot(name) if name in FURNITURE else _slot(name), *{_slot("." + _DIGITS.sub("0", w.lower())) for w in named})
+
+
+class Page:
+    """A page's tags and texts: (tag's name or "", text, number of the enclosing block); blocks: their features, parents, and whether never shown or in an article."""
+
+    def __init__(self, html: str):
+        self.parts: list[tuple[str, str, int]] = []
+        self.features, self.parent, self.never, self.inside = [(_slot("body"),)], [0], [False], [False]
+        stack: list[tuple[str, int]] = [("", 0)]
+        at = 0
+        for m in _TOKEN.finditer(html):
+            if m.start() > at:
+                self.parts.append(("", html[at : m.start()], stack[-1][1]))
+            at = m.end()
+            name = (m.group(3) or "").lower()
+            if not name:
+                continue
+            if m.group(2):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == name:
+                        del stack[i:]
+                        break
+                self.parts.append((name, "", stack[-1][1]))
+                continue
+            if name == "p" or name == "li":
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == name:
+                        del stack[i:]
+                        break
+                    if stack[i][0] not in INLINE:
+                        break
+            block = stack[-1][1]
+            if name not in INLINE and name not in VOID:
+                block = len(self.parent)
+                up = stack[-1][1]
+                self.features.append(_features(name, m.group(4)))
+                self.parent.append(up)
+                self.never.append(self.never[up] or name in NEVER)
+                self.inside.append(self.inside[up] or name in ARTICLE)
+            self.parts.append((name, "", block))
+            if name not in VOID and not m.group(4).endswith("/"):
+                stack.append((name, block))
+        if at < len(html):
+            self.parts.append(("", html[at:], stack[-1][1]))
+
+
+class Weights:
+    """Log odds by slot, from counts of labelled words (and tags) inside and outside articles."""
+
+    def __init__(self, inside: np.ndarray, outside: np.ndarray):
+        yes, no = np.ones(SLOTS), np.ones(SLOTS)
+        names = [_slot(n) for n in FURNITURE]
+        blocks = [_slot(n) for n in "body div section p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption article main".split()]
+        yes[blocks] = 3.0
+        no[names] = 20.0
+        odds = np.log((inside + yes) / (outside + no))
+        self.words = np.clip(odds, -MOST, MOST)
+        seen = inside + outside > 0
+        self.tags = np.where(seen, np.minimum(odds, 0.0) - 0.1, -2.0)
+
+    def tag(self, name: str) -> float:
+        return 0.0 if name in INLINE else float(self.tags[_slot("<" + name)])
+
+    def blocks(self, page: Page) -> list[float]:
+        """The score of a word in each block."""
+        out, against = [], []
+        for features, up in zip(page.features, page.parent, strict=True):
+            named = sum(self.words[s] for s in features[1:])
+            first = features[0]
+            name = self.words[first if first >= 0 else -1 - first]
+            held = against[up] if out else 0.0
+            out.append(max(-MOST, min(MOST, float(name + named))) + held)
+            against.append(max(-MOST, min(held, float(named + (name if first < 0 else 0.0)))))
+        return out
+
+
+def extract(html: str, weights: Weights) -> str:
+    """The main text of a page."""
+    page = Page(html)
+    words = weights.blocks(page)
+    tags: dict[str, float] = {}
+    best, start, score = (0.0, 0, 0), 0, 0.0
+    for i, (name, text, block) in enumerate(page.parts):
         if name:
-            score += weights.get(f"<{name}", TAG if name not in INLINE else 0.0)
+            if name not in tags:
+                tags[name] = weights.tag(name)
+            score += tags[name]
+        elif page.never[block]:
+            continue
         else:
-            n = len(text.split())
-            score += n * (min(weights.get(kind, WORD), -WORD) if never else weights.get(kind, WORD))
+            score += len(text.split()) * words[block]
         if score <= 0:
             start, score = i + 1, 0.0
         elif score > best[0]:
             best = (score, start, i + 1)
     blocks, now = [], []
-    for name, text, never in run[best[1] : best[2]]:
+    for name, text, block in page.parts[best[1] : best[2]]:
         if name and name not in INLINE:
             blocks.append("".join(now))
             now = []
-        elif text and not never:
+        elif text and not page.never[block] and words[block] > DROP:
             now.append(text)
     blocks.append("".join(now))
     done = (" ".join(unescape(b).split()) for b in blocks)
     return " ".join(b for b in done if b)
 
 
-def weights(pages: DataFrame, html: str = "html") -> dict[str, float]:
-    """Scores of words by kind of element and of tags by name, from all pages that mark their article."""
+def weights(pages: DataFrame, html: str = "html") -> Weights:
+    """The model, from all pages that mark their article. A word counts for its block's features, and for the classes and furniture around it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, SLOTS), np.int64)
         for b in batches:
-            total: Counter[tuple[str, bool]] = Counter()
-            for page in b.column(0).to_pylist():
-                if page and re.search(r"<(?:article|main)\b", page, re.I):
-                    for name, text, kind, never, inside in tokens(page):
-                        inside = inside and not never
-                        if name:
-                            total[f"<{name}", inside] += 1
-                        else:
-                            total[kind, inside] += len(text.split())
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in total], pa.string()), "inside": pa.array([i for _, i in total], pa.bool_()), "n": pa.array(list(total.values()), pa.int64())})
-
-    counts = pages.select(html).mapInArrow(count, "kind string, inside boolean, n long").groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("outside"))
-    out = {}
-    for r in counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind").limit(MOST_KINDS).collect():
-        odds = log((r.inside + 1) / (r.outside + 1))
-        name = r.kind[1:]
-        if r.kind[0] == "<":
-            out[r.kind] = 0.0 if name in INLINE else min(odds, 0.0) - 0.1
-        elif r.inside + r.outside:  # elements without words in labelled pages keep the standard score
-            out[r.kind] = max(-4.0, min(4.0, odds))
-    return out
+            for text in b.column(0).to_pylist():
+                if not text or not re.search(r"<(?:article|main)\b", text, re.I):
+                    continue
+                page = Page(text)
+                held = np.zeros(len(page.parent), np.int64)
+                for name, body, block in page.parts:
+                    if name:
+                        total[int(not page.inside[block]), _slot("<" + name)] += 1
+                    elif not page.never[block]:
+                        held[block] += len(body.split())
+                for block in np.flatnonzero(held):
+                    side, k = int(not page.inside[block]), int(block)
+                    slots = set(page.features[k])
+                    while k:
+                        k = page.parent[k]
+                        slots.update(s for i, s in enumerate(page.features[k]) if i or s < 0)
+                    total[side, [s if s >= 0 else -1 - s for s in slots]] += held[block]
+        at = np.flatnonzero(total.sum(0))
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(at), "inside": pa.array(total[0, at]), "outside": pa.array(total[1, at])})
+
+    counts = pages.select(html).mapInArrow(count, "slot long, inside long, outside long").groupBy("slot").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    inside, outside = np.zeros(SLOTS), np.zeros(SLOTS)
+    for r in counts.toLocalIterator():  # a row for each slot at most
+        inside[r.slot], outside[r.slot] = r.inside, r.outside
+    return Weights(inside, outside)
 
 
 def main_texts(pages: DataFrame, *, html: str = "html") -> DataFrame:
