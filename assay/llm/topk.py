@@ -3,10 +3,11 @@
 Method: every shard's vectors form a ball tree. A block of queries goes down a tree together; a node is entered only
 by the queries whose upper bound there (inner product with the centre, plus norm times radius) reaches their
 current k-th score, and of two children each query takes the one with the higher bound first. The k-th scores
-are shared: a query block first searches one shard, and carries what it found there to all others.
+are shared between shards: a query block searches the shard of its highest bound first, then the square root of the shards' number by bound, then the
+rest, and carries the k-th scores found so far from each round to the next. Before each round a shard's root ball prunes it for blocks that it cannot serve.
 
-Scale: shards have `SHARD_ROWS` rows and query blocks `BLOCK_QUERIES`; a task holds one of each. All queries meet all
-shards in such blocks, most of which the carried bounds cut short. A shard keeps at most k + 1 rows of one equal vector,
+Scale: shards have `SHARD_ROWS` rows and query blocks `BLOCK_QUERIES`; a task opens one tree for up to `TOGETHER` blocks. Pairs of blocks and shards are
+judged from the shards' balls alone, `CHUNK` of them at a time, so nothing that grows is broadcast. A shard keeps at most k + 1 rows of one equal vector,
 those of the smallest ids, which is all that any answer can hold.
 
 Cases: vectors that are null, empty or hold nulls or non-finite components take no part; shorter vectors count as
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,10 @@ K = 20
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 1024
 LEAF = 256
+#: Query blocks that a task searches in one tree.
+TOGETHER = 32
+#: Shards whose balls are judged at once.
+CHUNK = 1024
 _NONE = np.iinfo(np.int64).min
 
 
@@ -143,24 +149,40 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K) -> DataFrame:
 
     def plant(key, t):
         tree = BallTree(t["id"].to_numpy(), pad(_matrix(t["v"])), k)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+        _, _, centre, radius, _, _ = tree.nodes[0]
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary()), "centre": pa.array([centre], pa.list_(pa.float64())), "radius": pa.array([radius])})
 
     def bundle(key, t):
         body = pickle.dumps((t["id"].to_numpy(), pad(_matrix(t["v"])), np.full(len(t), _NONE)))
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "queries": pa.array([body], pa.binary())})
 
-    trees = written(vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(plant, "shard int, tree binary"), "trees")
+    def gather(key, t):
+        body = pickle.dumps((t["shard"].to_numpy(), np.stack(t["centre"].to_pylist()), t["radius"].to_numpy()))
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "balls": pa.array([body], pa.binary())})
+
+    trees = written(vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(plant, "shard int, tree binary, centre array<double>, radius double"), "trees")
     asked = written(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(bundle, "block int, queries binary"), "queries")
+    balls = written(trees.withColumn("chunk", F.floor(F.col("shard") / CHUNK).cast("int")).groupBy("chunk").applyInArrow(gather, "chunk int, balls binary"), "balls")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, queries, tree in zip(*(b.column(i) for i in range(3)), strict=True):
-                ids, v, floor = pickle.loads(queries.as_py())
-                s, t = Search(ids, v, k, floor), pickle.loads(tree.as_py())
-                q = np.arange(len(ids))
-                s.visit(t, 0, q, s.bound(t.nodes[0], q))
-                row, col = np.nonzero(s.score > _NONE)
-                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(row), block.as_py(), np.int32)), "query_id": pa.array(ids[row]), "vec_id": pa.array(s.of[row, col]), "score": pa.array(s.score[row, col])})
+            for block, queries, body in zip(*(b.column(i) for i in range(3)), strict=True):
+                (_, v, floor), (shard, centre, radius) = pickle.loads(queries.as_py()), pickle.loads(body.as_py())
+                v = v.astype(np.float64)
+                up = v @ centre.T + np.sqrt((v**2).sum(1))[:, None] * radius
+                up += 1e-9 * (np.abs(up) + 1)
+                reach = np.flatnonzero((up >= floor[:, None]).any(0))
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(reach), block.as_py(), np.int32)), "shard": pa.array(shard[reach], pa.int32()), "bound": pa.array(up.max(0)[reach])})
+
+    def search(key, left, right):
+        out, tree = [], pickle.loads(right["tree"][0].as_py())
+        for block, queries in zip(left["block"], left["queries"], strict=True):
+            ids, v, floor = pickle.loads(queries.as_py())
+            s, q = Search(ids, v, k, floor), np.arange(len(ids))
+            s.visit(tree, 0, q, s.bound(tree.nodes[0], q))
+            row, col = np.nonzero(s.score > _NONE)
+            out.append((np.full(len(row), block.as_py(), np.int32), ids[row], s.of[row, col], s.score[row, col]))
+        return pa.table({name: pa.array(np.concatenate(x)) for name, x in zip(("block", "query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
     def carry(key, left, right):
         ids, v, floor = pickle.loads(left["queries"][0].as_py())
@@ -170,17 +192,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K) -> DataFrame:
             floor[order[np.searchsorted(ids[order], q)]] = s
         return pa.table({"block": left["block"], "queries": pa.array([pickle.dumps((ids, v, floor))], pa.binary())})
 
-    found = "block int, query_id long, vec_id long, score long"
-    home = F.pmod(F.col("block"), F.lit(shards))
-    meet = lambda q: q.repartition("shard", "block").hint("shuffle_hash").join(trees.hint("shuffle_hash"), "shard").select("block", "queries", "tree").mapInArrow(search, found)
-    first = written(meet(asked.withColumn("shard", home.cast("int"))), "found")
-    if shards > 1:
-        least = first.groupBy("block", "query_id").agg(F.count("*").alias("c"), F.min("score").alias("least")).where(F.col("c") == k)
-        carried = asked.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(carry, "block int, queries binary")
-        rest = carried.withColumn("shard", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(shards - 1)), home.cast("int"))))
-        first = first.unionByName(meet(rest))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    chunks, pair = -(-shards // CHUNK), ["block", "shard"]
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    done = found = None
+    for most in (1, isqrt(shards - 1) + 1, shards):
+        reach = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).hint("merge").join(balls, "chunk").select("block", "queries", "balls").mapInArrow(judge, "block int, shard int, bound double")
+        rest = reach if done is None else reach.hint("merge").join(done, pair, "left_anti")
+        nth = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("bound"), "shard"))
+        pairs = written(rest.withColumn("nth", nth).where(F.col("nth") <= most).select(*pair), "pairs")
+        if pairs.isEmpty():
+            break
+        at = pairs.withColumn("part", F.floor(F.col("block") / TOGETHER).cast("int"))
+        left = at.hint("merge").join(asked, "block").groupBy("shard", "part")
+        tasks = at.select("shard", "part").distinct().hint("merge").join(trees.select("shard", "tree"), "shard")
+        right = tasks.select(F.col("shard").alias("of"), F.col("part").alias("nth"), "tree").groupBy("of", "nth")
+        new = written(left.cogroup(right).applyInArrow(search, "block int, query_id long, vec_id long, score long"), "found")
+        found = written(ranked(new if found is None else found.drop("rank").unionByName(new)), "best")
+        done = pairs if done is None else done.unionByName(pairs)
+        least = found.groupBy("block", "query_id").agg(F.count("*").alias("c"), F.min("score").alias("least")).where(F.col("c") == k)
+        asked = written(asked.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(carry, "block int, queries binary"), "queries")
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

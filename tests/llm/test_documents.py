@@ -209,6 +209,45 @@ def test_licenses(docs, empty):
     assert licenses.scanned(empty).count() == 0
 
 
+def test_license_labels(spark):
+    """Labels by hand: notices whole, with words put in, left out or swapped, cut in half, twice in a text, and mixed with prose; and by brute force over diagonals."""
+    import random
+
+    rng = random.Random(21)
+    full = {x: n[-1].split() for x, n in licenses.NOTICES.items()}
+    prose = lambda k: rng.choices("the of and software license copy under terms any this is".split(), k=k)
+    rows, sure = [], {}
+    for x, w in full.items():
+        edited = w[: len(w) // 2] + ["indeed"] + w[len(w) // 2 :]
+        for kind, body, known in (("whole", w, True), ("put in", edited, True), ("half", w[: len(w) // 2], None), ("twice", w + prose(30) + w, True), ("prose", prose(60), None), ("short", licenses.NOTICES[x][0].split(), True)):
+            rows.append((len(rows), " ".join(prose(rng.randrange(5)) + body + prose(rng.randrange(5)))))
+            if known and len(w) > 15 or kind in ("whole", "short"):
+                sure[len(rows) - 1] = x
+    want = {}
+    for i, t in rows:
+        w, labels = ALNUM.findall(t), set()
+        for words, x, base in [(p, x, True) for p, x in licenses.PHRASES.items()] + [(n, x, False) for x, ns in licenses.NOTICES.items() for n in ns]:
+            m = words.split()
+            k = min(3, len(m))
+            hits = [(p - o, o, p) for p in range(len(w) - k + 1) for o in range(len(m) - k + 1) if w[p : p + k] == m[o : o + k]]
+            spans = []
+            for h in sorted(hits):
+                if spans and h[0] - spans[-1][-1][0] <= licenses.DRIFT:
+                    spans[-1].append(h)
+                else:
+                    spans.append([h])
+            for s in spans:
+                n = len(m) - k + 1
+                if base and any(len([h for h in s if h[0] == d]) == n for d, _, _ in s):
+                    labels.add(x)
+                if not base and len({o for _, o, _ in s}) >= 0.8 * n and max(h[2] for h in s) - min(h[2] for h in s) + k <= 1.5 * len(m):
+                    labels.add(x)
+        want[i] = ",".join(sorted(labels))
+    got = {r.doc_id: r.labels for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert all(x in got[i].split(",") for i, x in sure.items())
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

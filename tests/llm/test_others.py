@@ -3,7 +3,9 @@
 import math
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from oracle import same
 from pyspark.sql import functions as F
@@ -79,6 +81,47 @@ def test_pages(spark):
     assert pages.main_texts(df.limit(0)).count() == 0
 
 
+def test_page_classes_are_learned(spark):
+    """Classes that speak of furniture on elements that hold the article do not lose it."""
+    body = "<p>" + " ".join(f"word{i}" for i in range(80)) + "</p>"
+    odd = [f'<body class="home no-sidebar"><article>{body}</article></body>', f'<body><article class="post has-header-image comment-open">{body}</article></body>', f'<body class="sidebar"><div class="header">{body}</div><div class="sidebar">side text here</div></body>']
+    plain = [f'<body><div class="sidebar">some side text</div><article>{body}</article><div class="comment-list"><p>well said</p></div></body>'] * 5
+    df = spark.createDataFrame(list(enumerate([*odd, *plain])), "page_id long, html string")
+    got = {r.page_id: r.text for r in pages.main_texts(df).collect()}
+    want = " ".join(f"word{i}" for i in range(80))
+    assert all(got[i] == want for i in range(8))
+
+
+def test_pages_whose_label_is_hidden(spark):
+    """F1 of the words of pages that do not mark their article, with weights of others."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    model = pages.weights(df.where("page_id % 3 > 0"))
+    scores = []
+    for r in df.where("page_id % 3 = 0").collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)
+        want = Counter(pages.unescape(re.sub(r"</?(p|h1|br)\b[^>]*>", " ", inner[1]).replace("<b>", "").replace("</b>", "")).split())
+        found = Counter(pages.extract(r.html.replace("<article>", "<div>").replace("</article>", "</div>"), model).split())
+        both = sum((want & found).values())
+        scores.append(2 * both / max(1, sum(want.values()) + sum(found.values())))
+    assert sum(scores) / len(scores) > 0.97, sum(scores) / len(scores)
+
+
+def test_best_run_is_the_best(spark):
+    """The linear scan against all runs."""
+    rng = random.Random(12)
+    names = ["p", "div", "nav", "li"]
+    model = pages.Weights(np.zeros(pages.SLOTS), np.zeros(pages.SLOTS))
+    for _ in range(200):
+        html = "".join(rng.choice(["", f"<{n}>"]) + "w " * rng.randrange(5) + rng.choice(["", f"</{n}>"]) for n in rng.choices(names, k=rng.randrange(1, 12)))
+        page = pages.Page(html)
+        words = model.blocks(page)
+        value = [model.tag(n) if n else len(t.split()) * words[b] for n, t, b in page.parts]
+        best = max((sum(value[i:j]) for i in range(len(value)) for j in range(i, len(value) + 1)), default=0)
+        kept = pages.extract(html, model).split()
+        runs = [sum(len(t.split()) for n, t, b in page.parts[i:j] if not n and words[b] > pages.DROP) for i in range(len(value)) for j in range(i, len(value) + 1) if abs(sum(value[i:j]) - best) < 1e-9]
+        assert best <= 0 or len(kept) in runs
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (9, 1), (20, 21), (22, 21), (7, 7)], "a long, b long")
     assert {(r.a, r.b) for r in components.stars(edges).collect()} == {(3, 1), (4, 1), (5, 1), (9, 1), (21, 20), (22, 20)}
