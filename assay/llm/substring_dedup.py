@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, row_key, table, written
+from .common import bucketed, parts, row_key, table, written
 from .words import NON_SPACE, buffers, chunks, gram_hashes, gram_places, mix, slices
 
 WINDOW = 13
@@ -258,12 +258,12 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
     rounds = rounds_of(window) if rounds is None else rounds
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
     groups = max(parts(docs.sparkSession), -(-size // GROUP_BYTES))
-    pieces = written(_pieces(docs, doc_id, text), "pieces", compression="none")
+    pieces = bucketed(_pieces(docs, doc_id, text), "pieces", "piece")  # rounds move answers, never texts
 
     def with_answers(answers: list[DataFrame]) -> DataFrame:
         out = pieces
         for k, a in enumerate(answers):
-            out = out.hint("merge").join(a.withColumnRenamed("answer", f"answer{k}"), "piece", "left")
+            out = out.join(a.withColumnRenamed("answer", f"answer{k}").hint("merge"), "piece", "left")
         return out.select("piece", "ids", "keys", "lengths", "texts", *[f"answer{k}" for k in range(len(answers))])
 
     def meet_names(blobs: list[bytes]) -> list[np.ndarray]:
