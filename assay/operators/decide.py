@@ -21,13 +21,13 @@ def split(ranked: DataFrame) -> DataFrame:
     return own.unionByName(again).drop("plain")
 
 
-def features(parts: DataFrame, requests: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Per request: counts and flags of its evidence and twins; requests without hits have zeros."""
+def features(parts: DataFrame, requests: DataFrame) -> DataFrame:
+    """Per request: counts and flags of its evidence and twins (with snippets); requests without hits have zeros."""
     ev, tw = ~F.col("twin"), F.col("twin")
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     nth = Window.partitionBy("request_id", "twin").orderBy(F.desc("score"), "path")
-    rows = parts.withColumn("best", F.row_number().over(nth)).join(corpus.select("path", F.lower(F.left("content", F.lit(240))).alias("snippet")), "path", "left")
-    warn = F.concat_ws(" ", F.lower("path"), "snippet").rlike("|".join(fixed.WARNING_TERMS))
+    rows = parts.withColumn("best", F.row_number().over(nth))
+    warn = F.lower(F.concat_ws(" ", "path", "snippet")).rlike("|".join(fixed.WARNING_TERMS))
     got = rows.groupBy("request_id").agg(
         F.count_if(ev).alias("n_evidence"), F.count_if(tw).alias("n_twins"), F.round(F.coalesce(F.avg(F.when(ev & (F.col("best") <= 3), F.col("score"))), F.lit(0.0)) + 1e-9, 6).alias("support"),
         has(ev & F.col("verified")).alias("any_verified"), has(ev & (F.col("source_type") == "test")).alias("test_support"), has(ev & (F.col("source_type") == "runbook")).alias("runbook_support"),
@@ -35,16 +35,26 @@ def features(parts: DataFrame, requests: DataFrame, corpus: DataFrame) -> DataFr
         has(ev & F.col("verified") & F.col("source_type").isin("doc", "test")).alias("verified_second"), has(tw & (F.col("source_type") == "incident")).alias("incident_twin"),
         has(ev & (F.col("place") <= 3) & warn).alias("warning"),
     )
-    changed = paths.source_type(F.col("changed_path"))
-    out = requests.select("request_id", "changed_path", (changed == "test").alias("changes_test"), (changed == "runbook").alias("changes_runbook"), paths.is_frontend(F.col("changed_path")).alias("changes_frontend")).join(got, "request_id", "left")
+    kind = lambda k: F.exists("changed_paths", lambda p: paths.source_type(p) == k)
+    changed = requests.select("request_id", "changed_paths", kind("test").alias("changes_test"), kind("runbook").alias("changes_runbook"), F.exists("changed_paths", paths.is_frontend).alias("changes_frontend"))
+    out = changed.hint("merge").join(got, "request_id", "left")
     return out.na.fill(0, ["n_evidence", "n_twins", "support"]).na.fill(False)
 
 
 def alignment(requests: DataFrame, ranked: DataFrame) -> DataFrame:
-    """request_id and gap: no hit has the changed path, or its stem."""
+    """request_id and gap: there are changed paths, and no hit has one of them, or its stem."""
     keys = lambda c: F.explode(F.array(paths.normalized(F.col(c)), F.concat(F.lit("stem:"), paths.stem(F.col(c))))).alias("key")
-    fits = requests.select("request_id", keys("changed_path")).join(ranked.select("request_id", keys("path")), ["request_id", "key"], "left_semi").select("request_id").distinct().withColumn("fits", F.lit(True))
-    return requests.select("request_id", "changed_path").join(fits, "request_id", "left").select("request_id", (F.col("fits").isNull() & (F.coalesce("changed_path", F.lit("")) != "")).alias("gap"))
+    changed = requests.select("request_id", F.explode("changed_paths").alias("changed")).select("request_id", keys("changed"))
+    fits = changed.hint("merge").join(ranked.select("request_id", keys("path")), ["request_id", "key"], "left_semi").select("request_id").distinct().withColumn("fits", F.lit(True))
+    return requests.select("request_id", "changed_paths").hint("merge").join(fits, "request_id", "left").select("request_id", (F.col("fits").isNull() & (F.size("changed_paths") > 0)).alias("gap"))
+
+
+def focus(requests: DataFrame, parts: DataFrame, most: int = fixed.FOCUS_PATHS) -> DataFrame:
+    """request_id and node: the changed paths, or else the first code paths of the evidence."""
+    own = requests.select("request_id", F.explode("changed_paths").alias("node"))
+    code = parts.where("NOT twin AND source_type = 'code'").withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy("place"))).where(F.col("n") <= most)
+    bare = code.hint("merge").join(requests.where(F.size("changed_paths") == 0).select("request_id"), "request_id", "left_semi")
+    return own.unionByName(bare.select("request_id", F.col("path").alias("node"))).distinct()
 
 
 def missing(f: DataFrame) -> DataFrame:
@@ -79,20 +89,15 @@ def explained(f: DataFrame) -> DataFrame:
     return f.withColumn("explanation", F.format_string("Decision %s based on support score %.2f, blast radius of %d files, and %d missing evidence flags.", "decision", "support", "impacted_files", F.size("missing")))
 
 
-POLICIES = (
-    # fixed values: name, profile, most files, most hazard, least confidence, need test, runbook, precedent, incident precedent, block on incident
-    ("strict", "default", 5, 0.45, 0.55, True, True, True, False, True),
-    ("agile", "open_source", 25, 0.8, None, True, False, False, False, False),
-)
 POLICY_SCHEMA = "policy string, profile string, max_files int, max_hazard double, min_confidence double, need_test boolean, need_runbook boolean, need_precedent boolean, need_incident boolean, block_incident boolean"
 
 
 def policies(spark, *overrides) -> DataFrame:
     """The presets, each column overridden by the first later table (policy and some columns) that has a value."""
-    out = spark.createDataFrame(list(POLICIES), POLICY_SCHEMA)
+    out = spark.createDataFrame(list(fixed.POLICIES), POLICY_SCHEMA)
     for o in overrides:
         names = [c for c in o.columns if c != "policy"]
-        out = out.join(F.broadcast(o.select("policy", *[F.col(c).alias(f"_{c}") for c in names]).limit(1000)), "policy", "left")
+        out = out.hint("merge").join(o.select("policy", *[F.col(c).alias(f"_{c}") for c in names]), "policy", "left")
         out = out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in names else F.col(c) for c in out.columns if not c.startswith("_")])
     return out
 
@@ -112,12 +117,9 @@ def violations(f: DataFrame) -> DataFrame:
     v = lambda c, t: F.when(c, t)
     test, book = F.col("test_support") | F.col("changes_test"), F.col("runbook_support") | F.col("changes_runbook")
     return f.withColumn("violations", F.array_compact(F.array(
-        v(F.col("impacted_files") > F.col("max_files"), F.format_string("Blast radius files %d exceeded policy limit %d.", "impacted_files", "max_files")),
-        v(F.col("hazard") > F.col("max_hazard"), F.format_string("Hazard score %.2f exceeded policy limit %.2f.", "hazard", "max_hazard")),
-        v(F.col("confidence") < F.col("min_confidence"), F.format_string("Confidence %.2f fell below policy minimum %.2f.", "confidence", "min_confidence")),
-        v(F.col("need_test") & ~test, F.lit("Policy requires supporting test evidence.")), v(F.col("need_runbook") & ~book, F.lit("Policy requires runbook or operational evidence.")),
-        v(F.col("need_precedent") & (F.col("n_twins") == 0), F.lit("Policy requires prior precedent.")), v(F.col("need_incident") & ~F.col("incident_twin"), F.lit("Policy requires prior incident precedent.")),
-        v(F.col("block_incident") & F.col("incident_twin"), F.lit("Policy blocks changes that match prior incident precedent.")),
+        v(F.col("impacted_files") > F.col("max_files"), F.format_string(fixed.BREACH_FILES, "impacted_files", "max_files")), v(F.col("hazard") > F.col("max_hazard"), F.format_string(fixed.BREACH_HAZARD, "hazard", "max_hazard")),
+        v(F.col("confidence") < F.col("min_confidence"), F.format_string(fixed.BREACH_CONFIDENCE, "confidence", "min_confidence")), v(F.col("need_test") & ~test, F.lit(fixed.BREACH_TEST)), v(F.col("need_runbook") & ~book, F.lit(fixed.BREACH_RUNBOOK)),
+        v(F.col("need_precedent") & (F.col("n_twins") == 0), F.lit(fixed.BREACH_PRECEDENT)), v(F.col("need_incident") & ~F.col("incident_twin"), F.lit(fixed.BREACH_NO_INCIDENT)), v(F.col("block_incident") & F.col("incident_twin"), F.lit(fixed.BREACH_INCIDENT)),
     )))
 
 

@@ -1,10 +1,9 @@
-"""Hashed-vector and structural scores, and their fusion with lexical hits."""
+"""Hashed vectors, planned queries and the fusion of hits."""
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions import fixed, paths, text
+from assay.functions import paths, text
 from assay.sources.tables import sized
 
 
@@ -32,28 +31,15 @@ def cosines(corpus: DataFrame, requests: DataFrame) -> DataFrame:
     return dots.select("request_id", "path", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("dot"))), 6).alias("score"))
 
 
-def structural(candidates: DataFrame, corpus: DataFrame, requests: DataFrame, spans: DataFrame) -> DataFrame:
-    """Scores of candidates (request_id, path, cosine); spans: path, coverage, hazard and whether it is under the limit.
-
-    Only candidates pay for the 3-gram comparison: the texts join after the ranking.
-    """
-    c = candidates.join(corpus.select("path", "source_type", F.left("content", F.lit(500)).alias("span")), "path").join(requests.select("request_id", "query"), "request_id").join(spans, "path")
-    q, s = text.qgrams(F.col("query")), text.qgrams(F.col("span"))
-    c = c.withColumn("structural", F.round(F.size(F.array_intersect(q, s)) / F.greatest(F.lit(1), F.size(q)), 6))
-    bonus = F.exists(text.tokens(F.col("query")), lambda t: F.contains(F.lower("path"), t))
-    c = c.withColumn("final", F.round(F.least(F.lit(1.0), 0.45 * F.col("structural") + 0.47 * F.col("cosine") + F.when(bonus, 0.08).otherwise(0.0)) + TIE, 6))
-    pattern = 1 - F.col("hazard")
-    score = F.least(F.lit(1.0), 0.45 * F.col("final") + 0.25 * F.col("coverage") + 0.15 * pattern + 0.15 * F.col("cosine"))
-    ok = (F.col("coverage") >= fixed.COVERAGE_MIN) & F.col("calm") & ((F.col("cosine") >= fixed.SEMANTIC_MIN) | (pattern >= fixed.PATTERN_MIN))
-    return c.select("request_id", "path", "source_type", "structural", "final", F.round(score + TIE, 6).alias("score"), ok.alias("verified"))
-
-
 def fused(hits: DataFrame, boosts: DataFrame | None = None) -> DataFrame:
-    """hits (request_id, path, source_type, score, weight, verified) to one row for each path: noisy-or of weighted scores, plus boosts."""
-    w = F.least(F.lit(1.0), F.col("score") * F.col("weight"))
-    out = hits.groupBy("request_id", "path", "source_type").agg(F.round(1 - F.product(1 - w) + TIE, 6).alias("score"), F.bool_or("verified").alias("verified"))
+    """Hits to one row for each path: noisy-or of weighted scores, plus boosts; the best hit, verified ones first, gives snippet and line."""
+    weighted = F.round(F.least(F.lit(1.0), F.col("score") * F.col("weight")) + TIE, 6)
+    best = F.max(F.struct("verified", "w", (-F.col("plan")).alias("p"), (-F.col("line_number")).alias("l"), "snippet"))
+    out = hits.withColumn("w", weighted).groupBy("request_id", "path", "source_type").agg(F.round(1 - F.product(1 - F.col("w")) + TIE, 6).alias("score"), F.bool_or("verified").alias("verified"), best.alias("b"))
+    out = out.select("request_id", "path", "source_type", "score", "verified", F.col("b.snippet").alias("snippet"), (-F.col("b.l")).alias("line_number"))
     if boosts is not None:
-        out = out.join(boosts, ["request_id", "path"], "left").withColumn("score", F.round(F.least(F.lit(1.0), F.col("score") + F.coalesce("boost", F.lit(0.0))), 6)).drop("boost")
+        most = boosts.groupBy("request_id", "path").agg(F.max("boost").alias("boost"))
+        out = out.hint("merge").join(most, ["request_id", "path"], "left").withColumn("score", F.round(F.least(F.lit(1.0), F.col("score") + F.coalesce("boost", F.lit(0.0))), 6)).drop("boost")
     return out
 
 
@@ -63,20 +49,13 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
 
 
 def planned_queries(requests: DataFrame) -> DataFrame:
-    """Each request's queries: its own (weight 1), and of its changed path's words a test query (0.75) and, for front-end files, a component query (0.65)."""
-    words = F.slice(paths.anchor_words(F.col("changed_path")), 1, 8)
+    """Each request's queries: its own (weight 1), and of the words of its first four changed paths a test query (0.75) and, if one is a component, a component query (0.65)."""
+    first = F.slice("changed_paths", 1, 4)
+    words = F.slice(F.array_distinct(F.flatten(F.transform(first, paths.anchor_words))), 1, 8)
+    front = F.exists(first, lambda p: p.rlike(r"\.(jsx|tsx)$"))
     plan = lambda i, q, w, s: F.struct(F.lit(i).alias("plan"), q.alias("query"), F.lit(w).alias("weight"), F.lit(s).alias("support_only"))
-    test = F.when(F.size(words) > 0, plan(1, F.array_join(F.concat(words, F.array(F.lit("test"), F.lit("regression"), F.lit("spec"))), " "), 0.75, True))
-    part = F.when((F.size(words) > 0) & F.col("changed_path").rlike(r"\.(jsx|tsx)$"), plan(2, F.array_join(F.concat(words, F.array(F.lit("component"), F.lit("render"), F.lit("test"))), " "), 0.65, True))
-    return requests.select("request_id", F.explode(F.array_compact(F.array(plan(0, F.col("query"), 1.0, False), test, part))).alias("p")).select("request_id", "p.*")
-
-
-def ratio(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Sequence-matcher ratio of two text columns; for short lists of pairs, in Arrow batches."""
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([round(SequenceMatcher(None, x, y).ratio(), 6) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return pairs.withColumn("ratio", score(left, right))
+    query = lambda *last: F.array_join(F.concat("words", F.array(*[F.lit(x) for x in last])), " ")
+    rows = requests.select("request_id", "query", words.alias("words"), front.alias("front"))
+    test = F.when(F.size("words") > 0, plan(1, query("test", "regression", "spec"), 0.75, True))
+    part = F.when((F.size("words") > 0) & F.col("front"), plan(2, query("component", "render", "test"), 0.65, True))
+    return rows.select("request_id", F.explode(F.array_compact(F.array(plan(0, F.col("query"), 1.0, False), test, part))).alias("p")).select("request_id", "p.*")

@@ -7,24 +7,33 @@ from pyspark.sql import functions as F
 
 from assay.functions import paths
 from assay.sources.shared import written
-from assay.sources.tables import sized
 
+#: Tests that may share a word before it pairs by kinds of tests.
+HOT = 1000
 
-def closure(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """node and its least number of steps from a start node against the edges (src depends on dst); cycles end by themselves.
 
-    Each round joins only the nodes that are new, and is written so that the plan does not grow.
+def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """request_id, node and its least number of steps from the request's start nodes against the edges (src depends on dst), up to a depth; cycles end by themselves.
+
+    edges are a written table. Each round joins only the nodes that are new, and is written so that the plan does not grow.
     """
-    seen = frontier = written(start.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
-    for step in range(1, depth + 1):
-        new = edges.hint("merge").join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
-        frontier = written(new.hint("merge").join(seen, "node", "left_anti").withColumn("depth", F.lit(step)), "frontier")
-        if frontier.isEmpty():
-            break
+    seen = frontier = written(start.select("request_id", "node").distinct().withColumn("depth", F.lit(0)), "frontier")
+    step = 0
+    while step != depth and not frontier.isEmpty():
+        step += 1
+        new = edges.hint("merge").join(frontier.select("request_id", F.col("node").alias("dst")), "dst").select("request_id", F.col("src").alias("node")).distinct()
+        frontier = written(new.hint("merge").join(seen, ["request_id", "node"], "left_anti").withColumn("depth", F.lit(step)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
+def impact(reached: DataFrame) -> DataFrame:
+    """Per request: how many files, tests, docs and runbooks are reached, and the greatest depth."""
+    kind = paths.source_type(F.col("node"))
+    of = lambda k: F.count_if(kind == k).cast("int").alias(f"impacted_{k}s")
+    return reached.groupBy("request_id").agg(F.count("*").cast("int").alias("impacted_files"), of("test"), of("doc"), of("runbook"), F.max("depth").alias("max_depth"))
+
+
 def unioned(*graphs: DataFrame) -> DataFrame:
     """Edges of all graphs without self loops, each once."""
     out = graphs[0]
@@ -39,36 +48,73 @@ def known(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def summary(edges: DataFrame, most: int = 12) -> DataFrame:
-    """Per node its first references and referrers by name, and how many there are."""
-    pair = lambda a, b, name: edges.groupBy(F.col(a).alias("node")).agg(F.count_distinct(b).alias(f"n_{name}"), F.array_join(F.slice(F.array_sort(F.collect_set(b)), 1, most), ",").alias(name))
-    return pair("src", "dst", "references").join(pair("dst", "src", "referrers"), "node", "full").na.fill(0).na.fill("")
+    """Per node its first references and referrers by name, and how many there are; edges are distinct. A hub's neighbours are ranked before they are gathered."""
+    def side(a: str, b: str, name: str) -> DataFrame:
+        rows = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
+        first = rows.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("other"))).where(F.col("n") <= most)
+        some = first.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("other")), ",").alias(name))
+        return rows.groupBy("node").agg(F.count("*").alias(f"n_{name}")).hint("merge").join(some, "node")
+
+    return side("src", "dst", "references").hint("merge").join(side("dst", "src", "referrers"), "node", "full").na.fill(0).na.fill("")
+
 
+def linked_tests(sources: DataFrame, tests: DataFrame, edges: DataFrame | None = None, *, least: float = 0.45, most: int = 5, hot: int = HOT) -> DataFrame:
+    """Best tests of each source path: those that share an anchor word, or a graph edge (which scores 0.8 at least).
 
-def linked_tests(sources: DataFrame, tests: DataFrame, edges: DataFrame | None = None, *, least: float = 0.45, most: int = 5) -> DataFrame:
-    """Best tests of each source path: those that share an anchor word, or a graph edge (which scores 0.8 at least)."""
-    s = sources.select(F.col("path").alias("source"), paths.anchor_words(F.col("path")).alias("source_words"))
-    t = tests.where(paths.is_test(F.col("path"))).select(F.col("path").alias("test"), paths.anchor_words(F.col("path")).alias("test_words"))
-    pairs = s.select("source", F.explode("source_words").alias("word")).join(t.select("test", F.explode("test_words").alias("word")), "word").select("source", "test").distinct().withColumn("near", F.lit(0.0))
+    Words that more than `hot` tests have would pair every source with every test. What a test scores by such words alone depends
+    on which of them it has and on its folders, so of each such kind only the first paths, `most` of them, are candidates: no better test is left out.
+    """
+    s = written(sources.select(F.col("path").alias("source"), paths.anchor_words(F.col("path")).alias("source_words")).distinct(), "sources")
+    t = written(tests.where(paths.is_test(F.col("path"))).select(F.col("path").alias("test"), paths.anchor_words(F.col("path")).alias("test_words")).distinct(), "tests")
+    words = t.select("test", F.explode("test_words").alias("word"))
+    common = written(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("word"), "common")
+    of_source = s.select("source", F.explode("source_words").alias("word"))
+    rare = of_source.hint("merge").join(words.hint("merge").join(common, "word", "left_anti"), "word").select("source", "test")
+    # tests by kind: their common words and their folders
+    kinds = words.hint("merge").join(common, "word").groupBy("test").agg(F.array_sort(F.collect_set("word")).alias("hot_words"))
+    kinds = kinds.withColumn("kind", F.struct("hot_words", F.array_join(F.slice(F.split("test", "/"), F.lit(1), F.size(F.split("test", "/")) - 1), "/").alias("folder")))
+    firsts = written(kinds.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("test"))).where(F.col("n") <= most).select("test", F.explode("hot_words").alias("word")), "kinds")
+    pairs = rare.unionByName(of_source.hint("merge").join(firsts, "word").select("source", "test")).distinct().withColumn("near", F.lit(0.0))
     if edges is not None:
         both = edges.select(F.col("src").alias("source"), F.col("dst").alias("test")).unionByName(edges.select(F.col("dst").alias("source"), F.col("src").alias("test")))
-        pairs = pairs.unionByName(both.withColumn("near", F.lit(0.8))).groupBy("source", "test").agg(F.max("near").alias("near"))
-    full = pairs.join(s, "source").join(t, "test")
+        near = both.hint("merge").join(s.select("source"), "source", "left_semi").withColumn("near", F.lit(0.8))
+        pairs = pairs.unionByName(near).groupBy("source", "test").agg(F.max("near").alias("near"))
+    full = pairs.hint("merge").join(s, "source").hint("merge").join(t, "test")
     scored = full.withColumn("score", F.round(F.greatest("near", paths.link_score(F.col("source"), F.col("test"), F.col("source_words"), F.col("test_words"))), 6)).where(F.col("score") >= least)
     w = Window.partitionBy("source").orderBy(F.desc("score"), "test")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("source", "test", "score", "rank")
 
 
+def support(edges: DataFrame, requests: DataFrame, files: DataFrame, *, least: float = 0.4, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(request_id, path) that may support a request and their boosts: neighbours of its changed paths, and linked tests of both."""
+    changed = written(requests.select("request_id", F.explode("changed_paths").alias("node")).distinct(), "changed")
+    near = written(neighbours(edges, changed).hint("merge").join(files.select(F.col("path").alias("other")), "other", "left_semi"), "near")
+    sources = changed.select(F.col("node").alias("path")).unionByName(near.select(F.col("other").alias("path"))).distinct()
+    linked = written(linked_tests(sources, files, edges, least=least, most=most), "linked")
+    of = lambda rows, c: rows.select("request_id", F.col(c).alias("source")).hint("merge").join(linked, "source")
+    own = of(changed, "node")
+    paths_ = near.select("request_id", F.col("other").alias("path")).unionByName(own.select("request_id", F.col("test").alias("path"))).unionByName(of(near, "other").select("request_id", F.col("test").alias("path")))
+    paths_ = written(paths_.distinct(), "support")
+    boosts = paths_.select("request_id", "path", F.when(paths.is_test(F.col("path")), 0.16).otherwise(0.1).alias("boost")).unionByName(own.select("request_id", F.col("test").alias("path"), (0.12 + 0.18 * F.col("score")).alias("boost")))
+    return paths_, written(boosts.groupBy("request_id", "path").agg(F.max("boost").alias("boost")), "boosts")
+
+
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other")))
-    return both.join(sized(nodes), "node").distinct()
+    return both.hint("merge").join(nodes, "node").distinct()
 
 
 def symbol_edges(defined: DataFrame, referenced: DataFrame) -> DataFrame:
-    """Edges from files that reference a symbol to the closest other file that defines it: most shared folders, least depth, shortest, first."""
-    pairs = referenced.select(F.col("path").alias("src"), "symbol").join(defined.select(F.col("path").alias("dst"), "symbol"), "symbol").where("src <> dst")
-    parts = lambda c: F.split(c, "/")
-    shared = F.size(F.array_intersect(parts(F.col("src")), parts(F.col("dst"))))
-    w = Window.partitionBy("src", "symbol").orderBy(F.desc(shared), F.size(parts(F.col("dst"))), F.length("dst"), "dst")
+    """Edges from files that reference a symbol to the closest other file that defines it: most shared folders, least depth, shortest, first.
+
+    Of the files of one folder only the best two can be chosen (one may be the reference itself), so the others leave before the join.
+    """
+    folders = lambda c: F.slice(F.split(c, "/"), F.lit(1), F.size(F.split(c, "/")) - 1)
+    first = Window.partitionBy("symbol", "folder").orderBy(F.length("dst"), "dst")
+    best = defined.select(F.col("path").alias("dst"), "symbol", F.array_join(folders("path"), "/").alias("folder")).withColumn("n", F.row_number().over(first)).where("n <= 2").select("dst", "symbol")
+    pairs = referenced.select(F.col("path").alias("src"), "symbol").hint("merge").join(written(best, "definers"), "symbol").where("src <> dst")
+    shared = F.size(F.array_intersect(folders(F.col("src")), folders(F.col("dst"))))
+    w = Window.partitionBy("src", "symbol").orderBy(F.desc(shared), F.size(folders(F.col("dst"))), F.length("dst"), "dst")
     return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select("src", "dst", "symbol")
 
 

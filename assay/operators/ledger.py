@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions import text
+from assay.functions import fixed, text
 
 
 def sequences(ledger: DataFrame) -> DataFrame:
@@ -64,10 +64,7 @@ def fingerprint(repo, summary, changed):
     return F.concat_ws("::", F.coalesce(repo, F.lit("")), text.normalized(summary), F.array_join(F.array_sort(changed), "|"))
 
 
-POLICY_LABELS = {"need_test": "Test evidence required", "need_runbook": "Runbook evidence required", "need_precedent": "Precedent required", "need_incident": "Incident precedent required", "block_incident": "Incident match blocks rollout", "max_files": "Blast radius limit", "max_hazard": "Hazard threshold", "min_confidence": "Minimum confidence"}
-
-
 def policy_labels(policies: DataFrame) -> DataFrame:
     kinds = dict(policies.dtypes)
     one = lambda c, label: F.when(F.col(c), F.lit(label)) if kinds[c] == "boolean" else F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{label}: "), F.col(c).cast("string")))
-    return policies.select("policy", F.array_compact(F.array(*[one(c, label) for c, label in POLICY_LABELS.items()])).alias("labels"))
+    return policies.select("policy", F.array_compact(F.array(*[one(c, label) for c, label in fixed.POLICY_LABELS.items()])).alias("labels"))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions import text
+from assay.sources.shared import written
 from assay.sources.tables import sized
 
 
-def query_tokens(requests: DataFrame) -> DataFrame:
-    """request_id, token, query_tf."""
-    return text.token_rows(requests, F.col("query"), "request_id").groupBy("request_id", "token").agg(F.count("*").alias("query_tf"))
+def query_tokens(requests: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
+    """The keys, token and query_tf."""
+    return text.token_rows(requests, F.col("query"), *keys).groupBy(*keys, "token").agg(F.count("*").alias("query_tf"))
 
 
 def postings(corpus: DataFrame) -> DataFrame:
@@ -29,29 +30,26 @@ def idf(df, n):
     return F.log((n + 1) / (1 + df)) + 1.0
 
 
-def scores(corpus: DataFrame, requests: DataFrame) -> DataFrame:
-    """request_id, path and score of every document that shares a token with a request.
+def scores(post: DataFrame, n_documents: int, requests: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
+    """The keys, path and score of every document that shares a token with a request; post: the written postings.
 
-    The requests' vocabulary prunes the postings before they are grouped, and is broadcast only when it is small.
+    The requests' vocabulary prunes the postings; it is broadcast only when it is small.
     """
-    q = query_tokens(requests)
-    n = F.lit(corpus.count())
-    vocabulary = sized(q.select("token").distinct())
-    tokens = text.token_rows(corpus, F.col("content"), "path").withColumn("at", F.lit(1)).unionByName(text.token_rows(corpus, F.replace("path", F.lit("/"), F.lit(" ")), "path").withColumn("at", F.lit(0)))
-    post = tokens.join(vocabulary, "token", "left_semi").groupBy("path", "token").agg(F.sum("at").alias("tf"), F.sum(1 - F.col("at")).alias("path_tf"))
-    df = post.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    weighted = q.join(sized(df), "token", "left").withColumn("idf", idf(F.coalesce("df", F.lit(0)), n))
-    most = weighted.groupBy("request_id").agg(F.sum(F.col("idf") * F.col("query_tf")).alias("most"), F.count("*").alias("n_tokens"))
-    wanted = sized(weighted.join(sized(most), "request_id"))
+    q = written(query_tokens(requests, keys), "query-tokens")
+    vocabulary = sized(written(q.select("token").distinct(), "vocabulary"))
+    df = written(document_frequency(post.join(vocabulary, "token", "left_semi")), "frequencies")
+    weighted = written(q.hint("merge").join(df, "token", "left").withColumn("idf", idf(F.coalesce("df", F.lit(0)), F.lit(n_documents))), "weights")
+    most = weighted.groupBy(*keys).agg(F.sum(F.col("idf") * F.col("query_tf")).alias("most"), F.count("*").alias("n_tokens"))
+    wanted = sized(written(weighted.hint("merge").join(most, list(keys)), "wanted"))
     hits = post.join(wanted, "token")
     overlap = F.least("query_tf", F.greatest("tf", "path_tf")) * F.col("idf")
-    grouped = hits.groupBy("request_id", "path").agg(F.sum(overlap).alias("overlap"), F.count("*").alias("matched"), F.max("most").alias("most"), F.max("n_tokens").alias("n_tokens"))
+    grouped = hits.groupBy(*keys, "path").agg(F.sum(overlap).alias("overlap"), F.count("*").alias("matched"), F.max("most").alias("most"), F.max("n_tokens").alias("n_tokens"))
     score = F.least(F.lit(1.0), 0.6 * F.col("matched") / F.col("n_tokens") + 0.4 * F.least(F.lit(1.0), F.col("overlap") / F.col("most")))
-    return grouped.where("overlap > 0").select("request_id", "path", F.round(score, 6).alias("score"))
+    return grouped.where("overlap > 0").select(*keys, "path", F.round(score, 6).alias("score"))
 
 
-def top(scored: DataFrame, k: int, by: str = "request_id") -> DataFrame:
-    w = Window.partitionBy(by).orderBy(F.desc("score"), "path")
+def top(scored: DataFrame, k: int, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "path")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -63,11 +61,15 @@ def baseline(ranked: DataFrame, least: float = 0.32) -> DataFrame:
     )
 
 
-def best_lines(corpus: DataFrame, requests: DataFrame, hits: DataFrame) -> DataFrame:
-    """For each hit the line with the most of the request's tokens as substrings; the first such line, 240 characters of it."""
-    q = query_tokens(requests).groupBy("request_id").agg(F.collect_set("token").alias("tokens"))
-    found = hits.select("request_id", "path").join(corpus.select("path", "content"), "path").join(sized(q), "request_id")
-    rows = found.select("request_id", "path", "tokens", F.posexplode(text.lines(F.col("content"))).alias("line", "text")).withColumn("clean", text.collapsed(F.col("text"))).where("clean <> ''")
+def best_lines(corpus: DataFrame, requests: DataFrame, hits: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
+    """For each hit the line with the most of the request's tokens as substrings; the first such line, 240 characters of it.
+
+    Only the lines of documents that are hits are cut, and a document's lines travel once for all its hits.
+    """
+    hits = written(hits.select(*keys, "path").distinct(), "hits")
+    q = written(query_tokens(requests, keys).groupBy(*keys).agg(F.collect_set("token").alias("tokens")), "tokens")
+    found = corpus.select("path", "content").hint("merge").join(hits, "path").join(sized(q), list(keys))
+    rows = found.select(*keys, "path", "tokens", F.posexplode(text.lines(F.col("content"))).alias("line", "text")).withColumn("clean", text.collapsed(F.col("text"))).where("clean <> ''")
     n = F.size(F.filter("tokens", lambda t: F.contains(F.lower("clean"), t)))
-    best = rows.groupBy("request_id", "path").agg(F.max_by(F.struct("line", "clean"), F.struct(n.alias("n"), (-F.col("line")).alias("l"))).alias("b"))
-    return best.select("request_id", "path", (F.col("b.line") + 1).alias("line_number"), F.left("b.clean", F.lit(240)).alias("snippet"))
+    best = rows.groupBy(*keys, "path").agg(F.max_by(F.struct("line", "clean"), F.struct(n.alias("n"), (-F.col("line")).alias("l"))).alias("b"))
+    return best.select(*keys, "path", (F.col("b.line") + 1).alias("line_number"), F.left("b.clean", F.lit(240)).alias("snippet"))

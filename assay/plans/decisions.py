@@ -5,46 +5,96 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.functions import fixed, paths
-from assay.operators import decide, fusion, lexical, spans
-from assay.plans.lexical import SCORES_SQL
-from assay.plans.spans import windows_sql
-from assay.sources.shared import written
-from assay.sources.tables import corpus, requests
+from assay.operators import decide, fusion, graph, hybrid, lexical
+from assay.plans import rules
+from assay.plans.lexical import postings
+from assay.sources.shared import once, written
+from assay.sources.tables import corpus, edges, requests
 
+KEYS = ("request_id", "plan")
 
-def _cosine_hits(spark, d):
-    return lexical.top(fusion.cosines(corpus(spark, d), requests(spark, d)), 12)
 
+def _index(spark, d):
+    return once(spark, d, "span-index", lambda: hybrid.indexed(once(spark, d, "corpus", lambda: corpus(spark, d))))
 
-def _span_facts(spark, d):
-    w = written(spans.windows(corpus(spark, d), "path", "content").select("path", "hazard"), "hazards")
-    limit = spans.hazard_threshold(w)
-    cov = spans.coverage(w, limit, "path").select("path", "coverage")
-    top = F.greatest(F.lit(fixed.HAZARD_FLOOR), F.lit(limit.first().threshold or 0.0))
-    return w.groupBy("path").agg(F.round(F.avg("hazard"), 6).alias("hazard")).join(cov, "path").withColumn("calm", F.col("hazard") <= top)
 
+def _planned(spark, d):
+    return once(spark, d, "planned", lambda: fusion.planned_queries(requests(spark, d)))
 
-def _structural(spark, d):
-    return fusion.structural(_cosine_hits(spark, d).select("request_id", "path", F.col("score").alias("cosine")), corpus(spark, d), requests(spark, d), _span_facts(spark, d))
+
+def _spans(spark, d):
+    return once(spark, d, "best-spans", lambda: hybrid.evaluated(hybrid.best_spans(_index(spark, d), _planned(spark, d), rules.MATCH)))
+
+
+def _lexical(spark, d):
+    """Lexical hits of all planned queries, with their best lines."""
+    c = once(spark, d, "corpus", lambda: corpus(spark, d))
+
+    def make():
+        planned = _planned(spark, d)
+        hits = written(lexical.top(lexical.scores(postings(spark, d), c.count(), planned, KEYS), rules.MATCH, KEYS), "lexical")
+        lines = lexical.best_lines(c, planned, hits, KEYS)
+        out = hits.hint("merge").join(lines, [*KEYS, "path"])
+        return out.select(*KEYS, "path", paths.source_type(F.col("path")).alias("source_type"), "score", F.lit(False).alias("verified"), "snippet", "line_number")
+
+    return once(spark, d, "lexical-hits", make)
+
+
+def _support(spark, d):
+    names = []
+
+    def make(i):
+        def run():
+            if not names:
+                names.extend(graph.support(edges(spark, d), requests(spark, d), once(spark, d, "corpus", lambda: corpus(spark, d)).select("path")))
+            return names[i]
+
+        return run
+
+    return once(spark, d, "support", make(0)), once(spark, d, "boosts", make(1))
 
 
 def _hits(spark, d):
-    s = _structural(spark, d).select("request_id", "path", "source_type", "score", F.lit(1.0).alias("weight"), "verified")
-    x = lexical.top(lexical.scores(corpus(spark, d), requests(spark, d)), 12)
-    x = x.select("request_id", "path", paths.source_type(F.col("path")).alias("source_type"), "score", F.lit(0.75).alias("weight"), F.lit(False).alias("verified"))
-    return written(fusion.ranked(fusion.fused(s.unionByName(x)), 10), "hits")
+    support, boosts = _support(spark, d)
+    return once(spark, d, "hits", lambda: hybrid.search(_spans(spark, d), _lexical(spark, d), _planned(spark, d), support, boosts, rules.FINAL))
+
+
+def _query_hits(spark, d):
+    """Hits of the requests as plain queries, without their changed paths."""
+    only = lambda rows: rows.where("plan = 0")
+    none = _hits(spark, d).select("request_id", "path", F.lit(0.0).alias("boost")).limit(0)
+    return once(spark, d, "query-hits", lambda: hybrid.search(only(_spans(spark, d)), only(_lexical(spark, d)), only(_planned(spark, d)), none, none, rules.FINAL))
+
+
+def _reached(spark, d, kind):
+    """Files that each request reaches: from its changed paths, or as a plain query from its first code paths."""
+
+    def make():
+        r, hits = _asked(spark, d, kind)
+        return graph.closure(edges(spark, d), decide.focus(r, decide.split(hits)))
+
+    return once(spark, d, f"reached-{kind}", make)
+
+
+def _asked(spark, d, kind):
+    r = requests(spark, d)
+    if kind == "change":
+        return r, _hits(spark, d)
+    return r.withColumn("changed_paths", F.array().cast("array<string>")), _query_hits(spark, d)
+
 
+def _features(spark, d, kind="change"):
+    def make():
+        r, hits = _asked(spark, d, kind)
+        f = decide.features(decide.split(hits), r).hint("merge").join(decide.alignment(r, hits), "request_id")
+        reach = graph.impact(_reached(spark, d, kind))
+        return f.hint("merge").join(reach, "request_id", "left").na.fill(0, ["impacted_files", "impacted_tests", "impacted_docs", "impacted_runbooks", "max_depth"])
 
-def _features(spark, d):
-    r, hits = requests(spark, d), _hits(spark, d)
-    f = decide.features(decide.split(hits), r, corpus(spark, d)).join(decide.alignment(r, hits), "request_id")
-    # the files that a request touches: its own, and its item number modulo 9 more
-    n = F.pmod("request_id", F.lit(9))
-    return f.withColumn("impacted_files", (1 + n).cast("int")).withColumn("impacted_tests", F.pmod("request_id", F.lit(3)).cast("int"))
+    return once(spark, d, f"features-{kind}", make)
 
 
-def _decisions(spark, d):
-    return decide.explained(decide.decided(decide.missing(_features(spark, d))))
+def _decisions(spark, d, kind="change"):
+    return decide.explained(decide.decided(decide.missing(_features(spark, d, kind))))
 
 
 def _actions(spark, d):
@@ -52,26 +102,38 @@ def _actions(spark, d):
     return decide.retry_text(decide.acted(decide.violations(decide.recalibrated(both))))
 
 
+def span_index(spark, d):
+    return _index(spark, d).select("path", "kind", "line_number", F.md5("text").alias("text_md5"), "occurrences", "hazard", "coverage", "calm")
+
+
 def hashed_cosine_topk(spark, d):
-    return _cosine_hits(spark, d)
+    """The best spans of each request's own query, by final score; cosine is that of the hashed vectors."""
+    return _spans(spark, d).where("plan = 0").select("request_id", "path", "kind", "line_number", "cosine", "rank")
 
 
 def structural_score(spark, d):
-    return _structural(spark, d)
+    return _spans(spark, d).select("request_id", "plan", "path", "kind", "line_number", "structural", "final", "score", "verified", "rank")
 
 
-def sequence_ratio(spark, d):
-    c = corpus(spark, d).select("path", F.left("content", F.lit(300)).alias("span"))
-    pairs = _cosine_hits(spark, d).where("rank <= 3").select("request_id", "path").join(c, "path").join(requests(spark, d).select("request_id", F.left("query", F.lit(300)).alias("query")), "request_id")
-    return fusion.ratio(pairs, "query", "span").select("request_id", "path", "ratio")
+def best_span_snippets(spark, d):
+    return _spans(spark, d).where("rank <= 3").select("request_id", "plan", "rank", "path", "line_number", "snippet")
 
 
 def query_plan_expansion(spark, d):
-    return fusion.planned_queries(requests(spark, d))
+    return _planned(spark, d)
+
+
+def support_candidates(spark, d):
+    """Paths that may support a request: neighbours of its changed paths, and linked tests of both."""
+    return _support(spark, d)[0].select("request_id", "path")
+
+
+def support_boosts(spark, d):
+    return _support(spark, d)[1].select("request_id", "path", F.round("boost", 6).alias("boost"))
 
 
 def rank_fusion(spark, d):
-    return _hits(spark, d)
+    return _hits(spark, d).select("request_id", "path", "source_type", "score", "verified", "line_number", "snippet", "rank")
 
 
 def evidence_twin_split(spark, d):
@@ -91,6 +153,15 @@ def warning_evidence(spark, d):
     return _features(spark, d).select("request_id", "warning", "changes_test", "changes_frontend")
 
 
+def impact_summary(spark, d):
+    """Files that each request reaches, by kind, with the greatest depth."""
+    return graph.impact(_reached(spark, d, "change"))
+
+
+def impacted_paths(spark, d):
+    return _reached(spark, d, "change").select("request_id", F.col("node").alias("path"), "depth")
+
+
 def missing_evidence(spark, d):
     return decide.missing(_features(spark, d)).select("request_id", F.array_join("missing", "|").alias("missing"))
 
@@ -103,6 +174,19 @@ def decide_requests(spark, d):
     return _decisions(spark, d).select("request_id", "decision", "explanation")
 
 
+def decide_queries(spark, d):
+    """The requests as plain queries: no changed paths, the blast radius of their first code evidence."""
+    return _decisions(spark, d, "query").select("request_id", "decision", "hazard", "confidence", "impacted_files", F.array_join("missing", "|").alias("missing"))
+
+
+def decision_records(spark, d):
+    """Whole records: decision, evidence and twins with snippets and lines, blast radius and notes, as one row for each request."""
+    parts = decide.split(_hits(spark, d)).withColumn("cell", F.concat_ws(":", "place", "path", F.col("line_number").cast("string"), F.md5("snippet")))
+    cells = lambda twin: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("twin") == twin, F.struct("place", "cell")))), lambda x: x["cell"]), "|")
+    spans = parts.groupBy("request_id").agg(cells(False).alias("evidence"), cells(True).alias("twins"))
+    return _decisions(spark, d).hint("merge").join(spans, "request_id", "left").select("request_id", "decision", "evidence", "twins", "impacted_files", "impacted_tests", "max_depth", F.array_join("missing", "|").alias("missing"))
+
+
 def policy_violations(spark, d):
     return _actions(spark, d).select("request_id", "policy", F.array_join("violations", "|").alias("violations"))
 
@@ -117,69 +201,76 @@ def healing_prompt(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (hashed_cosine_topk, structural_score, sequence_ratio, query_plan_expansion, rank_fusion, evidence_twin_split, support_score, alignment_gap, warning_evidence, missing_evidence, hazard_confidence, decide_requests, policy_violations, action_decisions, healing_prompt)
+    for f in (
+        span_index, hashed_cosine_topk, structural_score, best_span_snippets, query_plan_expansion, support_candidates, support_boosts, rank_fusion, evidence_twin_split, support_score, alignment_gap, warning_evidence,
+        impact_summary, impacted_paths, missing_evidence, hazard_confidence, decide_requests, decide_queries, decision_records, policy_violations, action_decisions, healing_prompt,
+    )
 }
 
-_G = "list_distinct(list_transform(generate_series(1, greatest(length({0}) - 2, 1)), lambda i: {0}[i:i + 2]))"
-_NORM = "' ' || lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))) || ' '"
-_COS = f"""WITH {SCORES_SQL},
-dv AS (SELECT path, CAST('0x' || md5(token)[1:2] AS INTEGER) b, count(*) c FROM ct GROUP BY ALL), qv AS (SELECT request_id, CAST('0x' || md5(token)[1:2] AS INTEGER) b, count(*) c FROM qt GROUP BY ALL),
-dn AS (SELECT path, sqrt(sum(c * c)) n FROM dv GROUP BY path), qn AS (SELECT request_id, sqrt(sum(c * c)) n FROM qv GROUP BY request_id),
-cos AS (SELECT request_id, path, round(least(1.0, sum(dv.c / dn.n * (qv.c / qn.n))), 6) score FROM dv JOIN dn USING (path) JOIN qv USING (b) JOIN qn USING (request_id) GROUP BY ALL),
-ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, path) rank FROM cos) WHERE rank <= 12)"""
-_ST = f"""{_COS}, {windows_sql('w', 'docs', 'path', 'content')},
-lim AS (SELECT round(list_sort(list(hazard))[CAST(floor(0.8 * (count(*) - 1)) AS BIGINT) + 1], 6) threshold FROM w),
-facts AS (SELECT path, round(avg(hazard), 6) hazard, round(avg(CASE WHEN round(hazard, 6) <= (SELECT threshold FROM lim) THEN 1.0 ELSE 0.0 END), 6) coverage FROM w GROUP BY path),
-g AS (SELECT request_id, path, source_type, score cosine, coverage, hazard, {_G.format('q')} q, {_G.format('s')} s, bonus FROM (SELECT ch.request_id, path, source_type, ch.score, coverage, hazard, {_NORM.format('query')} q, {_NORM.format('content[:500]')} s,
-  EXISTS (SELECT 1 FROM qt WHERE qt.request_id = ch.request_id AND contains(lower(path), token)) bonus FROM ch JOIN docs USING (path) JOIN reqs USING (request_id) JOIN facts USING (path))),
-f AS (SELECT *, round(len(list_intersect(q, s)) / greatest(1, len(q)), 6) structural FROM g),
-f2 AS (SELECT *, round(least(1.0, 0.45 * structural + 0.47 * cosine + CASE WHEN bonus THEN 0.08 ELSE 0 END) + 1e-9, 6) final FROM f),
-st AS (SELECT request_id, path, source_type, structural, final, round(least(1.0, 0.45 * final + 0.25 * coverage + 0.15 * (1 - hazard) + 0.15 * cosine) + 1e-9, 6) score,
-  coverage >= 0.5 AND hazard <= greatest(0.75, (SELECT threshold FROM lim)) AND (cosine >= 0.08 OR 1 - hazard >= 0.08) verified FROM f2)"""
-_HITS = f"""{_ST},
-fu AS (SELECT request_id, path, source_type, round(1 - product(1 - least(1.0, score * weight)) + 1e-9, 6) score, bool_or(verified) verified FROM
-  (SELECT request_id, path, source_type, score, 1.0 weight, verified FROM st UNION ALL SELECT request_id, path, source_type, score, 0.75, FALSE FROM ranked JOIN docs USING (path)) GROUP BY ALL),
-hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY verified DESC, score DESC, path) rank FROM fu) WHERE rank <= 10)"""
-_PARTS = f"""{_HITS},
-tw AS (SELECT *, source_type IN ('pr', 'incident') twin FROM hits), pl AS (SELECT *, row_number() OVER (PARTITION BY request_id, twin ORDER BY rank) place, count(*) FILTER (WHERE NOT twin) OVER (PARTITION BY request_id) plain FROM tw),
-parts AS (SELECT request_id, path, source_type, twin, place, score, verified FROM pl WHERE place <= CASE WHEN twin THEN 3 ELSE 5 END UNION ALL SELECT request_id, path, source_type, FALSE, rank, score, verified FROM pl WHERE plain = 0 AND rank <= 5)"""
-_FEATURES = f"""{_PARTS},
-bp AS (SELECT *, row_number() OVER (PARTITION BY request_id, twin ORDER BY score DESC, path) best FROM parts LEFT JOIN (SELECT path, content FROM docs) USING (path)),
-ft AS (SELECT request_id, count(*) FILTER (WHERE NOT twin) n_evidence, count(*) FILTER (WHERE twin) n_twins, round(coalesce(avg(score) FILTER (WHERE NOT twin AND best <= 3), 0) + 1e-9, 6) support, bool_or(NOT twin AND verified) any_verified,
+_ST, _HITS = rules.STRUCTURAL_SQL, rules.HITS_SQL
+_QUERY_HITS = f"""{_HITS}, qf AS (SELECT request_id, path, source_type, round(1 - product(1 - w) + 1e-9, 6) score, bool_or(verified) verified, max((verified, w, -plan, -line_number, snippet)) b FROM aw WHERE plan = 0 GROUP BY ALL),
+qh AS (SELECT request_id, path, source_type, score, verified, b[5] snippet, -b[4] line_number, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY verified DESC, score DESC, path) rank FROM qf) WHERE rank <= {rules.FINAL})"""
+
+
+def _features_sql(hits: str, n: str, base: str, changed: str) -> str:
+    """Parts, features, notes and decisions over a table of hits; n is put after the names; changed: the requests' changed paths."""
+    some = lambda pattern: f"len(list_filter({changed}, lambda x: {pattern})) > 0"
+    test, front = "contains('/' || x, '/tests/') OR contains(x, '.test.')", "regexp_matches(x, '\\.(tsx|jsx)$') OR (regexp_matches(x, '\\.(js|ts|mjs|cjs|mts|cts)$') AND regexp_matches('/' || x, '/(app|apps|components|pages|routes|web|ui)/'))"
+    return f"""{base},
+tw{n} AS (SELECT *, source_type IN ('pr', 'incident') twin FROM {hits}), pl{n} AS (SELECT *, row_number() OVER (PARTITION BY request_id, twin ORDER BY rank) place, count(*) FILTER (WHERE NOT twin) OVER (PARTITION BY request_id) plain FROM tw{n}),
+parts{n} AS (SELECT request_id, path, source_type, twin, place, score, verified, snippet, line_number FROM pl{n} WHERE place <= CASE WHEN twin THEN 3 ELSE 5 END UNION ALL SELECT request_id, path, source_type, FALSE, rank, score, verified, snippet, line_number FROM pl{n} WHERE plain = 0 AND rank <= 5),
+bp{n} AS (SELECT *, row_number() OVER (PARTITION BY request_id, twin ORDER BY score DESC, path) best FROM parts{n}),
+ft{n} AS (SELECT request_id, count(*) FILTER (WHERE NOT twin) n_evidence, count(*) FILTER (WHERE twin) n_twins, round(coalesce(avg(score) FILTER (WHERE NOT twin AND best <= 3), 0) + 1e-9, 6) support, bool_or(NOT twin AND verified) any_verified,
   bool_or(NOT twin AND source_type = 'test') test_support, bool_or(NOT twin AND source_type = 'runbook') runbook_support, bool_or(NOT twin AND verified AND source_type IN ('code', 'test', 'runbook')) vcl, bool_or(NOT twin AND verified AND source_type = 'code') vc,
-  bool_or(NOT twin AND verified AND source_type IN ('doc', 'test')) v2, bool_or(twin AND source_type = 'incident') incident_twin, bool_or(NOT twin AND place <= 3 AND regexp_matches(lower(path) || ' ' || lower(content[:240]), '{"|".join(fixed.WARNING_TERMS)}')) warning FROM bp GROUP BY request_id),
-ga AS (SELECT request_id, NOT EXISTS (SELECT 1 FROM hits WHERE hits.request_id = reqs.request_id AND (path = changed_path OR regexp_extract(path, '([^/]*)\\.[^.]*$', 1) = regexp_extract(changed_path, '([^/]*)\\.[^.]*$', 1))) gap FROM reqs),
-fe AS (SELECT request_id, changed_path, coalesce(n_evidence, 0) n_evidence, coalesce(n_twins, 0) n_twins, coalesce(support, 0) support, coalesce(any_verified, FALSE) any_verified, coalesce(test_support, FALSE) test_support, coalesce(runbook_support, FALSE) runbook_support,
-  coalesce(vcl, FALSE) vcl, coalesce(vc, FALSE) vc, coalesce(v2, FALSE) v2, coalesce(incident_twin, FALSE) incident_twin, coalesce(warning, FALSE) warning, gap, CAST(1 + request_id % 9 AS INTEGER) files, CAST(request_id % 3 AS INTEGER) tests FROM reqs LEFT JOIN ft USING (request_id) JOIN ga USING (request_id)),
-mi AS (SELECT *, list_filter([CASE WHEN n_evidence = 0 THEN '{fixed.NOTE_NO_EVIDENCE}' END, CASE WHEN n_evidence > 0 AND NOT any_verified THEN '{fixed.NOTE_UNVERIFIED}' END, CASE WHEN gap THEN '{fixed.NOTE_GAP}' END, CASE WHEN warning THEN '{fixed.NOTE_WARNING}' END,
-  CASE WHEN NOT test_support THEN '{fixed.NOTE_NO_TEST}' END, CASE WHEN NOT runbook_support THEN '{fixed.NOTE_NO_RUNBOOK}' END, CASE WHEN n_twins = 0 THEN '{fixed.NOTE_NO_PRECEDENT}' END], lambda x: x IS NOT NULL) missing FROM fe),
-de AS (SELECT *, round(least(1.0, greatest(0.0, 0.65 - support + 0.08 * len(missing) + 0.02 * greatest(0, files - 5))) + 1e-9, 6) hazard,
+  bool_or(NOT twin AND verified AND source_type IN ('doc', 'test')) v2, bool_or(twin AND source_type = 'incident') incident_twin, bool_or(NOT twin AND place <= 3 AND regexp_matches(lower(path || ' ' || snippet), '{"|".join(fixed.WARNING_TERMS)}')) warning FROM bp{n} GROUP BY request_id),
+ga{n} AS (SELECT request_id, len({changed}) > 0 AND NOT EXISTS (SELECT 1 FROM {hits} h, (SELECT request_id r, unnest({changed}) p FROM reqs) c WHERE h.request_id = reqs.request_id AND c.r = reqs.request_id AND (path = p OR {rules.stem_sql('path')} = {rules.stem_sql('p')})) gap FROM reqs),
+fo{n} AS (SELECT request_id, unnest({changed}) node FROM reqs UNION SELECT request_id, path FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY place) k FROM parts{n} JOIN reqs USING (request_id) WHERE NOT twin AND source_type = 'code' AND len({changed}) = 0) WHERE k <= 2),
+wa{n} AS (SELECT request_id, node, 0 depth FROM fo{n} UNION SELECT request_id, src, depth + 1 FROM wa{n} JOIN edges ON dst = node WHERE depth < 20), re{n} AS (SELECT request_id, node, min(depth) depth FROM wa{n} GROUP BY ALL),
+im{n} AS (SELECT request_id, count(*) files, count(*) FILTER (WHERE contains('/' || node, '/tests/') OR contains(node, '.test.')) tests, count(*) FILTER (WHERE node LIKE 'docs/%') docs, count(*) FILTER (WHERE node LIKE 'runbooks/%') runbooks, max(depth) max_depth FROM re{n} GROUP BY request_id),
+fe{n} AS (SELECT request_id, coalesce(n_evidence, 0) n_evidence, coalesce(n_twins, 0) n_twins, coalesce(support, 0) support, coalesce(any_verified, FALSE) any_verified, coalesce(test_support, FALSE) test_support, coalesce(runbook_support, FALSE) runbook_support,
+  coalesce(vcl, FALSE) vcl, coalesce(vc, FALSE) vc, coalesce(v2, FALSE) v2, coalesce(incident_twin, FALSE) incident_twin, coalesce(warning, FALSE) warning, gap, coalesce(files, 0) files, coalesce(tests, 0) tests, coalesce(max_depth, 0) max_depth,
+  {some(test)} changes_test, {some("contains(x, 'runbook')")} changes_runbook, {some(front)} changes_frontend FROM reqs LEFT JOIN ft{n} USING (request_id) JOIN ga{n} USING (request_id) LEFT JOIN im{n} USING (request_id)),
+mi{n} AS (SELECT *, list_filter([CASE WHEN n_evidence = 0 THEN '{fixed.NOTE_NO_EVIDENCE}' END, CASE WHEN n_evidence > 0 AND NOT any_verified THEN '{fixed.NOTE_UNVERIFIED}' END, CASE WHEN gap THEN '{fixed.NOTE_GAP}' END, CASE WHEN warning THEN '{fixed.NOTE_WARNING}' END,
+  CASE WHEN test_support OR changes_test THEN NULL WHEN changes_frontend AND tests > 0 THEN '{fixed.NOTE_NO_FRONTEND_TEST}' ELSE '{fixed.NOTE_NO_TEST}' END, CASE WHEN NOT runbook_support AND NOT changes_runbook THEN '{fixed.NOTE_NO_RUNBOOK}' END, CASE WHEN n_twins = 0 THEN '{fixed.NOTE_NO_PRECEDENT}' END], lambda x: x IS NOT NULL) missing FROM fe{n}),
+de{n} AS (SELECT *, round(least(1.0, greatest(0.0, 0.65 - support + 0.08 * len(missing) + 0.02 * greatest(0, files - 5))) + 1e-9, 6) hazard,
   round(least(1.0, greatest(0.0, support + CASE WHEN n_twins > 0 THEN 0.05 ELSE 0 END + CASE WHEN test_support THEN 0.05 ELSE 0 END + CASE WHEN runbook_support THEN 0.05 ELSE 0 END - 0.03 * greatest(0, files - 4))) + 1e-9, 6) confidence,
   CASE WHEN gap THEN 'escalate' WHEN warning AND NOT (vcl AND test_support AND n_twins > 0) THEN 'escalate' WHEN n_evidence >= 2 AND support >= 0.25 AND (n_twins > 0 OR (test_support AND runbook_support)) AND len(missing) <= 1 THEN 'admit'
-  WHEN n_evidence >= 1 AND support >= 0.12 THEN 'escalate' ELSE 'abstain' END decision FROM mi)"""
+  WHEN n_evidence >= 1 AND support >= 0.12 THEN 'escalate' ELSE 'abstain' END decision FROM mi{n})"""
+
+
+_FEATURES = _features_sql("hits", "", _HITS.replace("WITH ", "WITH RECURSIVE ", 1), "changed_paths")
+_QUERY = _features_sql("qh", "_q", _QUERY_HITS.replace("WITH ", "WITH RECURSIVE ", 1), "CAST([] AS VARCHAR[])")
 _lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-_ACTIONS = f"""{_FEATURES}, po(policy, profile, max_files, max_hazard, min_confidence, need_test, need_runbook, need_precedent, need_incident, block_incident) AS (VALUES {", ".join("(" + ", ".join(map(_lit, p)) + ")" for p in decide.POLICIES)}),
+_format = lambda t: t.replace("%d", "{}").replace("%.2f", "{:.2f}")
+_ACTIONS = f"""{_FEATURES}, po(policy, profile, max_files, max_hazard, min_confidence, need_test, need_runbook, need_precedent, need_incident, block_incident) AS (VALUES {", ".join("(" + ", ".join(map(_lit, p)) + ")" for p in fixed.POLICIES)}),
 rc AS (SELECT * EXCLUDE (missing), CASE WHEN profile = 'open_source' THEN list_filter(missing, lambda x: x NOT IN ('{fixed.NOTE_NO_RUNBOOK}', '{fixed.NOTE_NO_PRECEDENT}')) ELSE missing END missing FROM de CROSS JOIN po),
-ad AS (SELECT * EXCLUDE (decision), CASE WHEN profile = 'open_source' AND NOT gap AND NOT warning AND n_evidence >= 2 AND support >= 0.25 AND vc AND v2 AND (NOT need_test OR test_support) THEN 'admit' ELSE decision END decision FROM rc),
-vi AS (SELECT *, list_filter([CASE WHEN files > max_files THEN format('Blast radius files {{}} exceeded policy limit {{}}.', files, max_files) END, CASE WHEN hazard > max_hazard THEN format('Hazard score {{:.2f}} exceeded policy limit {{:.2f}}.', hazard, CAST(max_hazard AS DOUBLE)) END,
-  CASE WHEN confidence < min_confidence THEN format('Confidence {{:.2f}} fell below policy minimum {{:.2f}}.', confidence, CAST(min_confidence AS DOUBLE)) END, CASE WHEN need_test AND NOT test_support THEN 'Policy requires supporting test evidence.' END,
-  CASE WHEN need_runbook AND NOT runbook_support THEN 'Policy requires runbook or operational evidence.' END, CASE WHEN need_precedent AND n_twins = 0 THEN 'Policy requires prior precedent.' END, CASE WHEN need_incident AND NOT incident_twin THEN 'Policy requires prior incident precedent.' END,
-  CASE WHEN block_incident AND incident_twin THEN 'Policy blocks changes that match prior incident precedent.' END], lambda x: x IS NOT NULL) violations FROM ad),
+ad AS (SELECT * EXCLUDE (decision), CASE WHEN profile = 'open_source' AND NOT gap AND NOT warning AND NOT list_contains(missing, '{fixed.NOTE_NO_FRONTEND_TEST}') AND n_evidence >= 2 AND support >= 0.25 AND vc AND v2 AND (NOT need_test OR test_support OR changes_test) THEN 'admit' ELSE decision END decision FROM rc),
+vi AS (SELECT *, list_filter([CASE WHEN files > max_files THEN format('{_format(fixed.BREACH_FILES)}', files, max_files) END, CASE WHEN hazard > max_hazard THEN format('{_format(fixed.BREACH_HAZARD)}', hazard, CAST(max_hazard AS DOUBLE)) END,
+  CASE WHEN confidence < min_confidence THEN format('{_format(fixed.BREACH_CONFIDENCE)}', confidence, CAST(min_confidence AS DOUBLE)) END, CASE WHEN need_test AND NOT test_support AND NOT changes_test THEN '{fixed.BREACH_TEST}' END,
+  CASE WHEN need_runbook AND NOT runbook_support AND NOT changes_runbook THEN '{fixed.BREACH_RUNBOOK}' END, CASE WHEN need_precedent AND n_twins = 0 THEN '{fixed.BREACH_PRECEDENT}' END, CASE WHEN need_incident AND NOT incident_twin THEN '{fixed.BREACH_NO_INCIDENT}' END,
+  CASE WHEN block_incident AND incident_twin THEN '{fixed.BREACH_INCIDENT}' END], lambda x: x IS NOT NULL) violations FROM ad),
 ac AS (SELECT * EXCLUDE (decision, missing), CASE WHEN len(violations) > 0 THEN 'escalate' ELSE decision END decision, list_concat(missing, list_transform(violations, lambda x: 'Safety policy violation: ' || x)) missing FROM vi)"""
+_CELLS = lambda twin: f"coalesce(string_agg(place || ':' || path || ':' || line_number || ':' || md5(snippet), '|' ORDER BY place) FILTER (WHERE {twin}), '')"
 ORACLE_SQL = {
-    "hashed_cosine_topk": f"{_COS} SELECT request_id, path, score, CAST(rank AS INTEGER) rank FROM ch",
-    "structural_score": f"{_ST} SELECT * FROM st",
-    "query_plan_expansion": """WITH r AS (SELECT item_id request_id, coalesce(text, '') query, CASE WHEN item_id % 2 = 0 THEN 'src' ELSE 'docs' END t, 'src' || (item_id % 20) s, CAST(item_id * 6 AS VARCHAR) n FROM benchmark),
-        w AS (SELECT *, list_sort(list_distinct(list_filter([t, s, 'doc', n, 'doc' || n], lambda x: length(x) >= 3 AND x <> 'src'))) words FROM r)
-        SELECT request_id, 0 plan, query, 1.0::DOUBLE weight, FALSE support_only FROM w UNION ALL SELECT request_id, 1, array_to_string(list_concat(words[:8], ['test', 'regression', 'spec']), ' '), 0.75, TRUE FROM w""",
-    "rank_fusion": f"{_HITS} SELECT request_id, path, source_type, score, verified, CAST(rank AS INTEGER) rank FROM hits",
-    "evidence_twin_split": f"{_PARTS} SELECT request_id, path, twin, CAST(place AS INTEGER) place, score, verified FROM parts",
+    "span_index": f"{_ST} SELECT path, kind, CAST(line_number AS INTEGER) line_number, md5(text) text_md5, CAST(occurrences AS INTEGER) occurrences, coalesce(hazard, 1) hazard, coalesce(coverage, 0) coverage, coalesce(hazard, 1) <= greatest(0.75, (SELECT threshold FROM lim)) calm FROM sp LEFT JOIN fa USING (span)",
+    "hashed_cosine_topk": f"{_ST} SELECT request_id, path, kind, CAST(line_number AS INTEGER) line_number, cosine, CAST(rank AS INTEGER) rank FROM sm WHERE plan = 0",
+    "structural_score": f"{_ST} SELECT request_id, plan, path, kind, CAST(line_number AS INTEGER) line_number, structural, final, score, verified, CAST(rank AS INTEGER) rank FROM ss",
+    "best_span_snippets": f"{_ST} SELECT request_id, plan, CAST(rank AS INTEGER) rank, path, CAST(line_number AS INTEGER) line_number, snippet FROM ss WHERE rank <= 3",
+    "query_plan_expansion": f"WITH {rules.CORPUS_SQL}, {rules.REQUESTS_SQL}, {rules.PLANNED_SQL} SELECT request_id, plan, query, weight, support_only FROM pq",
+    "support_candidates": f"WITH {rules.CORPUS_SQL}, {rules.EDGES_SQL}, {rules.REQUESTS_SQL}, {rules.SUPPORT_SQL} SELECT request_id, path FROM sup",
+    "support_boosts": f"WITH {rules.CORPUS_SQL}, {rules.EDGES_SQL}, {rules.REQUESTS_SQL}, {rules.SUPPORT_SQL} SELECT request_id, path, CAST(round(boost, 6) AS DOUBLE) boost FROM bst",
+    "rank_fusion": f"{_HITS} SELECT request_id, path, source_type, score, verified, CAST(line_number AS INTEGER) line_number, snippet, CAST(rank AS INTEGER) rank FROM hits",
+    "evidence_twin_split": f"{_FEATURES} SELECT request_id, path, twin, CAST(place AS INTEGER) place, score, verified FROM parts",
     "support_score": f"{_FEATURES} SELECT request_id, n_evidence, n_twins, support, any_verified, test_support, runbook_support, incident_twin FROM fe",
     "alignment_gap": f"{_FEATURES} SELECT request_id, gap FROM ga",
-    "warning_evidence": f"{_FEATURES} SELECT request_id, warning, FALSE changes_test, FALSE changes_frontend FROM fe",
+    "warning_evidence": f"{_FEATURES} SELECT request_id, warning, changes_test, changes_frontend FROM fe",
+    "impact_summary": f"{_FEATURES} SELECT request_id, CAST(files AS INTEGER) impacted_files, CAST(tests AS INTEGER) impacted_tests, CAST(docs AS INTEGER) impacted_docs, CAST(runbooks AS INTEGER) impacted_runbooks, CAST(max_depth AS INTEGER) max_depth FROM im",
+    "impacted_paths": f"{_FEATURES} SELECT request_id, node path, CAST(depth AS INTEGER) depth FROM re",
     "missing_evidence": f"{_FEATURES} SELECT request_id, array_to_string(missing, '|') missing FROM mi",
     "hazard_confidence": f"{_FEATURES} SELECT request_id, hazard, confidence, n_evidence + n_twins recurrence FROM de",
     "decide_requests": f"{_FEATURES} SELECT request_id, decision, format('Decision {{}} based on support score {{:.2f}}, blast radius of {{}} files, and {{}} missing evidence flags.', decision, support, files, len(missing)) explanation FROM de",
+    "decide_queries": f"{_QUERY} SELECT request_id, decision, hazard, confidence, CAST(files AS INTEGER) impacted_files, array_to_string(missing, '|') missing FROM de_q",
+    "decision_records": f"{_FEATURES}, ev AS (SELECT request_id, {_CELLS('NOT twin')} evidence, {_CELLS('twin')} twins FROM parts GROUP BY request_id) SELECT request_id, decision, evidence, twins, CAST(files AS INTEGER) impacted_files, CAST(tests AS INTEGER) impacted_tests, CAST(max_depth AS INTEGER) max_depth, array_to_string(missing, '|') missing FROM de LEFT JOIN ev USING (request_id)",
     "policy_violations": f"{_ACTIONS} SELECT request_id, policy, array_to_string(violations, '|') violations FROM ac",
     "action_decisions": f"{_ACTIONS} SELECT request_id, policy, decision, decision = 'admit' allowed, CAST(len(missing) AS INTEGER) n_missing FROM ac",
     "healing_prompt": f"{_ACTIONS} SELECT request_id, policy, 'Blocked: ' || decision || '. Resolve: ' || array_to_string(missing[:3], '; ') prompt FROM ac WHERE decision <> 'admit'",

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.functions import paths
 from assay.operators import graph
-from assay.sources.tables import CORPUS_SQL, REQUESTS_SQL, corpus, requests, table
+from assay.plans.rules import link_sql, words_sql
+from assay.sources.shared import once
+from assay.sources.tables import CORPUS_SQL, corpus, table
 
 
 def key_graph(spark, d):
-    """Keys as a graph: orders depend on customers, customers and suppliers on nations, nations on regions, parts on suppliers."""
+    """Keys as a graph, written once: orders depend on customers, customers and suppliers on nations, nations on regions, parts on suppliers."""
     n = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     pair = lambda t, p, a, q, b: table(spark, d, t).select(n(p, a).alias("src"), n(q, b).alias("dst"))
-    return graph.unioned(
+    return once(spark, d, "key-graph", lambda: graph.unioned(
         pair("orders", "o", "o_orderkey", "c", "o_custkey"), pair("customer", "c", "c_custkey", "n", "c_nationkey"), pair("supplier", "s", "s_suppkey", "n", "s_nationkey"),
         pair("nation", "n", "n_nationkey", "r", "n_regionkey"), pair("lineitem", "p", "l_partkey", "s", "l_suppkey"),
-    )
+    ))
 
 
 def graph_union(spark, d):
@@ -24,21 +25,13 @@ def graph_union(spark, d):
 
 
 def blast_radius_closure(spark, d):
-    start = table(spark, d, "region").where("r_regionkey = 1").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
-    return graph.closure(key_graph(spark, d), start, 4).select("node", "depth")
-
-
-def impact_summary(spark, d):
-    """Files a request touches: nodes within four steps of each region, counted by kind."""
-    out = None
-    reach = blast_radius_closure(spark, d)
-    kind = F.left("node", F.lit(1))
-    out = reach.agg(F.count("*").alias("files"), F.count_if(kind == "o").alias("orders"), F.count_if(kind == "p").alias("parts"), F.max("depth").alias("max_depth"))
-    return out
+    """All that each region reaches, as a request of its own."""
+    start = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("request_id"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+    return graph.closure(key_graph(spark, d), start).select("request_id", "node", "depth")
 
 
 def graph_documents(spark, d):
-    return graph.summary(key_graph(spark, d).where("dst LIKE 'n%' OR dst LIKE 'r%'"))
+    return graph.summary(key_graph(spark, d))
 
 
 def linked_tests_topk(spark, d):
@@ -47,40 +40,27 @@ def linked_tests_topk(spark, d):
     return graph.linked_tests(sources, c.select("path"), least=0.3, most=3)
 
 
-def support_candidates(spark, d):
-    """Paths that share a source with a request's changed path, one step along the graph of documents that follow each other."""
-    c = corpus(spark, d)
-    edges = c.select(F.col("doc_id").alias("src_id"), F.col("path").alias("src")).join(c.select((F.col("doc_id") - 6).alias("src_id"), F.col("path").alias("dst")), "src_id").select("src", "dst")
-    r = requests(spark, d)
-    first = c.join(r.select("request_id", (F.col("request_id") * 6).alias("doc_id")), "doc_id").select("request_id", F.col("path").alias("node"))
-    near = graph.neighbours(edges, first)
-    return near.select("request_id", F.col("other").alias("path"), F.when(paths.is_test(F.col("other")), 0.16).otherwise(0.1).alias("boost"))
-
-
 def symbol_edges(spark, d):
     """Suppliers define the parts that they deliver, orders reference them."""
-    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey").where("l_partkey % 50 = 0")
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey")
     sym = F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol")
     defined = li.select(F.concat(F.lit("lib/g"), (F.col("l_suppkey") % 7).cast("string"), F.lit("/s"), F.col("l_suppkey").cast("string")).alias("path"), sym).distinct()
     used = li.select(F.concat(F.lit("app/g"), (F.col("l_orderkey") % 7).cast("string"), F.lit("/o"), F.col("l_orderkey").cast("string")).alias("path"), sym).distinct()
     return graph.symbol_edges(defined, used)
 
 
-QUERIES = {f.__name__: f for f in (graph_union, blast_radius_closure, impact_summary, graph_documents, linked_tests_topk, support_candidates, symbol_edges)}
+QUERIES = {f.__name__: f for f in (graph_union, blast_radius_closure, graph_documents, linked_tests_topk, symbol_edges)}
 
 _KEYS = """edges AS (SELECT DISTINCT * FROM (SELECT 'o' || o_orderkey src, 'c' || o_custkey dst FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem))"""
-_REACH = f"WITH RECURSIVE {_KEYS}, walk AS (SELECT 'r1' node, 0 depth UNION SELECT src, depth + 1 FROM walk JOIN edges ON dst = node WHERE depth < 4), reach AS (SELECT node, min(depth) depth FROM walk GROUP BY node)"
 ORACLE_SQL = {
     "graph_union": f"WITH {_KEYS} SELECT src[1] src_kind, dst[1] dst_kind, count(*) n_edges, count(DISTINCT dst) n_targets FROM edges GROUP BY ALL",
-    "blast_radius_closure": f"{_REACH} SELECT node, CAST(depth AS INTEGER) depth FROM reach",
-    "impact_summary": f"{_REACH} SELECT count(*) files, count(*) FILTER (WHERE node LIKE 'o%') orders, count(*) FILTER (WHERE node LIKE 'p%') parts, CAST(max(depth) AS INTEGER) max_depth FROM reach",
-    "graph_documents": f"""WITH {_KEYS}, e AS (SELECT * FROM edges WHERE dst LIKE 'n%' OR dst LIKE 'r%'), a AS (SELECT src node, count(DISTINCT dst) n, array_to_string(list_sort(list_distinct(list(dst)))[:12], ',') x FROM e GROUP BY src), b AS (SELECT dst node, count(DISTINCT src) n, array_to_string(list_sort(list_distinct(list(src)))[:12], ',') x FROM e GROUP BY dst)
+    "blast_radius_closure": f"WITH RECURSIVE {_KEYS}, walk AS (SELECT CAST(r_regionkey AS BIGINT) request_id, 'r' || r_regionkey node, 0 depth FROM region UNION SELECT request_id, src, depth + 1 FROM walk JOIN edges ON dst = node) SELECT request_id, node, CAST(min(depth) AS INTEGER) depth FROM walk GROUP BY ALL",
+    "graph_documents": f"""WITH {_KEYS}, a AS (SELECT src node, count(*) n, array_to_string(list_sort(list(dst))[:12], ',') x FROM edges GROUP BY src), b AS (SELECT dst node, count(*) n, array_to_string(list_sort(list(src))[:12], ',') x FROM edges GROUP BY dst)
         SELECT node, coalesce(a.n, 0) n_references, coalesce(a.x, '') "references", coalesce(b.n, 0) n_referrers, coalesce(b.x, '') referrers FROM a FULL JOIN b USING (node)""",
-    "linked_tests_topk": f"""WITH {CORPUS_SQL}, p AS (SELECT source, test, least(1.0, 0.25 + 0.45 * o / w + 0.05 * m) score FROM (SELECT s.path source, t.path test, 1 + CASE WHEN s.source = t.source THEN 1 ELSE 0 END o, CASE WHEN s.doc_id > 99 THEN 4 ELSE 3 END w, CASE WHEN s.source = t.source THEN 1 ELSE 0 END m FROM docs s, docs t WHERE s.source_type = 'code' AND t.source_type = 'test'))
-        SELECT source, test, round(score, 6) score, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, test) rank FROM p WHERE round(score, 6) >= 0.3) WHERE rank <= 3""",
-    "support_candidates": f"""WITH {CORPUS_SQL}, {REQUESTS_SQL}, e AS (SELECT a.path src, b.path dst FROM docs a JOIN docs b ON b.doc_id = a.doc_id + 6), f AS (SELECT request_id, path node FROM docs JOIN reqs ON doc_id = request_id * 6)
-        SELECT DISTINCT request_id, path, CAST(CASE WHEN path LIKE 'tests/%' THEN 0.16 ELSE 0.1 END AS DOUBLE) boost FROM (SELECT request_id, dst path FROM f JOIN e ON src = node UNION ALL SELECT request_id, src FROM f JOIN e ON dst = node)""",
-    "symbol_edges": """WITH l AS (SELECT DISTINCT 'lib/g' || (l_suppkey % 7) || '/s' || l_suppkey dst, 'P' || l_partkey symbol, l_suppkey % 7 dg FROM lineitem WHERE l_partkey % 50 = 0), u AS (SELECT DISTINCT 'app/g' || (l_orderkey % 7) || '/o' || l_orderkey src, 'P' || l_partkey symbol, l_orderkey % 7 sg FROM lineitem WHERE l_partkey % 50 = 0)
+    "linked_tests_topk": f"""WITH {CORPUS_SQL}, s AS (SELECT path source, {words_sql('path')} sw FROM docs WHERE source_type = 'code'), t AS (SELECT path test, {words_sql('path')} tw FROM docs WHERE source_type = 'test'),
+        p AS (SELECT source, test, round({link_sql('source', 'test', 'sw', 'tw')}, 6) score FROM s, t)
+        SELECT source, test, CAST(score AS DOUBLE) score, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, test) rank FROM p WHERE score >= 0.3) WHERE rank <= 3""",
+    "symbol_edges": """WITH l AS (SELECT DISTINCT 'lib/g' || (l_suppkey % 7) || '/s' || l_suppkey dst, 'P' || l_partkey symbol, l_suppkey % 7 dg FROM lineitem), u AS (SELECT DISTINCT 'app/g' || (l_orderkey % 7) || '/o' || l_orderkey src, 'P' || l_partkey symbol, l_orderkey % 7 sg FROM lineitem)
         SELECT src, dst, symbol FROM (SELECT src, dst, symbol, row_number() OVER (PARTITION BY src, symbol ORDER BY CASE WHEN sg = dg THEN 1 ELSE 0 END DESC, length(dst), dst) n FROM u JOIN l USING (symbol)) WHERE n = 1""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assay.functions import fixed
 from assay.operators import catalog, decide
 from assay.operators import ledger as ops
 from assay.sources.tables import CORPUS_SQL, LEDGER_SQL, corpus, ledger, table
@@ -119,8 +120,8 @@ q AS (SELECT fingerprint, seq, count(*) FILTER (WHERE blocked) blocked_attempts,
 _M = "m AS (SELECT user_id corpus, event_id build_id, ts built_at, CASE WHEN value < 10 THEN 'stale' ELSE 'ready' END status FROM events WHERE event_type = 'signup'), nm AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY built_at DESC, build_id DESC) n FROM m)"
 _RET = f"""WITH {_M}, r AS (SELECT corpus, build_id, row_number() OVER (ORDER BY built_at DESC, build_id DESC) rank, status, (SELECT epoch_us(max(ts)) FROM events) - epoch_us(built_at) age FROM nm WHERE n = 1),
 p AS (SELECT corpus, build_id, CAST(rank AS INTEGER) rank, CASE WHEN status = 'stale' THEN 'stale' WHEN age / 3.6e9 >= 48 THEN 'expired' WHEN rank > 20 THEN 'overflow' END reason FROM r)"""
-_LABELS = {p[0]: "|".join(label + ("" if isinstance(v, bool) else f": {v}") for label, v in ((ops.POLICY_LABELS[c.split()[0]], v) for c, v in zip([c.strip() for c in decide.POLICY_SCHEMA.split(",")][2:], p[2:], strict=True)) if v not in (None, False)) for p in decide.POLICIES}
-_ORDERED = {p[0]: "|".join(sorted(_LABELS[p[0]].split("|"), key=lambda x: list(ops.POLICY_LABELS.values()).index(x.split(":")[0]))) for p in decide.POLICIES}
+_LABELS = {p[0]: "|".join(label + ("" if isinstance(v, bool) else f": {v}") for label, v in ((fixed.POLICY_LABELS[c.split()[0]], v) for c, v in zip([c.strip() for c in decide.POLICY_SCHEMA.split(",")][2:], p[2:], strict=True)) if v not in (None, False)) for p in fixed.POLICIES}
+_ORDERED = {p[0]: "|".join(sorted(_LABELS[p[0]].split("|"), key=lambda x: list(fixed.POLICY_LABELS.values()).index(x.split(":")[0]))) for p in fixed.POLICIES}
 ORACLE_SQL = {
     "healing_sequences": f"{_SEQ} SELECT fingerprint, first_blocked, latest_blocked, healed, blocked_attempts, minutes FROM q",
     "healing_summary": f"{_SEQ} SELECT count(*) blocked_sequences, count(healed) healed_sequences, count(*) - count(healed) unresolved_sequences, round(count(healed) / greatest(1, count(*)), 6) healing_rate, round(avg(blocked_attempts) FILTER (WHERE healed IS NOT NULL), 4) average_retries, round(median(minutes) + 1e-7, 4) median_minutes FROM q",

@@ -6,15 +6,10 @@ from pyspark.sql import functions as F
 
 from assay.functions import fixed, paths, text
 from assay.operators import lexical
+from assay.plans.rules import stem_sql, tokens_sql, words_sql
+from assay.sources.shared import once
 from assay.sources.tables import CORPUS_SQL, REQUESTS_SQL, corpus, requests, table
 
-_STOP = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
-
-
-def tokens_sql(name: str, source: str, column: str, keys: str) -> str:
-    return f"{name} AS (SELECT {keys}, token FROM (SELECT {keys}, lower(unnest(regexp_extract_all({column}, '[A-Za-z0-9_]+'))) token FROM {source}) WHERE length(token) > 1 AND token NOT IN ({_STOP}))"
-
-
 POSTINGS_SQL = f"""{CORPUS_SQL}, {tokens_sql("ct", "docs", "content", "path")}, {tokens_sql("pt", "docs", "replace(path, '/', ' ')", "path")},
 post AS (SELECT path, token, sum(c) tf, sum(p) path_tf FROM (SELECT path, token, 1 c, 0 p FROM ct UNION ALL SELECT path, token, 0, 1 FROM pt) GROUP BY ALL),
 dfs AS (SELECT token, count(*) FILTER (WHERE tf > 0) df FROM post GROUP BY token)"""
@@ -36,22 +31,26 @@ def frontend_paths(spark, d):
     return p.select("page_id", "path", paths.is_script(F.col("path")).alias("is_script"), paths.is_frontend(F.col("path")).alias("is_frontend"), paths.suffix(F.col("path")).alias("suffix"))
 
 
+def postings(spark, d):
+    """The corpus's postings, written once."""
+    return once(spark, d, "postings", lambda: lexical.postings(corpus(spark, d)))
+
+
 def tokenize_tf(spark, d):
-    return text.token_rows(corpus(spark, d), F.col("content"), "path").groupBy("path", "token").agg(F.count("*").alias("tf"))
+    return postings(spark, d).where("tf > 0").select("path", "token", "tf")
 
 
 def doc_frequency(spark, d):
-    return lexical.document_frequency(lexical.postings(corpus(spark, d)))
+    return lexical.document_frequency(postings(spark, d))
 
 
 def idf(spark, d):
-    c = corpus(spark, d)
-    df = lexical.document_frequency(lexical.postings(c))
-    return df.select("token", F.round(lexical.idf(F.col("df"), F.lit(c.count())), 6).alias("idf"))
+    df = lexical.document_frequency(postings(spark, d))
+    return df.select("token", F.round(lexical.idf(F.col("df"), F.lit(table(spark, d, "documents").count())), 6).alias("idf"))
 
 
 def lexical_topk(spark, d):
-    return lexical.top(lexical.scores(corpus(spark, d), requests(spark, d)), 12)
+    return lexical.top(lexical.scores(postings(spark, d), table(spark, d, "documents").count(), requests(spark, d)), 12)
 
 
 def baseline_decision(spark, d):
@@ -69,11 +68,10 @@ def path_anchor_tokens(spark, d):
 
 
 def qgram_overlap(spark, d):
-    """Share of a request's 3-grams that each of its lexical hits has (their first 500 characters as a span)."""
-    hits = lexical_topk(spark, d)
-    c = corpus(spark, d).select("path", F.left("content", F.lit(500)).alias("span"))
+    """Share of a request's 3-grams that each of its lexical hits has in its whole text."""
+    hits = lexical_topk(spark, d).select("request_id", "path")
     r = requests(spark, d).select("request_id", text.qgrams(F.col("query")).alias("q"))
-    both = hits.join(c, "path").join(r, "request_id").withColumn("s", text.qgrams(F.col("span")))
+    both = corpus(spark, d).select("path", "content").hint("merge").join(hits, "path").hint("merge").join(r, "request_id").withColumn("s", text.qgrams(F.col("content")))
     return both.select("request_id", "path", F.round(F.size(F.array_intersect("q", "s")) / F.greatest(F.lit(1), F.size("q")), 6).alias("structural"))
 
 
@@ -98,7 +96,7 @@ for _name, _char in text.ENTITIES:
     _UNTAG = "replace({}, '{}', '{}')".format(_UNTAG, _name, _char.replace("'", "''"))
 _UNTAG = f"trim(regexp_replace({_UNTAG}, '\\s+', ' ', 'g'))"
 ORACLE_SQL = {
-    "classify_source": f"WITH {CORPUS_SQL} SELECT source_type, path LIKE 'tests/%' is_test, count(*) n, CAST(sum(length(content)) AS BIGINT) chars FROM docs GROUP BY ALL",
+    "classify_source": f"WITH {CORPUS_SQL} SELECT source_type, source_type = 'test' is_test, count(*) n, CAST(sum(length(content)) AS BIGINT) chars FROM docs GROUP BY ALL",
     "frontend_paths": """WITH p AS (SELECT page_id, regexp_replace(split_part(url, '?', 1), '^https?://[^/]*/', '') || CASE WHEN page_id % 2 = 0 THEN '/app/Page.tsx' ELSE '/lib/index.js' END path FROM pages)
         SELECT page_id, path, TRUE is_script, path LIKE '%.tsx' OR regexp_matches(path, '(^|/)(app|apps|components|pages|routes|web)/') OR regexp_matches(lower(path), '/(components|pages|routes|app|ui)/') is_frontend, CASE WHEN path LIKE '%.tsx' THEN '.tsx' ELSE '.js' END suffix FROM p""",
     "tokenize_tf": f"WITH {CORPUS_SQL}, {tokens_sql('ct', 'docs', 'content', 'path')} SELECT path, token, count(*) tf FROM ct GROUP BY ALL",
@@ -111,10 +109,8 @@ ORACLE_SQL = {
         c AS (SELECT request_id, path, line_number, trim(regexp_replace(l, '\\s+', ' ', 'g')) clean FROM ls), n AS (SELECT request_id, path, line_number, clean, count(token) n FROM c LEFT JOIN (SELECT DISTINCT request_id, token FROM qt) USING (request_id) WHERE contains(lower(clean), token) OR token IS NULL GROUP BY ALL),
         z AS (SELECT c.*, coalesce(n, 0) n FROM c LEFT JOIN n USING (request_id, path, line_number, clean) WHERE clean <> '')
         SELECT request_id, path, CAST(line_number AS INTEGER) line_number, clean[:240] snippet FROM (SELECT *, row_number() OVER (PARTITION BY request_id, path ORDER BY n DESC, line_number) k FROM z) WHERE k = 1""",
-    "path_anchor_tokens": f"""WITH {CORPUS_SQL}, p AS (SELECT doc_id, path, string_split(path, '/') s FROM docs),
-        t AS (SELECT doc_id, path, list_distinct(list_sort(list_filter([s[1], s[2], 'doc', CAST(doc_id AS VARCHAR), 'doc' || doc_id], lambda x: length(x) >= 3 AND x NOT IN ({", ".join(f"'{w}'" for w in fixed.GENERIC_PATH_WORDS)})))) w FROM p)
-        SELECT doc_id, array_to_string(list_sort(w), ',') words, 'doc_' || doc_id AS label, replace(regexp_replace(path, '\\.py$', ''), '/', '.') module FROM t""",
-    "qgram_overlap": f"""WITH {SCORES_SQL}, n AS (SELECT request_id, path, ' ' || lower(trim(regexp_replace(query, '\\s+', ' ', 'g'))) || ' ' q, ' ' || lower(trim(regexp_replace(content[:500], '\\s+', ' ', 'g'))) || ' ' s FROM ranked JOIN docs USING (path) JOIN reqs USING (request_id)),
+    "path_anchor_tokens": f"""WITH {CORPUS_SQL} SELECT doc_id, array_to_string({words_sql('path')}, ',') words, lower({stem_sql('path')}) AS label, replace(regexp_replace(path, '\\.py$', ''), '/', '.') module FROM docs""",
+    "qgram_overlap": f"""WITH {SCORES_SQL}, n AS (SELECT request_id, path, ' ' || lower(trim(regexp_replace(query, '\\s+', ' ', 'g'))) || ' ' q, ' ' || lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))) || ' ' s FROM ranked JOIN docs USING (path) JOIN reqs USING (request_id)),
         g AS (SELECT request_id, path, list_distinct(list_transform(generate_series(1, greatest(length(q) - 2, 1)), lambda i: q[i:i + 2])) q, list_distinct(list_transform(generate_series(1, greatest(length(s) - 2, 1)), lambda i: s[i:i + 2])) s FROM n)
         SELECT request_id, path, round(len(list_intersect(q, s)) / greatest(1, len(q)), 6) structural FROM g""",
     "html_pages": f"""WITH b AS (SELECT page_id, url, {_UNTAG} body FROM pages), h AS (SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) host FROM b)

@@ -9,17 +9,12 @@ from assay.operators import spans
 from assay.sources.tables import CORPUS_SQL, corpus, requests
 
 
-def _lined(spark, d):
-    """The corpus with a blank line after every sentence that ends a line."""
-    return corpus(spark, d).withColumn("content", F.replace("content", F.lit(".\n"), F.lit(".\n\n")))
-
-
 def _windows(spark, d):
     return spans.windows(corpus(spark, d), "path", "content").withColumn("signature", spans.signature())
 
 
 def span_segmentation(spark, d):
-    return spans.span_ids(spans.segments(_lined(spark, d))).select("path", "line_number", "span_id", F.length("text").alias("n_chars"))
+    return spans.span_ids(spans.segments(corpus(spark, d))).select("path", "line_number", "span_id", F.length("text").alias("n_chars"))
 
 
 def span_occurrences(spark, d):
@@ -78,7 +73,7 @@ def windows_sql(name: str, source: str, key: str, column: str) -> str:
 _W = f"WITH {CORPUS_SQL}, {windows_sql('w', 'docs', 'path', 'content')}"
 _INDEX = "idx AS (SELECT signature, count(*) occurrences, round(min(hazard), 6) hazard_min, round(max(hazard), 6) hazard_max, round(avg(hazard), 6) hazard_mean, min((path, window_index)) f FROM w GROUP BY ALL)"
 _LIMIT = "lim AS (SELECT round(list_sort(list(hazard))[CAST(floor(0.8 * (count(*) - 1)) AS BIGINT) + 1], 6) threshold, count(*) n_windows FROM w)"
-_LINED = f"""WITH {CORPUS_SQL}, l AS (SELECT path, source_type, unnest(string_split(c, chr(10))) raw, unnest(generate_series(1, len(string_split(c, chr(10))))) line FROM (SELECT path, source_type, regexp_replace(replace(content, '.' || chr(10), '.' || chr(10) || chr(10)), '\\n$', '') c FROM docs)),
+_LINED = f"""WITH {CORPUS_SQL}, l AS (SELECT path, source_type, unnest(string_split(c, chr(10))) raw, unnest(generate_series(1, len(string_split(c, chr(10))))) line FROM (SELECT path, source_type, regexp_replace(content, '\\n$', '') c FROM docs)),
 i AS (SELECT *, sum(CASE WHEN trim(raw) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) island FROM l),
 s AS (SELECT path, min(line) line_number, string_agg(CASE WHEN source_type IN ('code', 'test') THEN rtrim(raw) ELSE trim(raw) END, chr(10) ORDER BY line) text FROM i WHERE trim(raw) <> '' GROUP BY path, island)"""
 ORACLE_SQL = {

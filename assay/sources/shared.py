@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,8 +17,11 @@ def _own_folder() -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where none is configured, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The shared folder; a temporary one only where none is configured, in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or _own_folder()).rstrip("/")
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -24,3 +29,20 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{folder(df.sparkSession)}/assay-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_made: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from a folder of tables, written when it is first asked for in an application and read by all queries after that."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        _made[key] = written(make(), name)
+    return _made[key]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Input of fewer splits than the cluster has cores, dealt out to all of them; larger input as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
