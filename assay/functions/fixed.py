@@ -8,6 +8,7 @@ CODE_SUFFIXES = (".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".rb", ".c", ".cc
 SCRIPT_SUFFIXES = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".mts", ".cts")
 MAX_FILE_BYTES = 256_000
 GENERIC_PATH_WORDS = ("__tests__", "app", "apps", "build", "component", "components", "dist", "e2e", "frontend", "lib", "libs", "page", "pages", "pkg", "packages", "public", "route", "routes", "screen", "screens", "service", "services", "shared", "spec", "src", "test", "tests", "ui", "utils", "view", "views", "web")
+FRONTEND_WORDS = ("api", "app", "component", "components", "e2e", "error", "index", "layout", "loading", "page", "pages", "route", "routes", "screen", "screens", "spec", "src", "test", "tests", "__tests__", "ui", "view", "views", "web")
 GENERIC_STEMS = ("index", "layout", "loading", "error", "page", "route", "main", "__init__")
 WARNING_TERMS = ("deprecated", "do not use", "unsupported", "archived", "legacy sentinel")
 TOP_EVIDENCE, TOP_TWINS, FOCUS_PATHS = 5, 3, 2
@@ -36,3 +37,8 @@ POLICIES = (
     ("agile", "open_source", 25, 0.8, None, True, False, False, False, False),
 )
 POLICY_LABELS = {"need_test": "Test evidence required", "need_runbook": "Runbook evidence required", "need_precedent": "Precedent required", "need_incident": "Incident precedent required", "block_incident": "Incident match blocks rollout", "max_files": "Blast radius limit", "max_hazard": "Hazard threshold", "min_confidence": "Minimum confidence"}
+FOCUS_IGNORE = ("act", "action", "behavior", "change", "code", "doc", "docs", "example", "examples", "fastapi", "implicated", "precedent", "pr", "prs", "runbook", "runbooks", "support", "supports", "test", "tests", "what")
+SIGNATURE_IGNORE = ("applications", "behavior", "configuration", "documentation", "example", "examples", "flow", "generation", "handling", "helper", "lifecycle", "mount", "parameter", "reference", "response", "routing", "schema", "security", "sql", "support", "tutorial")
+HEALING_PROMPT = ("\n\nThe previous attempt was blocked because: ", ". Write the missing test coverage or update the supported files, then retry.")
+NO_GUIDANCE = "missing supporting evidence"
+SIGNAL_LABELS = {"jira": "Jira", "slack": "Slack", "pagerduty": "PagerDuty", "incident": "Incident", "github": "GitHub PR"}

@@ -22,7 +22,10 @@ def suffix(path: Column) -> Column:
 
 
 def normalized(path: Column) -> Column:
-    return F.regexp_replace(F.trim(path), r"^(\./)+", "")
+    """Without blanks around it, a file:// scheme (of which %-escapes are decoded) and leading ./"""
+    p = F.trim(path)
+    url = F.coalesce(F.try_url_decode(F.replace(F.regexp_replace(p, r"^file://(localhost)?/*", "/"), F.lit("+"), F.lit("%2B"))), p)
+    return F.regexp_replace(F.when(p.startswith("file://"), url).otherwise(p), r"^(\./)+", "")
 
 
 def is_test(path: Column) -> Column:
@@ -77,6 +80,17 @@ def anchor_words(path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(generic, w))))
 
 
+def frontend_words(path: Column) -> Column:
+    """Distinct words that name a front-end path: of its last four parts and its stem, or its folder where the stem is generic, sorted."""
+    generic = F.array(*[F.lit(x) for x in fixed.FRONTEND_WORDS])
+    parts = F.split(path, "/")
+    last = F.slice(parts, F.greatest(F.size(parts) - 3, F.lit(1)), F.lit(4))
+    extra = F.when(F.lower(stem(path)).isin(*fixed.FRONTEND_WORDS) & (F.size(parts) > 1), F.element_at(parts, -2)).otherwise(stem(path))
+    bare = F.filter(F.transform(F.concat(last, F.array(extra)), stem), lambda x: ~F.array_contains(generic, F.lower(x)))
+    words = F.flatten(F.transform(bare, lambda x: F.concat(identifier_words(x), F.array(F.array_join(identifier_words(x), "")))))
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(generic, w))))
+
+
 def link_score(source: Column, test: Column, source_words: Column, test_words: Column) -> Column:
     """How well a test path fits a source path, 0 to 1; the words are their anchor_words."""
     overlap = F.size(F.array_intersect(source_words, test_words))

@@ -41,6 +41,11 @@ def features(parts: DataFrame, requests: DataFrame) -> DataFrame:
     return out.na.fill(0, ["n_evidence", "n_twins", "support"]).na.fill(False)
 
 
+def query_text(summary, diff):
+    """What an action is decided on: its summary, and its diff summary where it has one."""
+    return F.when(F.coalesce(F.trim(diff), F.lit("")) == "", summary).otherwise(F.concat(summary, F.lit("\n\nDiff summary:\n"), diff))
+
+
 def alignment(requests: DataFrame, ranked: DataFrame) -> DataFrame:
     """request_id and gap: there are changed paths, and no hit has one of them, or its stem."""
     keys = lambda c: F.explode(F.array(paths.normalized(F.col(c)), F.concat(F.lit("stem:"), paths.stem(F.col(c))))).alias("key")

@@ -119,35 +119,101 @@ def symbol_edges(defined: DataFrame, referenced: DataFrame) -> DataFrame:
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """path, module and level of each import in Python, script and C sources (by line patterns)."""
+    """path and module of each import in Python, script and C sources (by line patterns); `import a, b as c` gives a and b."""
     p, c = F.col("path"), F.col("content")
-    rows = lambda cond, pattern, group: files.where(cond).select("path", F.explode(F.regexp_extract_all(c, F.lit(pattern), F.lit(group))).alias("module"))
-    plain = rows(p.endswith(".py"), r"(?m)^[ \t]*import[ \t]+([A-Za-z_][\w.]*)", 1)
-    of = rows(p.endswith(".py"), r"(?m)^[ \t]*from[ \t]+(\.*[A-Za-z_][\w.]*|\.+)[ \t]+import", 1)
-    script = rows(paths.is_script(p), r"""(?:from|import|require\(|import\()\s*["']([^"']+)["']""", 1)
-    include = rows(p.rlike(r"\.(c|cc|cpp|h|hpp)$"), r'(?m)^[ \t]*#[ \t]*include[ \t]*"([^"]+)"', 1)
+    rows = lambda cond, pattern: files.where(cond).select("path", F.explode(F.regexp_extract_all(c, F.lit(pattern), F.lit(1))).alias("module"))
+    listed = rows(p.endswith(".py"), r"(?m)^[ \t]*import[ \t]+([^\n#;]+)")
+    plain = listed.select("path", F.explode(F.split("module", ",")).alias("module")).select("path", F.regexp_extract(F.trim("module"), r"^([A-Za-z_][\w.]*)", 1).alias("module")).where("module <> ''")
+    of = rows(p.endswith(".py"), r"(?m)^[ \t]*from[ \t]+(\.*[A-Za-z_][\w.]*|\.+)[ \t]+import")
+    script = rows(paths.is_script(p), r"""(?:from|import|require\(|import\()\s*["']([^"']+)["']""")
+    include = rows(p.rlike(_C), r'(?m)^[ \t]*#[ \t]*include[ \t]*"([^"]+)"')
     return plain.unionByName(of).unionByName(script).unionByName(include).distinct()
 
 
-def resolved(imported: DataFrame, files: DataFrame) -> DataFrame:
-    """Import edges to known files: relative ones by folder and suffix candidates, absolute ones by module name or its ending; the shortest path wins."""
-    folder = F.regexp_replace("path", "/?[^/]*$", "")
-    relative = imported.where("module LIKE './%' OR module LIKE '../%'").withColumn("up", F.size(F.split("module", r"\.\./")) - 1)
-    base = F.split(folder, "/")
+_C = r"\.(c|cc|cpp|h|hpp)$"
+_CODE = r"\.(py|js|jsx|ts|tsx|mjs|cjs|mts|cts|c|cc|cpp|h|hpp|java|rb)$"
+#: Suffixes that a relative import may leave out, in the order in which they are tried.
+_ENDS = (".ts", ".tsx", ".js", ".jsx", ".mjs")
+#: Entries of a workspace, best first.
+ENTRIES = ("/src/index.ts", "/src/index.tsx", "/src/index.js", "/src/index.jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+
+
+def workspaces(files: DataFrame) -> DataFrame:
+    """alias and root of each package: its package.json's name, that without its scope, and the folder's name under packages, apps, libs or playground; the first root by name."""
+    p = files.where(F.col("path").rlike(r"(^|/)package\.json$")).select(F.regexp_replace("path", r"/?package\.json$", "").alias("root"), F.nullif(F.trim(F.get_json_object("content", "$.name")), F.lit("")).alias("name"))
+    bare = F.when(F.col("name").startswith("@") & F.col("name").contains("/"), F.regexp_replace("name", "^[^/]*/", ""))
+    folder = F.regexp_extract("root", "^(?:packages|apps|libs|playground)/([^/]+)", 1)
+    aliases = p.select("root", F.explode(F.array_compact(F.array("name", bare, F.nullif(folder, F.lit(""))))).alias("alias"))
+    return aliases.groupBy("alias").agg(F.min("root").alias("root"))
+
+
+def _relative(imported: DataFrame) -> DataFrame:
+    """Paths that relative imports may mean: src, module, dst and the place in which it is tried."""
+    base = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")
+    script = imported.where("module LIKE './%' OR module LIKE '../%' OR module IN ('.', '..')").withColumn("up", F.size(F.filter(F.split("module", "/"), lambda x: x == "..")))
     kept = F.slice(base, F.lit(1), F.greatest(F.size(base) - F.col("up"), F.lit(0)))
-    bare = F.regexp_replace("module", r"^(\.{1,2}/)+", "")
-    target = F.array_join(F.concat(F.filter(kept, lambda x: x != ""), F.array(bare)), "/")
-    ends = F.array(*[F.lit(x) for x in ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js")])
-    tries = relative.select(F.col("path").alias("src"), "module", F.explode(F.transform(ends, lambda e: F.concat(target, e))).alias("dst"))
-    name = F.col("module")
+    target = F.array_join(F.filter(F.concat(kept, F.filter(F.split("module", "/"), lambda x: ~x.isin(".", "..", ""))), lambda x: x != ""), "/")
+    bare = ~F.regexp_extract(F.col("target"), r"([^/]*)$", 1).rlike(r".\.[^.]+$")
+    more = F.concat(*[F.array(F.concat("target", F.lit(e)), F.concat("target", F.lit("/index" + e))) for e in _ENDS])
+    tries = script.withColumn("target", target).select(F.col("path").alias("src"), "module", F.posexplode(F.concat(F.array("target"), F.when(bare, more).otherwise(F.array().cast("array<string>")))).alias("place", "dst"))
+    quoted = imported.where(F.col("path").rlike(_C)).select(F.col("path").alias("src"), "module", F.lit(0).alias("place"), F.array_join(F.filter(F.concat(base, F.array("module")), lambda x: x != ""), "/").alias("dst"))
+    return tries.unionByName(quoted)
+
+
+def resolved(imported: DataFrame, files: DataFrame) -> DataFrame:
+    """Import edges to known files, by the first rule that finds one.
+
+    Relative paths, by folder and suffix candidates; the module of that name; a module that ends or begins with it; a workspace's file or entry. Of several
+    files the shortest path wins, then the first.
+    """
+    known = written(files.where(F.col("path").rlike(_CODE)).select(F.col("path").alias("dst")).distinct(), "known")
+    near = _relative(imported).hint("merge").join(known, "dst", "left_semi").select("src", "module", "dst", F.col("place").alias("rule"))
+    # Python's leading dots name a package; other modules are written with slashes
     level = F.length(F.regexp_extract("module", r"^(\.*)", 1))
-    parents = F.slice(base, F.lit(1), F.greatest(F.size(base) - level + 1, F.lit(0)))
-    dotted = F.when(level > 0, F.concat_ws(".", F.array_join(parents, "."), F.nullif(F.regexp_replace("module", r"^\.+", ""), F.lit("")))).otherwise(name)
-    py = imported.where("path LIKE '%.py'").withColumn("name", dotted)
-    modules = files.where("path LIKE '%.py'").select(F.col("path").alias("dst"), F.split(paths.module_name(F.col("path")), r"\.").alias("parts"))
-    suffixes = modules.select("dst", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "."))).alias("name"))
-    whole = py.join(suffixes, "name").select(F.col("path").alias("src"), "module", "dst")
-    quoted = imported.where(F.col("path").rlike(r"\.(c|cc|cpp|h|hpp)$")).select(F.col("path").alias("src"), "module", F.when(folder == "", F.col("module")).otherwise(F.concat(folder, F.lit("/"), "module")).alias("dst"))
-    hits = tries.join(files.select(F.col("path").alias("dst")), "dst", "left_semi").unionByName(whole).unionByName(quoted.join(files.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "module", "dst"))
-    w = Window.partitionBy("src", "module").orderBy(F.length("dst"), "dst")
+    base = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")
+    parents = F.array_join(F.slice(base, F.lit(1), F.greatest(F.size(base) - level + 1, F.lit(0))), ".")
+    own = F.nullif(F.regexp_replace("module", r"^\.+", ""), F.lit(""))
+    dotted = F.when(F.col("path").endswith(".py") & (level > 0), F.concat_ws(".", F.nullif(parents, F.lit("")), own)).otherwise(F.replace(F.regexp_replace("module", r"\.{1,2}/", ""), F.lit("/"), F.lit(".")))
+    asked = written(imported.select(F.col("path").alias("src"), "module", dotted.alias("name")), "modules")
+    parts = F.split(F.regexp_replace(paths.module_name(F.regexp_replace("dst", _CODE, ".py")), r"\.index$", ""), r"\.")
+    cut = known.withColumn("parts", parts)
+    n = F.size("parts")
+    ends = cut.select("dst", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.array_join(F.slice("parts", i, n), ".").alias("name"), F.when(i == 1, 100).otherwise(101).alias("rule")))).alias("x"))
+    begins = cut.where(n > 1).select("dst", F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.array_join(F.slice("parts", F.lit(1), i), ".").alias("name"), F.lit(102).alias("rule")))).alias("x"))
+    # of the files that share a name only the best two are needed (one may be the importer)
+    of_name = Window.partitionBy("name", "rule").orderBy(F.length("dst"), "dst")
+    names = written(ends.unionByName(begins).select("dst", "x.name", "x.rule").withColumn("n", F.row_number().over(of_name)).where("n <= 2").drop("n"), "names")
+    module = asked.hint("merge").join(names, "name").select("src", "module", "dst", "rule")
+    # workspaces: alias, then the rest of the path
+    scoped = F.col("module").startswith("@")
+    seg = F.split("module", "/")
+    package = F.array_join(F.slice(seg, F.lit(1), F.when(scoped, 2).otherwise(1)), "/")
+    rest = F.array_join(F.slice(seg, F.when(scoped, 3).otherwise(2), F.size(seg)), "/")
+    outside = imported.where("module NOT LIKE '.%'").select(F.col("path").alias("src"), "module", package.alias("package"), rest.alias("rest"))
+    tries = outside.withColumn("alias", F.explode(F.array_distinct(F.array("package", F.when(F.col("package").startswith("@"), F.regexp_replace("package", "^[^/]*/", "")).otherwise(F.col("package"))))))
+    roots = tries.hint("merge").join(written(workspaces(files), "workspaces"), "alias").groupBy("src", "module", "rest").agg(F.min_by("root", F.when(F.col("alias") == F.col("package"), 0).otherwise(1)).alias("root"))
+    folders = known.select("dst", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("dst", "/")) - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split("dst", "/"), F.lit(1), i), "/"))).alias("root"))
+    held = written(folders.hint("merge").join(roots.select("root").distinct(), "root", "left_semi"), "inside")
+    stem = lambda c: F.regexp_replace(F.regexp_extract(c, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    fits = (F.col("rest") != "") & ((stem("rest") == stem("dst")) | F.regexp_replace("dst", _CODE, "").endswith(F.regexp_replace("rest", r"^(\./)+", "")))
+    entry = F.coalesce(F.array_position(F.transform(F.array(*[F.lit(e) for e in ENTRIES]), lambda e: F.concat("root", e)), F.col("dst")), F.lit(0))
+    other = F.when(F.contains("dst", F.lit("/src/")), 200).otherwise(300)
+    place = F.when(fits, 103).when(entry > 0, 110 + entry).otherwise(other)
+    from_package = roots.hint("merge").join(held, "root").select("src", "module", "dst", place.cast("int").alias("rule"))
+    hits = near.unionByName(module).unionByName(from_package)
+    w = Window.partitionBy("src", "module").orderBy("rule", F.when(F.col("rule") >= 103, F.size(F.split("dst", "/"))).otherwise(0), F.length("dst"), "dst")
     return hits.where("src <> dst").withColumn("n", F.row_number().over(w)).where("n = 1").select("src", "dst").distinct()
+
+
+def frontend_edges(files: DataFrame) -> DataFrame:
+    """Edges from tests to the components that they fit: shared front-end words, of which the component's stem (or its folder, for generic stems) is one, or two, or its only one."""
+    words = lambda c: paths.frontend_words(F.col(c))
+    s = written(files.where((paths.source_type(F.col("path")) != "test") & paths.is_frontend(F.col("path"))).select(F.col("path").alias("dst"), words("path").alias("dst_words")), "components")
+    t = written(files.where(paths.source_type(F.col("path")) == "test").select(F.col("path").alias("src"), words("path").alias("src_words")), "component-tests")
+    pairs = s.select("dst", F.explode("dst_words").alias("word")).hint("merge").join(t.select("src", F.explode("src_words").alias("word")), "word").groupBy("src", "dst").agg(F.count("*").alias("shared"), F.collect_set("word").alias("words"))
+    full = pairs.hint("merge").join(s, "dst").hint("merge").join(t, "src")
+    stem = F.lower(paths.stem(F.col("dst")))
+    generic = stem.isin("index", "page", "route", "layout", "loading", "error")
+    parent = F.lower(F.element_at(F.split("dst", "/"), -2))
+    fits = (~generic & F.array_contains("src_words", stem)) | (generic & F.array_contains("words", parent)) | (F.col("shared") >= 2) | (F.size("dst_words") == 1)
+    return full.where(fits).select("src", "dst")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assay.functions import fixed, text
+from assay.sources.shared import written
 
 
 def sequences(ledger: DataFrame) -> DataFrame:
@@ -32,10 +33,70 @@ def healing(seq: DataFrame) -> DataFrame:
     )
 
 
-def headline(ledger: DataFrame) -> DataFrame:
-    """Blocks, those with a linked incident (an error event's value of 50 or more) and the files they protected."""
+def headline(records: DataFrame) -> DataFrame:
+    """Blocks, those with a linked incident, and the files, tests, docs and runbooks that they protected; records: blocked, linked, files, tests, docs, runbooks."""
     b = F.col("blocked")
-    return ledger.agg(F.count_if(b).alias("blocked_actions"), F.count_if(b & (F.col("value") >= 50)).alias("incident_linked"), F.coalesce(F.sum(F.when(b, F.floor("value"))), F.lit(0)).cast("long").alias("protected_files"), F.count("*").alias("actions"))
+    kept = [F.coalesce(F.sum(F.when(b, F.col(c))), F.lit(0)).cast("long").alias(f"protected_{c}") for c in ("files", "tests", "docs", "runbooks")]
+    return records.agg(F.count_if(b).alias("blocked_actions"), F.count_if(b & F.col("linked")).alias("incident_linked"), *kept, F.count("*").alias("actions"))
+
+
+def overview(records: DataFrame, *, limit: int = 250, feed_limit: int = 12, only=None) -> DataFrame:
+    """One row on the latest records, of those the ones that `only` selects: headline metrics, healing, the five latest heals and the risk feed."""
+    recent = latest(records, limit)
+    recent = written(recent if only is None else recent.where(only), "recent")  # `limit` rows at most
+    seq = written(sequences(recent), "sequences")
+    heals = seq.where("healed IS NOT NULL").orderBy(F.desc("healed_at"), F.desc("healed")).limit(5)
+    order = lambda rows, *by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by))), lambda x: x["cell"]), "|")
+    heals = heals.agg(order(heals, (-F.unix_micros(F.col("healed_at").cast("timestamp"))).alias("t"), (-F.col("healed")).alias("i"), F.concat_ws(">", F.col("first_blocked").cast("string"), F.col("healed").cast("string")).alias("cell")).alias("recent_heals"))
+    risks = feed(seq, recent.withColumn("value", F.when(F.col("linked"), 100).otherwise(0)), feed_limit)
+    risks = risks.agg(order(risks, (~F.col("signal")).alias("s"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), F.col("decision_id").alias("i"), F.concat_ws(":", F.col("decision_id").cast("string"), "status").alias("cell")).alias("risk_feed"))
+    out = headline(recent)
+    for part in (healing(seq), heals, risks):
+        out = out.join(F.broadcast(part), how="cross")  # each is one row
+    return out
+
+
+def by_id(ledger: DataFrame, ids: DataFrame) -> DataFrame:
+    return ledger.join(ids.select("decision_id").distinct(), "decision_id", "left_semi")
+
+
+def upserted(ledger: DataFrame, changes: DataFrame, key: str = "decision_id", *order) -> DataFrame:
+    """The ledger with changes: of a key's rows those of the changes win, of several of those the last by order."""
+    both = ledger.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
+    w = Window.partitionBy(key).orderBy(F.desc("_new"), *order)
+    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
+
+
+def imported(spark: SparkSession, lines: str, folder: str, schema: str, key: str = "decision_id") -> DataFrame:
+    """Records of a JSON-lines file and of a folder of JSON files; the first one of a key wins, lines before files, both in their order."""
+    one = spark.read.schema(schema).json(lines).withColumn("_at", F.struct(F.lit(0).alias("o"), F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")))
+    two = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(folder).withColumn("_at", F.struct(F.lit(1).alias("o"), F.col("_metadata.file_name").alias("f"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("i")))
+    return first_wins(one.unionByName(two).where(F.col(key).isNotNull()), key, "_at").drop("_at")
+
+
+def signals(parts: DataFrame) -> DataFrame:
+    """Per request its signals, each source and relation once, numbered by label and source; parts: evidence and twins with snippets."""
+    kind = signal_kind(F.col("path"))
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in fixed.SIGNAL_LABELS.items() for x in pair]), kind)
+    rows = parts.where(kind.isNotNull()).select("request_id", F.col("path").alias("source"), F.when(F.col("twin"), "twin_case").otherwise("evidence_span").alias("relation"), kind.alias("source_kind"), label.alias("label"), text.trimmed(F.col("snippet")).alias("summary"))
+    once = rows.dropDuplicates(["request_id", "source", "relation"]).withColumn("title", text.title(F.coalesce("summary", "source")))
+    return once.withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy("label", "source", "relation")))
+
+
+def lookback(seconds, days: int):
+    """Relative time clause for so many seconds back: minutes, hours or days, rounded up; of null the days given."""
+    s = F.greatest(seconds, F.lit(60))
+    minutes = F.ceil(s / 60)
+    clause = F.when(minutes < 60, F.concat(F.lit("-"), minutes.cast("string"), F.lit("m"))).when(minutes < 24 * 60, F.concat(F.lit("-"), F.ceil(s / 3600).cast("string"), F.lit("h"))).otherwise(F.concat(F.lit("-"), F.ceil(s / 86400).cast("string"), F.lit("d")))
+    return F.when(seconds.isNull(), f"-{max(1, days)}d").otherwise(clause)
+
+
+def comment(record: DataFrame) -> DataFrame:
+    """A pull request's comment for each record: decision, figures, what is missing and what was violated."""
+    bullets = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"\n### {title}\n- "), F.array_join(c, "\n- ")))
+    head = F.concat(F.lit("## Decision: "), F.col("decision"), F.when(F.col("allowed"), " (allowed)").otherwise(" (blocked)"))
+    figures = F.format_string("Hazard %.2f, confidence %.2f, %d files affected.", "hazard", "confidence", "impacted_files")
+    return record.withColumn("comment", F.concat_ws("\n", head, figures, bullets("Missing evidence", F.col("missing")), bullets("Policy violations", F.col("violations")), F.col("prompt")))
 
 
 def feed(seq: DataFrame, ledger: DataFrame, limit: int) -> DataFrame:
@@ -64,7 +125,13 @@ def fingerprint(repo, summary, changed):
     return F.concat_ws("::", F.coalesce(repo, F.lit("")), text.normalized(summary), F.array_join(F.array_sort(changed), "|"))
 
 
-def policy_labels(policies: DataFrame) -> DataFrame:
+def labels(policies: DataFrame):
+    """The labels of a row of policies: of flags that are set, and of limits with their value."""
     kinds = dict(policies.dtypes)
     one = lambda c, label: F.when(F.col(c), F.lit(label)) if kinds[c] == "boolean" else F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{label}: "), F.col(c).cast("string")))
-    return policies.select("policy", F.array_compact(F.array(*[one(c, label) for c, label in fixed.POLICY_LABELS.items()])).alias("labels"))
+    return F.array_compact(F.array(*[one(c, label) for c, label in fixed.POLICY_LABELS.items()]))
+
+
+def as_lines(ledger: DataFrame, path: str, key: str = "decision_id") -> None:
+    """Writes records as JSON lines in the order of their ids; the files' order goes on where the one before ends."""
+    ledger.orderBy(key).select(F.to_json(F.struct("*")).alias("value")).write.text(path)

@@ -18,90 +18,99 @@ def _index(spark, d):
     return once(spark, d, "span-index", lambda: hybrid.indexed(once(spark, d, "corpus", lambda: corpus(spark, d))))
 
 
-def _planned(spark, d):
-    return once(spark, d, "planned", lambda: fusion.planned_queries(requests(spark, d)))
+def _corpus(spark, d):
+    return once(spark, d, "corpus", lambda: corpus(spark, d))
 
 
-def _spans(spark, d):
-    return once(spark, d, "best-spans", lambda: hybrid.evaluated(hybrid.best_spans(_index(spark, d), _planned(spark, d), rules.MATCH)))
+#: Tables of requests by kind: a function of (spark, folder) to request_id, query and changed_paths. Other modules add theirs.
+REQUESTS = {"change": requests, "query": lambda spark, d: requests(spark, d).withColumn("changed_paths", F.array().cast("array<string>"))}
 
 
-def _lexical(spark, d):
+def asked(spark, d, kind="change"):
+    return once(spark, d, f"requests-{kind}", lambda: REQUESTS[kind](spark, d))
+
+
+def _planned(spark, d, kind="change"):
+    return once(spark, d, f"planned-{kind}", lambda: fusion.planned_queries(asked(spark, d, kind)))
+
+
+def _spans(spark, d, kind="change"):
+    return once(spark, d, f"best-spans-{kind}", lambda: hybrid.evaluated(hybrid.best_spans(_index(spark, d), _planned(spark, d, kind), rules.MATCH)))
+
+
+def _lexical(spark, d, kind="change"):
     """Lexical hits of all planned queries, with their best lines."""
-    c = once(spark, d, "corpus", lambda: corpus(spark, d))
 
     def make():
-        planned = _planned(spark, d)
+        c, planned = _corpus(spark, d), _planned(spark, d, kind)
         hits = written(lexical.top(lexical.scores(postings(spark, d), c.count(), planned, KEYS), rules.MATCH, KEYS), "lexical")
         lines = lexical.best_lines(c, planned, hits, KEYS)
         out = hits.hint("merge").join(lines, [*KEYS, "path"])
         return out.select(*KEYS, "path", paths.source_type(F.col("path")).alias("source_type"), "score", F.lit(False).alias("verified"), "snippet", "line_number")
 
-    return once(spark, d, "lexical-hits", make)
+    return once(spark, d, f"lexical-hits-{kind}", make)
 
 
-def _support(spark, d):
+def _support(spark, d, kind="change"):
     names = []
 
     def make(i):
         def run():
             if not names:
-                names.extend(graph.support(edges(spark, d), requests(spark, d), once(spark, d, "corpus", lambda: corpus(spark, d)).select("path")))
+                names.extend(graph.support(edges(spark, d), asked(spark, d, kind), _corpus(spark, d).select("path")))
             return names[i]
 
         return run
 
-    return once(spark, d, "support", make(0)), once(spark, d, "boosts", make(1))
+    return once(spark, d, f"support-{kind}", make(0)), once(spark, d, f"boosts-{kind}", make(1))
 
 
-def _hits(spark, d):
-    support, boosts = _support(spark, d)
-    return once(spark, d, "hits", lambda: hybrid.search(_spans(spark, d), _lexical(spark, d), _planned(spark, d), support, boosts, rules.FINAL))
+def ranked(spark, d, kind="change"):
+    """The hits of hybrid search."""
+    support, boosts = _support(spark, d, kind)
+    return once(spark, d, f"hits-{kind}", lambda: hybrid.search(_spans(spark, d, kind), _lexical(spark, d, kind), _planned(spark, d, kind), support, boosts, rules.FINAL))
 
 
-def _query_hits(spark, d):
-    """Hits of the requests as plain queries, without their changed paths."""
-    only = lambda rows: rows.where("plan = 0")
-    none = _hits(spark, d).select("request_id", "path", F.lit(0.0).alias("boost")).limit(0)
-    return once(spark, d, "query-hits", lambda: hybrid.search(only(_spans(spark, d)), only(_lexical(spark, d)), only(_planned(spark, d)), none, none, rules.FINAL))
+_hits = ranked
 
 
-def _reached(spark, d, kind):
-    """Files that each request reaches: from its changed paths, or as a plain query from its first code paths."""
+def _reached(spark, d, kind="change", hits=None):
+    """Files that each request reaches: from its changed paths, or else from its first code evidence."""
+    make = lambda: graph.closure(edges(spark, d), decide.focus(asked(spark, d, kind), decide.split(hits if hits is not None else ranked(spark, d, kind))))
+    return make() if hits is not None else once(spark, d, f"reached-{kind}", make)
 
-    def make():
-        r, hits = _asked(spark, d, kind)
-        return graph.closure(edges(spark, d), decide.focus(r, decide.split(hits)))
 
-    return once(spark, d, f"reached-{kind}", make)
+def features(spark, d, kind="change", hits=None):
+    """Features of the requests' evidence; hits: other hits than those of the whole search."""
 
+    def make():
+        r, found = asked(spark, d, kind), ranked(spark, d, kind) if hits is None else hits
+        f = decide.features(decide.split(found), r).hint("merge").join(decide.alignment(r, found), "request_id")
+        reach = graph.impact(_reached(spark, d, kind, hits))
+        return f.hint("merge").join(reach, "request_id", "left").na.fill(0, ["impacted_files", "impacted_tests", "impacted_docs", "impacted_runbooks", "max_depth"])
 
-def _asked(spark, d, kind):
-    r = requests(spark, d)
-    if kind == "change":
-        return r, _hits(spark, d)
-    return r.withColumn("changed_paths", F.array().cast("array<string>")), _query_hits(spark, d)
+    return make() if hits is not None else once(spark, d, f"features-{kind}", make)
 
 
-def _features(spark, d, kind="change"):
-    def make():
-        r, hits = _asked(spark, d, kind)
-        f = decide.features(decide.split(hits), r).hint("merge").join(decide.alignment(r, hits), "request_id")
-        reach = graph.impact(_reached(spark, d, kind))
-        return f.hint("merge").join(reach, "request_id", "left").na.fill(0, ["impacted_files", "impacted_tests", "impacted_docs", "impacted_runbooks", "max_depth"])
+_features = features
+
 
-    return once(spark, d, f"features-{kind}", make)
+def decisions(spark, d, kind="change", hits=None):
+    return decide.explained(decide.decided(decide.missing(features(spark, d, kind, hits))))
 
 
-def _decisions(spark, d, kind="change"):
-    return decide.explained(decide.decided(decide.missing(_features(spark, d, kind))))
+_decisions = decisions
 
 
-def _actions(spark, d):
-    both = _decisions(spark, d).join(F.broadcast(decide.policies(spark)), how="cross")
+def actions(spark, d, kind="change", hits=None):
+    """Decisions under each policy."""
+    both = decisions(spark, d, kind, hits).join(F.broadcast(decide.policies(spark)), how="cross")  # policies are a handful of presets
     return decide.retry_text(decide.acted(decide.violations(decide.recalibrated(both))))
 
 
+_actions = actions
+
+
 def span_index(spark, d):
     return _index(spark, d).select("path", "kind", "line_number", F.md5("text").alias("text_md5"), "occurrences", "hazard", "coverage", "calm")
 
@@ -146,7 +155,7 @@ def support_score(spark, d):
 
 
 def alignment_gap(spark, d):
-    return decide.alignment(requests(spark, d), _hits(spark, d))
+    return decide.alignment(asked(spark, d), _hits(spark, d))
 
 
 def warning_evidence(spark, d):
@@ -155,11 +164,11 @@ def warning_evidence(spark, d):
 
 def impact_summary(spark, d):
     """Files that each request reaches, by kind, with the greatest depth."""
-    return graph.impact(_reached(spark, d, "change"))
+    return graph.impact(_reached(spark, d))
 
 
 def impacted_paths(spark, d):
-    return _reached(spark, d, "change").select("request_id", F.col("node").alias("path"), "depth")
+    return _reached(spark, d).select("request_id", F.col("node").alias("path"), "depth")
 
 
 def missing_evidence(spark, d):
@@ -208,12 +217,9 @@ QUERIES = {
 }
 
 _ST, _HITS = rules.STRUCTURAL_SQL, rules.HITS_SQL
-_QUERY_HITS = f"""{_HITS}, qf AS (SELECT request_id, path, source_type, round(1 - product(1 - w) + 1e-9, 6) score, bool_or(verified) verified, max((verified, w, -plan, -line_number, snippet)) b FROM aw WHERE plan = 0 GROUP BY ALL),
-qh AS (SELECT request_id, path, source_type, score, verified, b[5] snippet, -b[4] line_number, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY verified DESC, score DESC, path) rank FROM qf) WHERE rank <= {rules.FINAL})"""
-
-
-def _features_sql(hits: str, n: str, base: str, changed: str) -> str:
-    """Parts, features, notes and decisions over a table of hits; n is put after the names; changed: the requests' changed paths."""
+def features_sql(base: str, hits: str = "hits", n: str = "") -> str:
+    """Parts, features, notes and decisions over a table of hits; n is put after the names."""
+    changed = "changed_paths"
     some = lambda pattern: f"len(list_filter({changed}, lambda x: {pattern})) > 0"
     test, front = "contains('/' || x, '/tests/') OR contains(x, '.test.')", "regexp_matches(x, '\\.(tsx|jsx)$') OR (regexp_matches(x, '\\.(js|ts|mjs|cjs|mts|cts)$') AND regexp_matches('/' || x, '/(app|apps|components|pages|routes|web|ui)/'))"
     return f"""{base},
@@ -238,18 +244,25 @@ de{n} AS (SELECT *, round(least(1.0, greatest(0.0, 0.65 - support + 0.08 * len(m
   WHEN n_evidence >= 1 AND support >= 0.12 THEN 'escalate' ELSE 'abstain' END decision FROM mi{n})"""
 
 
-_FEATURES = _features_sql("hits", "", _HITS.replace("WITH ", "WITH RECURSIVE ", 1), "changed_paths")
-_QUERY = _features_sql("qh", "_q", _QUERY_HITS.replace("WITH ", "WITH RECURSIVE ", 1), "CAST([] AS VARCHAR[])")
+_FEATURES = features_sql(_HITS)
+_QUERY = features_sql(rules.hits_sql(rules.QUERY_REQUESTS_SQL))
 _lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
 _format = lambda t: t.replace("%d", "{}").replace("%.2f", "{:.2f}")
-_ACTIONS = f"""{_FEATURES}, po(policy, profile, max_files, max_hazard, min_confidence, need_test, need_runbook, need_precedent, need_incident, block_incident) AS (VALUES {", ".join("(" + ", ".join(map(_lit, p)) + ")" for p in fixed.POLICIES)}),
-rc AS (SELECT * EXCLUDE (missing), CASE WHEN profile = 'open_source' THEN list_filter(missing, lambda x: x NOT IN ('{fixed.NOTE_NO_RUNBOOK}', '{fixed.NOTE_NO_PRECEDENT}')) ELSE missing END missing FROM de CROSS JOIN po),
-ad AS (SELECT * EXCLUDE (decision), CASE WHEN profile = 'open_source' AND NOT gap AND NOT warning AND NOT list_contains(missing, '{fixed.NOTE_NO_FRONTEND_TEST}') AND n_evidence >= 2 AND support >= 0.25 AND vc AND v2 AND (NOT need_test OR test_support OR changes_test) THEN 'admit' ELSE decision END decision FROM rc),
-vi AS (SELECT *, list_filter([CASE WHEN files > max_files THEN format('{_format(fixed.BREACH_FILES)}', files, max_files) END, CASE WHEN hazard > max_hazard THEN format('{_format(fixed.BREACH_HAZARD)}', hazard, CAST(max_hazard AS DOUBLE)) END,
+PO = f"""po(policy, profile, max_files, max_hazard, min_confidence, need_test, need_runbook, need_precedent, need_incident, block_incident) AS (VALUES {", ".join("(" + ", ".join(map(_lit, p)) + ")" for p in fixed.POLICIES)})"""
+
+
+def actions_sql(n: str = "") -> str:
+    """Decisions under each policy, over de and po."""
+    return f"""rc{n} AS (SELECT * EXCLUDE (missing), CASE WHEN profile = 'open_source' THEN list_filter(missing, lambda x: x NOT IN ('{fixed.NOTE_NO_RUNBOOK}', '{fixed.NOTE_NO_PRECEDENT}')) ELSE missing END missing FROM de{n} CROSS JOIN po),
+ad{n} AS (SELECT * EXCLUDE (decision), CASE WHEN profile = 'open_source' AND NOT gap AND NOT warning AND NOT list_contains(missing, '{fixed.NOTE_NO_FRONTEND_TEST}') AND n_evidence >= 2 AND support >= 0.25 AND vc AND v2 AND (NOT need_test OR test_support OR changes_test) THEN 'admit' ELSE decision END decision FROM rc{n}),
+vi{n} AS (SELECT *, list_filter([CASE WHEN files > max_files THEN format('{_format(fixed.BREACH_FILES)}', files, max_files) END, CASE WHEN hazard > max_hazard THEN format('{_format(fixed.BREACH_HAZARD)}', hazard, CAST(max_hazard AS DOUBLE)) END,
   CASE WHEN confidence < min_confidence THEN format('{_format(fixed.BREACH_CONFIDENCE)}', confidence, CAST(min_confidence AS DOUBLE)) END, CASE WHEN need_test AND NOT test_support AND NOT changes_test THEN '{fixed.BREACH_TEST}' END,
   CASE WHEN need_runbook AND NOT runbook_support AND NOT changes_runbook THEN '{fixed.BREACH_RUNBOOK}' END, CASE WHEN need_precedent AND n_twins = 0 THEN '{fixed.BREACH_PRECEDENT}' END, CASE WHEN need_incident AND NOT incident_twin THEN '{fixed.BREACH_NO_INCIDENT}' END,
-  CASE WHEN block_incident AND incident_twin THEN '{fixed.BREACH_INCIDENT}' END], lambda x: x IS NOT NULL) violations FROM ad),
-ac AS (SELECT * EXCLUDE (decision, missing), CASE WHEN len(violations) > 0 THEN 'escalate' ELSE decision END decision, list_concat(missing, list_transform(violations, lambda x: 'Safety policy violation: ' || x)) missing FROM vi)"""
+  CASE WHEN block_incident AND incident_twin THEN '{fixed.BREACH_INCIDENT}' END], lambda x: x IS NOT NULL) violations FROM ad{n}),
+ac{n} AS (SELECT * EXCLUDE (decision, missing), CASE WHEN len(violations) > 0 THEN 'escalate' ELSE decision END decision, list_concat(missing, list_transform(violations, lambda x: 'Safety policy violation: ' || x)) missing FROM vi{n})"""
+
+
+_ACTIONS = f"{_FEATURES}, {PO}, {actions_sql()}"
 _CELLS = lambda twin: f"coalesce(string_agg(place || ':' || path || ':' || line_number || ':' || md5(snippet), '|' ORDER BY place) FILTER (WHERE {twin}), '')"
 ORACLE_SQL = {
     "span_index": f"{_ST} SELECT path, kind, CAST(line_number AS INTEGER) line_number, md5(text) text_md5, CAST(occurrences AS INTEGER) occurrences, coalesce(hazard, 1) hazard, coalesce(coverage, 0) coverage, coalesce(hazard, 1) <= greatest(0.75, (SELECT threshold FROM lim)) calm FROM sp LEFT JOIN fa USING (span)",
@@ -269,7 +282,7 @@ ORACLE_SQL = {
     "missing_evidence": f"{_FEATURES} SELECT request_id, array_to_string(missing, '|') missing FROM mi",
     "hazard_confidence": f"{_FEATURES} SELECT request_id, hazard, confidence, n_evidence + n_twins recurrence FROM de",
     "decide_requests": f"{_FEATURES} SELECT request_id, decision, format('Decision {{}} based on support score {{:.2f}}, blast radius of {{}} files, and {{}} missing evidence flags.', decision, support, files, len(missing)) explanation FROM de",
-    "decide_queries": f"{_QUERY} SELECT request_id, decision, hazard, confidence, CAST(files AS INTEGER) impacted_files, array_to_string(missing, '|') missing FROM de_q",
+    "decide_queries": f"{_QUERY} SELECT request_id, decision, hazard, confidence, CAST(files AS INTEGER) impacted_files, array_to_string(missing, '|') missing FROM de",
     "decision_records": f"{_FEATURES}, ev AS (SELECT request_id, {_CELLS('NOT twin')} evidence, {_CELLS('twin')} twins FROM parts GROUP BY request_id) SELECT request_id, decision, evidence, twins, CAST(files AS INTEGER) impacted_files, CAST(tests AS INTEGER) impacted_tests, CAST(max_depth AS INTEGER) max_depth, array_to_string(missing, '|') missing FROM de LEFT JOIN ev USING (request_id)",
     "policy_violations": f"{_ACTIONS} SELECT request_id, policy, array_to_string(violations, '|') violations FROM ac",
     "action_decisions": f"{_ACTIONS} SELECT request_id, policy, decision, decision = 'admit' allowed, CAST(len(missing) AS INTEGER) n_missing FROM ac",

@@ -60,7 +60,8 @@ pq AS (SELECT request_id, 0 plan, query, 1.0::DOUBLE weight, FALSE support_only
   UNION ALL SELECT request_id, 2, array_to_string(list_concat(words, ['component', 'render', 'test']), ' '), 0.65, TRUE FROM wd WHERE len(words) > 0 AND front)"""
 
 #: Spans of the planned queries: sm (request_id, plan, span, structural, cosine, final), ss (with score, verified and snippet).
-STRUCTURAL_SQL = f"""WITH {CORPUS_SQL}, {EDGES_SQL}, {REQUESTS_SQL}, {PLANNED_SQL}, {SPANS_SQL}, {windows_sql('w', 'sp', 'span', 'text')},
+def structural_sql(requests: str = REQUESTS_SQL) -> str:
+    return f"""WITH RECURSIVE {CORPUS_SQL}, {EDGES_SQL}, {requests}, {PLANNED_SQL}, {SPANS_SQL}, {windows_sql('w', 'sp', 'span', 'text')},
 lim AS (SELECT round(list_sort(list(hazard))[CAST(floor(0.8 * (count(*) - 1)) AS BIGINT) + 1], 6) threshold FROM w),
 fa AS (SELECT span, round(avg(hazard), 6) hazard, round(avg(CASE WHEN round(hazard, 6) <= (SELECT threshold FROM lim) THEN 1.0 ELSE 0.0 END), 6) coverage FROM w GROUP BY span),
 {tokens_sql('qt', 'pq', 'query', 'request_id, plan')}, {tokens_sql('st', 'sp', 'search_text', 'span')},
@@ -97,10 +98,16 @@ ls AS (SELECT request_id, plan, path, line, clean, (SELECT count(DISTINCT token)
 lh AS (SELECT request_id, plan, path, source_type, score, clean[:240] snippet, line line_number FROM (SELECT *, row_number() OVER (PARTITION BY request_id, plan, path ORDER BY n DESC, line) k FROM ls) JOIN lr USING (request_id, plan, path) JOIN docs USING (path) WHERE k = 1)"""
 
 #: Ranked hits: hits (request_id, path, source_type, score, verified, snippet, line_number, rank).
-HITS_SQL = f"""{STRUCTURAL_SQL}, {SUPPORT_SQL}, {LEXICAL_SQL},
+def hits_sql(requests: str = REQUESTS_SQL) -> str:
+    return f"""{structural_sql(requests)}, {SUPPORT_SQL}, {LEXICAL_SQL},
 al AS (SELECT * FROM (SELECT request_id, plan, path, source_type, score, verified, snippet, line_number, 1.0 most FROM ss UNION ALL SELECT request_id, plan, path, source_type, score, FALSE, snippet, line_number, 0.75 FROM lh) JOIN pq USING (request_id, plan)
   WHERE snippet <> ''),
 aw AS (SELECT *, round(least(1.0, score * least(weight, most)) + 1e-9, 6) w FROM al WHERE NOT support_only OR (request_id, path) IN (SELECT (request_id, path) FROM sup)),
 fu AS (SELECT request_id, path, source_type, round(1 - product(1 - w) + 1e-9, 6) score, bool_or(verified) verified, max((verified, w, -plan, -line_number, snippet)) b FROM aw GROUP BY ALL),
 fb AS (SELECT request_id, path, source_type, CASE WHEN boost IS NULL THEN score ELSE round(least(1.0, score + boost), 6) END score, verified, b[5] snippet, -b[4] line_number FROM fu LEFT JOIN bst USING (request_id, path)),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY verified DESC, score DESC, path) rank FROM fb) WHERE rank <= {FINAL})"""
+
+
+STRUCTURAL_SQL, HITS_SQL = structural_sql(), hits_sql()
+#: The requests as plain queries.
+QUERY_REQUESTS_SQL = "reqs AS (SELECT item_id request_id, coalesce(text, '') query, CAST([] AS VARCHAR[]) changed_paths FROM benchmark)"

@@ -6,10 +6,15 @@ read as text and taken apart with JSON paths, so fields may be missing or of oth
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assay.functions import fixed, paths, text
+from assay.sources.shared import written
 
 KINDS = {"github": "github", "github_prs": "github", "prs": "github", "jira": "jira", "tickets": "jira", "pagerduty": "pagerduty", "pager": "pagerduty", "confluence": "confluence", "wiki": "confluence", "slack": "slack", "chat": "slack", "incidents": "incidents", "incident": "incidents"}
 
@@ -17,7 +22,8 @@ KINDS = {"github": "github", "github_prs": "github", "prs": "github", "jira": "j
 def files(spark: SparkSession, root: str, excluded: tuple[str, ...] = ()) -> DataFrame:
     """Text files under a root: path relative to it, length, changed and content; skipped folders are judged below the root only."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit("^" + root.rstrip("/") + "/"), F.lit(""))
+    whole, prefix = F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit(re.sub("^[a-z]+:/*", "/", root.rstrip("/")) + "/")
+    below = F.when(F.startswith(whole, prefix), F.substring(whole, F.length(prefix) + 1, F.length(whole))).otherwise(whole)
     rows = found.select(below.alias("path"), "length", F.col("modificationTime").alias("changed"), "content")
     kept = paths.suffix(F.col("path")).isin(*fixed.TEXT_SUFFIXES) & (F.col("length") <= fixed.MAX_FILE_BYTES) & ~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in fixed.SKIP_FOLDERS]))
     for prefix in excluded:
@@ -25,8 +31,18 @@ def files(spark: SparkSession, root: str, excluded: tuple[str, ...] = ()) -> Dat
     return rows.where(kept)
 
 
+def decoded(rows: DataFrame) -> DataFrame:
+    """path and content, bytes read as UTF-8; bytes that are none are left out."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string())], ["path", "content"])
+
+    return rows.mapInArrow(read, "path string, content string")
+
+
 def repository(spark: SparkSession, root: str, excluded: tuple[str, ...] = ()) -> DataFrame:
-    rows = files(spark, root, excluded).select("path", paths.source_type(F.col("path")).alias("source_type"), F.make_valid_utf8(F.decode(F.col("content"), "UTF-8")).alias("content"))
+    rows = decoded(files(spark, root, excluded).select("path", "content")).select("path", paths.source_type(F.col("path")).alias("source_type"), "content")
     return rows.where(F.trim("content") != "").select("*", *_none())
 
 
@@ -106,13 +122,24 @@ def merged_messages(history: DataFrame, replies: DataFrame) -> DataFrame:
     return both.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "origin")
 
 
+def threads(messages: DataFrame, keys: list[str], most: int = 25) -> DataFrame:
+    """keys, content, author (of the first message) and n_messages; messages: the keys, `at` to order by, author and text, of which empty ones do not count.
+
+    Messages are ranked first, so a long thread never gathers more than it keeps.
+    """
+    rows = messages.where(F.trim("text") != "").withColumn("author", F.coalesce("author", F.lit("unknown")))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "author", "text"))).where(F.col("n") <= most)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "author", "text"))), lambda x: F.concat(x["author"], F.lit(": "), x["text"])), "\n")
+    kept = first.groupBy(*keys).agg(body.alias("content"), F.max(F.when(F.col("n") == 1, F.col("author"))).alias("author"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_messages")).hint("merge").join(kept, keys).select(*keys, "content", "author", "n_messages")
+
+
 def chat_threads(spark: SparkSession, path: str) -> DataFrame:
     """Threads as documents: messages with text by ts, 25 of them at most, the first one's author; the channel is the folder."""
     r = records(spark, path, "messages")
     m = r.select(F.element_at(F.split("file", "/"), -2).alias("channel"), _get("ts").alias("ts"), F.coalesce(_get("thread_ts"), _get("ts")).alias("thread"), _get("user_profile.display_name", "username", "user").alias("author"), _get("text").alias("text")).where("text IS NOT NULL AND ts IS NOT NULL")
-    t = m.groupBy("channel", "thread").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("decimal(20,6)").alias("at"), F.coalesce("author", F.lit("unknown")).alias("author"), "text"))).alias("m"))
-    body = F.array_join(F.transform(F.slice("m", 1, 25), lambda x: F.concat(x["author"], F.lit(": "), x["text"])), "\n")
-    return t.select(F.concat(F.lit("external_slack/"), text.slug(F.col("channel")), F.lit("/"), text.slug(F.col("thread")), F.lit(".md")).alias("path"), F.lit("incident").alias("source_type"), body.alias("content"), F.element_at("m", 1)["author"].alias("author"), F.lit(None).cast("string").alias("external_url"), text.timestamp(F.col("thread")).alias("time"))
+    t = threads(m.withColumn("at", F.col("ts").cast("decimal(20,6)")), ["channel", "thread"])
+    return t.select(F.concat(F.lit("external_slack/"), text.slug(F.col("channel")), F.lit("/"), text.slug(F.col("thread")), F.lit(".md")).alias("path"), F.lit("incident").alias("source_type"), "content", "author", F.lit(None).cast("string").alias("external_url"), text.timestamp(F.col("thread")).alias("time"))
 
 
 def rich_text(column: Column) -> Column:
@@ -138,17 +165,25 @@ def lsif_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chain_ends(nexts: DataFrame) -> DataFrame:
-    """The end of the chain from each node (a to b), by doubling; nodes of a cycle end at its least node."""
-    from assay.sources.shared import written
-
-    now = written(nexts.groupBy("a").agg(F.min("b").alias("b")), "chain")
-    for _ in range(40):
-        on = now.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        after = written(now.join(on, "b", "left").select("a", F.coalesce("c", "b").alias("b")), "chain")
-        if after.exceptAll(now).isEmpty():
-            return after
-        now = after
-    return now
+    """The end of the chain from each node (a to b), by doubling; nodes of a cycle, and of chains into it, end at the cycle's least node.
+
+    A round doubles the steps that a row stands for, and takes along the least node on the way. Chains have ended when no row changes;
+    with cycles, rounds go on until a row stands for as many steps as there are nodes.
+    """
+    first = nexts.groupBy("a").agg(F.min("b").alias("b"))
+    after = now = written(first.select("a", "b", F.col("b").alias("least"), F.lit(False).alias("ended")), "chain")
+    n, steps = now.count(), 1
+    while steps <= n:
+        on = now.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("least").alias("l"))
+        joined = now.hint("merge").join(on, "b", "left")
+        now = after = written(joined.select("a", F.coalesce("c", "b").alias("b"), F.least("least", F.coalesce("l", "least")).alias("least"), (F.col("ended") | F.col("c").isNull()).alias("ended")), "chain")
+        steps *= 2
+        if now.where("NOT ended").isEmpty():
+            break
+    done = after.where("ended").select("a", "b")
+    # what runs into a cycle sees nodes before it on the way: the cycle's own least is that of the node it has come to
+    at = after.select(F.col("a").alias("b"), F.col("least").alias("end"))
+    return done.unionByName(after.where("NOT ended").select("a", "b").hint("merge").join(at, "b").select("a", F.col("end").alias("b")))
 
 
 def scip_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -161,6 +196,15 @@ def scip_edges(spark: SparkSession, path: str) -> DataFrame:
     return used.unionByName(related).join(defined.select("dst", "symbol"), "symbol").where("src <> dst").select("src", "dst").distinct()
 
 
+def merged_sources(*lists: DataFrame) -> DataFrame:
+    """Source lists (type, path, list, ordinal) as one: of a type (in any case) and path the first list's first row stays."""
+    out = lists[0]
+    for more in lists[1:]:
+        out = out.unionByName(more)
+    w = Window.partitionBy(F.lower("type"), "path").orderBy("list", "ordinal")
+    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 READERS = {"github": pull_requests, "jira": tickets, "pagerduty": pager_incidents, "confluence": wiki_pages, "slack": chat_threads, "incidents": incident_notes}
 
 
