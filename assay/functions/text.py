@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import fixed
 
@@ -44,15 +48,29 @@ def slug(text: Column) -> Column:
     return F.coalesce(F.nullif(s, F.lit("")), F.lit("record"))
 
 
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Character references decoded, those by number too; no-break spaces are blanks."""
+    return texts.map(lambda x: None if x is None else unescape(x).replace("\xa0", " "))
 
 
 def stripped_html(text: Column) -> Column:
-    """Tags to blanks, the common character references decoded, white space collapsed."""
-    out = F.regexp_replace(text, "<[^>]+>", " ")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return collapsed(out)
+    """Tags to blanks, character references decoded, white space collapsed."""
+    return collapsed(unescaped(F.regexp_replace(text, "<[^>]+>", " ")))
+
+
+#: References that the driver's tables hold, for SQL.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def symbol_name(symbol: Column) -> Column:
+    """The last word of a symbol, without the path before it and marks around it."""
+    s = F.regexp_replace(F.regexp_replace(F.trim(symbol), r"(?s)^.* ", ""), r"(?s)^.*/", "")
+    return F.coalesce(F.nullif(F.regexp_replace(s, r"^[`#().;:,]+|[`#().;:,]+$", ""), F.lit("")), F.lit("graph symbol"))
+
+
+def relation_kind(is_reference: Column, is_implementation: Column, is_type: Column, is_definition: Column) -> Column:
+    return F.when(is_reference, "reference").when(is_implementation, "implementation").when(is_type, "type-definition").when(is_definition, "definition").otherwise("relationship")
 
 
 def trimmed(text: Column, limit: int = 180) -> Column:

@@ -33,7 +33,7 @@ def occurrences(spans: DataFrame) -> DataFrame:
 
 
 def windows(df: DataFrame, key: str, content: str, width: int = fixed.WINDOW_BYTES, stride: int = fixed.STRIDE_BYTES) -> DataFrame:
-    """Byte windows with coverage of the tail: key, window_index, byte_start, byte_end and the metrics of their bits.
+    """Byte windows with coverage of the tail: key, window_index, byte_start, byte_end, the characters char_start to char_end that they begin and end in, and the metrics of their bits.
 
     entropy is that of the share of ones, rupture the share of bit changes; coherence and stability are what they leave of 1.
     """
@@ -56,16 +56,17 @@ def windows(df: DataFrame, key: str, content: str, width: int = fixed.WINDOW_BYT
                 with np.errstate(divide="ignore", invalid="ignore"):
                     h = np.nan_to_num(-(p * np.log2(p) + (1 - p) * np.log2(1 - p)))
                 rupture = (changes[8 * end] - changes[8 * start + 1]) / (n - 1)
-                out.append((np.full(len(start), i), np.arange(len(start)), start, end, np.minimum(h, 1.0), rupture))
+                chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters that begin in the bytes before
+                out.append((np.full(len(start), i), np.arange(len(start)), start, end, chars[start], chars[end], np.minimum(h, 1.0), rupture))
             if out:
-                of, index, start, end, entropy, rupture = (np.concatenate(x) for x in zip(*out, strict=True))
+                of, index, start, end, first, last, entropy, rupture = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(of)), pa.array(index, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(entropy), pa.array(1 - entropy), pa.array(1 - rupture), pa.array(rupture)],
-                    [key, "window_index", "byte_start", "byte_end", "entropy", "coherence", "stability", "hazard"],
+                    [b.column(0).take(pa.array(of)), pa.array(index, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(entropy), pa.array(1 - entropy), pa.array(1 - rupture), pa.array(rupture)],
+                    [key, "window_index", "byte_start", "byte_end", "char_start", "char_end", "entropy", "coherence", "stability", "hazard"],
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, content).mapInArrow(cut, f"{key} {kind}, window_index int, byte_start int, byte_end int, entropy double, coherence double, stability double, hazard double")
+    return df.select(key, content).mapInArrow(cut, f"{key} {kind}, window_index int, byte_start int, byte_end int, char_start int, char_end int, entropy double, coherence double, stability double, hazard double")
 
 
 def signature():
@@ -73,9 +74,11 @@ def signature():
     return F.concat_ws("_", part("c", "coherence"), part("s", "stability"), part("e", "entropy"))
 
 
-def span_metrics(w: DataFrame, key: str) -> DataFrame:
+def span_metrics(w: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Per key its windows' means, first signature and number; keys without windows (empty texts) have coherence and stability 0, entropy and hazard 1."""
     means = [F.round(F.avg(c), 6).alias(c) for c in ("coherence", "stability", "entropy", "hazard")]
-    return w.groupBy(key).agg(*means, F.min_by("signature", "window_index").alias("signature"), F.count("*").alias("n_windows"))
+    got = w.groupBy(key).agg(*means, F.min_by("signature", "window_index").alias("signature"), F.count("*").alias("n_windows"))
+    return keys.select(key).hint("merge").join(got, key, "left").na.fill({"coherence": 0.0, "stability": 0.0, "entropy": 1.0, "hazard": 1.0, "n_windows": 0})
 
 
 def signature_index(w: DataFrame, key: str) -> DataFrame:

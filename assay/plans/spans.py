@@ -23,7 +23,7 @@ def span_occurrences(spark, d):
 
 
 def sliding_windows(spark, d):
-    return spans.windows(corpus(spark, d), "path", "content").select("path", "window_index", "byte_start", "byte_end")
+    return spans.windows(corpus(spark, d), "path", "content").select("path", "window_index", "byte_start", "byte_end", "char_start", "char_end")
 
 
 def window_metrics(spark, d):
@@ -32,7 +32,7 @@ def window_metrics(spark, d):
 
 
 def span_metrics(spark, d):
-    return spans.span_metrics(_windows(spark, d), "path").drop("signature")
+    return spans.span_metrics(_windows(spark, d), "path", corpus(spark, d))
 
 
 def signature_index(spark, d):
@@ -79,9 +79,10 @@ s AS (SELECT path, min(line) line_number, string_agg(CASE WHEN source_type IN ('
 ORACLE_SQL = {
     "span_segmentation": f"{_LINED} SELECT path, CAST(line_number AS INTEGER) line_number, sha256(path || ':' || line_number || ':' || text) span_id, CAST(length(text) AS INTEGER) n_chars FROM s",
     "span_occurrences": f"WITH {CORPUS_SQL}, l AS (SELECT lower(trim(regexp_replace(unnest(string_split(regexp_replace(content, '\\n$', ''), chr(10))), '\\s+', ' ', 'g'))) norm FROM docs) SELECT md5(norm) text_md5, count(*) occurrences FROM l WHERE norm <> '' GROUP BY norm HAVING count(*) > 1",
-    "sliding_windows": f"{_W} SELECT path, window_index, byte_start, byte_end FROM w",
+    "sliding_windows": f"""{_W}, hx AS (SELECT path, unnest(regexp_extract_all(hex(encode(content)), '..')) h, unnest(generate_series(1, octet_length(encode(content)))) pos FROM docs WHERE content <> ''), cu AS (SELECT path, pos, sum(CASE WHEN h BETWEEN '80' AND 'BF' THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY pos ROWS UNBOUNDED PRECEDING) c FROM hx)
+        SELECT w.path, window_index, byte_start, byte_end, CAST(coalesce(a.c, 0) AS INTEGER) char_start, CAST(b.c AS INTEGER) char_end FROM w LEFT JOIN cu a ON a.path = w.path AND a.pos = byte_start JOIN cu b ON b.path = w.path AND b.pos = byte_end""",
     "window_metrics": f"{_W} SELECT path, window_index, round(entropy, 6) entropy, round(coherence, 6) coherence, round(stability, 6) stability, round(hazard, 6) hazard, signature FROM w",
-    "span_metrics": f"{_W} SELECT path, round(avg(coherence), 6) coherence, round(avg(stability), 6) stability, round(avg(entropy), 6) entropy, round(avg(hazard), 6) hazard, count(*) n_windows FROM w GROUP BY path",
+    "span_metrics": f"{_W} SELECT path, coalesce(round(avg(coherence), 6), 0) coherence, coalesce(round(avg(stability), 6), 0) stability, coalesce(round(avg(entropy), 6), 1) entropy, coalesce(round(avg(hazard), 6), 1) hazard, arg_min(signature, window_index) signature, count(window_index) n_windows FROM docs LEFT JOIN w USING (path) GROUP BY path",
     "signature_index": f"{_W}, {_INDEX} SELECT signature, occurrences, hazard_min, hazard_max, hazard_mean, f[1] prototype, f[2] prototype_window FROM idx",
     "hazard_threshold": f"{_W}, {_LIMIT} SELECT * FROM lim",
     "span_coverage": f"{_W}, {_LIMIT} SELECT path, round(avg(CASE WHEN round(hazard, 6) <= threshold THEN 1.0 ELSE 0.0 END), 6) coverage, count(*) n_windows FROM w, (SELECT threshold FROM lim) GROUP BY path",

@@ -22,9 +22,7 @@ KINDS = {"github": "github", "github_prs": "github", "prs": "github", "jira": "j
 def files(spark: SparkSession, root: str, excluded: tuple[str, ...] = ()) -> DataFrame:
     """Text files under a root: path relative to it, length, changed and content; skipped folders are judged below the root only."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    whole, prefix = F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit(re.sub("^[a-z]+:/*", "/", root.rstrip("/")) + "/")
-    below = F.when(F.startswith(whole, prefix), F.substring(whole, F.length(prefix) + 1, F.length(whole))).otherwise(whole)
-    rows = found.select(below.alias("path"), "length", F.col("modificationTime").alias("changed"), "content")
+    rows = found.select(_below(F.col("path"), root).alias("path"), "length", F.col("modificationTime").alias("changed"), "content")
     kept = paths.suffix(F.col("path")).isin(*fixed.TEXT_SUFFIXES) & (F.col("length") <= fixed.MAX_FILE_BYTES) & ~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in fixed.SKIP_FOLDERS]))
     for prefix in excluded:
         kept = kept & ~F.col("path").startswith(prefix)
@@ -89,8 +87,8 @@ def pull_requests(spark: SparkSession, path: str) -> DataFrame:
 def tickets(spark: SparkSession, path: str) -> DataFrame:
     r = records(spark, path, "issues", "tickets", "items")
     key = F.coalesce(_get("key", "id"), F.lit("record"))
-    lines = [F.concat(F.lit("# "), key, F.lit(" "), F.coalesce(_get("summary", "fields.summary", "title"), F.lit(""))), _line("Status", _get("status.name", "fields.status.name", "status")), _line("Type", _get("issuetype.name", "fields.issuetype.name", "issuetype")), _line("Epic", _get("epic.key", "epic")), _line("Labels", _names("labels", "name")), text.stripped_html(F.coalesce(_get("description", "fields.description"), F.lit("")))]
-    return _documents(r, F.concat(F.lit("external_jira/"), text.slug(key), F.lit(".md")), "doc", lines, _get("creator.displayName", "reporter.displayName"), _get("browse_url", "url"), _get("updated"), _get("created"))
+    lines = [F.concat(F.lit("# "), key, F.lit(" "), F.coalesce(_get("summary", "fields.summary", "title"), F.lit(""))), _line("Status", _get("status.name", "fields.status.name", "status")), _line("Type", _get("issuetype.name", "fields.issuetype.name", "issuetype", "issue_type")), _line("Epic", _get("epic.key", "epic")), _line("Labels", _names("labels", "name")), text.stripped_html(F.coalesce(_get("description", "fields.description"), F.lit("")))]
+    return _documents(r, F.concat(F.lit("external_jira/"), text.slug(key), F.lit(".md")), "doc", lines, _get("creator.displayName", "reporter.displayName", "author"), _get("browse_url", "url"), _get("updated", "updated_at"), _get("created", "created_at"))
 
 
 def pager_incidents(spark: SparkSession, path: str) -> DataFrame:
@@ -108,11 +106,72 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     return _documents(r, F.concat(F.lit("external_confluence/"), text.slug(space), F.lit("/"), text.slug(F.coalesce(_get("title"), F.lit("record"))), F.lit(".md")), "doc", lines, _get("version.by.displayName"), F.nullif(url, F.lit("")), _get("version.when"))
 
 
+def _below(path: Column, root: str) -> Column:
+    """A file's path below a root, schemes apart."""
+    whole, prefix = F.regexp_replace(path, "^[a-z]+:/*", "/"), F.lit(re.sub("^[a-z]+:/*", "/", root.rstrip("/")) + "/")
+    return F.when(F.startswith(whole, prefix), F.substring(whole, F.length(prefix) + 1, F.length(whole))).otherwise(whole)
+
+
 def incident_notes(spark: SparkSession, path: str) -> DataFrame:
-    r = records(spark, path, "incidents")
-    name = text.slug(paths.stem(F.col("file")))
-    lines = [F.concat(F.lit("# "), F.coalesce(_get("title"), name)), text.stripped_html(F.coalesce(_get("description", "body", "summary"), F.lit("")))]
-    return _documents(r, F.concat(F.lit("external_incidents/"), name, F.lit(".md")), "incident", lines, _get("author"), _get("url"), _get("created_at"))
+    """Incident notes: JSON objects as markdown of a title, facts and body; markdown and text files as they are."""
+    r = records(spark, path, names="*.json")
+    author, url, at = _get("author", "owner", "reporter", "created_by"), _get("external_url", "url", "html_url", "link"), text.timestamp(_get("timestamp"), _get("created_at"), _get("updated_at"), _get("occurred_at"))
+    fact = lambda label, v: F.when(v.isNotNull(), F.concat(F.lit(f"- {label}: "), v))
+    facts = F.array_compact(F.array(fact("Author", author), fact("External URL", url), fact("Timestamp", at.cast("string"))))
+    title = F.coalesce(_get("title", "summary", "name", "key"), paths.stem(F.col("file")))
+    body = F.coalesce(_get("body", "description", "content", "details"), F.lit("No incident body provided."))
+    whole = F.array_join(F.concat(F.array(F.concat(F.lit("# Incident: "), title), F.lit("")), facts, F.when(F.size(facts) > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), F.array(body)), "\n")
+    place = F.concat(F.lit("external_incidents/"), F.regexp_replace(_below(F.col("file"), path), r"\.[^./]*$", ".md"))
+    one = r.select(place.alias("path"), F.lit("incident").alias("source_type"), F.trim(whole).alias("content"), author.alias("author"), url.alias("external_url"), at.alias("time"))
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,rst,txt}").load(path).select(_below(F.col("path"), path).alias("path"), "content")
+    two = decoded(plain).where(F.trim("content") != "").select(F.concat(F.lit("external_incidents/"), "path").alias("path"), F.lit("incident").alias("source_type"), "content", *_none())
+    return one.unionByName(two)
+
+
+def flattened_pulls(payloads: DataFrame) -> DataFrame:
+    """API payloads of pull requests (column record) as export records: the fields that the reader takes, labels with a name only."""
+    g = lambda *n: _get(*n)
+    labels = F.transform(F.filter(F.coalesce(F.from_json(F.get_json_object("record", "$.labels"), "array<struct<name string>>"), F.array().cast("array<struct<name string>>")), lambda x: F.trim(x["name"]) != ""), lambda x: F.struct(x["name"].alias("name")))
+    ref = lambda side: F.struct(g(f"{side}.ref").alias("ref"), F.struct(g(f"{side}.repo.full_name").alias("full_name")).alias("repo"))
+    plain = [g(n).alias(n) for n in ("title", "body", "state", "html_url", "updated_at", "merged_at", "closed_at", "created_at")]
+    return payloads.select(F.to_json(F.struct(g("number").cast("long").alias("number"), *plain, F.struct(g("user.login").alias("login")).alias("user"), ref("base").alias("base"), ref("head").alias("head"), labels.alias("labels"))).alias("record"))
+
+
+def flattened_tickets(payloads: DataFrame, base_url: str) -> DataFrame:
+    """API payloads of issues as export records; rich-text descriptions as plain text, records without key left out."""
+    key = _get("key", "id")
+    described = F.get_json_object("record", "$.fields.description")
+    plain = F.when(F.trim(described).startswith("{"), F.nullif(rich_text(described), F.lit(""))).otherwise(F.nullif(F.trim(described), F.lit("")))
+    labels = F.coalesce(F.from_json(F.get_json_object("record", "$.fields.labels"), "array<string>"), F.array().cast("array<string>"))
+    fields = [key.alias("key"), F.coalesce(_get("fields.summary"), key).alias("summary"), F.coalesce(plain, F.lit("No ticket description provided.")).alias("description"), _get("fields.status.name").alias("status"), _get("fields.issuetype.name").alias("issue_type"), labels.alias("labels")]
+    who = _get("fields.creator.displayName", "fields.creator.name", "fields.reporter.displayName", "fields.reporter.name")
+    fields += [who.alias("author"), F.concat(F.lit(base_url.rstrip("/") + "/browse/"), key).alias("browse_url"), _get("fields.updated").alias("updated_at"), _get("fields.created").alias("created_at")]
+    return payloads.where(key.isNotNull()).select(F.to_json(F.struct(*fields)).alias("record"))
+
+
+def flattened_incidents(payloads: DataFrame) -> DataFrame:
+    g = _get
+    fields = [g("incident_number", "id").alias("incident_number"), g("id").alias("id"), g("title", "summary").alias("title"), F.coalesce(g("description", "body", "self"), F.lit("No incident body provided.")).alias("description"), g("status").alias("status")]
+    fields += [F.struct(g("service.summary", "service.name").alias("summary")).alias("service"), g("urgency", "severity").alias("urgency"), g("html_url", "self").alias("html_url"), g("created_at").alias("created_at"), g("last_status_change_at", "updated_at").alias("updated_at")]
+    return payloads.select(F.to_json(F.struct(*fields)).alias("record"))
+
+
+def flattened_pages(payloads: DataFrame, public_root: str) -> DataFrame:
+    """API payloads of wiki search results as export records; the link's path below the public root."""
+    g = _get
+    body = F.coalesce(g("content.body.storage.value", "content.body.view.value", "excerpt"), F.lit("No page body provided."))
+    link = g("content._links.webui", "url")
+    path = F.when(link.rlike("^[a-z]+://"), F.parse_url(link, F.lit("PATH"))).otherwise(link)
+    fields = [g("content.title", "title", "content.id").alias("title"), F.struct(F.struct(body.alias("value")).alias("storage")).alias("body"), F.struct(F.coalesce(g("content.space.key", "content.space.name"), F.lit("space")).alias("key")).alias("space")]
+    fields += [F.struct(F.struct(g("content.version.by.displayName", "content.history.createdBy.displayName").alias("displayName")).alias("by"), g("content.version.when", "lastModified").alias("when")).alias("version"), F.struct(F.lit(public_root.rstrip("/")).alias("base"), path.alias("webui")).alias("_links")]
+    return payloads.select(F.to_json(F.struct(*fields)).alias("record"))
+
+
+def graph_kind(name: Column, head: Column) -> Column:
+    """lsif, scip or null: what kind of code-graph dump a file is, by its name, and for JSON by its content."""
+    n = F.lower(name)
+    listed = F.get_json_object(head, "$.documents[*].relative_path").isNotNull() | F.get_json_object(head, "$.documents[*].path").isNotNull() | F.get_json_object(head, "$.documents[*].uri").isNotNull()
+    return F.when(n.contains(".lsif") | n.endswith(".ndjson"), "lsif").when(n.rlike(r"\.(json|scip)$|\.scip\.") & listed, "scip")
 
 
 def merged_messages(history: DataFrame, replies: DataFrame) -> DataFrame:
@@ -148,20 +207,22 @@ def rich_text(column: Column) -> Column:
 
 
 def lsif_edges(spark: SparkSession, path: str) -> DataFrame:
-    """Edges between documents of line-delimited graph dumps: from a range's document to the document that its definition lies in."""
-    e = spark.read.schema("id string, type string, label string, uri string, outV string, inV string, inVs array<string>, property string, document string, shard string").json(path)
+    """src, dst and symbol of line-delimited graph dumps: from a range's document to the document that its definition lies in; symbol is the range's label."""
+    schema = "id string, type string, label string, uri string, outV string, inV string, inVs array<string>, property string, tag struct<type string, text string, symbol string, detail string>"
+    e = spark.read.schema(schema).json(path)
     to = F.explode(F.array_distinct(F.array_compact(F.concat(F.array("inV"), F.coalesce("inVs", F.array().cast("array<string>"))))))
     docs = e.where("label = 'document'").select(F.col("id").alias("doc"), F.regexp_replace("uri", "^file://(/[^/]*)?/", "").alias("path"))
-    edge = e.where("type = 'edge'").select("label", "outV", "document", "shard", to.alias("inV"))
+    edge = written(e.where("type = 'edge'").select("label", "outV", to.alias("inV")), "graph")
     held = edge.where("label = 'contains'").select(F.col("outV").alias("doc"), F.col("inV").alias("range"))
-    owner = held.join(docs, "doc").select("range", "path")
-    nexts = edge.where("label = 'next'").select(F.col("outV").alias("a"), F.col("inV").alias("b"))
-    ends = chain_ends(nexts)
+    tag = text.first_text(F.col("tag.text"), F.col("tag.symbol"), F.col("tag.detail"), F.col("tag.type"))
+    names = e.where("label = 'range'").select(F.col("id").alias("range"), F.coalesce(tag, F.lit("graph reference")).alias("symbol"))
+    owner = written(held.hint("merge").join(docs, "doc").hint("merge").join(names, "range", "left").select("range", "path", F.coalesce("symbol", F.lit("graph reference")).alias("symbol")), "ranges")
+    ends = chain_ends(edge.where("label = 'next'").select(F.col("outV").alias("a"), F.col("inV").alias("b")))
     results = edge.where("label IN ('textDocument/definition', 'textDocument/references')").select(F.col("outV").alias("at"), F.col("inV").alias("result"))
-    of_range = owner.join(ends, owner["range"] == ends["a"], "left").select("path", F.coalesce("b", "range").alias("at")).unionByName(owner.select("path", F.col("range").alias("at"))).distinct()
-    items = edge.where("label = 'item'").select(F.col("outV").alias("result"), F.col("inV").alias("range"))
-    target = items.join(owner.withColumnRenamed("path", "dst"), "range").select("result", "dst")
-    return of_range.join(results, "at").join(target, "result").select(F.col("path").alias("src"), "dst").where("src <> dst").distinct()
+    chained = owner.hint("merge").join(ends.withColumnRenamed("a", "range"), "range", "left").select("path", "symbol", F.coalesce("b", "range").alias("at"))
+    of_range = chained.unionByName(owner.select("path", "symbol", F.col("range").alias("at"))).distinct()
+    target = edge.where("label = 'item'").select(F.col("outV").alias("result"), F.col("inV").alias("range")).hint("merge").join(owner.select("range", F.col("path").alias("dst")), "range").select("result", "dst")
+    return of_range.hint("merge").join(results, "at").hint("merge").join(target, "result").select(F.col("path").alias("src"), "dst", "symbol").where("src <> dst").distinct()
 
 
 def chain_ends(nexts: DataFrame) -> DataFrame:
@@ -187,13 +248,34 @@ def chain_ends(nexts: DataFrame) -> DataFrame:
 
 
 def scip_edges(spark: SparkSession, path: str) -> DataFrame:
-    """Edges from the documents in which a symbol occurs to the one that defines it or a symbol it is related to."""
-    schema = "documents array<struct<relative_path string, occurrences array<struct<symbol string>>, symbols array<struct<symbol string, relationships array<struct<symbol string, is_reference boolean>>>>>>"
-    d = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("documents").alias("d")).select("d.*")
+    """src, dst, symbol and kind: from the documents in which a symbol occurs to the one that defines it, and from those of symbols related to it."""
+    kinds = ("is_reference", "is_implementation", "is_type_definition", "is_definition")
+    schema = f"documents array<struct<relative_path string, occurrences array<struct<symbol string>>, symbols array<struct<symbol string, relationships array<struct<symbol string, {', '.join(f'{k} boolean' for k in kinds)}>>>>>>"
+    d = written(spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path).select(F.explode("documents").alias("d")).select("d.*"), "graph")
     defined = d.select(F.col("relative_path").alias("dst"), F.explode("symbols").alias("s")).select("dst", "s.symbol", "s.relationships")
-    used = d.select(F.col("relative_path").alias("src"), F.explode("occurrences").alias("o")).select("src", "o.symbol")
-    related = defined.select(F.col("dst").alias("src"), F.explode("relationships").alias("r")).select("src", "r.symbol")
-    return used.unionByName(related).join(defined.select("dst", "symbol"), "symbol").where("src <> dst").select("src", "dst").distinct()
+    used = d.select(F.col("relative_path").alias("src"), F.explode("occurrences").alias("o")).select("src", "o.symbol", F.lit("occurrence").alias("kind"))
+    related = defined.select(F.col("dst").alias("src"), F.explode("relationships").alias("r")).select("src", "r.symbol", text.relation_kind(*[F.coalesce(F.col(f"r.{k}"), F.lit(False)) for k in kinds]).alias("kind"))
+    return used.unionByName(related).hint("merge").join(defined.select("dst", "symbol"), "symbol").where("src <> dst").select("src", "dst", text.symbol_name(F.col("symbol")).alias("symbol"), "kind").distinct()
+
+
+def graph_summaries(edges: DataFrame, files: DataFrame, exports: str, *, most: int = 12, most_edges: int = 16) -> DataFrame:
+    """path and content: for each file of a graph (src, dst, symbol, kind) its symbols, references and referrers, its first lines and its first edges. A hub's are ranked before they are gathered."""
+
+    def first(rows: DataFrame, by: str, n: int, name: str, sep: str) -> DataFrame:
+        ranked = rows.distinct().withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy(by))).where(F.col("_n") <= n)
+        return ranked.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", by))), lambda x: x[by]), sep).alias(name))
+
+    out, into = edges.select(F.col("src").alias("path"), F.col("dst").alias("x")), edges.select(F.col("dst").alias("path"), F.col("src").alias("x"))
+    line = F.concat(F.lit("- "), "src", F.lit(" -> "), "dst", F.lit(" via "), "symbol", F.lit(" ("), "kind", F.lit(")")).alias("x")
+    parts = {"symbols": first(edges.select(F.col("src").alias("path"), F.col("symbol").alias("x")), "x", most, "symbols", ", "), "to": first(out, "x", most, "to", ", "), "from": first(into, "x", most, "from", ", "), "lines": first(edges.select(F.col("src").alias("path"), line), "x", most_edges, "lines", "\n")}
+    rows = out.select("path").union(into.select("path")).distinct()
+    for part in parts.values():
+        rows = rows.hint("merge").join(part, "path", "left")
+    shown = F.slice(F.filter(F.transform(text.lines(F.col("content")), F.rtrim), lambda x: F.trim(x) != ""), 1, 12)
+    rows = rows.hint("merge").join(files.select("path", shown.alias("excerpt")), "path", "left")
+    body = [F.concat(F.lit("# Native Graph Summary: "), "path"), F.lit(""), F.lit(f"- Graph exports: {exports}"), F.concat(F.lit("- Symbols: "), "symbols"), F.concat(F.lit("- References: "), "to"), F.concat(F.lit("- Referenced by: "), "from")]
+    body += [F.when(F.size("excerpt") > 0, F.concat(F.lit("\n## Source context\n"), F.array_join("excerpt", "\n"))), F.lit("\n## Graph edges"), F.col("lines")]
+    return rows.select("path", F.trim(F.concat_ws("\n", *body)).alias("content"))
 
 
 def merged_sources(*lists: DataFrame) -> DataFrame:

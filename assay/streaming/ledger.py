@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -64,14 +64,27 @@ def sessions(ledger: DataFrame, gap: str = "6 hours", delay: str = "1 hour") ->
 
 
 def upserted(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, **trigger):
-    """Writes the latest row of each key to a table folder, one version for each batch; the checkpoint is the cursor."""
+    """Appends each batch's latest rows of each key to a table folder, one part for each batch; `latest` reads it. The checkpoint is the cursor.
+
+    A batch that is tried again replaces its own part. Polling is a processingTime trigger; the default takes what is there and ends.
+    """
     from pyspark.sql import Window
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{epoch - 1}") if epoch else batch.limit(0)
-        rows = old.unionByName(batch)
-        latest = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
-        latest.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        rows = batch.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
+    """The latest row of each key that any batch has written."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc("batch"))
+    return spark.read.option("basePath", path).parquet(path).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "batch")
+
+
+def compacted(spark: SparkSession, path: str, to: str, key: str, order: str) -> None:
+    """The latest rows as one batch in a new folder, when there are many batches."""
+    latest(spark, path, key, order).write.parquet(f"{to}/batch=-1")

@@ -10,24 +10,24 @@ def put(folder, name, value):
 
 
 def test_tickets_take_nested_names(spark, tmp_path):
-    p = put(tmp_path, "t.json", {"issues": [{"key": "BILL-204", "summary": "Retry", "description": "<p>Fix &amp; ship</p>", "status": {"name": "Done"}, "issuetype": {"name": "Bug"}, "labels": ["a", "b"], "creator": {"displayName": "Kim"}, "updated": "2025-01-02T03:04:05Z"}]})
+    p = put(tmp_path, "t.json", {"issues": [{"key": "KEY-31", "summary": "Slow queue", "description": "<p>Drain &amp; refill</p>", "status": {"name": "Done"}, "issuetype": {"name": "Bug"}, "labels": ["a", "b"], "creator": {"displayName": "Kim"}, "updated": "2025-01-02T03:04:05Z"}]})
     r = exports.tickets(spark, p).first()
-    assert r.path == "external_jira/BILL-204.md" and r.source_type == "doc" and "Status: Done" in r.content and "Fix & ship" in r.content and r.author == "Kim" and r.time.year == 2025
+    assert r.path == "external_jira/KEY-31.md" and r.source_type == "doc" and "Status: Done" in r.content and "Drain & refill" in r.content and r.author == "Kim" and r.time.year == 2025
 
 
 def test_pull_requests_and_incidents(spark, tmp_path):
     p = put(tmp_path / "a", "p.json", {"pulls": [{"number": 7, "title": "T", "body": "B", "labels": [{"name": "x"}], "files": [{"filename": "a.py"}, {"path": "b.py"}], "user": {"login": "u"}}]})
     r = exports.pull_requests(spark, p).first()
     assert r.path == "external_github_prs/pr_7.md" and "Labels: x" in r.content and "Files: a.py, b.py" in r.content
-    q = put(tmp_path / "b", "i.json", [{"incident_number": 4417, "title": "Down", "service": {"summary": "S"}, "created_at": "2025-02-03T00:00:00Z"}])
-    assert exports.pager_incidents(spark, q).first().path == "external_pagerduty/4417.md"
+    q = put(tmp_path / "b", "i.json", [{"incident_number": 88, "title": "Down", "service": {"summary": "S"}, "created_at": "2025-02-03T00:00:00Z"}])
+    assert exports.pager_incidents(spark, q).first().path == "external_pagerduty/88.md"
     assert exports.sources(spark, [("github", p), ("prs", p), ("pager", q)]).count() == 2
 
 
 def test_wiki_url_is_base_and_webui(spark, tmp_path):
-    p = put(tmp_path, "w.json", {"results": [{"title": "Billing Architecture", "body": {"storage": {"value": "<h1>x</h1>"}}, "space": {"key": "ARCH"}, "_links": {"base": "https://w/", "webui": "/p/1"}}]})
+    p = put(tmp_path, "w.json", {"results": [{"title": "Queue Layout", "body": {"storage": {"value": "<h1>x</h1>"}}, "space": {"key": "OPS"}, "_links": {"base": "https://w/", "webui": "/p/1"}}]})
     r = exports.wiki_pages(spark, p).first()
-    assert r.path == "external_confluence/ARCH/Billing-Architecture.md" and r.external_url == "https://w/p/1"
+    assert r.path == "external_confluence/OPS/Queue-Layout.md" and r.external_url == "https://w/p/1"
 
 
 def test_chat_threads(spark, tmp_path):
@@ -47,14 +47,14 @@ def test_repository_skips_folders_below_the_root(spark, tmp_path):
 
 def test_graph_dumps(spark, tmp_path):
     rows = [
-        {"id": "1", "type": "vertex", "label": "document", "uri": "file:///repo/src/entry.ts"}, {"id": "2", "type": "vertex", "label": "document", "uri": "file:///repo/src/lib.ts"},
+        {"id": "1", "type": "vertex", "label": "document", "uri": "file:///repo/app/start.ts"}, {"id": "2", "type": "vertex", "label": "document", "uri": "file:///repo/app/queue.ts"},
         {"id": "5", "type": "edge", "label": "contains", "outV": "1", "inVs": ["10"]}, {"id": "6", "type": "edge", "label": "contains", "outV": "2", "inVs": ["11"]},
         {"id": "7", "type": "edge", "label": "next", "outV": "10", "inV": "20"}, {"id": "8", "type": "edge", "label": "textDocument/definition", "outV": "20", "inV": "30"}, {"id": "9", "type": "edge", "label": "item", "outV": "30", "inVs": ["11"]},
     ]
     p = put(tmp_path / "l", "dump.lsif", "\n".join(map(json.dumps, rows)))
-    assert [tuple(r) for r in exports.lsif_edges(spark, p).collect()] == [("src/entry.ts", "src/lib.ts")]
+    assert [tuple(r) for r in exports.lsif_edges(spark, p).collect()] == [("app/start.ts", "app/queue.ts", "graph reference")]
     q = put(tmp_path / "s", "i.json", {"documents": [{"relative_path": "a.ts", "occurrences": [{"symbol": "S"}]}, {"relative_path": "b.ts", "symbols": [{"symbol": "S", "relationships": []}]}]})
-    assert [tuple(r) for r in exports.scip_edges(spark, q).collect()] == [("a.ts", "b.ts")]
+    assert [tuple(r) for r in exports.scip_edges(spark, q).collect()] == [("a.ts", "b.ts", "S", "occurrence")]
 
 
 def test_rich_text_and_merge(spark):
@@ -62,3 +62,34 @@ def test_rich_text_and_merge(spark):
     assert df.select(exports.rich_text(df.j)).first()[0] == 'a "q" b'
     h, r = spark.createDataFrame([("c", "1", "old")], ["channel", "ts", "text"]), spark.createDataFrame([("c", "1", "new")], ["channel", "ts", "text"])
     assert exports.merged_messages(h, r).first().text == "new"
+
+
+def test_notes_of_both_kinds(spark, tmp_path):
+    put(tmp_path / "a", "n.json", {"name": "Outage", "details": "All down", "owner": "Lee", "occurred_at": "2025-01-02T03:04:05Z"})
+    put(tmp_path / "a", "m.md", "# Later\n")
+    got = {r.path: r for r in exports.incident_notes(spark, str(tmp_path)).collect()}
+    assert got["external_incidents/a/n.md"].content.startswith("# Incident: Outage\n\n- Author: Lee\n- Timestamp: 2025-01-02") and got["external_incidents/a/n.md"].content.endswith("\n\nAll down")
+    assert got["external_incidents/a/m.md"].content == "# Later\n"
+
+
+def test_roots_with_signs_and_bad_bytes(spark, tmp_path):
+    root = tmp_path / "c++"
+    put(root / "src", "a.cc", "int a;")
+    (root / "src" / "b.md").write_bytes(b"ok \xff\xfe end")
+    assert {(r.path, r.content) for r in exports.repository(spark, str(root)).collect()} == {("src/a.cc", "int a;"), ("src/b.md", "ok  end")}
+
+
+def test_chains_and_cycles_end(spark):
+    n = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("p", "q"), ("q", "r"), ("t", "u"), ("u", "b"), *[(f"x{i:02}", f"x{i + 1:02}") for i in range(20)], ("x20", "y1"), ("y1", "y2"), ("y2", "y1")], "a string, b string")
+    got = {r.a: r.b for r in exports.chain_ends(n).collect()}
+    assert [got[x] for x in "abcpqtu"] == ["a", "a", "a", "r", "r", "a", "a"] and {got[x] for x in got if x[0] in "xy"} == {"y1"}
+
+
+def test_payloads_become_records(spark):
+    one = lambda f, p: json.loads(f(spark.createDataFrame([(json.dumps(p),)], "record string")).first().record)
+    assert one(exports.flattened_pulls, {"number": 3, "title": "T", "user": {"login": "u"}, "labels": [{"name": "x"}, {"name": ""}], "other": 1})["labels"] == [{"name": "x"}]
+    t = one(lambda df: exports.flattened_tickets(df, "https://h/"), {"key": "K-1", "fields": {"summary": "S", "description": {"content": [{"text": "deep"}]}}})
+    assert t["description"] == "deep" and t["browse_url"] == "https://h/browse/K-1"
+    p = one(lambda df: exports.flattened_pages(df, "https://h/wiki/"), {"content": {"title": "P", "_links": {"webui": "https://h/wiki/x/1"}}})
+    assert p["_links"] == {"base": "https://h/wiki", "webui": "/wiki/x/1"} and p["body"]["storage"]["value"] == "No page body provided."
+    assert one(exports.flattened_incidents, {"id": "7", "summary": "s", "service": {"name": "n"}})["service"] == {"summary": "n"}

