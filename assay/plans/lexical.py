@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assay.functions import fixed, paths, text
 from assay.operators import lexical
 from assay.plans.rules import stem_sql, tokens_sql, words_sql
-from assay.sources.shared import once
+from assay.sources.shared import once, written
 from assay.sources.tables import CORPUS_SQL, REQUESTS_SQL, corpus, requests, table
 
 POSTINGS_SQL = f"""{CORPUS_SQL}, {tokens_sql("ct", "docs", "content", "path")}, {tokens_sql("pt", "docs", "replace(path, '/', ' ')", "path")},
@@ -71,8 +71,10 @@ def qgram_overlap(spark, d):
     """Share of a request's 3-grams that each of its lexical hits has in its whole text."""
     hits = lexical_topk(spark, d).select("request_id", "path")
     r = requests(spark, d).select("request_id", text.qgrams(F.col("query")).alias("q"))
-    both = corpus(spark, d).select("path", "content").hint("merge").join(hits, "path").hint("merge").join(r, "request_id").withColumn("s", text.qgrams(F.col("content")))
-    return both.select("request_id", "path", F.round(F.size(F.array_intersect("q", "s")) / F.greatest(F.lit(1), F.size("q")), 6).alias("structural"))
+    found = corpus(spark, d).select("path", F.concat(F.lit(" "), text.normalized(F.col("content")), F.lit(" ")).alias("s")).hint("merge").join(hits, "path")
+    both = written(found, "texts").hint("merge").join(r, "request_id")
+    # a text has a 3-gram if it contains it: its own grams need not be made
+    return both.select("request_id", "path", F.round(F.size(F.filter("q", lambda g: F.contains(F.col("s"), g))) / F.greatest(F.lit(1), F.size("q")), 6).alias("structural"))
 
 
 def html_pages(spark, d):
@@ -111,8 +113,8 @@ ORACLE_SQL = {
         SELECT request_id, path, CAST(line_number AS INTEGER) line_number, clean[:240] snippet FROM (SELECT *, row_number() OVER (PARTITION BY request_id, path ORDER BY n DESC, line_number) k FROM z) WHERE k = 1""",
     "path_anchor_tokens": f"""WITH {CORPUS_SQL} SELECT doc_id, array_to_string({words_sql('path')}, ',') words, lower({stem_sql('path')}) AS label, replace(regexp_replace(path, '\\.py$', ''), '/', '.') module FROM docs""",
     "qgram_overlap": f"""WITH {SCORES_SQL}, n AS (SELECT request_id, path, ' ' || lower(trim(regexp_replace(query, '\\s+', ' ', 'g'))) || ' ' q, ' ' || lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))) || ' ' s FROM ranked JOIN docs USING (path) JOIN reqs USING (request_id)),
-        g AS (SELECT request_id, path, list_distinct(list_transform(generate_series(1, greatest(length(q) - 2, 1)), lambda i: q[i:i + 2])) q, list_distinct(list_transform(generate_series(1, greatest(length(s) - 2, 1)), lambda i: s[i:i + 2])) s FROM n)
-        SELECT request_id, path, round(len(list_intersect(q, s)) / greatest(1, len(q)), 6) structural FROM g""",
+        g AS (SELECT request_id, path, s, list_distinct(list_transform(generate_series(1, greatest(length(q) - 2, 1)), lambda i: q[i:i + 2])) q FROM n)
+        SELECT request_id, path, round(len(list_filter(q, lambda x: contains(s, x))) / greatest(1, len(q)), 6) structural FROM g""",
     "html_pages": f"""WITH b AS (SELECT page_id, url, {_UNTAG} body FROM pages), h AS (SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) host FROM b)
         SELECT page_id, host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) url_path, regexp_replace(host, '[^A-Za-z0-9._-]+', '-', 'g') slug, md5(body) text_md5,
         CASE WHEN body = '' THEN NULL WHEN length(body) <= 180 THEN body ELSE rtrim(body[:179]) || '…' END trimmed, split_part(body, '. ', 1)[:96] title FROM h""",
