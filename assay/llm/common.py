@@ -60,16 +60,23 @@ def written(df: DataFrame, name: str, compression: str = "zstd", keep: bool = Fa
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, by: str, buckets: int | None = None) -> DataFrame:
     """Like `written`, in buckets by a column: joins on it move the other side only. For rows that are large and few."""
     spark = df.sparkSession
     path, key = f"{shared_folder(spark)}/assay-{name}-{uuid.uuid4().hex}", f"assay_{name}_{uuid.uuid4().hex}"
-    df.write.option("path", path).option("compression", "none").bucketBy(parts(spark), by).format("parquet").saveAsTable(key)
+    df.write.option("path", path).option("compression", "none").bucketBy(buckets or parts(spark), by).format("parquet").saveAsTable(key)
     if _scratches:
         _scratches[-1].append((path, key))
     return spark.table(key)
 
 
+def emptied(df: DataFrame) -> None:
+    """Deletes the files of a table that was made by `bucketed` inside a scratch, when nothing reads it any more."""
+    for file in df.inputFiles()[:1]:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, near_dedup, packing, pages, quality, sharding, substring_dedup, topk
+from . import chat, clustering, decontaminate, licenses, near_dedup, neighbours, packing, pages, quality, sharding, substring_dedup, topk, trie
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pages": pages.op8_pages,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_centroids": clustering.op11_centroids,
+    "op12_neighbours": neighbours.op12_neighbours,
+    "op13_trie": trie.op13_trie,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,6 @@ ORACLE_SQL = {
     "op5_near_dedup": near_dedup.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_centroids": clustering.SQL,
+    "op13_trie": trie.SQL,
 }
