@@ -11,15 +11,17 @@ out of the counts; where none was held out (a handful of trusted documents), of
 Two scores are judged. `score` is the mean surprise in nats for each gram, drawn towards the language's trusted mean by `SHRINK` grams
 so that a few words are not judged on chance; it is over its limit beyond the language's `QUANTILE` plus `SLACK` times the
 distance from the language's mean. `worst` is the surprise of the document's least likely word of letters alone (numbers, addresses
-and codes are no words here): a single word as trusted text never has it, an insult say, is lost in a mean. It is over its limit beyond its own quantile
-and `WORST_SLACK` of it. A document is rejected if either is over its limit.
+and codes are no words here): a single word as trusted text never has it, an insult say, is lost in a mean. It is judged like the score, by its distance from
+the language's mean, with `WORST_SLACK`. A document is rejected if either is over its limit.
+
+A language's means and limits are drawn towards those of all languages together by the weight of `POOL` trusted documents, so that a
+language of few trusted documents changes by degrees and one of none takes the common ones.
 
 Scale: tasks send the distinct grams of a piece (about `PIECE_BYTES` of text) with counts, never the grams of
 each document; the model's tables have a row for each distinct gram. Texts travel once, compressed; a longer text lies in several pieces,
 whose grams overlap by three code points, and is summed up at the end.
 
-Cases: null and empty texts score the language's mean and are kept; a null language is one of its own; a language
-with fewer than `LEAST_TRUSTED` trusted documents uses all languages together; labels of unknown documents,
+Cases: null and empty texts score the language's mean and are kept; a null language is one of its own; labels of unknown documents,
 null labels and repeated labels that disagree make nothing trusted; without trusted text all is kept with a null score;
 repeated rows each get a row; extra columns are ignored.
 """
@@ -50,9 +52,10 @@ SLICE_BYTES = 2_000_000
 BLOCK_CHARS = 400_000
 QUANTILE = 0.995
 SLACK = 0.25
-WORST_SLACK = 0.1
+WORST_SLACK = 0.2
 SHRINK = 60
-LEAST_TRUSTED = 30
+#: Trusted documents of all languages together that count beside a language's own in its means and limits.
+POOL = 20
 #: Of so many trusted documents one is kept out of the counts, to set the thresholds.
 HELD_OUT = 5
 #: Scores are compared and counted in steps of this size.
@@ -274,9 +277,14 @@ def surprise(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", tex
 
 
 def thresholds(scored: DataFrame, quantile: float, by: list[str]) -> DataFrame:
-    """The trusted documents' number and the quantiles of `over` and `worst`, exact to a step; only counts of steps meet."""
+    """The trusted documents' number and the quantiles of `over` and `worst_over`, exact to a step; only counts of steps meet."""
     at = lambda c, name: (F.percentile(F.floor(F.col(c) / STEP), F.lit(quantile)) * STEP + STEP).alias(name)
-    return scored.where("trusted").groupBy(*by).agg(F.count("*").alias("n_trusted"), at("over", "limit"), at("worst", "worst_limit"))
+    return scored.where("trusted").groupBy(*by).agg(F.count("*").alias("n"), at("over", "limit"), at("worst_over", "worst_limit"))
+
+
+def _pooled(own, n, common: float):
+    """A language's value of n documents, drawn towards the common one; the common one where it has none."""
+    return F.coalesce((n * own + POOL * F.lit(common)) / (n + POOL), F.lit(common))
 
 
 def classified(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", row: str | None = None, quantile: float = QUANTILE) -> DataFrame:
@@ -288,20 +296,20 @@ def classified(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     scored = scored.withColumn("lang", F.coalesce("lang", F.lit("")))
     judges = 2 if not scored.where("role = 2").isEmpty() else 1
     scored = scored.withColumn("trusted", F.col("role") == judges)
-    sums = (F.sum("nats").alias("nats"), F.sum("n_grams").alias("grams"), F.count("*").alias("docs"))
-    mean = scored.where("trusted").groupBy("lang").agg(*sums)
-    every = mean.agg(F.sum("nats").alias("nats"), F.sum("grams").alias("grams"), F.sum("docs").alias("docs")).first()
+    sums = [F.sum(c).alias(c) for c in ("nats", "n_grams", "worst")]
+    mean = scored.where("trusted").groupBy("lang").agg(F.count("*").alias("docs"), *sums)
+    every = mean.agg(*[F.sum(c).alias(c) for c in ("docs", "nats", "n_grams", "worst")]).first()
     if not every.docs:
         return scored.select(*names, "n_grams", F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("worst"), F.lit(True).alias("kept"))
-    centre = every.nats / every.grams
-    means = mean.select("lang", F.when(F.col("docs") >= LEAST_TRUSTED, F.col("nats") / F.col("grams")).alias("mean"))
-    with_mean = scored.join(by_language(means), "lang", "left").withColumn("mean", F.coalesce("mean", F.lit(centre)))
-    s = with_mean.withColumn("score", F.when(F.col("n_grams") > 1, (F.col("nats") + SHRINK * F.col("mean")) / (F.col("n_grams") + SHRINK)).otherwise(F.col("mean")))
-    s = s.withColumn("over", F.col("score") - F.col("mean"))
-    cut = thresholds(s, quantile, ["lang"]).where(F.col("n_trusted") >= LEAST_TRUSTED).select("lang", "limit", "worst_limit")
-    rest = thresholds(s, quantile, []).first()
-    done = s.join(by_language(cut), "lang", "left")
-    kept = (F.col("over") <= F.coalesce("limit", F.lit(rest.limit)) * (1 + SLACK)) & (F.col("worst") <= F.coalesce("worst_limit", F.lit(rest.worst_limit)) * (1 + WORST_SLACK))
+    centre, length = every.nats / every.n_grams, every.n_grams / every.docs
+    means = mean.select("lang", _pooled(F.col("nats") / F.col("n_grams"), F.col("n_grams") / length, centre).alias("mean"), _pooled(F.col("worst") / F.col("docs"), F.col("docs"), every.worst / every.docs).alias("worst_mean"))
+    s = scored.join(by_language(means), "lang", "left").na.fill({"mean": centre, "worst_mean": every.worst / every.docs})
+    s = s.withColumn("score", F.when(F.col("n_grams") > 1, (F.col("nats") + SHRINK * F.col("mean")) / (F.col("n_grams") + SHRINK)).otherwise(F.col("mean")))
+    s = s.withColumn("over", F.col("score") - F.col("mean")).withColumn("worst_over", F.col("worst") - F.col("worst_mean"))
+    common = thresholds(s, quantile, []).first()
+    limits = thresholds(s, quantile, ["lang"]).select("lang", *[_pooled(F.col(c), F.col("n"), common[c]).alias(c) for c in ("limit", "worst_limit")])
+    done = s.join(by_language(limits), "lang", "left").na.fill({c: common[c] for c in ("limit", "worst_limit")})
+    kept = (F.col("over") <= F.col("limit") * (1 + SLACK)) & (F.col("worst_over") <= F.col("worst_limit") * (1 + WORST_SLACK))
     return done.select(*names, "n_grams", F.round("score", 6).alias("score"), "worst", kept.alias("kept"))
 
 
