@@ -13,7 +13,7 @@ Text: character references are decoded, white space in a block becomes one space
 one space; inline elements do not part words, `br` and blocks do.
 
 Cases: null or empty html, and pages without words in a positive run, give an empty text; unclosed and
-crossing elements close with the element around them; truncated pages, comments and scripts end with the page;
+crossing elements close with the element around them; truncated tags, comments and scripts end with the page, an open quote with its tag;
 repeated rows and null ids are kept; an empty table gives no rows; extra columns are ignored by the query.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -43,8 +44,15 @@ FURNITURE = frozenset("nav header footer aside form button select option textare
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(("article", "main"))
+#: Attributes of so many characters are not remembered.
+LONG = 1000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+#: Elements whose content is not markup.
+RAW = frozenset("script style textarea title noscript template".split())
+
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*[\"']")
+_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _DIGITS = re.compile(r"\d+")
 
@@ -60,46 +68,93 @@ def _features(name: str, attributes: str) -> tuple[int, ...]:
     return (-1 - _slot(name) if name in FURNITURE else _slot(name), *{_slot("." + _DIGITS.sub("0", w.lower())) for w in named})
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Places of all markup in order: first and last character, name ("" for comments and the like, and for RAW elements, which go to their end), whether it closes, attributes.
+
+    Every character is looked at a fixed number of times. A `>` within a quoted value does not end its tag; a quote that the page never closes is none; a tag, comment or RAW
+    element that is not closed ends with the page; a `<` that begins no markup is text.
+    """
+    n, at, never = len(html), 0, set()
+
+    def find(what: str, start: int) -> int:
+        """As str.find; what was once not found is not looked for again."""
+        if what in never:
+            return -1
+        got = html.find(what, start)
+        if got < 0:
+            never.add(what)
+        return got
+
+    def tag_end(start: int) -> int:
+        at = start
+        while m := _STOP.search(html, at):
+            if m.group() == ">":
+                return m.end()
+            close = find(m.group()[-1], m.end())
+            at = m.end() if close < 0 else close + 1
+        return n
+
+    while (first := html.find("<", at)) >= 0:
+        name = _NAME.match(html, first)
+        if html.startswith("<!--", first):
+            close = find("-->", first + 4)
+            at = n if close < 0 else close + 3
+            yield first, at, "", False, ""
+        elif name:
+            at, word, closing = tag_end(name.end()), name[1].lower(), html[first + 1] == "/"
+            attributes = html[name.end() : at].removesuffix(">")
+            if word in RAW and not closing:
+                close = _END[word].search(html, at)
+                at = tag_end(close.end()) if close else n
+                word = ""
+            yield first, at, word, closing, attributes
+        elif html[first + 1 : first + 2] in ("!", "?", "/"):
+            close = find(">", first)
+            at = n if close < 0 else close + 1
+            yield first, at, "", False, ""
+        else:
+            at = first + 1
+
+
 class Page:
     """A page's tags and texts: (tag's name or "", text, number of the enclosing block); blocks: their features, parents, and whether never shown or in an article."""
 
     def __init__(self, html: str):
         self.parts: list[tuple[str, str, int]] = []
         self.features, self.parent, self.never, self.inside = [(_slot("body"),)], [0], [False], [False]
-        stack: list[tuple[str, int]] = [("", 0)]
+        # open elements: name, block, and place of the nearest one that is not inline
+        stack: list[tuple[str, int, int]] = [("", 0, 0)]
+        open_: Counter[str] = Counter()
         at = 0
-        for m in _TOKEN.finditer(html):
-            if m.start() > at:
-                self.parts.append(("", html[at : m.start()], stack[-1][1]))
-            at = m.end()
-            name = (m.group(3) or "").lower()
+
+        def close(i: int) -> None:
+            open_.subtract(name for name, _, _ in stack[i:])
+            del stack[i:]
+
+        for first, last, name, closing, attributes in tokens(html):
+            if first > at:
+                self.parts.append(("", html[at:first], stack[-1][1]))
+            at = last
             if not name:
                 continue
-            if m.group(2):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+            if closing:
+                if open_[name] > 0:
+                    close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
                 self.parts.append((name, "", stack[-1][1]))
                 continue
-            if name == "p" or name == "li":
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+            if name in ("p", "li") and stack[stack[-1][2]][0] == name:
+                close(stack[-1][2])
             block = stack[-1][1]
             if name not in INLINE and name not in VOID:
-                block = len(self.parent)
-                up = stack[-1][1]
-                self.features.append(_features(name, m.group(4)))
+                up, block = block, len(self.parent)
+                self.features.append(_features(name, attributes) if len(attributes) < LONG else _features.__wrapped__(name, attributes))
                 self.parent.append(up)
                 self.never.append(self.never[up] or name in NEVER)
                 self.inside.append(self.inside[up] or name in ARTICLE)
             self.parts.append((name, "", block))
-            if name not in VOID and not m.group(4).endswith("/"):
-                stack.append((name, block))
+            if name not in VOID and not attributes.endswith("/"):
+                stack.append((name, block, stack[-1][2] if name in INLINE else len(stack)))
+                open_[name] += 1
         if at < len(html):
             self.parts.append(("", html[at:], stack[-1][1]))
 
@@ -181,12 +236,13 @@ def weights(pages: DataFrame, html: str = "html") -> Weights:
                         total[int(not page.inside[block]), _slot("<" + name)] += 1
                     elif not page.never[block]:
                         held[block] += len(body.split())
+                around = [frozenset(s for i, s in enumerate(page.features[0]) if i or s < 0)]  # what speaks for all that a block encloses
+                for k in range(1, len(page.parent)):
+                    up, own = around[page.parent[k]], {s for i, s in enumerate(page.features[k]) if i or s < 0}
+                    around.append(up if own <= up else up | own)
                 for block in np.flatnonzero(held):
                     side, k = int(not page.inside[block]), int(block)
-                    slots = set(page.features[k])
-                    while k:
-                        k = page.parent[k]
-                        slots.update(s for i, s in enumerate(page.features[k]) if i or s < 0)
+                    slots = around[page.parent[k]].union(page.features[k])
                     total[side, [s if s >= 0 else -1 - s for s in slots]] += held[block]
         at = np.flatnonzero(total.sum(0))
         yield pa.RecordBatch.from_pydict({"slot": pa.array(at), "inside": pa.array(total[0, at]), "outside": pa.array(total[1, at])})

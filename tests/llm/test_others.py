@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -81,6 +82,24 @@ def test_pages(spark):
     assert pages.main_texts(df.limit(0)).count() == 0
 
 
+def test_broken_pages():
+    model = pages.Weights(np.zeros(pages.SLOTS), np.zeros(pages.SLOTS))
+    model.tags[:] = 0
+    text = lambda html: pages.extract(html, model)
+    assert text('<article><p>one <a href="foo>link</a> two</p><p>three</p></article>') == "one link two three"
+    assert text('<p>one <a href="x>y">link</a> two</p>') == "one link two"
+    assert text("<p title='a>b' don't>it's one</p>") == "it's one"
+    assert text("<p>one</p><p clas") == "one" and text("one <!-- two") == "one" and text("<p>one<script>two") == "one"
+    assert text("<p>1 < 2 <3 </ x>end</p>") == "1 < 2 <3 end" and text("<p>a<?php b ?>c<!doctype x>d</p>") == "acd"
+    assert text("<SCRIPT>var a = '</scripty>'</Script >words") == "words"
+    for part in ("<script ", "<a ", '<a "', "<a href=\"x ", "<p>a ", "<b>a ", "<div>a ", "</x>", "<!--", "<!-", "<title>", "= ", "<a =", "<i><p>a", "</div ", "<", "<a href='>", "<div class="):
+        html = part * (1_000_000 // len(part))
+        for page in (html, "<div>" * 1000 + html, html + "</b>" * 100_000 + "</x>" * 100_000):
+            began = time.process_time()
+            assert not re.search(r"<[a-z]", text(page))
+            assert time.process_time() - began < 5, part
+
+
 def test_page_classes_are_learned(spark):
     """Classes that speak of furniture on elements that hold the article do not lose it."""
     body = "<p>" + " ".join(f"word{i}" for i in range(80)) + "</p>"
