@@ -2,18 +2,12 @@
 
 A span is a paragraph or code block, or a document's path, kind and first eight lines. Every span that shares a token with a
 planned query is a candidate (all spans are, of a query none of whose tokens occurs), scored on its whole text by shared 3-grams, hashed-vector cosine and
-path words. Queries travel to the spans, in blocks, so a task keeps the best few spans of each query and no table of pairs is made.
+path words; `span_search` finds the best ones by an index. Lexical hits and those of spans are fused per path.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions import fixed, paths, text
@@ -21,14 +15,6 @@ from assay.operators import fusion, spans
 from assay.sources.shared import written
 from assay.sources.tables import sized
 
-#: Planned queries that are scored together.
-BLOCK = 256
-#: Spans that a task scores together.
-STEP = 256
-_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
-_TOKEN = re.compile(r"[A-Za-z0-9_]+")
-_STOP = frozenset(fixed.STOP_WORDS)
-
 
 def span_table(corpus: DataFrame) -> DataFrame:
     """path, source_type, kind (0 for the summary), line_number, text and search_text of all spans."""
@@ -41,7 +27,7 @@ def span_table(corpus: DataFrame) -> DataFrame:
 
 
 def indexed(corpus: DataFrame) -> DataFrame:
-    """The spans with occurrences (of their normalized text), hazard, coverage and calm: all that a search reads, to be written once."""
+    """The spans with occurrences (of their normalized text), hazard, coverage, calm and a number: all that a search reads, to be written once."""
     table = written(span_table(corpus).withColumn("norm", F.md5(text.normalized(F.col("text")))), "spans")
     w = written(spans.windows(table, "span", "text").select("span", "hazard"), "hazards")
     limit = spans.hazard_threshold(w)
@@ -49,122 +35,9 @@ def indexed(corpus: DataFrame) -> DataFrame:
     facts = w.groupBy("span").agg(F.round(F.avg("hazard"), 6).alias("hazard"), F.round(F.avg((F.round("hazard", 6) <= threshold).cast("double")), 6).alias("coverage"))
     counts = written(table.groupBy("norm").agg(F.count("*").cast("int").alias("occurrences")), "occurrences")
     out = table.hint("merge").join(facts, "span", "left").hint("merge").join(counts, "norm").drop("norm").na.fill({"hazard": 1.0, "coverage": 0.0})
-    return out.withColumn("calm", F.col("hazard") <= max(threshold, fixed.HAZARD_FLOOR))
-
-
-def _tokens(s: str) -> list[str]:
-    return [t for t in (x.lower() for x in _TOKEN.findall(s)) if len(t) > 1 and t not in _STOP]
-
-
-def _bucket(token: str) -> int:
-    return hashlib.md5(token.encode()).digest()[0]
-
-
-def _vector(tokens: list[str], known: dict[str, int]) -> np.ndarray:
-    v = np.zeros(256)
-    for t in tokens:
-        b = known.get(t)
-        if b is None:
-            b = known[t] = _bucket(t)
-        v[b] += 1
-    n = np.sqrt((v * v).sum())
-    return v / n if n else v
-
-
-def _grams(s: str) -> set[str]:
-    s = f" {_SPACE.sub(' ', s).strip(' ').lower()} "
-    return {s[i : i + 3] for i in range(max(len(s) - 2, 1))}
-
-
-class Queries:
-    """A block of planned queries as matrices over their own tokens and 3-grams."""
-
-    def __init__(self, keys: list[tuple], texts: list[str], everywhere: list[bool]):
-        self.keys, self.everywhere = keys, np.array(everywhere)
-        tokens, grams = [_tokens(t) for t in texts], [_grams(t) if t.strip() else set() for t in texts]
-        self.token = {t: i for i, t in enumerate(sorted({t for x in tokens for t in x}))}
-        self.gram = {g: i for i, g in enumerate(sorted({g for x in grams for g in x}))}
-        self.vectors = np.stack([_vector(t, {}) for t in tokens]).T
-        self.tokens, self.grams = np.zeros((len(self.token), len(keys)), np.float32), np.zeros((len(self.gram), len(keys)), np.float32)
-        for q, (t, g) in enumerate(zip(tokens, grams, strict=True)):
-            self.tokens[[self.token[x] for x in t], q] = 1
-            self.grams[[self.gram[x] for x in g], q] = 1
-        self.sizes = np.maximum(1, self.grams.sum(0))
-
-
-def _indicator(ids: list[list[int]], width: int) -> np.ndarray:
-    out = np.zeros((len(ids), width), np.float32)
-    for i, x in enumerate(ids):
-        out[i, x] = 1
-    return out
-
-
-def _round(x: np.ndarray) -> np.ndarray:
-    return np.round(x, 6)
-
-
-def best_spans(index: DataFrame, planned: DataFrame, most: int) -> DataFrame:
-    """request_id, plan, structural, cosine, final and the span's columns: the best spans of each planned query, most at most.
-
-    Order: final score, cosine, structural score, occurrences, then path, line and kind.
-    """
-    spark = index.sparkSession
-    vocabulary = text.token_rows(planned, F.col("query"), "request_id", "plan").distinct()
-    rows = text.token_rows(index, F.col("search_text"))
-    known = written(rows.join(sized(written(vocabulary.select("token").distinct(), "vocabulary")), "token", "left_semi").distinct(), "known")
-    found = vocabulary.hint("merge").join(known, "token", "left_semi").select("request_id", "plan").distinct().withColumn("found", F.lit(True))
-    asked = written(planned.hint("merge").join(found, ["request_id", "plan"], "left").where("trim(query) <> ''"), "planned")
-    keep = ["span", "path", "source_type", "kind", "line_number", "text", "occurrences", "hazard", "coverage", "calm"]
-    narrow = index.select(*keep, "search_text")
-    schema = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in keep)
-    out, block = None, []
-
-    def scored(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Queries([(r.request_id, r.plan) for r in block], [r.query for r in block], [not r.found for r in block]))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, buckets = shared.value, {}
-            for b in batches:
-                bodies, names, got = b.column(len(keep)).to_pylist(), b.column(1).to_pylist(), []
-                rest = [b.column(keep.index(c)).to_pylist() for c in ("occurrences", "path", "line_number", "kind")]
-                for a in range(0, b.num_rows, STEP):
-                    part = bodies[a : a + STEP]
-                    tokens = [_tokens(s) for s in part]
-                    grams = _indicator([[q.gram[g] for g in _grams(s) if g in q.gram] for s in part], len(q.gram)) @ q.grams
-                    near = (_indicator([[q.token[t] for t in set(x) if t in q.token] for x in tokens], len(q.token)) @ q.tokens > 0) | q.everywhere
-                    cosine = _round(np.clip(np.stack([_vector(x, buckets) for x in tokens]) @ q.vectors, 0, 1))
-                    lower = [n.lower() for n in names[a : a + STEP]]
-                    word = {n: [i for t, i in q.token.items() if t in n] for n in set(lower)}
-                    bonus = _indicator([word[n] for n in lower], len(q.token)) @ q.tokens > 0
-                    structural = _round(grams.astype(np.float64) / q.sizes)
-                    final = _round(np.minimum(1.0, 0.45 * structural + 0.47 * cosine + 0.08 * bonus) + fusion.TIE)
-                    row, col = np.nonzero(near & (final > 0))
-                    got.append((row + a, col, structural[row, col], cosine[row, col], final[row, col]))
-                if not got:
-                    continue
-                row, col, structural, cosine, final = (np.concatenate(x) for x in zip(*got, strict=True))
-                took = []
-                for k in range(len(q.keys)):
-                    at = np.flatnonzero(col == k)
-                    if len(at) > most:
-                        at = at[final[at] >= np.partition(final[at], -most)[-most]]
-                    order = sorted(at.tolist(), key=lambda i: (-final[i], -cosine[i], -structural[i], -rest[0][row[i]], rest[1][row[i]], rest[2][row[i]], rest[3][row[i]]))
-                    took += order[:most]
-                at = np.array(took, np.int64)
-                keys = [q.keys[k] for k in col[at]]
-                picked = b.take(pa.array(row[at])).columns[: len(keep)]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array(structural[at]), pa.array(cosine[at]), pa.array(final[at]), *picked], ["request_id", "plan", "structural", "cosine", "final", *keep])
-
-        return narrow.mapInArrow(score, f"request_id long, plan int, structural double, cosine double, final double, {schema}")
-
-    for r in asked.toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            out, block = (scored(block) if out is None else out.unionByName(scored(block))), []
-    if block or out is None:
-        out = (scored(block) if out is None else out.unionByName(scored(block))) if block else narrow.select(F.lit(0).cast("long").alias("request_id"), F.lit(0).alias("plan"), *[F.lit(0.0).alias(c) for c in ("structural", "cosine", "final")], *keep).limit(0)
-    w = Window.partitionBy("request_id", "plan").orderBy(F.desc("final"), F.desc("cosine"), F.desc("structural"), F.desc("occurrences"), "path", "line_number", "kind")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    out = out.withColumn("calm", F.col("hazard") <= max(threshold, fixed.HAZARD_FLOOR))
+    near = out.repartitionByRange("path", "kind", "line_number").sortWithinPartitions("path", "kind", "line_number")  # spans of a path lie in one block
+    return near.withColumn("id", F.monotonically_increasing_id())
 
 
 def evaluated(best: DataFrame) -> DataFrame:

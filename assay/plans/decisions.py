@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.functions import fixed, paths
-from assay.operators import decide, fusion, graph, hybrid, lexical
+from assay.operators import decide, fusion, graph, hybrid, lexical, span_search
 from assay.plans import rules
 from assay.plans.lexical import postings
 from assay.sources.shared import once, written
@@ -35,7 +35,9 @@ def _planned(spark, d, kind="change"):
 
 
 def _spans(spark, d, kind="change"):
-    return once(spark, d, f"best-spans-{kind}", lambda: hybrid.evaluated(hybrid.best_spans(_index(spark, d), _planned(spark, d, kind), rules.MATCH)))
+    blocks = once(spark, d, "span-blocks", lambda: span_search.blocks(_index(spark, d)))
+    lists = once(spark, d, "span-lists", lambda: span_search.lists(blocks))
+    return once(spark, d, f"best-spans-{kind}", lambda: hybrid.evaluated(span_search.best(_index(spark, d), blocks, lists, _planned(spark, d, kind), rules.MATCH)))
 
 
 def _lexical(spark, d, kind="change"):

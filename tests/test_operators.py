@@ -1,8 +1,10 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from assay.functions import paths, text
-from assay.operators import catalog, decide, fusion, graph, hybrid, ledger
+from assay.operators import catalog, decide, fusion, graph, hybrid, ledger, span_search
 from assay.plans import evaluate
+from assay.sources.shared import written
 
 
 def test_paths(spark):
@@ -54,16 +56,49 @@ def test_tests_of_common_words_are_not_lost(spark):
     assert key(graph.linked_tests(s, p, hot=5, most=3)) == key(graph.linked_tests(s, p, hot=10**6, most=3))
 
 
+def _search(index, q, most=20):
+    made = written(span_search.blocks(index), "blocks")
+    return span_search.best(index, made, written(span_search.lists(made), "lists"), q, most).collect()
+
+
 def test_hybrid_search_falls_back_to_all_spans(spark):
     c = spark.createDataFrame([("docs/a.md", "doc", "one two three\n\nfour five six"), ("docs/b.md", "doc", "zzz yyy")], ["path", "source_type", "content"])
-    index = hybrid.indexed(c).cache()
+    index = written(hybrid.indexed(c), "index")
     assert {(r.path, r.kind, r.line_number) for r in index.collect()} == {("docs/a.md", 0, 1), ("docs/a.md", 1, 1), ("docs/a.md", 1, 3), ("docs/b.md", 0, 1), ("docs/b.md", 1, 1)}
     q = spark.createDataFrame([(1, 0, "four five"), (2, 0, "qqq"), (3, 0, " ")], "request_id long, plan int, query string")
-    got = hybrid.best_spans(index, q, 20).collect()
+    got = _search(index, q)
     assert {(r.path, r.kind, r.line_number) for r in got if r.request_id == 1} == {("docs/a.md", 0, 1), ("docs/a.md", 1, 3)} and not [r for r in got if r.request_id == 3]
     assert [r.line_number for r in got if r.request_id == 1 and r["rank"] == 1] == [3]
 
 
+def test_bounds_change_the_work_and_not_the_best(spark, monkeypatch):
+    """Small blocks and groups against one large block, with ties, hot words, words that are nowhere and odd texts."""
+    import random
+
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(40)] + ["hot"] * 20
+    spans = [(i, f"src/{rng.choice(words)}/f{i % 60}.py", i % 2, i // 60, rng.randrange(3), " ".join(rng.choices(words, k=rng.randrange(1, 30)))) for i in range(400)]
+    spans += [(400, "a.py", 1, 1, 0, ""), (401, "b.py", 1, 1, 0, "Ünïcode \U0001f600 hot"), (402, "b.py", 1, 2, 0, "x " * 20_000)] + [(403 + i, f"same{i}.py", 1, 1, 1, "equal text of hot word1") for i in range(30)]
+    df = spark.createDataFrame(spans, "id long, path string, kind int, line_number int, occurrences int, search_text string")
+    rest = {c: F.lit("") for c in ("span", "source_type", "text")} | {c: F.lit(0.0) for c in ("hazard", "coverage")} | {"calm": F.lit(True)}
+    index = written(df.withColumns(rest), "index")
+    asked = [(i, 0, " ".join(rng.choices([*words, "nowhere"], k=rng.randrange(1, 6)))) for i in range(40)] + [(40, 0, "nowhere at all"), (41, 0, "the of"), (42, 1, "hot"), (43, 0, "\n")]
+    q = spark.createDataFrame(asked, "request_id long, plan int, query string")
+    key = lambda rows: sorted((r.request_id, r.plan, r["rank"], r.path, r.line_number, r.kind, r.structural, r.cosine, r.final) for r in rows)
+    monkeypatch.setattr(span_search, "BLOCK_SPANS", 10_000)
+    whole = key(_search(index, q, 7))
+    for spans_, blocks, queries in ((8, 2, 5), (1, 16, 100)):
+        for name, value in (("BLOCK_SPANS", spans_), ("GROUP_BLOCKS", blocks), ("TASK_QUERIES", queries)):
+            monkeypatch.setattr(span_search, name, value)
+        assert key(_search(index, q, 7)) == whole
+    rows = [r.asDict() for r in span_search.blocks(index.orderBy("id")).collect()]
+    asked = span_search.Queries([{"query": "word1 word2 word3", "everywhere": False, "floor": None}], 3)
+    for row in rows:
+        block = span_search.Block(row)
+        asked.visit(block, asked.bound(block), np.ones(1, bool))
+    assert asked.scored < asked.offered / 2 and len(asked.best[0]) == 3
+
+
 def test_symbols_and_linked_tests(spark):
     d = spark.createDataFrame([("x/y/a.ts", "S"), ("z/b.ts", "S")], ["path", "symbol"])
     u = spark.createDataFrame([("x/y/c.ts", "S")], ["path", "symbol"])
