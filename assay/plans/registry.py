@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def modules() -> list:
-    from assay.plans import decisions, evaluate, exports, graph, ledger, lexical, spans, streaming
+    from assay.plans import decisions, evaluate, exports, graph, ledger, lexical, spans, streaming, upkeep
 
-    return [lexical, spans, decisions, ledger, graph, evaluate, exports, streaming]
+    return [lexical, spans, decisions, ledger, graph, evaluate, exports, streaming, upkeep]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
