@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,25 @@ def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> Dat
     return seen
 
 
+def shallow_closure(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """`closure` up to a small depth as one plan, by a recursive query; nothing is written on the way. Paths, not nodes, are followed, so their number grows with the depth: beyond a few steps use `closure`."""
+    spark, name = edges.sparkSession, uuid.uuid4().hex
+    views = {f"edges_{name}": edges.select("src", "dst"), f"start_{name}": start.select("request_id", "node").distinct()}
+    for view, df in views.items():
+        df.createOrReplaceTempView(view)
+    walk = f"""WITH RECURSIVE walk(request_id, node, depth) MAX RECURSION LEVEL {depth + 2} AS (SELECT request_id, node, 0 FROM start_{name}
+      UNION ALL SELECT w.request_id, e.src, w.depth + 1 FROM walk w JOIN edges_{name} e ON e.dst = w.node WHERE w.depth < {depth})
+    SELECT request_id, node, min(depth) AS depth FROM walk GROUP BY request_id, node"""
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    try:
+        return written(spark.sql(walk), "walk")
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+        for view in views:
+            spark.catalog.dropTempView(view)
+
+
 def impact(reached: DataFrame) -> DataFrame:
     """Per request: how many files, tests, docs and runbooks are reached, and the greatest depth."""
     kind = paths.source_type(F.col("node"))

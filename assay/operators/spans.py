@@ -95,6 +95,15 @@ def hazard_threshold(w: DataFrame, percentile: float = fixed.HAZARD_PERCENTILE)
     return upto.where(F.col("upto") > F.floor(percentile * (F.col("all") - 1))).agg(F.round(F.min("hazard"), 6).alias("threshold"), F.max("all").alias("n_windows"))
 
 
+def hazard_thresholds(w: DataFrame, key: str, percentile: float = fixed.HAZARD_PERCENTILE) -> DataFrame:
+    """Per text the value at place floor(p (n - 1)) of its sorted hazards, and how many of its windows are at or under it: counts of distinct values, no global order."""
+    by = Window.partitionBy(key)
+    counts = w.groupBy(key, "hazard").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(by.orderBy("hazard"))).withColumn("all", F.sum("n").over(by))
+    last = upto.where(F.col("upto") > F.floor(percentile * (F.col("all") - 1))).groupBy(key).agg(F.min(F.struct("hazard", "upto")).alias("m"), F.max("all").alias("n_windows"))
+    return last.select(key, F.round("m.hazard", 6).alias("threshold"), F.col("m.upto").alias("n_calm"), "n_windows")
+
+
 def coverage(w: DataFrame, limit: DataFrame, key: str) -> DataFrame:
     """Per span: share of windows at or under the threshold (a one-row table)."""
     return w.join(F.broadcast(limit.select("threshold").limit(1)), how="cross").groupBy(key).agg(F.round(F.avg((F.round("hazard", 6) <= F.col("threshold")).cast("double")), 6).alias("coverage"), F.count("*").alias("n_windows"))

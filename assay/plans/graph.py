@@ -33,6 +33,12 @@ def blast_radius_closure(spark, d):
     return graph.closure(key_graph(spark, d), start).select("request_id", "node", "depth")
 
 
+def dependency_depth(spark, d):
+    """What each nation reaches in two steps at most, as one recursive query."""
+    start = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("request_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    return graph.shallow_closure(key_graph(spark, d), start, 2)
+
+
 def graph_documents(spark, d):
     return graph.summary(key_graph(spark, d))
 
@@ -108,7 +114,7 @@ def path_words(spark, d):
     return sources(spark, d).select("path", F.array_join(paths.frontend_words(F.col("path")), ",").alias("frontend_words"), F.array_join(paths.anchor_words(F.col("path")), ",").alias("anchor_words"), paths.normalized(F.concat(F.lit("file:///"), F.replace("path", F.lit("/"), F.lit("%2F")))).alias("from_url"))
 
 
-QUERIES = {f.__name__: f for f in (module_imports, resolved_imports, package_aliases, frontend_test_edges, chain_ends, path_words, graph_union, blast_radius_closure, graph_documents, linked_tests_topk, symbol_edges)}
+QUERIES = {f.__name__: f for f in (module_imports, resolved_imports, package_aliases, frontend_test_edges, chain_ends, path_words, graph_union, blast_radius_closure, dependency_depth, graph_documents, linked_tests_topk, symbol_edges)}
 
 _KEYS = """edges AS (SELECT DISTINCT * FROM (SELECT 'o' || o_orderkey src, 'c' || o_custkey dst FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem))"""
@@ -134,6 +140,7 @@ ORACLE_SQL = {
     "path_words": f"WITH {_TREE}, {_ALL} SELECT path, array_to_string({_FRONT}, ',') frontend_words, array_to_string({words_sql('path')}, ',') anchor_words, '/' || path from_url FROM f",
     "graph_union": f"WITH {_KEYS} SELECT src[1] src_kind, dst[1] dst_kind, count(*) n_edges, count(DISTINCT dst) n_targets FROM edges GROUP BY ALL",
     "blast_radius_closure": f"WITH RECURSIVE {_KEYS}, walk AS (SELECT CAST(r_regionkey AS BIGINT) request_id, 'r' || r_regionkey node, 0 depth FROM region UNION SELECT request_id, src, depth + 1 FROM walk JOIN edges ON dst = node) SELECT request_id, node, CAST(min(depth) AS INTEGER) depth FROM walk GROUP BY ALL",
+    "dependency_depth": f"WITH RECURSIVE {_KEYS}, walk AS (SELECT CAST(n_nationkey AS BIGINT) request_id, 'n' || n_nationkey node, 0 depth FROM nation UNION SELECT request_id, src, depth + 1 FROM walk JOIN edges ON dst = node WHERE depth < 2) SELECT request_id, node, CAST(min(depth) AS INTEGER) depth FROM walk GROUP BY ALL",
     "graph_documents": f"""WITH {_KEYS}, a AS (SELECT src node, count(*) n, array_to_string(list_sort(list(dst))[:12], ',') x FROM edges GROUP BY src), b AS (SELECT dst node, count(*) n, array_to_string(list_sort(list(src))[:12], ',') x FROM edges GROUP BY dst)
         SELECT node, coalesce(a.n, 0) n_references, coalesce(a.x, '') "references", coalesce(b.n, 0) n_referrers, coalesce(b.x, '') referrers FROM a FULL JOIN b USING (node)""",
     "linked_tests_topk": f"""WITH {CORPUS_SQL}, s AS (SELECT path source, {words_sql('path')} sw FROM docs WHERE source_type = 'code'), t AS (SELECT path test, {words_sql('path')} tw FROM docs WHERE source_type = 'test'),

@@ -43,6 +43,11 @@ def hazard_threshold(spark, d):
     return spans.hazard_threshold(_windows(spark, d))
 
 
+def hazard_by_path(spark, d):
+    """Each text's own threshold and the windows that pass its gate."""
+    return spans.hazard_thresholds(_windows(spark, d), "path")
+
+
 def span_coverage(spark, d):
     w = _windows(spark, d)
     return spans.coverage(w, spans.hazard_threshold(w), "path")
@@ -56,7 +61,7 @@ def verify_external(spark, d):
     return spans.verified(q, index, max(limit.threshold or 0.0, fixed.HAZARD_FLOOR), "request_id")
 
 
-QUERIES = {f.__name__: f for f in (span_segmentation, span_occurrences, sliding_windows, window_metrics, span_metrics, signature_index, hazard_threshold, span_coverage, verify_external)}
+QUERIES = {f.__name__: f for f in (span_segmentation, span_occurrences, sliding_windows, window_metrics, span_metrics, signature_index, hazard_threshold, hazard_by_path, span_coverage, verify_external)}
 
 
 def windows_sql(name: str, source: str, key: str, column: str) -> str:
@@ -85,6 +90,8 @@ ORACLE_SQL = {
     "span_metrics": f"{_W} SELECT path, coalesce(round(avg(coherence), 6), 0) coherence, coalesce(round(avg(stability), 6), 0) stability, coalesce(round(avg(entropy), 6), 1) entropy, coalesce(round(avg(hazard), 6), 1) hazard, arg_min(signature, window_index) signature, count(window_index) n_windows FROM docs LEFT JOIN w USING (path) GROUP BY path",
     "signature_index": f"{_W}, {_INDEX} SELECT signature, occurrences, hazard_min, hazard_max, hazard_mean, f[1] prototype, f[2] prototype_window FROM idx",
     "hazard_threshold": f"{_W}, {_LIMIT} SELECT * FROM lim",
+    "hazard_by_path": f"""{_W}, t AS (SELECT path, list_sort(list(hazard))[CAST(floor(0.8 * (count(*) - 1)) AS BIGINT) + 1] h, count(*) n_windows FROM w GROUP BY path)
+        SELECT path, round(any_value(h), 6) threshold, count(*) FILTER (WHERE hazard <= h) n_calm, any_value(n_windows) n_windows FROM t JOIN w USING (path) GROUP BY path""",
     "span_coverage": f"{_W}, {_LIMIT} SELECT path, round(avg(CASE WHEN round(hazard, 6) <= threshold THEN 1.0 ELSE 0.0 END), 6) coverage, count(*) n_windows FROM w, (SELECT threshold FROM lim) GROUP BY path",
     "verify_external": f"""{_W}, {_LIMIT}, {_INDEX}, reqs AS (SELECT item_id request_id, coalesce(text, '') query FROM benchmark), {windows_sql('q', 'reqs', 'request_id', 'query')}
         SELECT request_id, n_windows, match_ratio, coverage, coverage >= 0.5 verified FROM (SELECT request_id, count(*) n_windows, round(avg(CASE WHEN occurrences IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) match_ratio,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assay.sources.shared import folder, written
 from assay.sources.tables import LEDGER_SQL, ledger, table
 from assay.streaming import ledger as streams
+from assay.streaming import sync
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +59,27 @@ def streaming_upsert(spark, d):
     return streams.latest(spark, f"{base}/out", "key", "version")
 
 
-QUERIES = {f.__name__: f for f in (streaming_healing, streaming_ledger, streaming_headline, streaming_sessions, streaming_upsert)}
+def sync_cursors(spark, d):
+    """Events landed by type and synced twice; before the second run only errors land, so the other sources' second run is empty and their cursors advance all the same."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("version"), "event_type")
+    base = f"{folder(spark)}/assay-sync-{uuid.uuid4().hex}"
+    kinds = ("click", "error", "purchase", "view")
+    late = (F.col("event_type") == "error") & (F.col("version") % 2 == 1)
+    for number, part in ((1, ~late), (2, late)):
+        e.where(part).repartition(2).write.mode("append").partitionBy("event_type").parquet(f"{base}/landed")
+        streams_ = {k: spark.readStream.schema("key long, version long").parquet(f"{base}/landed/event_type={k}") for k in kinds}
+        sync.run(streams_, f"{base}/synced", "key", "version", number)
+        if number == 1:
+            first = written(sync.cursors(spark, f"{base}/synced").select("source", F.col("cursor").alias("was")), "cursors")
+    counts = None
+    for k in kinds:
+        n = sync.latest(spark, f"{base}/synced", k, "key", "version").agg(F.count("*").alias("n_keys"), F.sum("version").alias("sum_versions")).withColumn("source", F.lit(k))
+        counts = n if counts is None else counts.unionByName(n)
+    now = sync.cursors(spark, f"{base}/synced").join(first, "source").join(counts, "source")
+    return now.select("source", "run", F.col("rows").alias("rows_last"), "rows_total", (F.col("cursor") > F.col("was")).alias("advanced"), "n_keys", "sum_versions")
+
+
+QUERIES = {f.__name__: f for f in (streaming_healing, streaming_ledger, streaming_headline, streaming_sessions, streaming_upsert, sync_cursors)}
 
 _SEQ = f"""WITH {LEDGER_SQL}, s AS (SELECT *, coalesce(sum(CASE WHEN blocked THEN 0 ELSE 1 END) OVER (PARTITION BY fingerprint ORDER BY created_at, decision_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) seq FROM ledger),
 q AS (SELECT fingerprint, count(*) FILTER (WHERE blocked) blocked_attempts, arg_min(decision_id, (created_at, -decision_id)) FILTER (WHERE blocked) first_blocked, arg_max(decision_id, (created_at, -decision_id)) FILTER (WHERE blocked) latest_blocked, max(decision_id) FILTER (WHERE NOT blocked) healed FROM s GROUP BY fingerprint, seq)"""
@@ -69,4 +90,6 @@ ORACLE_SQL = {
     "streaming_sessions": f"""WITH {LEDGER_SQL}, g AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER w >= INTERVAL 6 HOURS THEN 1 ELSE 0 END new FROM ledger WINDOW w AS (PARTITION BY fingerprint ORDER BY created_at)), s AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY fingerprint ORDER BY created_at ROWS UNBOUNDED PRECEDING) k FROM g)
         SELECT fingerprint, epoch_us(min(created_at)) start_us, count(*) n FROM s GROUP BY fingerprint, k HAVING max(created_at) + INTERVAL 6 HOURS <= (SELECT max(created_at) FROM ledger) - INTERVAL 1 HOUR""",
     "streaming_upsert": """SELECT user_id "key", max(event_id) AS "version", arg_max(event_type, event_id) event_type FROM events GROUP BY user_id""",
+    "sync_cursors": """WITH k AS (SELECT event_type, user_id, max(event_id) v FROM events WHERE event_type IN ('click', 'error', 'purchase', 'view') GROUP BY ALL), n AS (SELECT event_type, count(*) n, count(*) FILTER (WHERE event_type = 'error' AND event_id % 2 = 1) late FROM events GROUP BY event_type)
+        SELECT event_type AS "source", 2 run, any_value(late) rows_last, any_value(n) rows_total, TRUE advanced, count(*) n_keys, CAST(sum(v) AS BIGINT) sum_versions FROM k JOIN n USING (event_type) GROUP BY event_type""",
 }
