@@ -84,8 +84,10 @@ s AS (SELECT path, min(line) line_number, string_agg(CASE WHEN source_type IN ('
 ORACLE_SQL = {
     "span_segmentation": f"{_LINED} SELECT path, CAST(line_number AS INTEGER) line_number, sha256(path || ':' || line_number || ':' || text) span_id, CAST(length(text) AS INTEGER) n_chars FROM s",
     "span_occurrences": f"WITH {CORPUS_SQL}, l AS (SELECT lower(trim(regexp_replace(unnest(string_split(regexp_replace(content, '\\n$', ''), chr(10))), '\\s+', ' ', 'g'))) norm FROM docs) SELECT md5(norm) text_md5, count(*) occurrences FROM l WHERE norm <> '' GROUP BY norm HAVING count(*) > 1",
-    "sliding_windows": f"""{_W}, hx AS (SELECT path, unnest(regexp_extract_all(hex(encode(content)), '..')) h, unnest(generate_series(1, octet_length(encode(content)))) pos FROM docs WHERE content <> ''), cu AS (SELECT path, pos, sum(CASE WHEN h BETWEEN '80' AND 'BF' THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY pos ROWS UNBOUNDED PRECEDING) c FROM hx)
-        SELECT w.path, window_index, byte_start, byte_end, CAST(coalesce(a.c, 0) AS INTEGER) char_start, CAST(b.c AS INTEGER) char_end FROM w LEFT JOIN cu a ON a.path = w.path AND a.pos = byte_start JOIN cu b ON b.path = w.path AND b.pos = byte_end""",
+    "sliding_windows": f"""{_W}, ch AS (SELECT path, unnest(regexp_extract_all(content, '(?s).')) c, unnest(generate_series(1, length(content))) i FROM docs WHERE strlen(content) > length(content)),
+        cu AS MATERIALIZED (SELECT path, i, sum(strlen(c)) OVER (PARTITION BY path ORDER BY i ROWS UNBOUNDED PRECEDING) - strlen(c) first FROM ch), ascii AS (SELECT path FROM docs WHERE strlen(content) = length(content))
+        SELECT path, window_index, byte_start, byte_end, byte_start char_start, byte_end char_end FROM w JOIN ascii USING (path)
+        UNION ALL SELECT w.path, window_index, byte_start, byte_end, CAST(coalesce(a.i, 0) AS INTEGER), CAST(b.i AS INTEGER) FROM (SELECT * FROM w ANTI JOIN ascii USING (path)) w ASOF LEFT JOIN cu a ON a.path = w.path AND w.byte_start > a.first ASOF JOIN cu b ON b.path = w.path AND w.byte_end > b.first""",
     "window_metrics": f"{_W} SELECT path, window_index, round(entropy, 6) entropy, round(coherence, 6) coherence, round(stability, 6) stability, round(hazard, 6) hazard, signature FROM w",
     "span_metrics": f"{_W} SELECT path, coalesce(round(avg(coherence), 6), 0) coherence, coalesce(round(avg(stability), 6), 0) stability, coalesce(round(avg(entropy), 6), 1) entropy, coalesce(round(avg(hazard), 6), 1) hazard, arg_min(signature, window_index) signature, count(window_index) n_windows FROM docs LEFT JOIN w USING (path) GROUP BY path",
     "signature_index": f"{_W}, {_INDEX} SELECT signature, occurrences, hazard_min, hazard_max, hazard_mean, f[1] prototype, f[2] prototype_window FROM idx",
