@@ -141,7 +141,10 @@ def flattened_tickets(payloads: DataFrame, base_url: str) -> DataFrame:
     """API payloads of issues as export records; rich-text descriptions as plain text, records without key left out."""
     key = _get("key", "id")
     described = F.get_json_object("record", "$.fields.description")
-    plain = F.when(F.trim(described).startswith("{"), F.nullif(rich_text(described), F.lit(""))).otherwise(F.nullif(F.trim(described), F.lit("")))
+    tree = F.when(F.trim(described).rlike(r"^[{\[]"), F.sha2(described, 256))
+    trees = payloads.select(tree.alias("tree"), described.alias("described")).where("tree IS NOT NULL").dropDuplicates(["tree"])
+    payloads = payloads.withColumn("tree", tree).hint("merge").join(rich_texts(trees, "tree", "described").withColumnRenamed("text", "walked"), "tree", "left")
+    plain = F.nullif(F.when(F.col("tree").isNotNull(), F.col("walked")).otherwise(F.trim(described)), F.lit(""))
     labels = F.coalesce(F.from_json(F.get_json_object("record", "$.fields.labels"), "array<string>"), F.array().cast("array<string>"))
     fields = [key.alias("key"), F.coalesce(_get("fields.summary"), key).alias("summary"), F.coalesce(plain, F.lit("No ticket description provided.")).alias("description"), _get("fields.status.name").alias("status"), _get("fields.issuetype.name").alias("issue_type"), labels.alias("labels")]
     who = _get("fields.creator.displayName", "fields.creator.name", "fields.reporter.displayName", "fields.reporter.name")
@@ -201,9 +204,36 @@ def chat_threads(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.concat(F.lit("external_slack/"), text.slug(F.col("channel")), F.lit("/"), text.slug(F.col("thread")), F.lit(".md")).alias("path"), F.lit("incident").alias("source_type"), "content", "author", F.lit(None).cast("string").alias("external_url"), text.timestamp(F.col("thread")).alias("time"))
 
 
-def rich_text(column: Column) -> Column:
-    """Plain text of a nested document tree given as JSON: its text nodes in order."""
-    return F.array_join(F.transform(F.regexp_extract_all(column, F.lit(r'"text"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1)), lambda x: F.get_json_object(F.concat(F.lit('{"t":'), x, F.lit("}")), "$.t")), " ")
+def rich_texts(trees: DataFrame, key: str, column: str) -> DataFrame:
+    """key and text: the plain text of document trees given as JSON, by rounds of `variant_explode`, one for each depth.
+
+    A node's own text ends its branch; a hard break is a line break; what a paragraph or heading holds, and a bare list's members, are joined by line breaks, the content of
+    other nodes by spaces, empty parts left out. Attributes are no content. A JSON string is its own text; what is no JSON has an empty one.
+    """
+    v = lambda path, kind: F.try_variant_get("v", path, kind)
+    stripped = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    own, kind = F.nullif(stripped(v("$.text", "string")), F.lit("")), v("$.type", "string")
+    done = F.when(F.schema_of_variant("v") == "STRING", stripped(v("$", "string"))).otherwise(F.coalesce(own, F.when(kind == "hardBreak", F.lit("\n"))))
+    apart = F.when(v("$", "array<variant>").isNotNull() | kind.isin("paragraph", "heading"), "\n").otherwise(" ")
+    level = trees.select(key, F.array().cast("array<int>").alias("place"), F.try_parse_json(column).alias("v"))
+    levels = []
+    while True:
+        nodes = level.select(key, "place", done.alias("done"), apart.alias("apart"), F.coalesce(v("$", "array<variant>"), v("$.content", "array<variant>")).alias("inner"))
+        levels.append(written(nodes.withColumn("inner", F.when(F.col("done").isNull(), F.col("inner"))), "nodes"))
+        inner = levels[-1].where("size(inner) > 0")
+        if inner.isEmpty():
+            break
+        level = inner.select(key, "place", F.posexplode("inner").alias("at", "v")).select(key, F.concat("place", F.array("at")).alias("place"), "v")
+    below = None
+    for nodes in reversed(levels):
+        texts = nodes.select(key, "place", "apart", F.coalesce("done", F.lit("")).alias("text"))
+        if below is not None:
+            up = below.where("text <> ''").select(key, F.slice("place", F.lit(1), F.size("place") - 1).alias("place"), F.element_at("place", -1).alias("at"), "text")
+            held = up.groupBy(key, "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("parts"))
+            texts = texts.hint("merge").join(held, [key, "place"], "left").select(key, "place", "apart", F.when(F.col("parts").isNull(), F.col("text")).otherwise(stripped(F.array_join("parts", "\u0000"))).alias("text"))
+            texts = texts.withColumn("text", F.expr("replace(text, chr(0), apart)"))
+        below = texts
+    return below.select(key, "text")
 
 
 def lsif_edges(spark: SparkSession, path: str) -> DataFrame:

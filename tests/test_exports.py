@@ -58,8 +58,21 @@ def test_graph_dumps(spark, tmp_path):
 
 
 def test_rich_text_and_merge(spark):
-    df = spark.createDataFrame([('{"content":[{"text":"a \\"q\\""},{"content":[{"text":"b"}]}]}',)], ["j"])
-    assert df.select(exports.rich_text(df.j)).first()[0] == 'a "q" b'
+    node = lambda kind, *inner, **more: {"type": kind, "content": list(inner), **more}
+    leaf = lambda t: {"type": "text", "text": t}
+    trees = {
+        "spaced": ({"content": [leaf('a "q"'), {"content": [leaf("b")]}]}, 'a "q" b'),
+        "paragraphs": (node("doc", node("paragraph", leaf("one "), leaf("two")), node("heading", leaf("three"), leaf("four"))), "one\ntwo three\nfour"),
+        "breaks": (node("paragraph", leaf("a"), {"type": "hardBreak"}, leaf("b")), "a\n\n\nb"),
+        "own text": (node("paragraph", leaf("hidden"), text=" shown "), "shown"),
+        "attributes": (node("doc", node("paragraph", leaf("seen"), attrs={"text": "unseen"})), "seen"),
+        "blank text": (node("doc", leaf("  "), leaf("x"), text=" "), "x"),
+        "list": ([leaf("a"), [leaf("b"), []], "  c "], "a\nb\nc"),
+        "deep": (node("doc", node("list", node("item", node("item", node("paragraph", leaf("down")))), node("item")), leaf("up")), "down up"),
+        "number": (7, ""), "empty": ({}, ""), "string": (" s ", "s"), "odd": ({"content": "no list"}, ""),
+    }
+    df = spark.createDataFrame([(k, json.dumps(t)) for k, (t, _) in trees.items()] + [("broken", '{"text": '), ("null", None)], "key string, tree string")
+    assert {r.key: r.text for r in exports.rich_texts(df, "key", "tree").collect()} == {k: t for k, (_, t) in trees.items()} | {"broken": "", "null": ""}
     h, r = spark.createDataFrame([("c", "1", "old")], ["channel", "ts", "text"]), spark.createDataFrame([("c", "1", "new")], ["channel", "ts", "text"])
     assert exports.merged_messages(h, r).first().text == "new"
 
