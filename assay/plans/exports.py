@@ -68,8 +68,8 @@ def export_pager(spark, d):
     return found.select("path", "source_type", F.col("content"), F.year("time").alias("year"))
 
 
-def export_rich_tickets(spark, d):
-    """Parts as issues whose descriptions are nested document trees, by way of API payloads."""
+def _rich_payloads(spark, d):
+    """Parts as issues whose descriptions are nested document trees of unequal depth."""
     p = table(spark, d, "part")
     leaf = lambda c: F.to_json(F.struct(F.lit("text").alias("type"), c.alias("text")))
     node = lambda kind, *inner: F.concat(F.lit('{"type": "' + kind + '", "attrs": {"text": "none"}, "content": ['), F.concat_ws(",", *inner), F.lit("]}"))
@@ -79,7 +79,18 @@ def export_rich_tickets(spark, d):
     fields = F.struct(F.col("p_type").alias("summary"), F.lit("@tree@").alias("description"), F.struct(F.lit("Done").alias("name")).alias("status"), F.struct(F.lit("Kim").alias("name")).alias("reporter"), F.array(F.lit("x")).alias("labels"))
     payload = F.to_json(F.struct(F.when(F.col("p_partkey") % 10 > 0, F.concat(F.lit("P-"), F.col("p_partkey").cast("string"))).alias("key"), fields.alias("fields")))
     record = F.replace(payload, F.lit('"@tree@"'), tree)
-    found = exports.tickets(spark, _lines(exports.flattened_tickets(p.select(record.alias("record")), "https://host/")))
+    return exports.flattened_tickets(p.select(record.alias("record")), "https://host/")
+
+
+def rich_text_walk(spark, d):
+    """The plain text of the trees, with the separators of paragraphs and breaks."""
+    one = lambda name: F.get_json_object("record", f"$.{name}").alias(name)
+    return _rich_payloads(spark, d).select(one("key"), one("description"))
+
+
+def export_rich_tickets(spark, d):
+    """The same by way of export files."""
+    found = exports.tickets(spark, _lines(_rich_payloads(spark, d)))
     return found.select("path", "author", "external_url", F.md5("content").alias("content_md5"))
 
 
@@ -166,7 +177,7 @@ def _named(spark, base: str, plain) -> str:
     return base
 
 
-QUERIES = {f.__name__: f for f in (export_wiki, export_tickets, export_pulls, export_pager, export_rich_tickets, export_notes, lsif_graph, scip_graph, graph_summaries, graph_kinds)}
+QUERIES = {f.__name__: f for f in (export_wiki, export_tickets, export_pulls, export_pager, export_rich_tickets, rich_text_walk, export_notes, lsif_graph, scip_graph, graph_summaries, graph_kinds)}
 
 _BODY = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
 for _name, _char in text.ENTITIES:
@@ -179,7 +190,8 @@ ORACLE_SQL = {
     "export_pulls": """SELECT 'external_github_prs/pr_' || o_orderkey || '.md' path, 'u' || o_custkey author, 'https://host/pull/' || o_orderkey external_url, md5(trim('# PR ' || o_orderkey || ': Order ' || o_orderkey || chr(10) || 'State: ' || o_orderstatus || chr(10) || 'Base: main' || chr(10) || 'Labels: ' || o_orderpriority || chr(10)
         || CASE WHEN o_orderkey % 3 > 0 THEN 'Status ' || o_orderstatus || ' & priority ' || o_orderpriority ELSE '' END, ' ')) content_md5, 2025 AS "year" FROM orders""",
     "export_pager": """SELECT 'external_pagerduty/' || event_id || '.md' path, 'incident' source_type, '# Incident ' || event_id || ': Error of ' || user_id || chr(10) || 'Status: open' || chr(10) || 'Service: s' || (user_id % 7) || chr(10) || 'Urgency: high' || chr(10) || 'No incident body provided.' AS content, 2023 AS "year" FROM events WHERE event_type = 'error'""",
-    "export_rich_tickets": """SELECT 'external_jira/P-' || p_partkey || '.md' path, 'Kim' author, 'https://host/browse/P-' || p_partkey external_url, md5('# P-' || p_partkey || ' ' || p_type || chr(10) || 'Status: Done' || chr(10) || 'Labels: x' || chr(10) || p_name || chr(10) || 'a "' || p_brand || '"' || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_type || chr(10) || chr(10) || chr(10) || 'end' ELSE '' END) content_md5 FROM part WHERE p_partkey % 10 > 0""",
+    "export_rich_tickets": """SELECT 'external_jira/P-' || p_partkey || '.md' path, 'Kim' author, 'https://host/browse/P-' || p_partkey external_url, md5('# P-' || p_partkey || ' ' || p_type || chr(10) || 'Status: Done' || chr(10) || 'Labels: x' || chr(10) || p_name || ' a "' || p_brand || '"' || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_type || ' end' ELSE '' END) content_md5 FROM part WHERE p_partkey % 10 > 0""",
+    "rich_text_walk": """SELECT 'P-' || p_partkey AS "key", p_name || chr(10) || 'a "' || p_brand || '"' || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_type || chr(10) || chr(10) || chr(10) || 'end' ELSE '' END description FROM part WHERE p_partkey % 10 > 0""",
     "export_notes": """SELECT CAST(s_suppkey AS VARCHAR) k, 'incident' source_type, CASE WHEN s_suppkey % 2 = 0 THEN 'ops' END author, md5(CASE WHEN s_suppkey % 2 = 0 THEN '# Incident: ' || s_name || chr(10) || chr(10) || '- Author: ops' || chr(10) || chr(10) || 'Balance of nation ' || s_nationkey ELSE '# ' || s_name || chr(10) || chr(10) || 'Plain.' || chr(10) END) content_md5 FROM supplier""",
     "lsif_graph": f"WITH {CORPUS_SQL}, {EDGES_SQL} SELECT src, dst, 'to ' || dst symbol FROM edges",
     "scip_graph": f"WITH {CORPUS_SQL}, {EDGES_SQL} SELECT src, dst, 'run' symbol, 'occurrence' kind FROM edges".replace("'run' symbol", "string_split(dst, '/')[-1] || '#`run' symbol"),
