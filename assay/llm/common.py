@@ -81,9 +81,25 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def packed_rows(df: DataFrame, *more, without: tuple[str, ...] = ()) -> DataFrame:
+    """The rows as one struct column `row`, and further columns: whatever the columns' names, those of an operator cannot clash with them."""
+    return df.select(F.struct(*[quoted(c) for c in df.columns if c not in without]).alias("row"), *more)
+
+
+def quoted(name: str) -> F.Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def hashable(df: DataFrame, name: str) -> F.Column:
+    """A column as one that can be hashed: maps and variants, or what holds them, as JSON (maps of equal entries in another order count as different)."""
+    odd = any(x in df.schema[name].dataType.simpleString() for x in ("map<", "variant", "interval", "geo"))
+    return F.to_json(F.struct(quoted(name).alias("c"))) if odd else quoted(name)
+
+
 def row_key(*columns) -> F.Column:
     """64 bits that tell rows of different values apart; equal rows share one, so it is the same on each reading."""
-    return F.xxhash64(*columns, *(F.col(c).isNull() if isinstance(c, str) else c.isNull() for c in columns))
+    columns = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.xxhash64(*columns, *(c.isNull() for c in columns))
 
 
 def ascii_lower(column):

@@ -24,7 +24,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import packed_rows, table, written
 
 SHARDS = 40
 SEED = 20240611
@@ -86,8 +86,8 @@ def matrix(blocks: dict[int, int], sizes: list[int], seed: int) -> dict[int, lis
 
 def sharded(df: DataFrame, *, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The rows with `shard` and `slot`: a uniform random order, cut into shards of sizes at most one apart."""
-    spark, df = df.sparkSession, df.drop("shard", "slot")
-    numbered = written(df.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    spark = df.sparkSession
+    numbered = written(packed_rows(df.drop("shard", "slot")).withColumn("_number", F.monotonically_increasing_id()), "numbered")
     n = numbered.count()
     blocks = min(max(1, -(-n // BLOCK_ROWS)), MOST_BLOCKS)
     draw = lambda k: F.xxhash64("_number", F.lit(seed + k))
@@ -104,12 +104,12 @@ def sharded(df: DataFrame, *, shards: int = SHARDS, seed: int = SEED) -> DataFra
     placed = placed.withColumn("_again", draw(2)).withColumn("_strip", F.floor((F.shiftrightunsigned("_again", 32)) * F.lit(strips) / F.lit(1 << 32)).cast("int"))
     if strips == 1:
         slot = F.row_number().over(Window.partitionBy("shard").orderBy("_again", "_number")) - 1
-        return placed.withColumn("slot", slot.cast("long")).select(*df.columns, "shard", "slot")
+        return placed.withColumn("slot", slot.cast("long")).select("row.*", "shard", "slot")
     counts = placed.groupBy("shard", "_strip").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = placed.withColumn("_in", F.row_number().over(Window.partitionBy("shard", "_strip").orderBy("_again", "_number")))
     out = inside.hint("merge").join(before, ["shard", "_strip"]).withColumn("slot", (F.col("_before") + F.col("_in") - 1).cast("long"))
-    return out.select(*df.columns, "shard", "slot")
+    return out.select("row.*", "shard", "slot")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,8 +34,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import bucketed, parts, row_key, table, written
+from .common import bucketed, packed_rows, parts, quoted, row_key, table, written
 from .words import NON_SPACE, buffers, chunks, gram_hashes, gram_places, mix, slices
 
 WINDOW = 13
@@ -324,14 +325,15 @@ def kept_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     hits = written(repeats(docs, doc_id=doc_id, text=text, window=window, rounds=rounds), "repeats", keep=True)
     kept = "kept_sha256" if digest else "kept_text"
     rest = [doc_id] if digest else [c for c in docs.columns if c not in (text, "n_words", "n_removed", kept)]
-    joined = docs.select(*rest, F.col(text).alias("_text"), _key(doc_id, text).alias("_k")).hint("merge").join(hits.withColumnRenamed("starts", "_starts"), "_k", "left").select(*rest, "_text", "_starts")
-    schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in rest) + f", n_words long, n_removed long, {kept} string"
+    rows = packed_rows(docs.select(*[quoted(c) for c in docs.columns]), quoted(text).alias("text"), _key(doc_id, text).alias("_k"), without=tuple(c for c in docs.columns if c not in rest))
+    joined = rows.hint("merge").join(hits, "_k", "left").select("row", "text", "starts")
+    schema = StructType([joined.schema["row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField(kept, StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            offsets, data = buffers(b.column(len(rest)))
+            offsets, data = buffers(b.column(1))
             raw, out = data.tobytes(), []
-            for i, blob in enumerate(b.column(len(rest) + 1).to_pylist()):
+            for i, blob in enumerate(b.column(2).to_pylist()):
                 w = raw[offsets[i] : offsets[i + 1]].split()
                 n = len(w)
                 if blob:
@@ -343,9 +345,9 @@ def kept_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
                 left = raw[offsets[i] : offsets[i + 1]] if untouched and len(w) == n else b" ".join(w)
                 out.append((n, n - len(w), hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "replace")))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], [*rest, "n_words", "n_removed", kept])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["row", "n_words", "n_removed", kept])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema).select("row.*", "n_words", "n_removed", kept)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,6 +295,7 @@ def test_sharding(docs, empty, monkeypatch):
     assert len(got) == len(ROWS) and max(n.values()) - min(n.values()) <= 1
     for s, m in n.items():
         assert sorted(r.slot for r in got if r.shard == s) == list(range(m))
+    assert {(r._number, r._block, r._rank, r["dotted.name"], r.tags["a"]) for r in sharding.sharded(docs.withColumn("tags", F.create_map(F.lit("a"), F.lit(1))), shards=4).collect()} == {("clash", "clash", "clash", "clash", 1)}
     assert sharding.sharded(empty).count() == 0
 
 

@@ -170,7 +170,7 @@ def test_stages_take_odd_tables(spark, docs, empty, tmp_path):
     """Nulls, empty texts, ties, repeated rows and clashing columns pass each stage; empty tables give none; a stage can be called twice."""
     spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "mit license")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    more = docs.withColumns({"starts": F.lit(1), "n_words": F.lit(2), "kept_text": F.lit("x"), "_k": F.lit(3)}).drop("n_chars")
+    more = docs.withColumns({"starts": F.lit(1), "n_words": F.lit(2), "kept_text": F.lit("x"), "_k": F.lit(3), "_corpus_row": F.lit(4), "tags": F.create_map(F.lit("a"), F.lit(1)), "_text": F.array(F.create_map(F.lit(1), F.lit("b"))), "free": F.parse_json(F.lit('{"a": [1, "x"]}'))}).drop("n_chars")
     for name, stage in corpus_pipeline.STAGES:
         one, two = stage(spark, more, str(tmp_path)), stage(spark, more, str(tmp_path))
         assert one.count() == two.count() > 0
@@ -178,6 +178,8 @@ def test_stages_take_odd_tables(spark, docs, empty, tmp_path):
         if name != "packing":
             assert one.columns == more.columns and one.dtypes == more.dtypes
             assert {2, 3, 4} <= {r.doc_id for r in one.collect()}
+            want = (3, 4, {"a": 1}, [{1: "b"}], '{"a":[1,"x"]}', "clash")
+            assert {(r._k, r._corpus_row, str(r.tags), str(r._text), r.j, r["a`tick"]) for r in one.withColumn("j", F.to_json("free")).collect()} == {tuple(str(x) if isinstance(x, (dict, list)) else x for x in want)}
 
 
 def test_pipeline_against_its_parts(spark):

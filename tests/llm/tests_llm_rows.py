@@ -11,4 +11,4 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside.
-CLASHES = ("n", "rep", "row", "grp", "label", "shard", "slot", "items", "words", "piece", "gram", "bucket", "k1", "length", "score", "kept", "component_id", "starts", "n_words", "rank", "block", "ids")
+CLASHES = ("n", "rep", "row", "grp", "label", "shard", "slot", "items", "words", "piece", "gram", "bucket", "k1", "length", "score", "kept", "component_id", "starts", "n_words", "rank", "block", "ids", "_number", "_block", "_ends", "_rank", "_again", "_strip", "_corpus_row", "_text", "_k", "_starts", "_n", "dotted.name", "a`tick")
