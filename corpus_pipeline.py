@@ -21,16 +21,17 @@ ROW = "_corpus_row"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, common.row_key(*docs.columns))
+    """Rows as structs beside their key, so that no column's name can clash; columns of every type take part."""
+    return common.packed_rows(docs, common.row_key(*[common.hashable(docs, c) for c in docs.columns]).alias(ROW))
 
 
 def _narrow(docs: DataFrame, *columns: str) -> DataFrame:
-    """The key and the named columns only: no other column's name can clash."""
-    return _keyed(docs).select(ROW, *columns)
+    """The key and the named columns only."""
+    return _keyed(docs).select(ROW, *[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    return _keyed(docs).hint("merge").join(dropped, ROW, "left_anti").select(*docs.columns)
+    return _keyed(docs).hint("merge").join(dropped, ROW, "left_anti").select("row.*")
 
 
 def _decided(rows: DataFrame, name: str) -> DataFrame:
@@ -53,12 +54,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         ids = found.hint("merge").join(rows.select(ROW, "doc_id").distinct(), ROW)
         least = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("least"))
         kept = _decided(least.select(f"least.{ROW}"), "kept")
-    return _keyed(docs).hint("merge").join(kept, ROW, "left_semi").dropDuplicates([ROW]).select(*docs.columns)
+    return _keyed(docs).hint("merge").join(kept, ROW, "left_semi").dropDuplicates([ROW]).select("row.*")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that a document of a smaller id has too, and documents of which nothing is left."""
-    plain = docs.select(*[F.col(c).alias({"doc_id": "id", "text": "text"}.get(c, f"c{i}")) for i, c in enumerate(docs.columns)])
+    plain = docs.select(*[common.quoted(c).alias({"doc_id": "id", "text": "text"}.get(c, f"c{i}")) for i, c in enumerate(docs.columns)])
     with common.scratch(spark):
         cut = substring_dedup.kept_texts(plain, doc_id="id", untouched=True)
     left = cut.where("n_removed = 0 OR n_removed < n_words")
