@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import fixed, text
 from assay.sources.shared import written
+from assay.sources.tables import sized
 
 
 def sequences(ledger: DataFrame) -> DataFrame:
@@ -135,3 +136,16 @@ def labels(policies: DataFrame):
 def as_lines(ledger: DataFrame, path: str, key: str = "decision_id") -> None:
     """Writes records as JSON lines in the order of their ids; the files' order goes on where the one before ends."""
     ledger.orderBy(key).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line and place of all lines of a folder of text files, in the order of the files' names and of the lines in them, from 0.
+
+    Lines are numbered in the stretch of a file that a task reads; only the stretches' sizes are added up over all.
+    """
+    read = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = written(read, "lines")
+    sizes = lines.groupBy("file", "start").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy("file", "start").orderBy("at")) - 1
+    return lines.withColumn("nth", inside).join(sized(written(before, "stretches")), ["file", "start"]).select("line", (F.col("before") + F.col("nth")).cast("long").alias("place"))

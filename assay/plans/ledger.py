@@ -11,8 +11,8 @@ from assay.operators import catalog, decide
 from assay.operators import ledger as ops
 from assay.plans import decisions
 from assay.sources import exports
-from assay.sources.shared import folder, once
-from assay.sources.tables import CORPUS_SQL, LEDGER_SQL, REQUESTS_SQL, corpus, ledger, requests, table
+from assay.sources.shared import folder, once, written
+from assay.sources.tables import CORPUS_SQL, LEDGER_SQL, REQUESTS_SQL, corpus, ledger, requests, sized, table
 
 
 def healing_sequences(spark, d):
@@ -29,9 +29,13 @@ def recent_heals(spark, d):
 
 def records(spark, d):
     """The ledger with the blast radius and linked incidents of the request that an action is about: that of its fingerprint modulo 40."""
-    f = decisions.features(spark, d).select(F.col("request_id").alias("about"), F.col("impacted_files").alias("files"), F.col("impacted_tests").alias("tests"), F.col("impacted_docs").alias("docs"), F.col("impacted_runbooks").alias("runbooks"), F.col("incident_twin").alias("linked"))
-    out = ledger(spark, d).withColumn("about", F.pmod("fingerprint", F.lit(40))).hint("merge").join(f, "about", "left").drop("about")
-    return once(spark, d, "records", lambda: out.na.fill(0, ["files", "tests", "docs", "runbooks"]).na.fill(False, ["linked"]))
+
+    def make():
+        f = decisions.features(spark, d).where("request_id < 40").select(F.col("request_id").alias("about"), F.col("impacted_files").alias("files"), F.col("impacted_tests").alias("tests"), F.col("impacted_docs").alias("docs"), F.col("impacted_runbooks").alias("runbooks"), F.col("incident_twin").alias("linked"))
+        out = ledger(spark, d).withColumn("about", F.pmod("fingerprint", F.lit(40))).join(sized(written(f, "about")), "about", "left").drop("about")
+        return out.na.fill(0, ["files", "tests", "docs", "runbooks"]).na.fill(False, ["linked"])
+
+    return once(spark, d, "records", make)
 
 
 def headline_metrics(spark, d):
@@ -110,8 +114,8 @@ def ledger_jsonl(spark, d):
     """The ledger as JSON lines in the order of its ids, written and read back; place is a line's number in the file."""
     path = f"{folder(spark)}/assay-jsonl-{uuid.uuid4().hex}"
     ops.as_lines(ledger(spark, d).select("decision_id", "fingerprint", "blocked", "event_type"), path)
-    lines = spark.read.text(path).withColumnRenamed("value", "line")
-    return lines.select(F.from_json("line", "decision_id long, fingerprint long, blocked boolean, event_type string").alias("r"), "line").select("r.*", F.length("line").alias("n_chars"))
+    lines = ops.numbered_lines(spark, path)
+    return lines.select(F.from_json("line", "decision_id long, fingerprint long, blocked boolean, event_type string").alias("r"), "line", "place").select("r.*", F.length("line").alias("n_chars"), "place")
 
 
 def ledger_dedupe(spark, d):
@@ -269,7 +273,7 @@ ORACLE_SQL = {
     "risk_feed": f"""{_SEQ}, f AS (SELECT first_blocked decision_id, 'healed_on_retry' status, healed healed_decision_id FROM q WHERE healed IS NOT NULL UNION ALL SELECT latest_blocked, 'still_blocked', NULL FROM q WHERE healed IS NULL)
         SELECT decision_id, status, healed_decision_id, value >= 50 signal FROM f JOIN ledger USING (decision_id) ORDER BY signal DESC, created_at DESC, decision_id LIMIT 12""",
     "recent_then_filter": f"WITH {LEDGER_SQL} SELECT decision_id, fingerprint, blocked FROM (SELECT * FROM ledger ORDER BY decision_id DESC LIMIT 250) WHERE fingerprint < 20",
-    "ledger_jsonl": f"WITH {LEDGER_SQL} SELECT decision_id, fingerprint, blocked, event_type, CAST(length('{{\"decision_id\":' || decision_id || ',\"fingerprint\":' || fingerprint || ',\"blocked\":' || blocked || ',\"event_type\":\"' || event_type || '\"}}') AS INTEGER) n_chars FROM ledger",
+    "ledger_jsonl": f"WITH {LEDGER_SQL} SELECT decision_id, fingerprint, blocked, event_type, CAST(length('{{\"decision_id\":' || decision_id || ',\"fingerprint\":' || fingerprint || ',\"blocked\":' || blocked || ',\"event_type\":\"' || event_type || '\"}}') AS INTEGER) n_chars, row_number() OVER (ORDER BY decision_id) - 1 place FROM ledger",
     "ledger_dedupe": "SELECT event_id, user_id, origin FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY origin) n FROM (SELECT event_id, user_id, 1 origin FROM events WHERE event_type <> 'error' UNION ALL SELECT event_id, user_id, 2 FROM events)) WHERE n = 1",
     "lookback_filter": "SELECT event_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 36 HOURS",
     "signal_classes": f"WITH {CORPUS_SQL} SELECT CASE WHEN path LIKE 'incidents/%' THEN 'incident' WHEN path LIKE 'prs/%' THEN 'github' ELSE 'none' END kind, count(*) n, min(path) first_path FROM docs GROUP BY ALL",

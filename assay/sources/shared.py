@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import tempfile
 import uuid
@@ -24,22 +25,54 @@ def folder(spark: SparkSession) -> str:
     return (found or _own_folder()).rstrip("/")
 
 
+#: Folders written by each application, until they are forgotten.
+_written: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """`df`, written once and read back: later uses do not compute it again, and lost executors cost nothing."""
-    path = f"{folder(df.sparkSession)}/assay-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{folder(spark)}/assay-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_made: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
-_made: dict[tuple[str, str, str], DataFrame] = {}
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of all files below a folder, as one digest."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found, seen = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), hashlib.sha256()
+    rows = []
+    while found.hasNext():
+        f = found.next()
+        rows.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    for row in sorted(rows):
+        seen.update(row.encode())
+    return seen.hexdigest()
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from a folder of tables, written when it is first asked for in an application and read by all queries after that."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _made:
-        _made[key] = written(make(), name)
-    return _made[key]
+    """A table derived from a folder of tables, written when it is first asked for in an application and read by all queries after that.
+
+    It is made anew when a file below the folder has changed since, and gone after `forget`.
+    """
+    key, state = (spark.sparkContext.applicationId, sf_dir, name), _state(spark, sf_dir)
+    if _made.get(key, ("",))[0] != state:
+        _made[key] = state, written(make(), name)
+    return _made[key][1]
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written here; results that rest on them must have been read."""
+    app, hadoop = spark.sparkContext.applicationId, spark._jvm.org.apache.hadoop.fs
+    for path in _written.pop(app, []):
+        where = hadoop.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for key in [k for k in _made if k[0] == app]:
+        del _made[key]
 
 
 def spread(df: DataFrame) -> DataFrame:

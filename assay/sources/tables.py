@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions import paths
-from assay.sources.shared import once, spread
+from assay.sources.shared import once, spread, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,13 +44,18 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Item i changes a code file, a component, both or a file that is not there, by i modulo 4: documents 8i and 8i + 6.
     """
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.coalesce("text", F.lit("")).alias("query"))
-    k = F.pmod("request_id", F.lit(4))
-    wanted = b.select("request_id", F.explode(F.when(k == 0, F.array(F.lit(0))).when(k == 1, F.array(F.lit(6))).when(k == 2, F.array(F.lit(0), F.lit(6))).otherwise(F.array().cast("array<int>"))).alias("o")).select("request_id", (F.col("request_id") * 8 + F.col("o")).alias("doc_id"))
-    d = table(spark, sf_dir, "documents").select("doc_id", _path(F.col("doc_id"), F.col("source")).alias("path"))
-    changed = d.join(F.broadcast(wanted), "doc_id").groupBy("request_id").agg(F.array_sort(F.collect_set("path")).alias("changed_paths"))
-    ghost = F.array(F.concat(F.lit("./src/gone_"), F.col("request_id").cast("string"), F.lit(".py")))
-    return once(spark, sf_dir, "requests", lambda: b.join(changed, "request_id", "left").withColumn("changed_paths", F.transform(F.coalesce("changed_paths", ghost), paths.normalized)))
+
+    def make() -> DataFrame:
+        b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.coalesce("text", F.lit("")).alias("query"))
+        k = F.pmod("request_id", F.lit(4))
+        offsets = F.when(k == 0, F.array(F.lit(0))).when(k == 1, F.array(F.lit(6))).when(k == 2, F.array(F.lit(0), F.lit(6))).otherwise(F.array().cast("array<int>"))
+        wanted = b.select("request_id", F.explode(offsets).alias("o")).select("request_id", (F.col("request_id") * 8 + F.col("o")).alias("doc_id"))
+        d = table(spark, sf_dir, "documents").select("doc_id", _path(F.col("doc_id"), F.col("source")).alias("path"))
+        changed = d.join(sized(written(wanted, "wanted")), "doc_id").groupBy("request_id").agg(F.array_sort(F.collect_set("path")).alias("changed_paths"))
+        ghost = F.array(F.concat(F.lit("./src/gone_"), F.col("request_id").cast("string"), F.lit(".py")))
+        return b.hint("merge").join(changed, "request_id", "left").withColumn("changed_paths", F.transform(F.coalesce("changed_paths", ghost), paths.normalized))
+
+    return once(spark, sf_dir, "requests", make)
 
 
 REQUESTS_SQL = f"""reqs AS (SELECT item_id request_id, coalesce(text, '') query, coalesce((SELECT list_sort(list(path)) FROM docs WHERE (item_id % 4 IN (0, 2) AND doc_id = item_id * 8) OR (item_id % 4 IN (1, 2) AND doc_id = item_id * 8 + 6)), ['src/gone_' || item_id || '.py']) changed_paths FROM benchmark)"""

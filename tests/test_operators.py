@@ -1,8 +1,10 @@
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from assay.functions import paths, text
-from assay.operators import catalog, decide, fusion, graph, hybrid, ledger, span_search
+from assay.operators import catalog, decide, fusion, graph, hybrid, ledger, span_search, upkeep
 from assay.plans import evaluate
 from assay.sources.shared import written
 
@@ -168,3 +170,84 @@ def test_retries_of_a_batch_replace_it(spark, tmp_path):
     assert got(f"{tmp_path}/out") == [("a", 1), ("k0", 0), ("k1", 0)]
     streams.compacted(spark, f"{tmp_path}/out", f"{tmp_path}/small", "key", "version")
     assert got(f"{tmp_path}/small") == got(f"{tmp_path}/out")
+
+
+def test_shared_tables_follow_their_files(spark, tmp_path):
+    from assay.sources import shared
+
+    put = lambda n: spark.range(n).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    count = lambda: shared.once(spark, str(tmp_path), "rows", lambda: spark.read.parquet(f"{tmp_path}/t.parquet")).count()
+    put(3)
+    assert count() == 3 and count() == 3
+    put(5)
+    assert count() == 5
+    made = shared._made[(spark.sparkContext.applicationId, str(tmp_path), "rows")][1].inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.exists(made)
+    shared.forget(spark)
+    assert not os.path.exists(made) and not [k for k in shared._made if k[0] == spark.sparkContext.applicationId] and count() == 5
+
+
+def test_updates_equal_rebuilds_and_read_what_changed(spark, tmp_path):
+    def tree(n, texts):
+        rows = [(f"pkgs/m{i}.py", texts.get(i, f"import os, pkgs.m{i + 1}\n")) for i in n]
+        return spark.createDataFrame(rows, "path string, content string")
+
+    seen = []
+
+    def run(files):
+        listing = files.select("path", F.octet_length("content").cast("long").alias("size"), F.md5("content").alias("changed"))
+
+        def derive(new):
+            seen.append({r.path for r in new.collect()})
+            return graph.imports(files.join(new, "path", "left_semi"))
+
+        changes = {r.path: r.change for r in upkeep.updated(listing, str(tmp_path), derive).collect()}
+        now = upkeep.derived(spark, str(tmp_path))
+        key = lambda df: sorted(map(tuple, df.collect()))
+        assert key(now) == key(graph.imports(files))
+        assert key(graph.resolved(now, files)) == key(graph.resolved(graph.imports(files), files))
+        return changes
+
+    assert set(run(tree(range(20), {})).values()) == {"added"}
+    got = run(tree([*range(1, 20), 30], {4: "import changed\n"}))
+    assert {p: c for p, c in got.items() if c != "kept"} == {"pkgs/m0.py": "removed", "pkgs/m4.py": "changed", "pkgs/m30.py": "added"}
+    assert seen[1] == {"pkgs/m4.py", "pkgs/m30.py"}
+    run(tree(range(1, 20), {}))
+    upkeep.compacted(spark, str(tmp_path))
+    assert set(run(tree(range(1, 20), {})).values()) == {"kept"} and seen[3] == set()
+
+
+def test_two_builders_and_a_failed_build(spark, tmp_path):
+    def wanted(mark):
+        return spark.createDataFrame([("a", mark, "s"), ("b", "1", "s")], "corpus string, fingerprint string, signature string")
+
+    rows = lambda tag: {"t": lambda todo: todo.select("corpus", F.lit(tag).alias("tag"))}
+    plan = lambda df: {r.corpus: r.action for r in df.collect()}
+    assert plan(upkeep.materialized(wanted("1"), str(tmp_path), rows("one"))) == {"a": "built", "b": "built"}
+    try:
+        upkeep.materialized(wanted("2"), str(tmp_path), rows("lost") | {"u": lambda todo: todo.select("nowhere")})
+        raise AssertionError
+    except Exception as e:
+        assert "nowhere" in str(e)
+    read = lambda: {r.corpus: r.tag for r in upkeep.current(spark, str(tmp_path), "t").collect()}
+    assert read() == {"a": "one", "b": "one"}
+    assert plan(upkeep.materialized(wanted("2"), str(tmp_path), rows("two"))) == {"a": "refreshed", "b": "reused"}
+    assert read() == {"a": "two", "b": "one"}
+    assert plan(upkeep.materialized(wanted("2"), str(tmp_path), rows("three"))) == {"a": "reused", "b": "reused"} and read()["a"] == "two"
+
+
+def test_cursors_advance_and_polling_ends(spark, tmp_path):
+    from assay.streaming import sync
+
+    landed = lambda name: spark.readStream.schema("k long, v long").parquet(f"{tmp_path}/in/{name}")
+    put = lambda name, rows: spark.createDataFrame(rows, "k long, v long").write.mode("append").parquet(f"{tmp_path}/in/{name}")
+    put("x", [(1, 1), (2, 1)])
+    put("y", [(1, 5)])
+    for number in (1, 2):
+        sync.run({"x": landed("x"), "y": landed("y")}, f"{tmp_path}/out", "k", "v", number)
+        put("x", [(1, 2)])
+    got = {r.source: r for r in sync.cursors(spark, f"{tmp_path}/out").collect()}
+    assert {n: (r.run, r.rows, r.rows_total, r.error) for n, r in got.items()} == {"x": (2, 1, 3, None), "y": (2, 0, 1, None)}
+    assert got["x"].cursor == got["y"].cursor
+    assert sorted(tuple(r) for r in sync.latest(spark, f"{tmp_path}/out", "x", "k", "v").collect()) == [(1, 2), (2, 1)]
+    assert sync.polled(landed("x"), f"{tmp_path}/polled", "k", "v", every="1 second", runs=1, timeout=60) == 4
