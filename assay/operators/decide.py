@@ -140,3 +140,16 @@ def retry_text(f: DataFrame) -> DataFrame:
     """What a blocked request needs: its first three notes."""
     todo = F.concat(F.lit("Blocked: "), F.col("decision"), F.lit(". Resolve: "), F.array_join(F.slice("missing", 1, 3), "; "))
     return f.withColumn("prompt", F.when(~F.col("allowed"), todo))
+
+
+def healing_step(f: DataFrame, parts: DataFrame, most: int = 3) -> DataFrame:
+    """What comes after each decision: next_step, and the strongest evidence and twins by place.
+
+    An allowed action proceeds; one that is not is repaired and tried again if anything is noted that it lacks, else its evidence is to be inspected.
+    """
+    step = F.when(F.col("allowed"), "proceed").when(F.size("missing") > 0, "repair_and_retry").otherwise("inspect_evidence")
+    first = lambda twin: F.transform(F.array_sort(F.collect_list(F.when(F.col("twin") == twin, F.struct("place", "path")))), lambda x: x["path"])
+    near = parts.where(F.col("place") <= most).groupBy("request_id").agg(first(False).alias("strongest_evidence"), first(True).alias("strongest_twins"))
+    none = F.array().cast("array<string>")
+    out = f.withColumn("next_step", step).hint("merge").join(near, "request_id", "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("strongest_evidence", "strongest_twins")})

@@ -106,6 +106,14 @@ def linked_tests(sources: DataFrame, tests: DataFrame, edges: DataFrame | None =
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("source", "test", "score", "rank")
 
 
+def linked_test_edges(files: DataFrame, edges: DataFrame | None = None, *, front: float = 0.45, other: float = 0.6, most: int = 3) -> DataFrame:
+    """Edges from tests (src) to what their paths link them to (dst): the best tests of every file that is none, of front-end code from the one score on, of other files from the other."""
+    plain = files.where(paths.source_type(F.col("path")) != "test").select("path")
+    found = linked_tests(plain, files.select("path"), edges, least=min(front, other), most=most)
+    least = F.when(paths.is_frontend(F.col("source")), front).otherwise(other)
+    return found.where(F.col("score") >= least).select(F.col("test").alias("src"), F.col("source").alias("dst"), "score")
+
+
 def support(edges: DataFrame, requests: DataFrame, files: DataFrame, *, least: float = 0.4, most: int = 5) -> tuple[DataFrame, DataFrame]:
     """(request_id, path) that may support a request and their boosts: neighbours of its changed paths, and linked tests of both."""
     changed = written(requests.select("request_id", F.explode("changed_paths").alias("node")).distinct(), "changed")

@@ -210,11 +210,17 @@ def healing_prompt(spark, d):
     return _actions(spark, d).where("NOT allowed").select("request_id", "policy", "prompt")
 
 
+def healing_loop(spark, d):
+    """The next step of each request under each policy, with its strongest evidence and twins."""
+    done = decide.healing_step(_actions(spark, d), decide.split(_hits(spark, d)))
+    return done.select("request_id", "policy", "next_step", F.array_join("strongest_evidence", "|").alias("evidence"), F.array_join("strongest_twins", "|").alias("twins"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         span_index, hashed_cosine_topk, structural_score, best_span_snippets, query_plan_expansion, support_candidates, support_boosts, rank_fusion, evidence_twin_split, support_score, alignment_gap, warning_evidence,
-        impact_summary, impacted_paths, missing_evidence, hazard_confidence, decide_requests, decide_queries, decision_records, policy_violations, action_decisions, healing_prompt,
+        impact_summary, impacted_paths, missing_evidence, hazard_confidence, decide_requests, decide_queries, decision_records, policy_violations, action_decisions, healing_prompt, healing_loop,
     )
 }
 
@@ -288,5 +294,7 @@ ORACLE_SQL = {
     "decision_records": f"{_FEATURES}, ev AS (SELECT request_id, {_CELLS('NOT twin')} evidence, {_CELLS('twin')} twins FROM parts GROUP BY request_id) SELECT request_id, decision, evidence, twins, CAST(files AS INTEGER) impacted_files, CAST(tests AS INTEGER) impacted_tests, CAST(max_depth AS INTEGER) max_depth, array_to_string(missing, '|') missing FROM de LEFT JOIN ev USING (request_id)",
     "policy_violations": f"{_ACTIONS} SELECT request_id, policy, array_to_string(violations, '|') violations FROM ac",
     "action_decisions": f"{_ACTIONS} SELECT request_id, policy, decision, decision = 'admit' allowed, CAST(len(missing) AS INTEGER) n_missing FROM ac",
+    "healing_loop": f"""{_ACTIONS}, strongest AS (SELECT request_id, coalesce(string_agg(path, '|' ORDER BY place) FILTER (WHERE NOT twin), '') evidence, coalesce(string_agg(path, '|' ORDER BY place) FILTER (WHERE twin), '') twins FROM parts WHERE place <= 3 GROUP BY request_id)
+        SELECT request_id, policy, CASE WHEN decision = 'admit' THEN 'proceed' WHEN len(missing) > 0 THEN 'repair_and_retry' ELSE 'inspect_evidence' END next_step, coalesce(evidence, '') evidence, coalesce(twins, '') twins FROM ac LEFT JOIN strongest USING (request_id)""",
     "healing_prompt": f"{_ACTIONS} SELECT request_id, policy, 'Blocked: ' || decision || '. Resolve: ' || array_to_string(missing[:3], '; ') prompt FROM ac WHERE decision <> 'admit'",
 }

@@ -49,6 +49,11 @@ def linked_tests_topk(spark, d):
     return graph.linked_tests(sources, c.select("path"), least=0.3, most=3)
 
 
+def linked_test_edges(spark, d):
+    """Tests as dependents of all files that their paths link them to, by the floors for front-end and other files."""
+    return graph.linked_test_edges(corpus(spark, d))
+
+
 def symbol_edges(spark, d):
     """Suppliers define the parts that they deliver, orders reference them."""
     li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey")
@@ -114,7 +119,7 @@ def path_words(spark, d):
     return sources(spark, d).select("path", F.array_join(paths.frontend_words(F.col("path")), ",").alias("frontend_words"), F.array_join(paths.anchor_words(F.col("path")), ",").alias("anchor_words"), paths.normalized(F.concat(F.lit("file:///"), F.replace("path", F.lit("/"), F.lit("%2F")))).alias("from_url"))
 
 
-QUERIES = {f.__name__: f for f in (module_imports, resolved_imports, package_aliases, frontend_test_edges, chain_ends, path_words, graph_union, blast_radius_closure, dependency_depth, graph_documents, linked_tests_topk, symbol_edges)}
+QUERIES = {f.__name__: f for f in (module_imports, resolved_imports, package_aliases, frontend_test_edges, chain_ends, path_words, graph_union, blast_radius_closure, dependency_depth, graph_documents, linked_tests_topk, linked_test_edges, symbol_edges)}
 
 _KEYS = """edges AS (SELECT DISTINCT * FROM (SELECT 'o' || o_orderkey src, 'c' || o_custkey dst FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem))"""
@@ -146,6 +151,9 @@ ORACLE_SQL = {
     "linked_tests_topk": f"""WITH {CORPUS_SQL}, s AS (SELECT path source, {words_sql('path')} sw FROM docs WHERE source_type = 'code'), t AS (SELECT path test, {words_sql('path')} tw FROM docs WHERE source_type = 'test'),
         p AS (SELECT source, test, round({link_sql('source', 'test', 'sw', 'tw')}, 6) score FROM s, t)
         SELECT source, test, CAST(score AS DOUBLE) score, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, test) rank FROM p WHERE score >= 0.3) WHERE rank <= 3""",
+    "linked_test_edges": f"""WITH {CORPUS_SQL}, s AS (SELECT path source, {words_sql('path')} sw FROM docs WHERE source_type <> 'test'), t AS (SELECT path test, {words_sql('path')} tw FROM docs WHERE source_type = 'test'),
+        p AS (SELECT source, test, round({link_sql('source', 'test', 'sw', 'tw')}, 6) score FROM s, t)
+        SELECT test src, source dst, CAST(score AS DOUBLE) score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, test) rank FROM p WHERE score >= CASE WHEN source LIKE 'web/%.tsx' THEN 0.45 ELSE 0.6 END) WHERE rank <= 3""",
     "symbol_edges": """WITH l AS (SELECT DISTINCT 'lib/g' || (l_suppkey % 7) || '/s' || l_suppkey dst, 'P' || l_partkey symbol, l_suppkey % 7 dg FROM lineitem), u AS (SELECT DISTINCT 'app/g' || (l_orderkey % 7) || '/o' || l_orderkey src, 'P' || l_partkey symbol, l_orderkey % 7 sg FROM lineitem)
         SELECT src, dst, symbol FROM (SELECT src, dst, symbol, row_number() OVER (PARTITION BY src, symbol ORDER BY CASE WHEN sg = dg THEN 1 ELSE 0 END DESC, length(dst), dst) n FROM u JOIN l USING (symbol)) WHERE n = 1""",
 }
