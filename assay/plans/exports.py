@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions import text
+from assay.functions import fixed, text
 from assay.sources import exports
 from assay.sources.shared import folder, once, written
 from assay.sources.tables import CORPUS_SQL, EDGES_SQL, corpus, edges, table
@@ -104,6 +104,20 @@ def export_notes(spark, d):
     return found.select(F.regexp_extract("path", r"k=(\d+)/", 1).alias("k"), "source_type", "author", F.md5("content").alias("content_md5"))
 
 
+#: Top folders of the tree that `corpus_scan` reads, and the suppliers (by key modulo 5) whose files lie there.
+_FOLDERS = ("src", "tests", "runbooks", "node_modules", "private")
+
+
+def corpus_scan(spark, d):
+    """Suppliers as files of a source tree, written and scanned: skipped folders, an excluded prefix, files over the size limit (keys divisible by 11) and blank ones (by 7) are left out."""
+    base, s = f"{folder(spark)}/assay-tree-{uuid.uuid4().hex}", table(spark, d, "supplier")
+    body = F.when(F.col("s_suppkey") % 11 == 0, F.repeat("s_name", fixed.MAX_FILE_BYTES // 8)).when(F.col("s_suppkey") % 7 == 0, " ").otherwise(F.concat(F.lit("# "), "s_name", F.lit("\nNation "), F.col("s_nationkey").cast("string"), F.lit(" – é")))
+    for i, name in enumerate(_FOLDERS):
+        s.where(F.col("s_suppkey") % len(_FOLDERS) == i).select(body.alias("value"), F.col("s_suppkey").alias("k")).repartition(4, "k").write.partitionBy("k").text(f"{base}/{name}/deep")
+    found = exports.repository(spark, base, ("private/",))
+    return found.select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast("long").alias("k"), F.split("path", "/")[0].alias("folder"), "source_type", F.md5("content").alias("content_md5"))
+
+
 def lsif_graph(spark, d):
     """The dependency edges written as a line-delimited graph dump and read back, with the ranges' labels."""
     e = edges(spark, d)
@@ -177,7 +191,7 @@ def _named(spark, base: str, plain) -> str:
     return base
 
 
-QUERIES = {f.__name__: f for f in (export_wiki, export_tickets, export_pulls, export_pager, export_rich_tickets, rich_text_walk, export_notes, lsif_graph, scip_graph, graph_summaries, graph_kinds)}
+QUERIES = {f.__name__: f for f in (export_wiki, export_tickets, export_pulls, export_pager, export_rich_tickets, rich_text_walk, export_notes, corpus_scan, lsif_graph, scip_graph, graph_summaries, graph_kinds)}
 
 _BODY = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
 for _name, _char in text.ENTITIES:
@@ -193,6 +207,8 @@ ORACLE_SQL = {
     "export_rich_tickets": """SELECT 'external_jira/P-' || p_partkey || '.md' path, 'Kim' author, 'https://host/browse/P-' || p_partkey external_url, md5('# P-' || p_partkey || ' ' || p_type || chr(10) || 'Status: Done' || chr(10) || 'Labels: x' || chr(10) || p_name || ' a "' || p_brand || '"' || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_type || ' end' ELSE '' END) content_md5 FROM part WHERE p_partkey % 10 > 0""",
     "rich_text_walk": """SELECT 'P-' || p_partkey AS "key", p_name || chr(10) || 'a "' || p_brand || '"' || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_type || chr(10) || chr(10) || chr(10) || 'end' ELSE '' END description FROM part WHERE p_partkey % 10 > 0""",
     "export_notes": """SELECT CAST(s_suppkey AS VARCHAR) k, 'incident' source_type, CASE WHEN s_suppkey % 2 = 0 THEN 'ops' END author, md5(CASE WHEN s_suppkey % 2 = 0 THEN '# Incident: ' || s_name || chr(10) || chr(10) || '- Author: ops' || chr(10) || chr(10) || 'Balance of nation ' || s_nationkey ELSE '# ' || s_name || chr(10) || chr(10) || 'Plain.' || chr(10) END) content_md5 FROM supplier""",
+    "corpus_scan": f"""SELECT s_suppkey k, ['src', 'tests', 'runbooks'][s_suppkey % 5 + 1] folder, CASE s_suppkey % 5 WHEN 0 THEN 'doc' WHEN 1 THEN 'test' ELSE 'runbook' END source_type, md5('# ' || s_name || chr(10) || 'Nation ' || s_nationkey || ' – é' || chr(10)) content_md5
+        FROM supplier WHERE s_suppkey % 5 < 3 AND s_suppkey % 7 > 0 AND s_suppkey % 11 > 0""",
     "lsif_graph": f"WITH {CORPUS_SQL}, {EDGES_SQL} SELECT src, dst, 'to ' || dst symbol FROM edges",
     "scip_graph": f"WITH {CORPUS_SQL}, {EDGES_SQL} SELECT src, dst, 'run' symbol, 'occurrence' kind FROM edges".replace("'run' symbol", "string_split(dst, '/')[-1] || '#`run' symbol"),
     "graph_summaries": f"""WITH {CORPUS_SQL}, {EDGES_SQL}, e AS (SELECT src, dst, string_split(dst, '/')[-1] || '#`run' symbol FROM edges), n AS (SELECT DISTINCT unnest([src, dst]) path FROM e),

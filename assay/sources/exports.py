@@ -41,7 +41,7 @@ def decoded(rows: DataFrame) -> DataFrame:
 
 def repository(spark: SparkSession, root: str, excluded: tuple[str, ...] = ()) -> DataFrame:
     rows = decoded(files(spark, root, excluded).select("path", "content")).select("path", paths.source_type(F.col("path")).alias("source_type"), "content")
-    return rows.where(F.trim("content") != "").select("*", *_none())
+    return rows.where(F.col("content").rlike(r"\S")).select("*", *_none())
 
 
 def _none() -> list[Column]:
@@ -124,7 +124,7 @@ def incident_notes(spark: SparkSession, path: str) -> DataFrame:
     place = F.concat(F.lit("external_incidents/"), F.regexp_replace(_below(F.col("file"), path), r"\.[^./]*$", ".md"))
     one = r.select(place.alias("path"), F.lit("incident").alias("source_type"), F.trim(whole).alias("content"), author.alias("author"), url.alias("external_url"), at.alias("time"))
     plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,rst,txt}").load(path).select(_below(F.col("path"), path).alias("path"), "content")
-    two = decoded(plain).where(F.trim("content") != "").select(F.concat(F.lit("external_incidents/"), "path").alias("path"), F.lit("incident").alias("source_type"), "content", *_none())
+    two = decoded(plain).where(F.col("content").rlike(r"\S")).select(F.concat(F.lit("external_incidents/"), "path").alias("path"), F.lit("incident").alias("source_type"), "content", *_none())
     return one.unionByName(two)
 
 
