@@ -1,7 +1,7 @@
 """Export files as documents: pull requests, tickets, pager incidents, wiki pages, chats, incident notes and code graphs.
 
-Every function takes (spark, path) and returns path, source_type, content, author, external_url and time. Records are
-read as text and taken apart with JSON paths, so fields may be missing or of other kinds; the first that is not empty counts.
+Every function takes (spark, path) and returns path, source_type, content, author, external_url and time. A file is parsed
+once, to VARIANT; its records' fields may be missing or of other kinds, and the first that is not empty counts.
 """
 
 from __future__ import annotations
@@ -48,24 +48,46 @@ def _none() -> list[Column]:
     return [F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("external_url"), F.lit(None).cast("timestamp").alias("time")]
 
 
+def parsed(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows with a column of JSON text parsed to VARIANT, as `name`; null where it is none. Of repeated keys of an object the last one counts: this is set for the session."""
+    rows.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return rows.withColumn(name, F.try_parse_json(column))
+
+
+def _variants(value: Column, path: str = "$") -> Column:
+    """Members of an array; null if it is none."""
+    return F.try_variant_get(value, path, "array<variant>")
+
+
+def _held(value: Column, path: str) -> Column:
+    """What lies at a path; null also for a JSON null."""
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(~F.is_variant_null(found), found)
+
+
 def records(spark: SparkSession, path: str, *keys: str, names: str = "*.{json,txt}") -> DataFrame:
-    """file and record (JSON text): of arrays their members, of objects those of the first collection key that they have, else the object."""
+    """file, place and record (VARIANT): of arrays their members, of objects those of the first collection key that they have, else the object.
+
+    A file that is no JSON has no records. An array too large for one VARIANT is taken apart as text, and its members are parsed one by one.
+    """
     whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("j"))
-    inner = F.coalesce(*[F.get_json_object("j", f"$.{k}") for k in keys], F.col("j")) if keys else F.col("j")
-    body = F.when(F.col("j").startswith("["), F.col("j")).otherwise(inner)
-    parts = F.when(body.startswith("["), F.from_json(body, "array<string>")).otherwise(F.array(body))
-    return whole.select("file", F.posexplode(parts).alias("place", "record")).where("record IS NOT NULL")
+    whole, v = parsed(whole, "j", "v"), F.col("v")
+    body = F.when(_variants(v).isNull(), F.coalesce(*[_held(v, f"$.{k}") for k in keys], v)).otherwise(v)
+    part = F.coalesce(*[F.get_json_object("j", f"$.{k}") for k in keys], F.col("j")) if keys else F.col("j")
+    large = F.transform(F.from_json(F.when(F.col("j").startswith("["), F.col("j")).otherwise(part), "array<string>"), F.try_parse_json)
+    # nothing filters on v: such a filter would sink to the scan and parse each file once more
+    parts = whole.select("file", body.alias("body"), F.when(v.isNull(), large).alias("large"))
+    return parts.select("file", F.posexplode(F.coalesce("large", _variants(F.col("body")), F.array("body"))).alias("place", "record")).where("record IS NOT NULL AND NOT is_variant_null(record)")
 
 
 def _get(*names: str) -> Column:
-    return text.first_text(*[F.get_json_object("record", f"$.{n}") for n in names])
+    return text.first_text(*[F.try_variant_get("record", f"$.{n}", "string") for n in names])
 
 
 def _names(field: str, *keys: str) -> Column:
     """Members of an array of strings or of objects with a name, joined."""
-    a = F.from_json(F.get_json_object("record", f"$.{field}"), "array<string>")
-    one = lambda x: F.when(F.trim(x).startswith("{"), F.coalesce(*[F.get_json_object(x, f"$.{k}") for k in keys])).otherwise(x)
-    return F.array_join(F.slice(F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), one), lambda x: x.isNotNull()), 1, 25), ", ")
+    one = lambda x: F.coalesce(*[F.try_variant_get(x, f"$.{k}", "string") for k in keys], F.when(~F.schema_of_variant(x).startswith("OBJECT"), F.try_variant_get(x, "$", "string")))
+    return F.array_join(F.slice(F.filter(F.transform(F.coalesce(_variants(F.col("record"), f"$.{field}"), F.array().cast("array<variant>")), one), lambda x: x.isNotNull()), 1, 25), ", ")
 
 
 def _line(label: str, value: Column) -> Column:
@@ -130,8 +152,9 @@ def incident_notes(spark: SparkSession, path: str) -> DataFrame:
 
 def flattened_pulls(payloads: DataFrame) -> DataFrame:
     """API payloads of pull requests (column record) as export records: the fields that the reader takes, labels with a name only."""
-    g = lambda *n: _get(*n)
-    labels = F.transform(F.filter(F.coalesce(F.from_json(F.get_json_object("record", "$.labels"), "array<struct<name string>>"), F.array().cast("array<struct<name string>>")), lambda x: F.trim(x["name"]) != ""), lambda x: F.struct(x["name"].alias("name")))
+    g, payloads = _get, parsed(payloads, "record", "record")
+    named = F.transform(F.coalesce(_variants(F.col("record"), "$.labels"), F.array().cast("array<variant>")), lambda x: F.try_variant_get(x, "$.name", "string"))
+    labels = F.transform(F.filter(named, lambda x: F.trim(x) != ""), lambda x: F.struct(x.alias("name")))
     ref = lambda side: F.struct(g(f"{side}.ref").alias("ref"), F.struct(g(f"{side}.repo.full_name").alias("full_name")).alias("repo"))
     plain = [g(n).alias(n) for n in ("title", "body", "state", "html_url", "updated_at", "merged_at", "closed_at", "created_at")]
     return payloads.select(F.to_json(F.struct(g("number").cast("long").alias("number"), *plain, F.struct(g("user.login").alias("login")).alias("user"), ref("base").alias("base"), ref("head").alias("head"), labels.alias("labels"))).alias("record"))
@@ -139,13 +162,14 @@ def flattened_pulls(payloads: DataFrame) -> DataFrame:
 
 def flattened_tickets(payloads: DataFrame, base_url: str) -> DataFrame:
     """API payloads of issues as export records; rich-text descriptions as plain text, records without key left out."""
-    key = _get("key", "id")
-    described = F.get_json_object("record", "$.fields.description")
-    tree = F.when(F.trim(described).rlike(r"^[{\[]"), F.sha2(described, 256))
-    trees = payloads.select(tree.alias("tree"), described.alias("described")).where("tree IS NOT NULL").dropDuplicates(["tree"])
-    payloads = payloads.withColumn("tree", tree).hint("merge").join(rich_texts(trees, "tree", "described").withColumnRenamed("text", "walked"), "tree", "left")
+    key, described = _get("key", "id"), F.try_variant_get("record", "$.fields.description", "string")
+    payloads = parsed(payloads, "record", "record")
+    tree = F.when(F.schema_of_variant(F.try_variant_get("record", "$.fields.description", "variant")).rlike("^(OBJECT|ARRAY)"), F.sha2(described, 256))
+    payloads = written(payloads.select("record", tree.alias("tree")), "payloads")
+    trees = payloads.select("tree", described.alias("described")).where("tree IS NOT NULL").dropDuplicates(["tree"])
+    payloads = payloads.hint("merge").join(rich_texts(trees, "tree", "described").withColumnRenamed("text", "walked"), "tree", "left")
     plain = F.nullif(F.when(F.col("tree").isNotNull(), F.col("walked")).otherwise(F.trim(described)), F.lit(""))
-    labels = F.coalesce(F.from_json(F.get_json_object("record", "$.fields.labels"), "array<string>"), F.array().cast("array<string>"))
+    labels = F.coalesce(F.try_variant_get("record", "$.fields.labels", "array<string>"), F.array().cast("array<string>"))
     fields = [key.alias("key"), F.coalesce(_get("fields.summary"), key).alias("summary"), F.coalesce(plain, F.lit("No ticket description provided.")).alias("description"), _get("fields.status.name").alias("status"), _get("fields.issuetype.name").alias("issue_type"), labels.alias("labels")]
     who = _get("fields.creator.displayName", "fields.creator.name", "fields.reporter.displayName", "fields.reporter.name")
     fields += [who.alias("author"), F.concat(F.lit(base_url.rstrip("/") + "/browse/"), key).alias("browse_url"), _get("fields.updated").alias("updated_at"), _get("fields.created").alias("created_at")]
@@ -153,7 +177,7 @@ def flattened_tickets(payloads: DataFrame, base_url: str) -> DataFrame:
 
 
 def flattened_incidents(payloads: DataFrame) -> DataFrame:
-    g = _get
+    g, payloads = _get, parsed(payloads, "record", "record")
     fields = [g("incident_number", "id").alias("incident_number"), g("id").alias("id"), g("title", "summary").alias("title"), F.coalesce(g("description", "body", "self"), F.lit("No incident body provided.")).alias("description"), g("status").alias("status")]
     fields += [F.struct(g("service.summary", "service.name").alias("summary")).alias("service"), g("urgency", "severity").alias("urgency"), g("html_url", "self").alias("html_url"), g("created_at").alias("created_at"), g("last_status_change_at", "updated_at").alias("updated_at")]
     return payloads.select(F.to_json(F.struct(*fields)).alias("record"))
@@ -161,7 +185,7 @@ def flattened_incidents(payloads: DataFrame) -> DataFrame:
 
 def flattened_pages(payloads: DataFrame, public_root: str) -> DataFrame:
     """API payloads of wiki search results as export records; the link's path below the public root."""
-    g = _get
+    g, payloads = _get, parsed(payloads, "record", "record")
     body = F.coalesce(g("content.body.storage.value", "content.body.view.value", "excerpt"), F.lit("No page body provided."))
     link = g("content._links.webui", "url")
     path = F.when(link.rlike("^[a-z]+://"), F.parse_url(link, F.lit("PATH"))).otherwise(link)

@@ -106,3 +106,27 @@ def test_payloads_become_records(spark):
     p = one(lambda df: exports.flattened_pages(df, "https://h/wiki/"), {"content": {"title": "P", "_links": {"webui": "https://h/wiki/x/1"}}})
     assert p["_links"] == {"base": "https://h/wiki", "webui": "/wiki/x/1"} and p["body"]["storage"]["value"] == "No page body provided."
     assert one(exports.flattened_incidents, {"id": "7", "summary": "s", "service": {"name": "n"}})["service"] == {"summary": "n"}
+
+
+def test_records_are_parsed_once(spark, tmp_path):
+    p = put(tmp_path, "a.json", '{"pulls": null, "items": [{"number": 1, "number": 2, "title": "last"}, null, {"number": 3, "labels": ["x", null, {"name": "y"}, {"other": 1}]}]}')
+    put(tmp_path, "b.json", "not json")
+    put(tmp_path, "c.json", "")
+    put(tmp_path, "d.json", {"number": 4, "title": "alone"})
+    put(tmp_path, "e.json", "[]")
+    docs = exports.pull_requests(spark, p)
+    assert sorted((r.path, r.content) for r in docs.collect()) == [
+        ("external_github_prs/pr_2.md", "# PR 2: last\n"), ("external_github_prs/pr_3.md", "# PR 3: \nLabels: x, y\n"), ("external_github_prs/pr_4.md", "# PR 4: alone\n"),
+    ]
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    # once for files, once for the members of arrays too large for a VARIANT
+    assert plan.count("parseJson(") == 2
+
+
+def test_arrays_too_large_for_a_variant(spark, tmp_path, monkeypatch):
+    p = put(tmp_path, "a.json", {"pulls": [{"number": 1, "title": "a"}, {"number": 2, "labels": [{"name": "x"}]}]})
+    put(tmp_path, "b.json", [{"number": 3}])
+    want = sorted((r.path, r.content) for r in exports.pull_requests(spark, p).collect())
+    # as if no file fitted
+    monkeypatch.setattr(exports, "parsed", lambda rows, column, name: rows.withColumn(name, exports.F.lit(None).cast("variant")))
+    assert sorted((r.path, r.content) for r in exports.pull_requests(spark, p).collect()) == want and len(want) == 3
