@@ -56,11 +56,11 @@ def current(spark: SparkSession, folder: str, name: str, keep: tuple[str, ...] =
     return rows.join(sized(newest), ["corpus", "build_id"])
 
 
-def _version(spark: SparkSession, folder: str) -> int:
-    """The last finished version; 0 before the first."""
-    if not exists(spark, f"{folder}/files"):
+def last_version(spark: SparkSession, folder: str) -> int:
+    """The last finished version of a folder; 0 before the first."""
+    if not exists(spark, folder):
         return 0
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/files")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs_path)
     names = [s.getPath().getName().removeprefix("version=") for s in found if exists(spark, f"{s.getPath()}/_SUCCESS")]
     return max(map(int, names), default=0)
@@ -78,7 +78,7 @@ def updated(listing: DataFrame, folder: str, derive: Callable[[DataFrame], DataF
     The listing is written last; a run that fails is done anew under the same number. For one writer at a time.
     """
     spark = listing.sparkSession
-    last = _version(spark, folder)
+    last = last_version(spark, f"{folder}/files")
     before = _listing(spark, folder, last)
     old = before.select("path", F.col("size").alias("was"), F.col("changed").alias("then"), "made")
     both = listing.select("path", "size", F.col("changed").cast("string").alias("changed")).hint("merge").join(old, "path", "full")
@@ -93,13 +93,13 @@ def updated(listing: DataFrame, folder: str, derive: Callable[[DataFrame], DataF
 
 def derived(spark: SparkSession, folder: str) -> DataFrame:
     """The rows that hold now."""
-    files = _listing(spark, folder, _version(spark, folder)).select("path", F.col("made").alias("version"))
+    files = _listing(spark, folder, last_version(spark, f"{folder}/files")).select("path", F.col("made").alias("version"))
     rows = spark.read.option("basePath", f"{folder}/derived").parquet(f"{folder}/derived")
     return rows.hint("merge").join(files, ["path", "version"], "left_semi").drop("version")
 
 
 def compacted(spark: SparkSession, folder: str) -> None:
     """One more version that holds all rows by itself, when versions have become many."""
-    last = _version(spark, folder)
+    last = last_version(spark, f"{folder}/files")
     derived(spark, folder).write.mode("overwrite").parquet(f"{folder}/derived/version={last + 1}")
     _listing(spark, folder, last).withColumn("made", F.lit(last + 1)).write.mode("overwrite").parquet(f"{folder}/files/version={last + 1}")

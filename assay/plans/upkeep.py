@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from assay.functions import text
-from assay.operators import catalog, graph, upkeep
+from assay.operators import catalog, graph, merged, upkeep
 from assay.plans.graph import _TREE, sources
 from assay.sources.shared import folder, once, written
-from assay.sources.tables import table
+from assay.sources.tables import LEDGER_SQL, ledger, table
 
 
 def _base(spark, name: str) -> str:
@@ -68,7 +68,43 @@ def incremental_changes(spark, d):
     return _updated(spark, d).where("change <> 'import'").groupBy("change").agg(F.count("*").alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (acting_builds, incremental_imports, incremental_changes)}
+#: Batches of `merged_ledger`.
+_BATCHES = 6
+
+
+def merged_ledger(spark, d):
+    """Decisions in batches, each with changes to the batch before, and at last a batch that takes some away; merged on read, after two compactions."""
+
+    def make():
+        base, rows = _base(spark, "merged"), ledger(spark, d).select("decision_id", "fingerprint", "blocked")
+        turn = F.col("decision_id") % _BATCHES
+        for b in range(_BATCHES):
+            changes = rows.where((turn == b - 1) & (F.col("decision_id") % 4 == 0)).withColumn("fingerprint", -F.col("fingerprint") - 1)
+            merged.append(rows.where(turn == b).unionByName(changes).withColumn("batch", F.lit(b)), base, "decision_id", "batch", parts=8)
+            if b == 3:
+                merged.compact(spark, base, "decision_id", 3)
+        merged.retract(rows.where("decision_id % 10 = 0"), base, "decision_id")
+        merged.compact(spark, base, "decision_id", 3)
+        return merged.current(spark, base, "decision_id")
+
+    return once(spark, d, "merged-ledger", make)
+
+
+def compacted_parts(spark, d):
+    """Three batches, of which the last two touch the first parts only: a compaction writes these and leaves the files of the others."""
+    base, rows = _base(spark, "merged"), ledger(spark, d).select("decision_id", "fingerprint")
+    merged.append(rows, base, "decision_id", "decision_id", parts=8)
+    for i in range(2):
+        merged.append(rows.where(merged.part_of(F.col("decision_id"), 8) < 3).withColumn("fingerprint", F.col("fingerprint") + i), base, "decision_id", "decision_id")
+    before = written(merged.live(spark, base).groupBy("part").agg(F.count("*").alias("runs_before")), "before")
+    merged.compact(spark, base, "decision_id", 3)
+    now = merged.live(spark, base)
+    after = now.groupBy("part").agg(F.count("*").alias("runs_after"), (F.max("run") > 3).alias("rewritten"))
+    held = merged.current(spark, base, "decision_id").groupBy(merged.part_of(F.col("decision_id"), 8).alias("part")).agg(F.count("*").alias("n_rows"), F.sum("fingerprint").alias("fingerprints"))
+    return before.hint("merge").join(after, "part").hint("merge").join(held, "part")
+
+
+QUERIES = {f.__name__: f for f in (acting_builds, incremental_imports, incremental_changes, merged_ledger, compacted_parts)}
 
 _N = "len(list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ') <> ''))"
 ORACLE_SQL = {
@@ -78,4 +114,8 @@ ORACLE_SQL = {
         UNION ALL SELECT path, unnest(['./item' || (c + 1), '../../kit' || k || '/src/item' || (c + 2), '@org/kit' || ((k + 1) % 25), 'lib' || ((k + 1) % 25) || '/item' || (c + 3)]) FROM c UNION ALL SELECT 'pkgs/new.py', unnest(['os', 'pkgs.n1'])""",
     "incremental_changes": """WITH n AS (SELECT (SELECT count(*) FROM supplier) s, (SELECT count(*) FROM supplier WHERE s_suppkey % 10 = 0) c, (SELECT count(*) FROM supplier WHERE s_suppkey % 10 = 1) r, (SELECT count(*) FROM customer) u, (SELECT count(*) FROM nation) k, (SELECT count(*) FROM nation WHERE n_nationkey % 2 = 0) e)
         SELECT change, n_files FROM (SELECT unnest(['added', 'changed', 'removed', 'kept']) change, unnest([1, c, r, 3 * s - c - r + 2 * u + 2 * k + e]) n_files FROM n) WHERE n_files > 0""",
+    "merged_ledger": f"""WITH {LEDGER_SQL}, t AS (SELECT *, decision_id % 6 r, decision_id % 6 < 5 AND decision_id % 4 = 0 changed FROM ledger WHERE decision_id % 10 <> 0)
+        SELECT decision_id, CASE WHEN changed THEN -fingerprint - 1 ELSE fingerprint END fingerprint, blocked, CAST(CASE WHEN changed THEN r + 1 ELSE r END AS INTEGER) batch FROM t""",
+    "compacted_parts": f"""WITH {LEDGER_SQL}, t AS (SELECT *, CAST(CAST('0x' || md5(CAST(decision_id AS VARCHAR))[:8] AS BIGINT) % 8 AS INTEGER) part FROM ledger)
+        SELECT part, CAST(CASE WHEN part < 3 THEN 3 ELSE 1 END AS BIGINT) runs_before, CAST(1 AS BIGINT) runs_after, part < 3 rewritten, count(*) n_rows, CAST(sum(fingerprint + CASE WHEN part < 3 THEN 1 ELSE 0 END) AS BIGINT) fingerprints FROM t GROUP BY part""",
 }
