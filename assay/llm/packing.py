@@ -2,7 +2,8 @@
 
 Method: exact-complement hashing. Only lengths matter for a plan, so the plan is made from how many pieces there are
 of each length. From the longest length down, the gap that a piece leaves is looked up among the available single
-lengths, pair sums and triple sums, and combinations that fill it exactly are consumed as often as their counts allow.
+lengths, pair sums and triple sums, and combinations that fill it exactly are consumed as often as their counts allow;
+lengths that are used up leave the index of sums.
 What is left is packed best fit, longest first, over groups of equal gaps. The plan lists for each length which
 ranks go to which sequences and offsets; every piece finds its own by its rank among pieces of its length.
 
@@ -15,6 +16,7 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -86,39 +88,67 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, doc_id: str = "doc_
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(cut, schema)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """How often each combination of lengths is packed; counts: how many pieces there are of each length."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    out: list[tuple[tuple[int, ...], int]] = []
+class Sums:
+    """How many pieces are left of each length, and an index by sum of the singles, pairs and triples of lengths that are left.
+
+    `singles`, `pairs` and `triples` count, for each sum below the capacity, the combinations of one, two and three lengths (a length may come again) of which pieces are left.
+    Combinations that hold a length are those of one member less with that length put in, so a length enters or leaves the index by adding or taking away shifted counts.
+    """
 
-    def take(*lengths: int) -> None:
-        n = min(int(left[x]) // lengths.count(x) for x in set(lengths))
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = np.zeros(capacity + 1, np.int64)
+        self.singles, self.pairs, self.triples = (np.zeros(capacity + 1, np.int64) for _ in range(3))
+        for length, n in counts.items():
+            if n:
+                self.left[length] = n
+                self.singles[length] = 1
+                self.pairs[length:] += self.singles[: len(self.pairs) - length]
+                self.triples[length:] += self.pairs[: len(self.triples) - length]
+
+    def consume(self, *lengths: int) -> int:
+        """Takes a combination as often as pieces allow, and says how often; lengths that are used up leave the index."""
+        n = min(int(self.left[x]) // lengths.count(x) for x in set(lengths))
         if n:
             for x in lengths:
-                left[x] -= n
-            out.append((lengths, n))
+                self.left[x] -= n
+            for x in {x for x in lengths if not self.left[x]}:
+                self.triples[x:] -= self.pairs[: len(self.triples) - x]
+                self.pairs[x:] -= self.singles[: len(self.pairs) - x]
+                self.singles[x] = 0
+        return n
+
+    def pairs_of(self, total: int, most: int) -> list[tuple[int, int]]:
+        """The pairs of a sum, the larger length first and at most so large, in falling order."""
+        if not self.pairs[total]:
+            return []
+        b = np.arange(min(most, total - 1), (total + 1) // 2 - 1, -1)
+        b = b[(self.singles[b] > 0) & (self.singles[total - b] > 0)] if len(b) else b
+        return [(x, total - x) for x in b.tolist()]
+
+    def triples_of(self, total: int) -> Iterator[tuple[int, int, int]]:
+        """The triples of a sum, largest length first; only lengths whose complement is the sum of a pair are opened."""
+        if self.triples[total]:
+            x = np.arange(total - 2, 0, -1)
+            for a in x[(self.singles[x] > 0) & (self.pairs[total - x] > 0)].tolist():
+                if self.singles[a]:
+                    yield from ((a, *pair) for pair in self.pairs_of(total - a, a))
 
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """How often each combination of lengths is packed; counts: how many pieces there are of each length."""
+    sums = Sums(counts, capacity)
+    left = sums.left
+    out: list[tuple[tuple[int, ...], int]] = []
     for a in range(capacity, 0, -1):
+        if not left[a]:
+            continue
         gap = capacity - a
-        if left[a] and not gap:
-            take(a)
-        if left[a] and gap:
-            take(a, gap)
-        if left[a] and gap:  # pairs of which both lengths are there
-            b = np.arange(gap - 1, (gap + 1) // 2 - 1, -1)
-            for x in b[(left[b] > 0) & (left[gap - b] > 0)].tolist() if len(b) else ():
-                if left[a]:
-                    take(a, x, gap - x)
-        for x in range(gap - 2, 0, -1) if left[a] else ():
-            if not left[x] or not left[a]:
-                continue
-            rest = gap - x
-            b = np.arange(min(x, rest - 1), (rest + 1) // 2 - 1, -1)
-            for y in b[(left[b] > 0) & (left[rest - b] > 0)].tolist() if len(b) else ():
-                if left[a] and left[x]:
-                    take(a, x, y, rest - y)
+        for filling in itertools.chain([()] if not gap else [(gap,)] if sums.singles[gap] else [], sums.pairs_of(gap, gap), sums.triples_of(gap)):
+            if not left[a]:
+                break
+            n = sums.consume(a, *filling)
+            if n:
+                out.append(((a, *filling), n))
     # best fit, longest first: groups of sequences with equal contents, by the gap that is left
     gaps: dict[int, list[list]] = {}
     for a in range(capacity, 0, -1):

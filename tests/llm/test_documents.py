@@ -288,6 +288,28 @@ def test_plan_packs_every_piece():
         assert done == Counter(counts)
 
 
+def test_index_of_sums_against_all_combinations():
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    for _ in range(10):
+        counts = {rng.randint(1, 40): rng.randint(0, 4) for _ in range(rng.randint(1, 12))}
+        sums = packing.Sums(counts, 40)
+        while True:
+            there = [x for x in range(1, 41) if sums.left[x]]
+            for k, index in ((1, sums.singles), (2, sums.pairs), (3, sums.triples)):
+                want = Counter(sum(c) for c in itertools.combinations_with_replacement(there, k))
+                assert [int(index[s]) for s in range(41)] == [want[s] for s in range(41)]
+            for total in range(1, 41):
+                assert list(sums.triples_of(total)) == sorted((c[::-1] for c in itertools.combinations_with_replacement(there, 3) if sum(c) == total), reverse=True)
+            if not there:
+                break
+            sums.consume(*rng.choices(there, k=min(len(there), rng.randint(1, 3))))
+            if rng.random() < 0.5:
+                sums.consume(rng.choice(there))
+
+
 def test_sharding(docs, empty, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK_ROWS", 3)
     got = sharding.sharded(docs, shards=4).collect()
