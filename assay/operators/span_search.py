@@ -1,6 +1,7 @@
 """Exact best spans of many planned queries over an index of blocks with score bounds.
 
-Index: spans lie in blocks of `BLOCK_SPANS`, in order of path. A block's row holds, made once, each span's distinct tokens, 3-grams and hashed vector as arrays, and the block's bounds:
+Index: spans lie in blocks of `BLOCK_SPANS`, in order of path. A block's row holds, made once, its distinct tokens and 3-grams, and each span's as places
+among them, with the token counts of its buckets: some 100 KB a block, which keeps tasks that read, sort and compare blocks small. Opening a block makes the vectors and its bounds:
 of each of the 256 buckets the greatest weight that a span has there, and the set of 3-grams that any has. `lists` has a row for each token and block that holds it.
 
 Search: queries meet blocks by a join on tokens; a query none of whose tokens occurs meets all blocks, as every span is its candidate.
@@ -34,6 +35,9 @@ BLOCK_SPANS = 256
 #: Blocks in a group and queries in a task.
 GROUP_BLOCKS = 16
 TASK_QUERIES = 512
+#: Bytes of a row group of written blocks (readers hold one at a time), and tokens whose codes a task keeps.
+ROW_GROUP = 8_000_000
+KNOWN_TOKENS = 200_000
 BUCKETS = 256
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 _TOKEN = re.compile(r"[A-Za-z0-9_]+")
@@ -48,6 +52,8 @@ def _codes(token: str, known: dict[str, tuple[int, int]]) -> tuple[int, int]:
     """A token's 64-bit code, and its bucket: the first byte of its MD5."""
     got = known.get(token)
     if got is None:
+        if len(known) >= KNOWN_TOKENS:
+            known.clear()
         d = hashlib.md5(token.encode()).digest()
         got = known[token] = int.from_bytes(d[8:], "little", signed=True), d[0]
     return got
@@ -59,18 +65,30 @@ def grams(s: str) -> np.ndarray:
     return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:]) if len(points) > 2 else np.array([points[0] << 21 | points[-1]], np.int64)
 
 
-def _vector(buckets: list[int]) -> np.ndarray:
-    v = np.bincount(buckets, minlength=BUCKETS).astype(np.float64)
-    n = np.sqrt((v * v).sum())
-    return v / n if n else v
+def _vectors(counts: np.ndarray) -> np.ndarray:
+    """Rows of token counts by bucket, of length one."""
+    v = counts.astype(np.float64)
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.divide(v, n, out=v, where=n > 0)
 
 
-def _ragged(parts: list[np.ndarray]) -> tuple[bytes, bytes]:
-    """Where each part ends, and all parts."""
-    return np.cumsum([len(p) for p in parts], dtype=np.int64).tobytes(), np.concatenate(parts).astype(np.int64).tobytes() if parts else b""
+def _counts(buckets: list[list[int]]) -> np.ndarray:
+    return np.stack([np.bincount(b, minlength=BUCKETS) for b in buckets])
 
 
-_BLOCK = "block long, n int, ids binary, paths array<string>, kinds array<int>, lines array<int>, occurrences array<int>, token_ends binary, tokens binary, gram_ends binary, grams binary, weights binary, peaks binary, any_gram binary"
+def _ends(parts: list[np.ndarray]) -> bytes:
+    return np.cumsum([len(p) for p in parts], dtype=np.int32).tobytes()
+
+
+def _places(values: np.ndarray, among: np.ndarray) -> bytes:
+    return np.searchsorted(among, values).astype(_width(among)).tobytes()
+
+
+def _width(among: np.ndarray) -> type:
+    return np.uint16 if len(among) <= 1 << 16 else np.uint32
+
+
+_BLOCK = "block long, n int, ids binary, paths array<string>, kinds array<int>, lines array<int>, occurrences array<int>, tokens binary, token_ends binary, token_places binary, grams binary, gram_ends binary, gram_places binary, bucket_ends binary, buckets binary, counts binary"
 
 
 def blocks(index: DataFrame) -> DataFrame:
@@ -82,11 +100,13 @@ def blocks(index: DataFrame) -> DataFrame:
             for a in range(0, b.num_rows, BLOCK_SPANS):
                 ids, paths, kinds, lines, occurrences, texts = (c.to_pylist() for c in b.slice(a, BLOCK_SPANS).columns)
                 coded = [[_codes(t, known) for t in tokens(s)] for s in texts]
-                vectors = np.stack([_vector([c for _, c in x]) for x in coded])
-                token_ends, token = _ragged([np.unique(np.array([c for c, _ in x], np.int64)) for x in coded])
-                found = [grams(s) for s in texts]
-                gram_ends, gram = _ragged(found)
-                row = [ids[0], len(ids), np.array(ids, np.int64).tobytes(), paths, kinds, lines, occurrences, token_ends, token, gram_ends, gram, vectors.tobytes(), vectors.max(0).tobytes(), np.unique(np.concatenate(found)).tobytes()]
+                row = [ids[0], len(ids), np.array(ids, np.int64).tobytes(), paths, kinds, lines, occurrences]
+                for held in ([np.unique(np.array([c for c, _ in x], np.int64)) for x in coded], [grams(s) for s in texts]):
+                    every = np.concatenate(held)
+                    among = np.unique(every)
+                    row += [among.tobytes(), _ends(held), _places(every, among)]
+                counts = _counts([[c for _, c in x] for x in coded])
+                row += [_ends([np.flatnonzero(c) for c in counts]), np.nonzero(counts)[1].astype(np.uint8).tobytes(), counts[counts > 0].astype(np.uint32).tobytes()]
                 names = [x.split()[0] for x in _BLOCK.split(", ")]
                 kinds_ = {"block": pa.int64(), "n": pa.int32(), "paths": pa.list_(pa.string()), "kinds": pa.list_(pa.int32()), "lines": pa.list_(pa.int32()), "occurrences": pa.list_(pa.int32())}
                 yield pa.RecordBatch.from_arrays([pa.array([v], kinds_.get(name, pa.binary())) for name, v in zip(names, row, strict=True)], names=names)
@@ -100,7 +120,7 @@ def lists(made: DataFrame) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = np.unique(np.frombuffer(body, np.int64))
+                t = np.frombuffer(body, np.int64)
                 yield pa.RecordBatch.from_pydict({"token": pa.array(t), "block": pa.array(np.full(len(t), block))})
 
     return made.select("block", "tokens").mapInArrow(spread, "token long, block long")
@@ -108,21 +128,27 @@ def lists(made: DataFrame) -> DataFrame:
 
 class Block:
     def __init__(self, row: dict):
-        read = lambda name: np.frombuffer(row[name], np.int64)
+        read = lambda name, kind=np.int64: np.frombuffer(row[name], kind)
         self.n, self.ids = row["n"], read("ids")
         self.paths, self.kinds, self.lines, self.occurrences = row["paths"], row["kinds"], row["lines"], row["occurrences"]
-        self.token, self.gram, self.any_gram = read("tokens"), read("grams"), read("any_gram")
-        self.token_of, self.gram_of = (np.repeat(np.arange(self.n), np.diff(read(x), prepend=0)) for x in ("token_ends", "gram_ends"))
+        self.token, self.gram = read("tokens"), read("grams")
+        self.token_at, self.gram_at = read("token_places", _width(self.token)), read("gram_places", _width(self.gram))
+        self.token_of, self.gram_of, of = (np.repeat(np.arange(self.n, dtype=np.int32), np.diff(read(x, np.int32), prepend=0)) for x in ("token_ends", "gram_ends", "bucket_ends"))
         self.gram_count = np.bincount(self.gram_of, minlength=self.n)
-        self.weights, self.peaks = np.frombuffer(row["weights"], np.float64).reshape(self.n, -1), np.frombuffer(row["peaks"], np.float64)
+        counts = np.zeros((self.n, BUCKETS))
+        counts[of, read("buckets", np.uint8)] = read("counts", np.uint32)
+        self.weights = _vectors(counts)
+        self.peaks = self.weights.max(0)
 
 
-def _matrix(vocabulary: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Which of n rows has which value of a sorted vocabulary."""
+def _matrix(vocabulary: np.ndarray, values: np.ndarray, of: np.ndarray, n: int, places: np.ndarray | None = None) -> np.ndarray:
+    """Which of n rows has which value of a sorted vocabulary; places: the rows' values as places among the values given."""
     out = np.zeros((n, len(vocabulary)), np.float32)
     if len(vocabulary):
         at = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
         hit = vocabulary[at] == values
+        if places is not None:
+            at, hit = at[places], hit[places]
         out[of[hit], at[hit]] = 1
     return out
 
@@ -135,7 +161,7 @@ class Queries:
         words = [tokens(r["query"]) for r in rows]
         known: dict[str, tuple[int, int]] = {}
         coded = [[_codes(t, known) for t in w] for w in words]
-        self.weights = np.stack([_vector([b for _, b in x]) for x in coded]).T
+        self.weights = _vectors(_counts([[b for _, b in x] for x in coded])).T
         held = [grams(r["query"]) if r["query"].strip() else np.empty(0, np.int64) for r in rows]
         flat = lambda parts: (np.concatenate(parts), np.repeat(np.arange(len(rows)), [len(p) for p in parts]))
         code, of = flat([np.array([c for c, _ in x], np.int64) for x in coded])
@@ -174,7 +200,7 @@ class Queries:
         return got
 
     def bound(self, block: Block) -> np.ndarray:
-        share = np.isin(self.gram_vocabulary, block.any_gram).astype(np.float32) @ self.grams / self.sizes
+        share = np.isin(self.gram_vocabulary, block.gram).astype(np.float32) @ self.grams / self.sizes
         bonus = np.any([self.named(p) for p in dict.fromkeys(block.paths)], 0)
         return 0.45 * np.minimum(1, share) + 0.47 * np.minimum(1, block.peaks @ self.weights) + 0.08 * bonus + 3e-6
 
@@ -184,7 +210,7 @@ class Queries:
         q = np.flatnonzero(asked & (bound >= self.floor))
         if not len(q):
             return
-        near = (_matrix(self.vocabulary, block.token, block.token_of, block.n) @ self.tokens[:, q] > 0) | self.everywhere[q]
+        near = (_matrix(self.vocabulary, block.token, block.token_of, block.n, block.token_at) @ self.tokens[:, q] > 0) | self.everywhere[q]
         cosine = np.round(np.clip(block.weights @ self.weights[:, q], 0, 1), 6)
         bonus = np.stack([self.named(p)[q] for p in block.paths])
         most = 0.45 * np.minimum(1, block.gram_count[:, None] / self.sizes[q]) + 0.47 * cosine + 0.08 * bonus + 3e-6
@@ -195,7 +221,7 @@ class Queries:
         some = np.unique(row)
         at = np.searchsorted(some, block.gram_of)
         mine = (at < len(some)) & (some[np.minimum(at, len(some) - 1)] == block.gram_of)
-        shared = _matrix(self.gram_vocabulary, block.gram[mine], at[mine], len(some)) @ self.grams[:, q]
+        shared = _matrix(self.gram_vocabulary, block.gram, at[mine], len(some), block.gram_at[mine]) @ self.grams[:, q]
         structural = np.round(shared[np.searchsorted(some, row), col].astype(np.float64) / self.sizes[q[col]], 6)
         final = np.round(np.minimum(1.0, 0.45 * structural + 0.47 * cosine[row, col] + 0.08 * bonus[row, col]) + fusion.TIE, 6)
         good = (final > 0) & (final >= self.floor[q[col]])

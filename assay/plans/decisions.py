@@ -35,7 +35,7 @@ def _planned(spark, d, kind="change"):
 
 
 def _spans(spark, d, kind="change"):
-    blocks = once(spark, d, "span-blocks", lambda: span_search.blocks(_index(spark, d)))
+    blocks = once(spark, d, "span-blocks", lambda: span_search.blocks(_index(spark, d)), span_search.ROW_GROUP)
     lists = once(spark, d, "span-lists", lambda: span_search.lists(blocks))
     return once(spark, d, f"best-spans-{kind}", lambda: hybrid.evaluated(span_search.best(_index(spark, d), blocks, lists, _planned(spark, d, kind), rules.MATCH)))
 

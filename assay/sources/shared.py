@@ -29,11 +29,14 @@ def folder(spark: SparkSession) -> str:
 _written: dict[str, list[str]] = {}
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """`df`, written once and read back: later uses do not compute it again, and lost executors cost nothing."""
+def written(df: DataFrame, name: str = "table", row_group: int | None = None) -> DataFrame:
+    """`df`, written once and read back: later uses do not compute it again, and lost executors cost nothing.
+
+    row_group: bytes of a row group, for tables of long rows, of which writers and readers hold one group at a time.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/assay-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,14 +57,14 @@ def _state(spark: SparkSession, sf_dir: str) -> str:
     return seen.hexdigest()
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], row_group: int | None = None) -> DataFrame:
     """A table derived from a folder of tables, written when it is first asked for in an application and read by all queries after that.
 
     It is made anew when a file below the folder has changed since, and gone after `forget`.
     """
     key, state = (spark.sparkContext.applicationId, sf_dir, name), _state(spark, sf_dir)
     if _made.get(key, ("",))[0] != state:
-        _made[key] = state, written(make(), name)
+        _made[key] = state, written(make(), name, row_group)
     return _made[key][1]
 
 

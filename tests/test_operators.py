@@ -251,3 +251,19 @@ def test_cursors_advance_and_polling_ends(spark, tmp_path):
     assert got["x"].cursor == got["y"].cursor
     assert sorted(tuple(r) for r in sync.latest(spark, f"{tmp_path}/out", "x", "k", "v").collect()) == [(1, 2), (2, 1)]
     assert sync.polled(landed("x"), f"{tmp_path}/polled", "k", "v", every="1 second", runs=1, timeout=60) == 4
+
+
+def test_blocks_of_spans_are_small(spark):
+    """A block of short spans takes far less than a dense vector and 64-bit values for each, and row groups hold few blocks."""
+    import pyarrow.parquet as pq
+
+    text_ = lambda i: " ".join(f"word{(i * 7 + j * j) % 900}" for j in range(40))
+    df = spark.createDataFrame([(i, f"src/f{i // 8}.py", 1, i % 8, 1, text_(i)) for i in range(512)], "id long, path string, kind int, line_number int, occurrences int, search_text string").coalesce(1)
+    rows = [r.asDict() for r in span_search.blocks(df).collect()]
+    held = sum(len(v) for r in rows for v in r.values() if isinstance(v, (bytes, bytearray)))
+    assert sum(r["n"] for r in rows) == 512 and held < 512 * 1_000
+    block = span_search.Block(rows[0])
+    assert np.allclose((block.weights**2).sum(1), 1) and (block.gram[block.gram_at[block.gram_of == 3]] == span_search.grams(text_(3))).all()
+    wide = written(spark.range(400).select(F.repeat(F.sha2(F.col("id").cast("string"), 256), 1_000).alias("x")).coalesce(1), "wide", 1_000_000)
+    f = pq.ParquetFile(next(x for x in wide.inputFiles()).replace("file://", ""))
+    assert f.num_row_groups > 1
