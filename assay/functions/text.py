@@ -59,8 +59,8 @@ def stripped_html(text: Column) -> Column:
     return collapsed(unescaped(F.regexp_replace(text, "<[^>]+>", " ")))
 
 
-#: References that the driver's tables hold, for SQL.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: References that the driver's tables hold, for SQL: what ends in no semicolon is one too. The ampersand comes last, so that nothing is decoded twice.
+ENTITIES = (("&nbsp;?", " "), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "'"), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&"))
 
 
 def symbol_name(symbol: Column) -> Column:

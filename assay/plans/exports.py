@@ -195,7 +195,7 @@ QUERIES = {f.__name__: f for f in (export_wiki, export_tickets, export_pulls, ex
 
 _BODY = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
 for _name, _char in text.ENTITIES:
-    _BODY = "replace({}, '{}', '{}')".format(_BODY, _name, _char.replace("'", "''"))
+    _BODY = "regexp_replace({}, '{}', '{}', 'g')".format(_BODY, _name, _char.replace("'", "''"))
 _BODY = f"trim(regexp_replace({_BODY}, '\\s+', ' ', 'g'))"
 ORACLE_SQL = {
     "export_wiki": f"""SELECT 'external_confluence/' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/Page-' || page_id || '.md' path, 'doc' source_type, 'https://wiki/p/' || page_id external_url,

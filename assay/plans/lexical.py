@@ -95,7 +95,7 @@ QUERIES = {
 
 _UNTAG = "regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
 for _name, _char in text.ENTITIES:
-    _UNTAG = "replace({}, '{}', '{}')".format(_UNTAG, _name, _char.replace("'", "''"))
+    _UNTAG = "regexp_replace({}, '{}', '{}', 'g')".format(_UNTAG, _name, _char.replace("'", "''"))
 _UNTAG = f"trim(regexp_replace({_UNTAG}, '\\s+', ' ', 'g'))"
 ORACLE_SQL = {
     "classify_source": f"WITH {CORPUS_SQL} SELECT source_type, source_type = 'test' is_test, count(*) n, CAST(sum(length(content)) AS BIGINT) chars FROM docs GROUP BY ALL",
