@@ -325,7 +325,7 @@ def graph_summaries(edges: DataFrame, files: DataFrame, exports: str, *, most: i
     rows = out.select("path").union(into.select("path")).distinct()
     for part in parts.values():
         rows = rows.hint("merge").join(part, "path", "left")
-    shown = F.slice(F.filter(F.transform(text.lines(F.col("content")), F.rtrim), lambda x: F.trim(x) != ""), 1, 12)
+    shown = F.slice(F.filter(F.transform(text.lines(F.col("content")), lambda x: F.rtrim(x)), lambda x: F.trim(x) != ""), 1, 12)
     rows = rows.hint("merge").join(files.select("path", shown.alias("excerpt")), "path", "left")
     body = [F.concat(F.lit("# Native Graph Summary: "), "path"), F.lit(""), F.lit(f"- Graph exports: {exports}"), F.concat(F.lit("- Symbols: "), "symbols"), F.concat(F.lit("- References: "), "to"), F.concat(F.lit("- Referenced by: "), "from")]
     body += [F.when(F.size("excerpt") > 0, F.concat(F.lit("\n## Source context\n"), F.array_join("excerpt", "\n"))), F.lit("\n## Graph edges"), F.col("lines")]

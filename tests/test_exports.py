@@ -130,3 +130,10 @@ def test_arrays_too_large_for_a_variant(spark, tmp_path, monkeypatch):
     # as if no file fitted
     monkeypatch.setattr(exports, "parsed", lambda rows, column, name: rows.withColumn(name, exports.F.lit(None).cast("variant")))
     assert sorted((r.path, r.content) for r in exports.pull_requests(spark, p).collect()) == want and len(want) == 3
+
+
+def test_summaries_keep_the_digits_that_lines_end_in(spark):
+    files = spark.createDataFrame([("a.py", "call 10\nline 1  \n\nlast 22"), ("b.py", "x 0")], ["path", "content"])
+    edges = spark.createDataFrame([("a.py", "b.py", "s", "occurrence")], ["src", "dst", "symbol", "kind"])
+    got = {r.path: r.content for r in exports.graph_summaries(edges, files, "e").collect()}
+    assert "call 10\nline 1\nlast 22" in got["a.py"] and "x 0" in got["b.py"]
