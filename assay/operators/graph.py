@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import paths
 from assay.sources.shared import written
+from assay.sources.tables import sized
 
 #: Tests that may share a word before it pairs by kinds of tests.
 HOT = 1000
@@ -136,15 +137,20 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def symbol_edges(defined: DataFrame, referenced: DataFrame) -> DataFrame:
     """Edges from files that reference a symbol to the closest other file that defines it: most shared folders, least depth, shortest, first.
 
-    Of the files of one folder only the best two can be chosen (one may be the reference itself), so the others leave before the join.
+    Both tables hold each row once. Of the files of one folder only the best two can be chosen (one may be the reference itself), so the others leave before the join; and
+    what is closest depends on the reference's folder, so the best two are chosen for each symbol and folder, and a reference meets one row.
     """
     folders = lambda c: F.slice(F.split(c, "/"), F.lit(1), F.size(F.split(c, "/")) - 1)
+    folder = lambda c: F.array_join(folders(c), "/").alias("folder")
     first = Window.partitionBy("symbol", "folder").orderBy(F.length("dst"), "dst")
-    best = defined.select(F.col("path").alias("dst"), "symbol", F.array_join(folders("path"), "/").alias("folder")).withColumn("n", F.row_number().over(first)).where("n <= 2").select("dst", "symbol")
-    pairs = referenced.select(F.col("path").alias("src"), "symbol").hint("merge").join(written(best, "definers"), "symbol").where("src <> dst")
-    shared = F.size(F.array_intersect(folders(F.col("src")), folders(F.col("dst"))))
-    w = Window.partitionBy("src", "symbol").orderBy(F.desc(shared), F.size(folders(F.col("dst"))), F.length("dst"), "dst")
-    return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select("src", "dst", "symbol")
+    best = defined.select(F.col("path").alias("dst"), "symbol", folder("path")).withColumn("n", F.row_number().over(first)).where("n <= 2").select("dst", "symbol")
+    used = written(referenced.select(F.col("path").alias("src"), "symbol", folder("path")), "references")
+    pairs = used.select("symbol", "folder").distinct().hint("merge").join(written(best, "definers"), "symbol")
+    shared = F.size(F.array_intersect(F.split("folder", "/"), folders(F.col("dst"))))
+    w = Window.partitionBy("symbol", "folder").orderBy(F.desc(F.when(F.col("folder") == "", 0).otherwise(shared)), F.size(folders(F.col("dst"))), F.length("dst"), "dst")
+    two = pairs.withColumn("n", F.row_number().over(w)).where("n <= 2").groupBy("symbol", "folder").agg(F.min(F.when(F.col("n") == 1, F.col("dst"))).alias("one"), F.min(F.when(F.col("n") == 2, F.col("dst"))).alias("two"))
+    dst = F.when(F.col("one") != F.col("src"), F.col("one")).otherwise(F.col("two")).alias("dst")
+    return used.hint("merge").join(two, ["symbol", "folder"]).select("src", dst, "symbol").where("dst IS NOT NULL")
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -221,14 +227,26 @@ def resolved(imported: DataFrame, files: DataFrame) -> DataFrame:
     outside = imported.where("module NOT LIKE '.%'").select(F.col("path").alias("src"), "module", package.alias("package"), rest.alias("rest"))
     tries = outside.withColumn("alias", F.explode(F.array_distinct(F.array("package", F.when(F.col("package").startswith("@"), F.regexp_replace("package", "^[^/]*/", "")).otherwise(F.col("package"))))))
     roots = tries.hint("merge").join(written(workspaces(files), "workspaces"), "alias").groupBy("src", "module", "rest").agg(F.min_by("root", F.when(F.col("alias") == F.col("package"), 0).otherwise(1)).alias("root"))
-    folders = known.select("dst", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("dst", "/")) - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split("dst", "/"), F.lit(1), i), "/"))).alias("root"))
-    held = written(folders.hint("merge").join(roots.select("root").distinct(), "root", "left_semi"), "inside")
+    roots = written(roots, "package-imports")
     stem = lambda c: F.regexp_replace(F.regexp_extract(c, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
-    fits = (F.col("rest") != "") & ((stem("rest") == stem("dst")) | F.regexp_replace("dst", _CODE, "").endswith(F.regexp_replace("rest", r"^(\./)+", "")))
+    ending = F.regexp_replace("rest", r"^(\./)+", "")
+    # a file fits the rest of a module by its stem or by its end: keys to join by, not pairs to compare; of the files that share one, and of a root's, the best two are enough
+    asked_roots = sized(written(roots.groupBy("root").agg(F.collect_set(F.when(F.col("rest") != "", F.length(ending))).alias("lengths")), "roots"))
+    folders = known.select("dst", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("dst", "/")) - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split("dst", "/"), F.lit(1), i), "/"))).alias("root"))
+    held = written(folders.join(asked_roots, "root"), "inside")
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("key"))
+    bare = F.regexp_replace("dst", _CODE, "")
+    ends_of = F.transform("lengths", lambda n: key("end", F.substr(bare, F.greatest(F.length(bare) - n + 1, F.lit(1)), n)))
+    of_key = Window.partitionBy("root", "kind", "key").orderBy(F.size(F.split("dst", "/")), F.length("dst"), "dst")
+    wanted = roots.where("rest <> ''").select("src", "module", "root", F.explode(F.array(key("stem", stem("rest")), key("end", ending))).alias("k")).select("src", "module", "root", "k.*")
+    keyed = held.select("dst", "root", F.explode(F.array_distinct(F.concat(F.array(key("stem", stem("dst"))), ends_of))).alias("k")).select("dst", "root", "k.*")
+    keyed = keyed.hint("merge").join(wanted.select("root", "kind", "key").distinct(), ["root", "kind", "key"], "left_semi")
+    fitting = wanted.hint("merge").join(keyed.withColumn("n", F.row_number().over(of_key)).where("n <= 2"), ["root", "kind", "key"]).select("src", "module", "dst", F.lit(103).alias("rule"))
     entry = F.coalesce(F.array_position(F.transform(F.array(*[F.lit(e) for e in ENTRIES]), lambda e: F.concat("root", e)), F.col("dst")), F.lit(0))
     other = F.when(F.contains("dst", F.lit("/src/")), 200).otherwise(300)
-    place = F.when(fits, 103).when(entry > 0, 110 + entry).otherwise(other)
-    from_package = roots.hint("merge").join(held, "root").select("src", "module", "dst", place.cast("int").alias("rule"))
+    of_root = Window.partitionBy("root").orderBy("rule", F.size(F.split("dst", "/")), F.length("dst"), "dst")
+    firsts = held.select("dst", "root", F.when(entry > 0, 110 + entry).otherwise(other).cast("int").alias("rule")).withColumn("n", F.row_number().over(of_root)).where("n <= 2").drop("n")
+    from_package = roots.join(sized(written(firsts, "firsts")), "root").select("src", "module", "dst", "rule").unionByName(fitting)
     hits = near.unionByName(module).unionByName(from_package)
     w = Window.partitionBy("src", "module").orderBy("rule", F.when(F.col("rule") >= 103, F.size(F.split("dst", "/"))).otherwise(0), F.length("dst"), "dst")
     return hits.where("src <> dst").withColumn("n", F.row_number().over(w)).where("n = 1").select("src", "dst").distinct()
@@ -237,12 +255,26 @@ def resolved(imported: DataFrame, files: DataFrame) -> DataFrame:
 def frontend_edges(files: DataFrame) -> DataFrame:
     """Edges from tests to the components that they fit: shared front-end words, of which the component's stem (or its folder, for generic stems) is one, or two, or its only one."""
     words = lambda c: paths.frontend_words(F.col(c))
-    s = written(files.where((paths.source_type(F.col("path")) != "test") & paths.is_frontend(F.col("path"))).select(F.col("path").alias("dst"), words("path").alias("dst_words")), "components")
-    t = written(files.where(paths.source_type(F.col("path")) == "test").select(F.col("path").alias("src"), words("path").alias("src_words")), "component-tests")
-    pairs = s.select("dst", F.explode("dst_words").alias("word")).hint("merge").join(t.select("src", F.explode("src_words").alias("word")), "word").groupBy("src", "dst").agg(F.count("*").alias("shared"), F.collect_set("word").alias("words"))
-    full = pairs.hint("merge").join(s, "dst").hint("merge").join(t, "src")
+    s = written(files.where((paths.source_type(F.col("path")) != "test") & paths.is_frontend(F.col("path"))).select(F.col("path").alias("dst"), words("path").alias("dst_words")).distinct(), "components")
+    t = written(files.where(paths.source_type(F.col("path")) == "test").select(F.col("path").alias("src"), words("path").alias("src_words")).distinct(), "component-tests")
     stem = F.lower(paths.stem(F.col("dst")))
     generic = stem.isin("index", "page", "route", "layout", "loading", "error")
     parent = F.lower(F.element_at(F.split("dst", "/"), -2))
-    fits = (~generic & F.array_contains("src_words", stem)) | (generic & F.array_contains("words", parent)) | (F.col("shared") >= 2) | (F.size("dst_words") == 1)
-    return full.where(fits).select("src", "dst")
+    both = F.array_intersect("dst_words", "src_words")
+    # one shared word is enough if it is the stem, the folder or the only one: a join on that word
+    keys = F.array_distinct(F.array_compact(F.array(F.when(generic, parent).otherwise(stem), F.when(F.size("dst_words") == 1, F.get("dst_words", F.lit(0))))))
+    one = s.select("dst", "dst_words", F.explode(keys).alias("word")).hint("merge").join(t.select("src", "src_words", F.explode("src_words").alias("word")), "word")
+    fits = (~generic & F.array_contains("src_words", stem)) | (generic & F.array_contains(both, parent)) | (F.size("dst_words") == 1)
+    one = one.where((F.size(both) == 1) & fits).select("src", "dst").distinct()
+    # two shared words: in an order of words, common ones last, the first shared one is not a file's last, so words that everything has pair nothing; a pair counts at its first
+    every = s.select(F.explode("dst_words").alias("word")).unionByName(t.select(F.explode("src_words").alias("word")))
+    common = sized(written(every.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "common-words"))
+
+    def ordered(df: DataFrame, path: str, held: str) -> DataFrame:
+        rows = df.select(path, F.explode(held).alias("word")).join(common, "word", "left")
+        return rows.groupBy(path).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))), lambda x: x["word"]).alias(held)).where(F.size(held) > 1)
+
+    early = lambda held: F.explode(F.slice(held, F.lit(1), F.size(held) - 1)).alias("word")
+    two = ordered(s, "dst", "dst_words").select("dst", "dst_words", early("dst_words")).hint("merge").join(ordered(t, "src", "src_words").select("src", "src_words", early("src_words")), "word")
+    two = two.withColumn("both", both).where((F.size("both") > 1) & (F.get("both", F.lit(0)) == F.col("word"))).select("src", "dst")
+    return one.unionByName(two)

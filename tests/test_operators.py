@@ -267,3 +267,47 @@ def test_blocks_of_spans_are_small(spark):
     wide = written(spark.range(400).select(F.repeat(F.sha2(F.col("id").cast("string"), 256), 1_000).alias("x")).coalesce(1), "wide", 1_000_000)
     f = pq.ParquetFile(next(x for x in wide.inputFiles()).replace("file://", ""))
     assert f.num_row_groups > 1
+
+
+def test_fitting_files_are_found_by_keys_as_by_pairs(spark, monkeypatch):
+    """Front-end tests and definers of symbols, against all pairs; common words pair nothing by themselves."""
+    import random
+
+    rng = random.Random(8)
+    monkeypatch.setattr(graph, "HOT", 5)
+    word = lambda: rng.choice(["Card", "Card", "Panel", "Grid", "Solo1", "Solo2"])
+    files = [(f"web/components/{word().lower()}/{rng.choice([word() + word(), 'index', word()])}.tsx",) for _ in range(40)] + [(f"web/specs/{word().lower()}/{word()}{word()}.test.tsx",) for _ in range(60)]
+    p = spark.createDataFrame(sorted(set(files)), ["path"])
+    w = {r.path: (set(r.w), r.s, r.t) for r in p.select("path", paths.frontend_words(p.path).alias("w"), F.lower(paths.stem(p.path)).alias("s"), paths.source_type(p.path).alias("t")).collect()}
+    want = set()
+    for t, (a, _, kind) in w.items():
+        for c, (b, stem, other) in w.items():
+            if kind == "test" and other != "test" and a & b:
+                generic = stem == "index"
+                if (not generic and stem in a) or (generic and c.split("/")[-2] in a & b) or len(a & b) > 1 or len(b) == 1:
+                    want.add((t, c))
+    got = [tuple(r) for r in graph.frontend_edges(p).collect()]
+    assert len(got) == len(want) and set(got) == want
+    folder = lambda: "/".join(rng.choice("ab") for _ in range(rng.randrange(4)))
+    rows = lambda n: sorted({((folder() + f"/f{rng.randrange(9)}.py").lstrip("/"), rng.choice("ST")) for _ in range(n)})
+    d, u = rows(40), rows(60)
+    head = lambda x: x.split("/")[:-1]
+    best = {}
+    for s, k in u:
+        found = sorted((-len(set(head(s)) & set(head(x))), len(head(x)), len(x), x) for x, y in d if y == k and x != s)
+        if found:
+            best[s, k] = found[0][-1]
+    got = graph.symbol_edges(spark.createDataFrame(d, ["path", "symbol"]), spark.createDataFrame(u, ["path", "symbol"])).collect()
+    assert {(r.src, r.symbol): r.dst for r in got} == best and len(got) == len(best)
+
+
+def test_workspace_files_meet_by_keys(spark, monkeypatch):
+    """Of a package's many files only those that fit meet an import: the last join's sides hold no pair of every importer and file."""
+    sizes = {}
+    real = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name="table", *a: sizes.setdefault(name, real(df, name, *a)))
+    rows = [("packages/kit/package.json", "{}")] + [(f"packages/kit/deep/item{i}.ts", "") for i in range(60)] + [(f"app/a{i}.ts", f"import x from 'kit/em{i}'") for i in range(60)]
+    files = spark.createDataFrame(rows, ["path", "content"])
+    got = {r.src: r.dst for r in graph.resolved(graph.imports(files), files).collect()}
+    best = lambda i: min((f"packages/kit/deep/item{k}.ts" for k in range(60) if f"item{k}".endswith(f"em{i}")), key=lambda x: (len(x), x))
+    assert got == {f"app/a{i}.ts": best(i) for i in range(60)} and sizes["firsts"].count() == 2
