@@ -14,6 +14,8 @@ from assay.sources.tables import CORPUS_SQL, EDGES_SQL, corpus, edges, table
 
 #: Rows of one export file, at most.
 FILE_ROWS = 500
+#: Files that one task writes, about.
+TASK_FILES = 2000
 
 
 def _files(rows: DataFrame, key: str, record) -> str:
@@ -95,15 +97,28 @@ def export_rich_tickets(spark, d):
 
 
 def export_notes(spark, d):
-    """Suppliers as incident notes: those of even keys as JSON, the others as markdown."""
+    """Suppliers as incident notes: those of even keys as JSON, the others as text in markdown."""
     s = table(spark, d, "supplier")
-    base = f"{folder(spark)}/assay-notes-{uuid.uuid4().hex}"
-    text_ = F.to_json(F.struct(F.col("s_name").alias("title"), F.concat(F.lit("Balance of nation "), F.col("s_nationkey").cast("string")).alias("body"), F.lit("ops").alias("owner")))
-    s.where("s_suppkey % 2 = 0").select(text_.alias("value"), F.col("s_suppkey").alias("k")).write.partitionBy("k").text(f"{base}/notes", compression="none")
-    found = exports.incident_notes(spark, _named(spark, f"{base}/notes", s.where("s_suppkey % 2 = 1").select("s_name", "s_suppkey")))
+    base, k = f"{folder(spark)}/assay-notes-{uuid.uuid4().hex}", F.col("s_suppkey").alias("k")
+    note = [F.col("s_name").alias("title"), F.concat(F.lit("Balance of nation "), F.col("s_nationkey").cast("string")).alias("body"), F.lit("ops").alias("owner")]
+    # both writers name their files so that the reader takes them, so nothing is renamed afterwards
+    _one_each(s.where("s_suppkey % 2 = 0").select(*note, k)).json(f"{base}/notes/json", compression="none")
+    _one_each(s.where("s_suppkey % 2 = 1").select(F.concat(F.lit("# "), "s_name", F.lit("\n\nPlain.")).alias("value"), k)).text(f"{base}/notes/text", compression="none")
+    found = exports.incident_notes(spark, f"{base}/notes")
     return found.select(F.regexp_extract("path", r"k=(\d+)/", 1).alias("k"), "source_type", "author", F.md5("content").alias("content_md5"))
 
 
+def _one_each(rows):
+    """A writer of a file for each key k: rows are dealt to all tasks, and tasks move their files into place, not the driver."""
+    return _by_key(rows).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("k")
+
+
+def _by_key(rows):
+    """Rows by key in tasks of some thousand files."""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_FILES))
+    return rows.repartition(n, "k")
+
+
 #: Top folders of the tree that `corpus_scan` reads, and the suppliers (by key modulo 5) whose files lie there.
 _FOLDERS = ("src", "tests", "runbooks", "node_modules", "private")
 
@@ -113,7 +128,7 @@ def corpus_scan(spark, d):
     base, s = f"{folder(spark)}/assay-tree-{uuid.uuid4().hex}", table(spark, d, "supplier")
     body = F.when(F.col("s_suppkey") % 11 == 0, F.repeat("s_name", fixed.MAX_FILE_BYTES // 8)).when(F.col("s_suppkey") % 7 == 0, " ").otherwise(F.concat(F.lit("# "), "s_name", F.lit("\nNation "), F.col("s_nationkey").cast("string"), F.lit(" – é")))
     for i, name in enumerate(_FOLDERS):
-        s.where(F.col("s_suppkey") % len(_FOLDERS) == i).select(body.alias("value"), F.col("s_suppkey").alias("k")).repartition(4, "k").write.partitionBy("k").text(f"{base}/{name}/deep")
+        _one_each(s.where(F.col("s_suppkey") % len(_FOLDERS) == i).select(body.alias("value"), F.col("s_suppkey").alias("k"))).text(f"{base}/{name}/deep")
     found = exports.repository(spark, base, ("private/",))
     return found.select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast("long").alias("k"), F.split("path", "/")[0].alias("folder"), "source_type", F.md5("content").alias("content_md5"))
 
@@ -175,22 +190,6 @@ def _lines(records) -> str:
     return path
 
 
-def _named(spark, base: str, plain) -> str:
-    """Gives the part files under a folder, which are JSON, a .json name, and adds suppliers as markdown files."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    plain.select(F.concat(F.lit("# "), "s_name", F.lit("\n\nPlain.")).alias("value"), F.col("s_suppkey").alias("k")).write.mode("append").partitionBy("k").text(f"{base}-md")
-    for root, suffix in ((base, ".json"), (f"{base}-md", ".md")):
-        for s in fs.listStatus(hadoop.Path(root)):
-            if s.isDirectory():
-                for f in fs.listStatus(s.getPath()):
-                    if f.getPath().getName().endswith(".txt"):
-                        to = hadoop.Path(base, s.getPath().getName())
-                        fs.mkdirs(to)
-                        fs.rename(f.getPath(), hadoop.Path(to, "note" + suffix))
-    return base
-
-
 QUERIES = {f.__name__: f for f in (export_wiki, export_tickets, export_pulls, export_pager, export_rich_tickets, rich_text_walk, export_notes, corpus_scan, lsif_graph, scip_graph, graph_summaries, graph_kinds)}
 
 _BODY = "regexp_replace(html, '<[^>]+>', ' ', 'g')"

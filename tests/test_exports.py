@@ -137,3 +137,14 @@ def test_summaries_keep_the_digits_that_lines_end_in(spark):
     edges = spark.createDataFrame([("a.py", "b.py", "s", "occurrence")], ["src", "dst", "symbol", "kind"])
     got = {r.path: r.content for r in exports.graph_summaries(edges, files, "e").collect()}
     assert "call 10\nline 1\nlast 22" in got["a.py"] and "x 0" in got["b.py"]
+
+
+def test_notes_are_written_in_place(spark, monkeypatch):
+    """Files of notes are named by their writers: none is renamed by the driver."""
+    from assay.plans import exports as plans
+
+    assert not hasattr(plans, "_named")
+    monkeypatch.setattr(plans, "TASK_FILES", 3)
+    rows = {r.k: r for r in plans.export_notes(spark, "/root/testdata/sf0.001").collect()}
+    n = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+    assert len(rows) == n and {r.author for r in rows.values()} == {"ops", None}
