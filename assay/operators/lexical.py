@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions import text
+from assay.functions import fixed, text
 from assay.sources.shared import written
-from assay.sources.tables import sized
+from assay.sources.tables import sized, small, tasks
+
+_WORD = re.compile(rb"[a-z0-9_]{2,}")
+_STOP = frozenset(w.encode() for w in fixed.STOP_WORDS)
+#: Rows that a task gathers before it hands them on.
+ROWS = 100_000
+#: Characters of texts that a task cuts into tokens, and pairs of request and document that it scores.
+PART_CHARS = 8_000_000
+PART_PAIRS = 1_000_000
 
 
 def query_tokens(requests: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
@@ -15,10 +29,60 @@ def query_tokens(requests: DataFrame, keys: tuple[str, ...] = ("request_id",)) -
     return text.token_rows(requests, F.col("query"), *keys).groupBy(*keys, "token").agg(F.count("*").alias("query_tf"))
 
 
+def _words(s: str | None) -> Counter:
+    """How often a text has each token (see `text.token_rows`)."""
+    return Counter(_WORD.findall((s or "").encode("utf-8", "surrogatepass").lower()))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of each path, from rows in order of path."""
+    paths: list[str | None] = []
+    n: list[int] = []
+    tokens: list[bytes] = []
+    tf: list[int] = []
+    path_tf: list[int] = []
+    now, content = None, Counter()
+
+    def end():
+        path = _words(now)
+        mine = [t for t in content.keys() | path.keys() if t not in _STOP]
+        paths.append(now)
+        n.append(len(mine))
+        tokens.extend(mine)
+        tf.extend([content[t] for t in mine])
+        path_tf.extend([path[t] for t in mine])
+
+    def out():
+        made = pa.RecordBatch.from_arrays([pa.array(paths, pa.string()).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(tf, pa.int64()), pa.array(path_tf, pa.int64())], ["path", "token", "tf", "path_tf"])
+        for x in (paths, n, tokens, tf, path_tf):
+            x.clear()
+        return made
+
+    first = True
+    for b in batches:
+        for path, body in zip(*b.columns, strict=True):
+            path = path.as_py()
+            if not first and path == now:
+                content.update(_words(body.as_py()))
+                continue
+            if not first:
+                end()
+            now, content, first = path, _words(body.as_py()), False
+            if len(tokens) > ROWS:
+                yield out()
+    if not first:
+        end()
+    if tokens:
+        yield out()
+
+
 def postings(corpus: DataFrame) -> DataFrame:
-    """path, token, tf (in the content) and path_tf (in the path)."""
-    both = text.token_rows(corpus, F.col("content"), "path").withColumn("at", F.lit(1)).unionByName(text.token_rows(corpus, F.replace("path", F.lit("/"), F.lit(" ")), "path").withColumn("at", F.lit(0)))
-    return both.groupBy("path", "token").agg(F.sum("at").alias("tf"), F.sum(1 - F.col("at")).alias("path_tf"))
+    """path, token, tf (in the content) and path_tf (in the path).
+
+    Texts are dealt by path into parts of `PART_CHARS` and counted where they lie: a task does not grow with the corpus, and no token is shuffled.
+    """
+    n = tasks(corpus, (corpus.agg(F.sum(F.length("content"))).first()[0] or 0) / PART_CHARS)
+    return corpus.select("path", "content").repartition(n, "path").sortWithinPartitions("path").mapInArrow(_counted, "path string, token string, tf long, path_tf long")
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -33,15 +97,20 @@ def idf(df, n):
 def scores(post: DataFrame, n_documents: int, requests: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
     """The keys, path and score of every document that shares a token with a request; post: the written postings.
 
-    The requests' vocabulary prunes the postings; it is broadcast only when it is small.
+    The requests' vocabulary prunes the postings; it is broadcast only when it is small. Postings are then dealt by path, so that all of a document's scores come about in one task:
+    with `PART_PAIRS` pairs of request and document in a task at most, its memory does not grow with the corpus, and `top` sends its best few only.
     """
     q = written(query_tokens(requests, keys), "query-tokens")
     vocabulary = sized(written(q.select("token").distinct(), "vocabulary"))
     df = written(document_frequency(post.join(vocabulary, "token", "left_semi")), "frequencies")
     weighted = written(q.hint("merge").join(df, "token", "left").withColumn("idf", idf(F.coalesce("df", F.lit(0)), F.lit(n_documents))), "weights")
     most = weighted.groupBy(*keys).agg(F.sum(F.col("idf") * F.col("query_tf")).alias("most"), F.count("*").alias("n_tokens"))
-    wanted = sized(written(weighted.hint("merge").join(most, list(keys)), "wanted"))
-    hits = post.join(wanted, "token")
+    wanted = written(weighted.hint("merge").join(most, list(keys)), "wanted")
+    n = tasks(post, most.count() * n_documents / PART_PAIRS)
+    if small(wanted):
+        hits = post.join(vocabulary, "token", "left_semi").repartition(n, "path").join(F.broadcast(wanted), "token")
+    else:
+        hits = post.hint("merge").join(wanted, "token").repartition(n, "path")
     overlap = F.least("query_tf", F.greatest("tf", "path_tf")) * F.col("idf")
     grouped = hits.groupBy(*keys, "path").agg(F.sum(overlap).alias("overlap"), F.count("*").alias("matched"), F.max("most").alias("most"), F.max("n_tokens").alias("n_tokens"))
     score = F.least(F.lit(1.0), 0.6 * F.col("matched") / F.col("n_tokens") + 0.4 * F.least(F.lit(1.0), F.col("overlap") / F.col("most")))
@@ -68,7 +137,7 @@ def best_lines(corpus: DataFrame, requests: DataFrame, hits: DataFrame, keys: tu
     """
     hits = written(hits.select(*keys, "path").distinct(), "hits")
     q = written(query_tokens(requests, keys).groupBy(*keys).agg(F.collect_set("token").alias("tokens")), "tokens")
-    found = corpus.select("path", "content").hint("merge").join(hits, "path").join(sized(q), list(keys))
+    found = corpus.select("path", "content").join(sized(hits), "path").join(sized(q), list(keys))
     rows = found.select(*keys, "path", "tokens", F.posexplode(text.lines(F.col("content"))).alias("line", "text")).withColumn("clean", text.collapsed(F.col("text"))).where("clean <> ''")
     n = F.size(F.filter("tokens", lambda t: F.contains(F.lower("clean"), t)))
     best = rows.groupBy(*keys, "path").agg(F.max_by(F.struct("line", "clean"), F.struct(n.alias("n"), (-F.col("line")).alias("l"))).alias("b"))

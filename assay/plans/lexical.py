@@ -8,7 +8,7 @@ from assay.functions import fixed, paths, text
 from assay.operators import lexical
 from assay.plans.rules import stem_sql, tokens_sql, words_sql
 from assay.sources.shared import once, written
-from assay.sources.tables import CORPUS_SQL, REQUESTS_SQL, corpus, requests, table
+from assay.sources.tables import CORPUS_SQL, REQUESTS_SQL, corpus, requests, sized, table
 
 POSTINGS_SQL = f"""{CORPUS_SQL}, {tokens_sql("ct", "docs", "content", "path")}, {tokens_sql("pt", "docs", "replace(path, '/', ' ')", "path")},
 post AS (SELECT path, token, sum(c) tf, sum(p) path_tf FROM (SELECT path, token, 1 c, 0 p FROM ct UNION ALL SELECT path, token, 0, 1 FROM pt) GROUP BY ALL),
@@ -69,9 +69,9 @@ def path_anchor_tokens(spark, d):
 
 def qgram_overlap(spark, d):
     """Share of a request's 3-grams that each of its lexical hits has in its whole text."""
-    hits = lexical_topk(spark, d).select("request_id", "path")
+    hits = written(lexical_topk(spark, d).select("request_id", "path"), "hits")
     r = requests(spark, d).select("request_id", text.qgrams(F.col("query")).alias("q"))
-    found = corpus(spark, d).select("path", F.concat(F.lit(" "), text.normalized(F.col("content")), F.lit(" ")).alias("s")).hint("merge").join(hits, "path")
+    found = corpus(spark, d).select("path", "content").join(sized(hits), "path").select("request_id", "path", F.concat(F.lit(" "), text.normalized(F.col("content")), F.lit(" ")).alias("s"))
     both = written(found, "texts").hint("merge").join(r, "request_id")
     # a text has a 3-gram if it contains it: its own grams need not be made
     return both.select("request_id", "path", F.round(F.size(F.filter("q", lambda g: F.contains(F.col("s"), g))) / F.greatest(F.lit(1), F.size("q")), 6).alias("structural"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +86,16 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEDGER_SQL = "ledger AS (SELECT event_id decision_id, ts created_at, user_id fingerprint, event_type = 'error' blocked, value, event_type FROM events WHERE event_type IN ('error', 'purchase'))"
 
 
+def small(df: DataFrame, most: int = 100_000, most_bytes: int = 64_000_000) -> bool:
+    """Whether a written table's rows and its plan's size allow a broadcast."""
+    return df.limit(most + 1).count() <= most and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most_bytes
+
+
 def sized(df: DataFrame, most: int = 100_000, most_bytes: int = 64_000_000) -> DataFrame:
     """A written table marked for broadcast if its rows and its plan's size are small, else for a sort-merge join."""
-    small = df.limit(most + 1).count() <= most and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most_bytes
-    return F.broadcast(df) if small else df.hint("merge")
+    return F.broadcast(df) if small(df, most, most_bytes) else df.hint("merge")
+
+
+def tasks(df: DataFrame, parts: float) -> int:
+    """Tasks for so many parts of fixed size: as many as the cluster has cores at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, ceil(parts))

@@ -1,10 +1,11 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from assay.functions import paths, text
-from assay.operators import catalog, decide, fusion, graph, hybrid, ledger, span_search, upkeep
+from assay.operators import catalog, decide, fusion, graph, hybrid, ledger, lexical, span_search, spans, upkeep
 from assay.plans import evaluate
 from assay.sources.shared import written
 
@@ -311,3 +312,25 @@ def test_workspace_files_meet_by_keys(spark, monkeypatch):
     got = {r.src: r.dst for r in graph.resolved(graph.imports(files), files).collect()}
     best = lambda i: min((f"packages/kit/deep/item{k}.ts" for k in range(60) if f"item{k}".endswith(f"em{i}")), key=lambda x: (len(x), x))
     assert got == {f"app/a{i}.ts": best(i) for i in range(60)} and sizes["firsts"].count() == 2
+
+
+def test_tokens_are_counted_in_parts_by_path(spark, monkeypatch):
+    """Rows of one path count together, in as many tasks as the texts need; the scores of a path come about in one task."""
+    rows = [("src/İx_1.py", "Auth auth the x, Ü AUTH_token"), ("src/İx_1.py", "auth src"), (None, "auth"), ("b.md", ""), *[(f"d/{i}.md", f"auth w{i % 7} w{i % 5}") for i in range(50)]]
+    docs = spark.createDataFrame(rows, "path string, content string")
+    monkeypatch.setattr(lexical, "PART_CHARS", 50)
+    monkeypatch.setattr(lexical, "PART_PAIRS", 10)
+    post = lexical.postings(docs)
+    assert post.rdd.getNumPartitions() > 8
+    both = text.token_rows(docs, F.col("content"), "path").withColumn("c", F.lit(1)).unionByName(text.token_rows(docs.select("path").distinct(), F.replace("path", F.lit("/"), F.lit(" ")), "path").withColumn("c", F.lit(0)))
+    want = both.groupBy("path", "token").agg(F.sum("c").alias("tf"), F.sum(1 - F.col("c")).alias("path_tf"))
+    assert sorted(map(str, post.collect())) == sorted(map(str, want.collect()))
+    ask = spark.createDataFrame([(1, "auth w1 w2"), (2, "the x"), (3, "src auth_token w3")], "request_id long, query string")
+    post = written(post.where("path IS NOT NULL"))
+    scored = {}
+    for few in (True, False):
+        monkeypatch.setattr(lexical, "small", lambda df, few=few: few)
+        rows = lexical.scores(post, 53, ask)
+        scored[few] = sorted(map(tuple, rows.collect()))
+        assert rows.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, 11)
+    assert scored[True] == scored[False] and len({r[1] for r in scored[True]}) == 51
