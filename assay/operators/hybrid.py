@@ -28,14 +28,15 @@ def span_table(corpus: DataFrame) -> DataFrame:
 
 def indexed(corpus: DataFrame) -> DataFrame:
     """The spans with occurrences (of their normalized text), hazard, coverage, calm and a number: all that a search reads, to be written once."""
-    table = written(span_table(corpus).withColumn("norm", F.md5(text.normalized(F.col("text")))), "spans")
-    w = written(spans.windows(table, "span", "text").select("span", "hazard"), "hazards")
-    limit = spans.hazard_threshold(w)
+    table = written(spans.with_hazards(span_table(corpus).withColumn("norm", F.md5(text.normalized(F.col("text")))), "text"), "spans")
+    limit = spans.hazard_threshold(table.select(F.explode("hazards").alias("hazard")))
     threshold = limit.first().threshold or 0.0
-    facts = w.groupBy("span").agg(F.round(F.avg("hazard"), 6).alias("hazard"), F.round(F.avg((F.round("hazard", 6) <= threshold).cast("double")), 6).alias("coverage"))
+    n = F.size("hazards")
+    hazard = F.round(F.aggregate("hazards", F.lit(0.0), lambda a, x: a + x) / n, 6)
+    covered = F.round(F.size(F.filter("hazards", lambda x: F.round(x, 6) <= threshold)) / n, 6)
+    facts = table.select("*", F.when(n > 0, hazard).otherwise(1.0).alias("hazard"), F.when(n > 0, covered).otherwise(0.0).alias("coverage")).drop("hazards")
     counts = written(table.groupBy("norm").agg(F.count("*").cast("int").alias("occurrences")), "occurrences")
-    out = table.hint("merge").join(facts, "span", "left").hint("merge").join(counts, "norm").drop("norm").na.fill({"hazard": 1.0, "coverage": 0.0})
-    out = out.withColumn("calm", F.col("hazard") <= max(threshold, fixed.HAZARD_FLOOR))
+    out = facts.hint("merge").join(counts, "norm").drop("norm").withColumn("calm", F.col("hazard") <= max(threshold, fixed.HAZARD_FLOOR))
     near = out.repartitionByRange("path", "kind", "line_number").sortWithinPartitions("path", "kind", "line_number")  # spans of a path lie in one block
     return near.withColumn("id", F.monotonically_increasing_id())
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,37 @@ def occurrences(spans: DataFrame) -> DataFrame:
     return spans.withColumn("norm", text.normalized(F.col("text"))).groupBy("norm").agg(F.count("*").alias("occurrences"))
 
 
+#: Bytes of texts whose windows are cut at a time: what a task holds does not grow with its batches.
+SLICE_BYTES = 1 << 20
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Texts in slices of about `SLICE_BYTES`, nulls as empty ones: first and last row, where each begins among the slice's bytes, and the bytes."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data, a = np.frombuffer(texts.buffers()[2] or b"", np.uint8), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + SLICE_BYTES, "right")) - 1)
+        yield a, b, at[a : b + 1] - at[a], data[at[a] : at[b]]
+        a = b
+
+
+def _cut(at: np.ndarray, raw: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of texts that lie one after the other: whose they are, their number in the text, first and last byte, and the share of bit changes in them."""
+    size = np.diff(at)
+    plain = np.where(size > 0, np.maximum(size - width, 0) // stride + 1, 0)
+    n = plain + ((size > width) & ((plain - 1) * stride + width < size))
+    of = np.repeat(np.arange(len(size)), n)
+    index = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    start = at[of] + np.where(index < plain[of], index * stride, size[of] - width)
+    end = np.minimum(start + width, at[of + 1])
+    # changes between the bits of a byte, and between a byte's last and the next one's first
+    inner = np.concatenate([[0], np.cumsum(np.bitwise_count((raw ^ raw >> 1) & 0x7F), dtype=np.int64)])
+    across = np.concatenate([[0, 0], np.cumsum((raw[:-1] & 1) != raw[1:] >> 7, dtype=np.int64)])
+    changes = inner[end] - inner[start] + across[end] - across[start + 1]
+    return of, index, start, end, changes / (8 * (end - start) - 1)
+
+
 def windows(df: DataFrame, key: str, content: str, width: int = fixed.WINDOW_BYTES, stride: int = fixed.STRIDE_BYTES) -> DataFrame:
     """Byte windows with coverage of the tail: key, window_index, byte_start, byte_end, the characters char_start to char_end that they begin and end in, and the metrics of their bits.
 
@@ -40,28 +72,19 @@ def windows(df: DataFrame, key: str, content: str, width: int = fixed.WINDOW_BYT
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, out = b.column(0).to_pylist(), []
-            for i, body in enumerate(b.column(1).to_pylist()):
-                raw = np.frombuffer((body or "").encode("utf-8"), np.uint8)
-                if not len(raw):
+            for a, _, at, raw in _slices(b.column(1)):
+                of, index, start, end, rupture = _cut(at, raw, width, stride)
+                if not len(of):
                     continue
-                start = np.arange(0, max(len(raw) - width, 0) + 1, stride)
-                if len(raw) > width and start[-1] + width < len(raw):
-                    start = np.append(start, len(raw) - width)
-                end = np.minimum(start + width, len(raw))
-                bits = np.unpackbits(raw)
-                ones, changes = np.concatenate([[0], np.cumsum(bits, dtype=np.int64)]), np.concatenate([[0, 0], np.cumsum(bits[1:] != bits[:-1], dtype=np.int64)])
-                n = 8 * (end - start)
-                p = (ones[8 * end] - ones[8 * start]) / n
+                ones = np.concatenate([[0], np.cumsum(np.bitwise_count(raw), dtype=np.int64)])
+                p = (ones[end] - ones[start]) / (8 * (end - start))
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    h = np.nan_to_num(-(p * np.log2(p) + (1 - p) * np.log2(1 - p)))
-                rupture = (changes[8 * end] - changes[8 * start + 1]) / (n - 1)
+                    entropy = np.minimum(np.nan_to_num(-(p * np.log2(p) + (1 - p) * np.log2(1 - p))), 1.0)
                 chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters that begin in the bytes before
-                out.append((np.full(len(start), i), np.arange(len(start)), start, end, chars[start], chars[end], np.minimum(h, 1.0), rupture))
-            if out:
-                of, index, start, end, first, last, entropy, rupture = (np.concatenate(x) for x in zip(*out, strict=True))
+                from_, places = at[of], (pa.int32(),) * 4
+                cols = (start - from_, end - from_, chars[start] - chars[from_], chars[end] - chars[from_])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(of)), pa.array(index, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(entropy), pa.array(1 - entropy), pa.array(1 - rupture), pa.array(rupture)],
+                    [b.column(0).take(pa.array(a + of)), pa.array(index, pa.int32()), *map(pa.array, cols, places), pa.array(entropy), pa.array(1 - entropy), pa.array(1 - rupture), pa.array(rupture)],
                     [key, "window_index", "byte_start", "byte_end", "char_start", "char_end", "entropy", "coherence", "stability", "hazard"],
                 )
 
@@ -69,6 +92,21 @@ def windows(df: DataFrame, key: str, content: str, width: int = fixed.WINDOW_BYT
     return df.select(key, content).mapInArrow(cut, f"{key} {kind}, window_index int, byte_start int, byte_end int, char_start int, char_end int, entropy double, coherence double, stability double, hazard double")
 
 
+def with_hazards(df: DataFrame, content: str, width: int = fixed.WINDOW_BYTES, stride: int = fixed.STRIDE_BYTES) -> DataFrame:
+    """The rows with the hazards of their own windows, in order, as an array: nothing is shuffled to bring them together."""
+    place = df.columns.index(content)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, last, at, raw in _slices(b.column(place)):
+                of, _, _, _, rupture = _cut(at, raw, width, stride)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=last - first))])
+                hazards = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rupture, pa.float64()))
+                yield pa.RecordBatch.from_arrays([*b.slice(first, last - first).columns, hazards], names=[*b.schema.names, "hazards"])
+
+    return df.mapInArrow(add, df.select("*", F.array().cast("array<double>").alias("hazards")).schema)
+
+
 def signature():
     part = lambda letter, c: F.concat(F.lit(letter), (F.rint(F.col(c) * 100) / 100).cast("string"))
     return F.concat_ws("_", part("c", "coherence"), part("s", "stability"), part("e", "entropy"))

@@ -314,6 +314,24 @@ def test_workspace_files_meet_by_keys(spark, monkeypatch):
     assert got == {f"app/a{i}.ts": best(i) for i in range(60)} and sizes["firsts"].count() == 2
 
 
+def test_windows_of_texts_cut_together_equal_those_of_each(spark, monkeypatch):
+    """Texts are cut in slices of bytes; no bit change is counted across texts, and empty ones have no windows."""
+    def each(body):
+        raw = np.frombuffer((body or "").encode(), np.uint8)
+        bits, last = np.unpackbits(raw), max(len(raw) - 96, 0)
+        for i, a in enumerate(sorted({*range(0, last + 1, 48), last}) if len(raw) else ()):
+            w = bits[8 * a : 8 * (a + 96)]
+            yield i, a, min(a + 96, len(raw)), float((w[1:] != w[:-1]).sum() / (len(w) - 1))
+
+    texts = [None, "", "a", "é" * 50, "ab" * 48, "x" * 97, "é漢😀z" * 40, "\n" * 500]
+    for size in (spans.SLICE_BYTES, 100, 1):
+        monkeypatch.setattr(spans, "SLICE_BYTES", size)
+        got = [(first + int(o), int(i), int(s - at[o]), int(e - at[o]), float(r)) for first, _, at, raw in spans._slices(pa.array(["", *texts])[1:]) for o, i, s, e, r in zip(*spans._cut(at, raw, 96, 48), strict=True)]
+        assert got == [(k, *w) for k, t in enumerate(texts) for w in each(t)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    assert {r.id: r.hazards for r in spans.with_hazards(df, "text").collect()} == {k: [w[3] for w in each(t)] for k, t in enumerate(texts)}
+
+
 def test_tokens_are_counted_in_parts_by_path(spark, monkeypatch):
     """Rows of one path count together, in as many tasks as the texts need; the scores of a path come about in one task."""
     rows = [("src/İx_1.py", "Auth auth the x, Ü AUTH_token"), ("src/İx_1.py", "auth src"), (None, "auth"), ("b.md", ""), *[(f"d/{i}.md", f"auth w{i % 7} w{i % 5}") for i in range(50)]]
