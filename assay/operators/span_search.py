@@ -30,11 +30,14 @@ from pyspark.sql import functions as F
 from assay.functions import fixed
 from assay.operators import fusion
 from assay.sources.shared import written
+from assay.sources.tables import small, tasks
 
 BLOCK_SPANS = 256
 #: Blocks in a group and queries in a task.
 GROUP_BLOCKS = 16
 TASK_QUERIES = 512
+#: Pairs of query and block that a task brings together.
+PART_PAIRS = 1_000_000
 #: Bytes of a row group of written blocks (readers hold one at a time), and tokens whose codes a task keeps.
 ROW_GROUP = 8_000_000
 KNOWN_TOKENS = 200_000
@@ -254,11 +257,19 @@ def best(index: DataFrame, made: DataFrame, postings: DataFrame, planned: DataFr
 
     key = ["request_id", "plan"]
     words = written(queries.mapInArrow(cut, "request_id long, plan int, token long"), "query-tokens")
-    met = written(words.hint("merge").join(postings, "token").select(*key, "block").distinct(), "met")
-    nowhere = queries.select(*key).hint("merge").join(met.select(*key).distinct(), key, "left_anti")
-    groups, chunks = max(1, -(-made.count() // GROUP_BLOCKS)), max(1, -(-queries.count() // TASK_QUERIES))
+    n_queries, n_blocks = queries.count(), made.count()
+    groups, chunks = max(1, -(-n_blocks // GROUP_BLOCKS)), max(1, -(-n_queries // TASK_QUERIES))
     group = F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group")
-    some = met.groupBy(*key, group).agg(F.collect_list("block").alias("blocks"))  # GROUP_BLOCKS of them, about
+    # dealt by group, with so many pairs of query and block in a task at most, whatever the words' frequencies
+    n = tasks(made, n_queries * n_blocks / PART_PAIRS)
+    if small(words):
+        vocabulary = F.broadcast(words.select("token").distinct())
+        meet = postings.join(vocabulary, "token", "left_semi").select("token", "block", group).repartition(n, "group").join(F.broadcast(words), "token")
+    else:
+        meet = postings.hint("merge").join(words, "token").select(*key, "block", group).repartition(n, "group")
+    met = meet.select(*key, "group", "block").distinct()
+    some = written(met.groupBy(*key, "group").agg(F.collect_list("block").alias("blocks")), "met")  # GROUP_BLOCKS of them, about
+    nowhere = queries.select(*key).hint("merge").join(some.select(*key).distinct(), key, "left_anti")
     every = nowhere.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.lit(None).cast("array<long>").alias("blocks"))
     pairs = written(some.unionByName(every).withColumn("chunk", F.pmod(F.xxhash64(*key), F.lit(chunks))), "pairs")
     schema = "request_id long, plan int, id long, structural double, cosine double, final double"

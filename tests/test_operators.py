@@ -102,6 +102,23 @@ def test_bounds_change_the_work_and_not_the_best(spark, monkeypatch):
     assert asked.scored < asked.offered / 2 and len(asked.best[0]) == 3
 
 
+def test_queries_meet_blocks_in_parts_of_fixed_size(spark, monkeypatch):
+    """A frequent word brings every query to every block: the pairs are dealt to more tasks, by either join, and the best stay the same."""
+    df = spark.createDataFrame([(i, f"src/f{i}.py", 1, 1, 1, "code", "s", "t", 0.5, 0.5, True, f"hot word{i % 9}") for i in range(60)], "id long, path string, kind int, line_number int, occurrences int, source_type string, span string, text string, hazard double, coverage double, calm boolean, search_text string")
+    q = spark.createDataFrame([(i, 0, f"hot word{i}") for i in range(12)] + [(12, 0, "nowhere")], "request_id long, plan int, query string")
+    index, dealt, write = written(df.coalesce(1)), [], span_search.written
+    monkeypatch.setattr(span_search, "BLOCK_SPANS", 2)
+    monkeypatch.setattr(span_search, "GROUP_BLOCKS", 2)
+    monkeypatch.setattr(span_search, "written", lambda d, name="table", *a: (dealt.append(d.rdd.getNumPartitions()) if name == "met" else None, write(d, name, *a))[1])
+    key = lambda: sorted((r.request_id, r["rank"], r.path, r.final) for r in _search(index, q, 3))
+    whole = key()
+    monkeypatch.setattr(span_search, "PART_PAIRS", 20)
+    for few in (True, False):
+        monkeypatch.setattr(span_search, "small", lambda d, few=few: few)
+        assert key() == whole
+    assert dealt[1:] == [20, 20] and len(whole) == 36
+
+
 def test_symbols_and_linked_tests(spark):
     d = spark.createDataFrame([("x/y/a.ts", "S"), ("z/b.ts", "S")], ["path", "symbol"])
     u = spark.createDataFrame([("x/y/c.ts", "S")], ["path", "symbol"])
