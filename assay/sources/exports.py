@@ -282,23 +282,22 @@ def lsif_edges(spark: SparkSession, path: str) -> DataFrame:
 def chain_ends(nexts: DataFrame) -> DataFrame:
     """The end of the chain from each node (a to b), by doubling; nodes of a cycle, and of chains into it, end at the cycle's least node.
 
-    A round doubles the steps that a row stands for, and takes along the least node on the way. Chains have ended when no row changes;
-    with cycles, rounds go on until a row stands for as many steps as there are nodes.
+    A round doubles the steps that a row stands for, and takes along the least node on the way. A node that is the least on its own way has gone round a cycle and is the
+    cycle's least; whoever has met it ends there. Rows that have ended are looked up but neither followed nor written again: rounds go by the longest chain or cycle.
     """
-    first = nexts.groupBy("a").agg(F.min("b").alias("b"))
-    after = now = written(first.select("a", "b", F.col("b").alias("least"), F.lit(False).alias("ended")), "chain")
-    n, steps = now.count(), 1
-    while steps <= n:
-        on = now.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("least").alias("l"))
-        joined = now.hint("merge").join(on, "b", "left")
-        now = after = written(joined.select("a", F.coalesce("c", "b").alias("b"), F.least("least", F.coalesce("l", "least")).alias("least"), (F.col("ended") | F.col("c").isNull()).alias("ended")), "chain")
-        steps *= 2
-        if now.where("NOT ended").isEmpty():
-            break
-    done = after.where("ended").select("a", "b")
-    # what runs into a cycle sees nodes before it on the way: the cycle's own least is that of the node it has come to
-    at = after.select(F.col("a").alias("b"), F.col("least").alias("end"))
-    return done.unionByName(after.where("NOT ended").select("a", "b").hint("merge").join(at, "b").select("a", F.col("end").alias("b")))
+    first = written(nexts.groupBy("a").agg(F.min("b").alias("b")), "chain")
+    ended, active = first.where("b IS NULL").select("a", F.col("b").alias("end")), first.where("b IS NOT NULL").withColumn("least", F.col("b"))
+    while not active.isEmpty():
+        roots = written(active.where("least = a").select(F.col("a").alias("least"), F.col("a").alias("end")), "roots")
+        met = active.withColumn("end", F.lit(None).cast("string")) if roots.isEmpty() else written(active.hint("merge").join(roots, "least", "left").select("a", "b", "least", "end"), "met")
+        ended = ended.unionByName(met.where("end IS NOT NULL").select("a", "end"))
+        going = met.where("end IS NULL")
+        on = going.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("least").alias("l"), "end")
+        on = on.unionByName(ended.select(F.col("a").alias("b"), F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("l"), "end"))
+        joined = going.drop("end").hint("merge").join(on, "b", "left")
+        now = written(joined.select("a", F.coalesce("c", "b").alias("b"), F.least("least", "l").alias("least"), F.coalesce("end", F.when(F.col("c").isNull(), F.col("b"))).alias("end")), "chain")
+        ended, active = ended.unionByName(now.where("end IS NOT NULL").select("a", "end")), now.where("end IS NULL").drop("end")
+    return ended.select("a", F.col("end").alias("b"))
 
 
 def scip_edges(spark: SparkSession, path: str) -> DataFrame:

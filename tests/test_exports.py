@@ -148,3 +148,13 @@ def test_notes_are_written_in_place(spark, monkeypatch):
     rows = {r.k: r for r in plans.export_notes(spark, "/root/testdata/sf0.001").collect()}
     n = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
     assert len(rows) == n and {r.author for r in rows.values()} == {"ops", None}
+
+
+def test_rounds_of_chains_go_by_the_longest_one(spark, monkeypatch):
+    """Cycles end once they have been gone round, in far fewer rounds than there are nodes; tails, loops and ends without a next keep their ends."""
+    rounds, write = [], exports.written
+    monkeypatch.setattr(exports, "written", lambda df, name="table", *a: (rounds.append(name), write(df, name, *a))[1])
+    nexts = {f"c{i}_{k}": f"c{i}_{(k + 1) % 3}" for i in range(40) for k in range(3)} | {"a0": "a1", "a1": "c1_2", "l": "l", "m": "l", "p": "q", "q": None}
+    got = {r.a: r.b for r in exports.chain_ends(spark.createDataFrame(list(nexts.items()), "a string, b string")).collect()}
+    assert got == {k: k[:-1] + "0" if k[0] == "c" else {"a0": "c1_0", "a1": "c1_0", "l": "l", "m": "l", "p": "q", "q": None}[k] for k in nexts}
+    assert rounds.count("chain") <= 5
