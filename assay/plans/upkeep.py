@@ -10,7 +10,7 @@ from assay.functions import text
 from assay.operators import catalog, graph, merged, upkeep
 from assay.plans.graph import _TREE, sources
 from assay.sources.shared import folder, once, written
-from assay.sources.tables import LEDGER_SQL, ledger, table
+from assay.sources.tables import LEDGER_SQL, ledger, sized, table
 
 
 def _base(spark, name: str) -> str:
@@ -19,8 +19,12 @@ def _base(spark, name: str) -> str:
 
 def _lines(docs):
     """A build's table: the lines of each corpus's texts that are not blank."""
-    rows = docs.select("corpus", "doc_id", F.posexplode(text.lines(F.coalesce("text", F.lit("")))).alias("line", "body"))
-    return lambda todo: rows.hint("merge").join(todo.select("corpus"), "corpus", "left_semi").where("trim(body) <> ''")
+    def rows(todo):
+        # corpora are few and may be large: their texts stay where they are read
+        mine = docs.join(sized(todo.select("corpus")), "corpus", "left_semi")
+        return mine.select("corpus", "doc_id", F.posexplode(text.lines(F.coalesce("text", F.lit("")))).alias("line", "body")).where("trim(body) <> ''")
+
+    return rows
 
 
 def acting_builds(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assay.functions import paths, text
 from assay.operators import catalog, decide, fusion, graph, hybrid, ledger, lexical, span_search, spans, upkeep
 from assay.plans import evaluate
+from assay.plans import upkeep as builds
 from assay.sources.shared import written
 
 
@@ -369,3 +370,11 @@ def test_tokens_are_counted_in_parts_by_path(spark, monkeypatch):
         scored[few] = sorted(map(tuple, rows.collect()))
         assert rows.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, 11)
     assert scored[True] == scored[False] and len({r[1] for r in scored[True]}) == 51
+
+
+def test_texts_of_few_corpora_are_not_dealt_by_corpus(spark):
+    """A language's texts are read by all tasks, not by one."""
+    docs = spark.createDataFrame([("de", 1, "a\n\nb"), ("en", 2, "c"), ("de", 3, None)], "corpus string, doc_id long, text string")
+    rows = builds._lines(docs)(written(spark.createDataFrame([("de", "f")], "corpus string, fingerprint string")))
+    assert {(r.corpus, r.doc_id, r.line, r.body) for r in rows.collect()} == {("de", 1, 0, "a"), ("de", 1, 2, "b")}
+    assert "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
