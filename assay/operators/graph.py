@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from assay.functions import paths
 from assay.sources.shared import written
-from assay.sources.tables import sized
+from assay.sources.tables import sized, tasks
 
 #: Tests that may share a word before it pairs by kinds of tests.
 HOT = 1000
+#: Edges, or steps of walks, that a task takes: more of them make more tasks, so that a task's memory does not grow with the graph.
+PART_ROWS = 500_000
 
 
 def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
@@ -31,22 +33,27 @@ def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> Dat
 
 
 def shallow_closure(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """`closure` up to a small depth as one plan, by a recursive query; nothing is written on the way. Paths, not nodes, are followed, so their number grows with the depth: beyond a few steps use `closure`."""
+    """`closure` up to a small depth by one recursive query, whose walks are written once. Paths, not nodes, are followed, so their number grows with the depth: beyond a few steps use `closure`.
+
+    edges are a written table. Recursion hands out its rows in as many parts as there are cores, so least depths are taken only after the walks have been dealt out anew by their number.
+    """
     spark, name = edges.sparkSession, uuid.uuid4().hex
-    views = {f"edges_{name}": edges.select("src", "dst"), f"start_{name}": start.select("request_id", "node").distinct()}
+    parts = tasks(edges, edges.count() / PART_ROWS)
+    views = {f"edges_{name}": edges.select("src", "dst").repartition(parts, "dst"), f"start_{name}": start.select("request_id", "node").distinct()}
     for view, df in views.items():
         df.createOrReplaceTempView(view)
-    walk = f"""WITH RECURSIVE walk(request_id, node, depth) MAX RECURSION LEVEL {depth + 2} AS (SELECT request_id, node, 0 FROM start_{name}
-      UNION ALL SELECT w.request_id, e.src, w.depth + 1 FROM walk w JOIN edges_{name} e ON e.dst = w.node WHERE w.depth < {depth})
-    SELECT request_id, node, min(depth) AS depth FROM walk GROUP BY request_id, node"""
+    walk = f"""WITH RECURSIVE walk(request_id, node, depth) AS (SELECT request_id, node, 0 FROM start_{name}
+      UNION ALL SELECT /*+ MERGE(e) */ w.request_id, e.src, w.depth + 1 FROM walk w JOIN edges_{name} e ON e.dst = w.node WHERE w.depth < {depth})
+    SELECT request_id, node, depth FROM walk"""
     before = spark.conf.get("spark.sql.cteRecursionRowLimit")
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     try:
-        return written(spark.sql(walk), "walk")
+        walks = written(spark.sql(walk), "walk")
     finally:
         spark.conf.set("spark.sql.cteRecursionRowLimit", before)
         for view in views:
             spark.catalog.dropTempView(view)
+    return walks.repartition(tasks(walks, walks.count() / PART_ROWS), "request_id", "node").groupBy("request_id", "node").agg(F.min("depth").alias("depth"))
 
 
 def impact(reached: DataFrame) -> DataFrame:
@@ -57,11 +64,11 @@ def impact(reached: DataFrame) -> DataFrame:
 
 
 def unioned(*graphs: DataFrame) -> DataFrame:
-    """Edges of all graphs without self loops, each once."""
+    """Edges of all graphs without self loops, each once. The graphs are read twice: their edges are counted, then dealt out by their number."""
     out = graphs[0]
     for g in graphs[1:]:
         out = out.unionByName(g)
-    return out.where("src <> dst").distinct()
+    return out.where("src <> dst").repartition(tasks(out, out.count() / PART_ROWS), "src", "dst").distinct()
 
 
 def known(edges: DataFrame, files: DataFrame) -> DataFrame:

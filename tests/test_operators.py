@@ -34,6 +34,19 @@ def test_closures_go_by_request_and_end_on_cycles(spark):
     assert {r.request_id: (r.impacted_files, r.max_depth) for r in graph.impact(got).collect()} == {1: (4, 3), 2: (2, 1), 3: (1, 0)}
 
 
+def test_walks_and_edges_are_dealt_out_by_their_number(spark, monkeypatch):
+    """More edges and walks make more tasks, and least depths stay those of the frontier loop; two ways to a node are two walks."""
+    monkeypatch.setattr(graph, "PART_ROWS", 25)
+    a = spark.createDataFrame([(f"m{i}", f"k{i % 7}") for i in range(300)] + [(f"k{i}", "top") for i in range(7)] + [("k1", "k1")], ["src", "dst"])
+    b = spark.createDataFrame([(f"m{i}", "top") for i in range(0, 300, 9)] + [("m0", "k0")], ["src", "dst"])
+    united = graph.unioned(a, b)
+    assert united.rdd.getNumPartitions() == 14 and united.count() == 341
+    edges, start = written(united), spark.createDataFrame([(1, "top"), (2, "k3"), (3, "gone")], ["request_id", "node"])
+    got = graph.shallow_closure(edges, start, 2)
+    assert got.rdd.getNumPartitions() == 16 and got.columns == ["request_id", "node", "depth"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.closure(edges, start, 2).collect()))
+
+
 def test_imports_resolve(spark):
     files = spark.createDataFrame(
         [
