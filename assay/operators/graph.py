@@ -15,6 +15,8 @@ from assay.sources.tables import sized, tasks
 HOT = 1000
 #: Edges, or steps of walks, that a task takes: more of them make more tasks, so that a task's memory does not grow with the graph.
 PART_ROWS = 500_000
+#: Pairs of source and test that a task makes of the words that they share.
+PART_PAIRS = 500_000
 
 
 def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
@@ -97,21 +99,36 @@ def linked_tests(sources: DataFrame, tests: DataFrame, edges: DataFrame | None =
     t = written(tests.where(paths.is_test(F.col("path"))).select(F.col("path").alias("test"), paths.anchor_words(F.col("path")).alias("test_words")).distinct(), "tests")
     words = t.select("test", F.explode("test_words").alias("word"))
     common = written(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("word"), "common")
-    of_source = s.select("source", F.explode("source_words").alias("word"))
-    rare = of_source.hint("merge").join(words.hint("merge").join(common, "word", "left_anti"), "word").select("source", "test")
+    rare = words.hint("merge").join(common, "word", "left_anti").select("test", "word")
     # tests by kind: their common words and their folders
     kinds = words.hint("merge").join(common, "word").groupBy("test").agg(F.array_sort(F.collect_set("word")).alias("hot_words"))
     kinds = kinds.withColumn("kind", F.struct("hot_words", F.array_join(F.slice(F.split("test", "/"), F.lit(1), F.size(F.split("test", "/")) - 1), "/").alias("folder")))
-    firsts = written(kinds.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("test"))).where(F.col("n") <= most).select("test", F.explode("hot_words").alias("word")), "kinds")
-    pairs = rare.unionByName(of_source.hint("merge").join(firsts, "word").select("source", "test")).distinct().withColumn("near", F.lit(0.0))
-    if edges is not None:
-        both = edges.select(F.col("src").alias("source"), F.col("dst").alias("test")).unionByName(edges.select(F.col("dst").alias("source"), F.col("src").alias("test")))
-        near = both.hint("merge").join(s.select("source"), "source", "left_semi").withColumn("near", F.lit(0.8))
-        pairs = pairs.unionByName(near).groupBy("source", "test").agg(F.max("near").alias("near"))
-    full = pairs.hint("merge").join(s, "source").hint("merge").join(t, "test")
-    scored = full.withColumn("score", F.round(F.greatest("near", paths.link_score(F.col("source"), F.col("test"), F.col("source_words"), F.col("test_words"))), 6)).where(F.col("score") >= least)
+    firsts = kinds.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("test"))).where(F.col("n") <= most).select("test", F.explode("hot_words").alias("word"))
+    # the words by which a test is met; a pair is made at the first that its source has, so no pairs are made distinct
+    met = written(rare.unionByName(firsts).groupBy("test").agg(F.array_sort(F.collect_list("word")).alias("keys")).hint("merge").join(t, "test"), "met")
+    first = F.get(F.array_intersect("source_words", "keys"), F.lit(0))
+    pairs = _pairs(s.withColumn("word", F.explode("source_words")), met.withColumn("word", F.explode("keys"))).where(F.col("word") == first)
+    score = lambda rows, near: rows.withColumn("score", F.round(F.greatest(F.lit(near), paths.link_score(F.col("source"), F.col("test"), F.col("source_words"), F.col("test_words"))), 6)).where(F.col("score") >= least).select("source", "test", "score")
     w = Window.partitionBy("source").orderBy(F.desc("score"), "test")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("source", "test", "score", "rank")
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    found = best(score(pairs, 0.0))
+    if edges is not None:  # what an edge raises was found before all that it passes, so the best found are enough
+        both = edges.select(F.col("src").alias("source"), F.col("dst").alias("test")).unionByName(edges.select(F.col("dst").alias("source"), F.col("src").alias("test")))
+        near = score(both.hint("merge").join(s, "source").hint("merge").join(t, "test"), 0.8)
+        found = best(found.drop("rank").unionByName(near).groupBy("source", "test").agg(F.max("score").alias("score")))
+    return found.select("source", "test", "score", "rank")
+
+
+def _pairs(sources: DataFrame, tests: DataFrame) -> DataFrame:
+    """Sources and tests of equal word, PART_PAIRS in a task: the sources of a word that makes more of them are dealt out, and meet a copy of its tests in each part."""
+    count = lambda rows, n: rows.groupBy("word").agg(F.count("*").alias(n))
+    loads = written(count(sources, "n").hint("merge").join(count(tests, "m"), "word", "full").select("word", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)) + F.coalesce(F.col("n") * F.col("m"), F.lit(0))).alias("load")), "loads")
+    parts = tasks(loads, (loads.agg(F.sum("load")).first()[0] or 0) / PART_PAIRS)
+    # a fourth of a task each, so that tasks come out even
+    heavy = sized(written(loads.where(F.col("load") > PART_PAIRS / 4).select("word", F.ceil(F.col("load") / (PART_PAIRS / 4)).alias("parts")), "heavy"))
+    dealt = lambda rows, part: rows.join(heavy, "word", "left").withColumn("part", part(F.coalesce("parts", F.lit(1)))).drop("parts").repartition(parts, "word", "part")
+    a = dealt(sources, lambda n: F.pmod(F.xxhash64("source"), n))
+    return a.hint("merge").join(dealt(tests, lambda n: F.explode(F.sequence(F.lit(0), n - 1))), ["word", "part"])
 
 
 def linked_test_edges(files: DataFrame, edges: DataFrame | None = None, *, front: float = 0.45, other: float = 0.6, most: int = 3) -> DataFrame:

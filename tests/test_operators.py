@@ -73,6 +73,34 @@ def test_tests_of_common_words_are_not_lost(spark):
     assert key(graph.linked_tests(s, p, hot=5, most=3)) == key(graph.linked_tests(s, p, hot=10**6, most=3))
 
 
+def test_pairs_of_sources_and_tests_are_made_once_in_parts(spark, monkeypatch):
+    """A word of all sources and tests is dealt out to many tasks; the best are those of all pairs, with and without edges."""
+    import random
+
+    rng = random.Random(7)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "solo1", "solo2"])
+    rows = sorted({f"src/all/{word()}_{word()}.py" for _ in range(60)} | {f"web/{word()}/AllPanel.tsx" for _ in range(5)} | {f"tests/all/test_{word()}_{word()}{rng.randrange(3)}.py" for _ in range(60)} | {"src/none.py", "tests/test_other.py"})
+    p = spark.createDataFrame([(r,) for r in rows], ["path"])
+    s, t = p.where(~paths.is_test(F.col("path"))), p.where(paths.is_test(F.col("path")))
+    edges = spark.createDataFrame([rng.sample(rows, 2) for _ in range(80)] + [("src/none.py", "tests/test_other.py")] * 2, "src string, dst string")
+    monkeypatch.setattr(graph, "PART_PAIRS", 100)
+    a, b = (x.select(F.col("path").alias(n), F.explode(paths.anchor_words(F.col("path"))).alias("word")) for x, n in ((s, "source"), (t, "test")))
+    dealt = graph._pairs(a, b)
+    sizes = [r[0] for r in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == a.join(b, "word").count() and dealt.rdd.getNumPartitions() >= sum(sizes) / 100 and max(sizes) < sum(sizes) / 4
+    near = edges.select(F.col("src").alias("source"), F.col("dst").alias("test")).unionByName(edges.select(F.col("dst").alias("source"), F.col("src").alias("test"))).distinct().withColumn("near", F.lit(0.8))
+    every = s.select(F.col("path").alias("source")).crossJoin(t.select(F.col("path").alias("test")))
+    for e in (None, edges):
+        scored = (every.withColumn("near", F.lit(0.0)) if e is None else every.join(near, ["source", "test"], "left")).collect()
+        link = spark.createDataFrame(scored, "source string, test string, near double").withColumn("score", F.round(F.greatest(F.coalesce("near", F.lit(0.0)), paths.link_score(F.col("source"), F.col("test"), paths.anchor_words(F.col("source")), paths.anchor_words(F.col("test")))), 6))
+        want = {}
+        for r in sorted(link.where("score >= 0.45").collect(), key=lambda r: (r.source, -r.score, r.test)):
+            want.setdefault(r.source, []).append((r.test, r.score))
+        for hot in (4, 10**6):
+            got = graph.linked_tests(s, p, e, most=3, hot=hot).collect()
+            assert sorted((r.source, r["rank"], r.test, r.score) for r in got) == sorted((k, i + 1, *x) for k, v in want.items() for i, x in enumerate(v[:3]))
+
+
 def _search(index, q, most=20):
     made = written(span_search.blocks(index), "blocks")
     return span_search.best(index, made, written(span_search.lists(made), "lists"), q, most).collect()
