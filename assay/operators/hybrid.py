@@ -31,12 +31,9 @@ def indexed(corpus: DataFrame) -> DataFrame:
     table = written(spans.with_hazards(span_table(corpus).withColumn("norm", F.md5(text.normalized(F.col("text")))), "text"), "spans")
     limit = spans.hazard_threshold(table.select(F.explode("hazards").alias("hazard")))
     threshold = limit.first().threshold or 0.0
-    n = F.size("hazards")
-    hazard = F.round(F.aggregate("hazards", F.lit(0.0), lambda a, x: a + x) / n, 6)
-    covered = F.round(F.size(F.filter("hazards", lambda x: F.round(x, 6) <= threshold)) / n, 6)
-    facts = table.select("*", F.when(n > 0, hazard).otherwise(1.0).alias("hazard"), F.when(n > 0, covered).otherwise(0.0).alias("coverage")).drop("hazards")
+    facts = spans.calmed(table, threshold)
     counts = written(table.groupBy("norm").agg(F.count("*").cast("int").alias("occurrences")), "occurrences")
-    out = facts.hint("merge").join(counts, "norm").drop("norm").withColumn("calm", F.col("hazard") <= max(threshold, fixed.HAZARD_FLOOR))
+    out = facts.hint("merge").join(counts, "norm").drop("norm")
     near = out.repartitionByRange("path", "kind", "line_number").sortWithinPartitions("path", "kind", "line_number")  # spans of a path lie in one block
     return near.withColumn("id", F.monotonically_increasing_id())
 

@@ -107,6 +107,15 @@ def with_hazards(df: DataFrame, content: str, width: int = fixed.WINDOW_BYTES, s
     return df.mapInArrow(add, df.select("*", F.array().cast("array<double>").alias("hazards")).schema)
 
 
+def calmed(table: DataFrame, threshold: float) -> DataFrame:
+    """Rows with hazards (an array) with their mean as hazard, the share of them at or under the threshold as coverage, and whether the hazard is calm."""
+    n = F.size("hazards")
+    hazard = F.round(F.aggregate("hazards", F.lit(0.0), lambda a, x: a + x) / n, 6)
+    covered = F.round(F.size(F.filter("hazards", lambda x: F.round(x, 6) <= threshold)) / n, 6)
+    out = table.select("*", F.when(n > 0, hazard).otherwise(1.0).alias("hazard"), F.when(n > 0, covered).otherwise(0.0).alias("coverage")).drop("hazards")
+    return out.withColumn("calm", F.col("hazard") <= max(threshold, fixed.HAZARD_FLOOR))
+
+
 def signature():
     part = lambda letter, c: F.concat(F.lit(letter), (F.rint(F.col(c) * 100) / 100).cast("string"))
     return F.concat_ws("_", part("c", "coherence"), part("s", "stability"), part("e", "entropy"))
@@ -126,9 +135,9 @@ def signature_index(w: DataFrame, key: str) -> DataFrame:
     return w.groupBy("signature").agg(F.count("*").alias("occurrences"), *h, first[key].alias("prototype"), first["window_index"].alias("prototype_window"))
 
 
-def hazard_threshold(w: DataFrame, percentile: float = fixed.HAZARD_PERCENTILE) -> DataFrame:
-    """The value at place floor(p (n - 1)) of all sorted hazards, from counts of the few distinct values."""
-    counts = w.groupBy("hazard").agg(F.count("*").alias("n"))
+def hazard_threshold(w: DataFrame, percentile: float = fixed.HAZARD_PERCENTILE, n=None) -> DataFrame:
+    """The value at place floor(p (n - 1)) of all sorted hazards, from counts of the few distinct values; n: how to count rows that stand for several."""
+    counts = w.groupBy("hazard").agg((F.count("*") if n is None else n).alias("n"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("hazard"))).withColumn("all", F.sum("n").over(Window.partitionBy()))
     return upto.where(F.col("upto") > F.floor(percentile * (F.col("all") - 1))).agg(F.round(F.min("hazard"), 6).alias("threshold"), F.max("all").alias("n_windows"))
 

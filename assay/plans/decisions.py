@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.functions import fixed, paths
-from assay.operators import decide, fusion, graph, hybrid, lexical, span_search
+from assay.operators import decide, fusion, graph, hybrid, lexical, span_scan, span_search
 from assay.plans import rules
-from assay.plans.lexical import postings
+from assay.plans.lexical import distinct, texts
+from assay.plans.lexical import ranked as by_words
 from assay.sources.shared import once, written
-from assay.sources.tables import corpus, edges, requests
+from assay.sources.tables import corpus, corpus_paths, edges, requests, small
 
 KEYS = ("request_id", "plan")
 
@@ -18,10 +19,6 @@ def _index(spark, d):
     return once(spark, d, "span-index", lambda: hybrid.indexed(once(spark, d, "corpus", lambda: corpus(spark, d))))
 
 
-def _corpus(spark, d):
-    return once(spark, d, "corpus", lambda: corpus(spark, d))
-
-
 #: Tables of requests by kind: a function of (spark, folder) to request_id, query and changed_paths. Other modules add theirs.
 REQUESTS = {"change": requests, "query": lambda spark, d: requests(spark, d).withColumn("changed_paths", F.array().cast("array<string>"))}
 
@@ -35,17 +32,24 @@ def _planned(spark, d, kind="change"):
 
 
 def _spans(spark, d, kind="change"):
-    blocks = once(spark, d, "span-blocks", lambda: span_search.blocks(_index(spark, d)), span_search.ROW_GROUP)
-    lists = once(spark, d, "span-lists", lambda: span_search.lists(blocks))
-    return once(spark, d, f"best-spans-{kind}", lambda: hybrid.evaluated(span_search.best(_index(spark, d), blocks, lists, _planned(spark, d, kind), rules.MATCH)))
+    def make():
+        planned = _planned(spark, d, kind)
+        if distinct(spark, d) and small(planned):
+            c = texts(spark, d)
+            return span_scan.best(c, once(spark, d, "span-facts", lambda: span_scan.facts(c)), planned, rules.MATCH)
+        blocks = once(spark, d, "span-blocks", lambda: span_search.blocks(_index(spark, d)), span_search.ROW_GROUP)
+        lists = once(spark, d, "span-lists", lambda: span_search.lists(blocks))
+        return span_search.best(_index(spark, d), blocks, lists, planned, rules.MATCH)
+
+    return once(spark, d, f"best-spans-{kind}", lambda: hybrid.evaluated(make()))
 
 
 def _lexical(spark, d, kind="change"):
     """Lexical hits of all planned queries, with their best lines."""
 
     def make():
-        c, planned = _corpus(spark, d), _planned(spark, d, kind)
-        hits = written(lexical.top(lexical.scores(postings(spark, d), c.count(), planned, KEYS), rules.MATCH, KEYS), "lexical")
+        c, planned = texts(spark, d), _planned(spark, d, kind)
+        hits = written(by_words(spark, d, planned, rules.MATCH, KEYS), "lexical")
         lines = lexical.best_lines(c, planned, hits, KEYS)
         out = hits.hint("merge").join(lines, [*KEYS, "path"])
         return out.select(*KEYS, "path", paths.source_type(F.col("path")).alias("source_type"), "score", F.lit(False).alias("verified"), "snippet", "line_number")
@@ -59,7 +63,7 @@ def _support(spark, d, kind="change"):
     def make(i):
         def run():
             if not names:
-                names.extend(graph.support(edges(spark, d), asked(spark, d, kind), _corpus(spark, d).select("path")))
+                names.extend(graph.support(edges(spark, d), asked(spark, d, kind), corpus_paths(spark, d)))
             return names[i]
 
         return run

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assay.functions import fixed, paths, text
 from assay.operators import decide, evaluate, lexical
 from assay.plans import decisions, rules
-from assay.plans.lexical import SCORES_SQL, lexical_topk, postings
+from assay.plans.lexical import SCORES_SQL, lexical_topk, ranked
 from assay.sources import exports
 from assay.sources.shared import once, written
 from assay.sources.tables import CORPUS_SQL, REQUESTS_SQL, corpus, requests, table
@@ -31,7 +31,7 @@ def _results(spark, d):
 
     def make():
         c, hits = written(cases(spark, d), "cases"), decisions.ranked(spark, d, "cases")
-        lex = written(lexical.top(lexical.scores(postings(spark, d), table(spark, d, "documents").count(), c), 12), "lexical")
+        lex = written(ranked(spark, d, c, 12), "lexical")
         s = evaluate.focused(hits, c).select("request_id", F.col("admit").alias("structural"), F.col("support").alias("structural_support"))
         b = lexical.baseline(lex).select("request_id", (F.col("decision") == "admit").alias("baseline"), F.col("support").alias("baseline_support"))
         rank = lambda h, name: evaluate.expected_rank(h.select("request_id", "path", "rank"), c.select("request_id", "hints")).withColumnRenamed("rank", name)
@@ -124,7 +124,7 @@ def retry_tests(spark, d):
         support, _ = decisions._support(spark, d)
         gold = support.where(_GOLD_TESTS).where(paths.is_test(F.col("path"))).withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("path"))).where("rank <= 2").select("request_id", "path", "rank")
         r = requests(spark, d)
-        lex = lexical.top(lexical.scores(postings(spark, d), table(spark, d, "documents").count(), r), 20)
+        lex = ranked(spark, d, r, 20)
         own = r.select("request_id", F.explode("changed_paths").alias("path"))
         other = lex.where(paths.is_test(F.col("path"))).hint("merge").join(own, ["request_id", "path"], "left_anti").hint("merge").join(gold.select("request_id").distinct(), "request_id", "left_anti")
         other = other.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("rank"))).where("rank <= 2").select("request_id", "path", "rank")

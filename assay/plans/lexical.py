@@ -8,7 +8,7 @@ from assay.functions import fixed, paths, text
 from assay.operators import lexical
 from assay.plans.rules import stem_sql, tokens_sql, words_sql
 from assay.sources.shared import once, written
-from assay.sources.tables import CORPUS_SQL, REQUESTS_SQL, corpus, requests, sized, table
+from assay.sources.tables import CORPUS_SQL, REQUESTS_SQL, corpus, corpus_paths, requests, sized, table
 
 POSTINGS_SQL = f"""{CORPUS_SQL}, {tokens_sql("ct", "docs", "content", "path")}, {tokens_sql("pt", "docs", "replace(path, '/', ' ')", "path")},
 post AS (SELECT path, token, sum(c) tf, sum(p) path_tf FROM (SELECT path, token, 1 c, 0 p FROM ct UNION ALL SELECT path, token, 0, 1 FROM pt) GROUP BY ALL),
@@ -36,6 +36,27 @@ def postings(spark, d):
     return once(spark, d, "postings", lambda: lexical.postings(corpus(spark, d)))
 
 
+def texts(spark, d):
+    """The corpus where it is read time and again: written once if its splits have to be dealt out to the cores, else read from its table, so that no copy of it is written."""
+    few = table(spark, d, "documents").rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    return once(spark, d, "corpus", lambda: corpus(spark, d)) if few else corpus(spark, d)
+
+
+def distinct(spark, d):
+    """Whether each path is that of one document; the texts of one path are else taken together, by operators that shuffle them."""
+    again = once(spark, d, "repeated", lambda: corpus_paths(spark, d).groupBy("path").agg(F.count("*").alias("n")).where("n > 1 OR path IS NULL").select("path"))
+    return again.isEmpty()
+
+
+def ranked(spark, d, asked, k, keys=("request_id",)):
+    """The k best documents of each request: by a reading of the texts if the requests are few, else by postings."""
+    n, found = table(spark, d, "documents").count(), None
+    if distinct(spark, d):
+        c = texts(spark, d)
+        found = lexical.scanned(c, once(spark, d, "word-counts", lambda: lexical.word_counts(c)), n, asked, k, keys)
+    return lexical.top(lexical.scores(postings(spark, d), n, asked, keys), k, keys) if found is None else found
+
+
 def tokenize_tf(spark, d):
     return postings(spark, d).where("tf > 0").select("path", "token", "tf")
 
@@ -50,7 +71,7 @@ def idf(spark, d):
 
 
 def lexical_topk(spark, d):
-    return lexical.top(lexical.scores(postings(spark, d), table(spark, d, "documents").count(), requests(spark, d)), 12)
+    return ranked(spark, d, requests(spark, d), 12)
 
 
 def baseline_decision(spark, d):
@@ -59,7 +80,7 @@ def baseline_decision(spark, d):
 
 def best_snippets(spark, d):
     hits = lexical_topk(spark, d).where("rank <= 3")
-    return lexical.best_lines(corpus(spark, d), requests(spark, d), hits)
+    return lexical.best_lines(texts(spark, d), requests(spark, d), hits)
 
 
 def path_anchor_tokens(spark, d):

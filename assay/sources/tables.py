@@ -34,6 +34,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", path.alias("path"), paths.source_type(path).alias("source_type"), content.alias("content"), "source", "lang")
 
 
+def corpus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path of each document, without its text."""
+    return table(spark, sf_dir, "documents").select(_path(F.col("doc_id"), F.col("source")).alias("path"))
+
+
 _SQL_PATH = "(CASE {0} % 8 " + " ".join(f"WHEN {k} THEN '{a}' || coalesce({{1}}, 'none') || '{b}' || ({{0}}{' - 1' if k in (1, 7) else ''}) || '{c}'" for k, (a, b, c) in enumerate(_LAYOUT)) + " END)"
 #: The same in SQL.
 CORPUS_SQL = f"""docs AS (SELECT doc_id, path, CASE WHEN contains('/' || path, '/tests/') OR contains(path, '.test.') THEN 'test' WHEN contains(path, 'runbook') THEN 'runbook' WHEN contains(path, 'incident') THEN 'incident'
