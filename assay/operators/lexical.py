@@ -16,7 +16,6 @@ from assay.functions import fixed, text
 from assay.sources.shared import written
 from assay.sources.tables import sized, small, tasks
 
-_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 _WORD = re.compile(rb"[a-z0-9_]{2,}")
 _STOP = frozenset(w.encode() for w in fixed.STOP_WORDS)
 #: Rows that a task gathers before it hands them on.
@@ -25,7 +24,7 @@ ROWS = 100_000
 PART_CHARS = 8_000_000
 PART_PAIRS = 1_000_000
 #: Documents that a task scores together.
-BLOCK_DOCUMENTS = 64
+BLOCK_DOCUMENTS = 256
 
 
 def query_tokens(requests: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
@@ -33,6 +32,11 @@ def query_tokens(requests: DataFrame, keys: tuple[str, ...] = ("request_id",)) -
     return text.token_rows(requests, F.col("query"), *keys).groupBy(*keys, "token").agg(F.count("*").alias("query_tf"))
 
 
+def collapsed(s: str) -> str:
+    """`text.collapsed` of a text: bytes are split at the six white characters that the pattern has, many times faster than by the pattern."""
+    return b" ".join(s.encode("utf-8", "surrogatepass").split()).decode("utf-8", "surrogatepass")
+
+
 def _words(s: str | None) -> Counter:
     """How often a text has each token (see `text.token_rows`)."""
     return Counter(_WORD.findall((s or "").encode("utf-8", "surrogatepass").lower()))
@@ -255,7 +259,7 @@ def _scanned_lines(corpus: DataFrame, queries: DataFrame, hits: DataFrame, keys:
             for path, body in zip(*b.columns, strict=True):
                 path = path.as_py()
                 asked = wanted.get(path, ())
-                lines = [(i, s) for i, s in enumerate((_SPACE.sub(" ", x).strip(" ") for x in (body.as_py() or "").splitlines()), 1) if s] if asked else []
+                lines = [(i, s) for i, s in enumerate(map(collapsed, (body.as_py() or "").splitlines()), 1) if s] if asked else []
                 if not lines:
                     continue
                 words = {t: k for k, t in enumerate(dict.fromkeys(t for key in asked for t in tokens[key]))}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.operators import fusion, span_search, spans
+from assay.operators import fusion, lexical, span_search, spans
 from assay.operators.span_search import BUCKETS, _counts, _vectors
 from assay.sources.shared import written
 from assay.sources.tables import sized
@@ -55,7 +55,7 @@ def cut(path: str | None, source_type: str | None, content: str) -> list[tuple[i
 
 
 def normal(s: str) -> str:
-    return span_search._SPACE.sub(" ", s).strip(" ").lower()
+    return lexical.collapsed(s).lower()
 
 
 def norm(s: str) -> int:
@@ -143,7 +143,7 @@ class Asked:
         self.vocabulary = {t: i for i, t in enumerate(by_word)}
         self.known = _Known(self.vocabulary)
         self.tokens = [np.array(sorted({self.vocabulary[t] for t in w}), np.int64) for w in words]
-        self.weights = _vectors(_counts([[hashlib.md5(t.encode()).digest()[0] for t in w] for w in words])).T if n else np.zeros((BUCKETS, 0))
+        self.weights = _vectors(_counts([[hashlib.md5(t.encode()).digest()[0] for t in w] for w in words])) if n else np.zeros((0, BUCKETS))
         held = [span_search.grams(r[2]) if r[2].strip() else np.empty(0, np.int64) for r in rows]
         self.gram_vocabulary = np.unique(np.concatenate(held)) if n else np.empty(0, np.int64)
         self.grams = [np.searchsorted(self.gram_vocabulary, g) for g in held]
@@ -212,31 +212,40 @@ class Asked:
         hit = whole[:-2] & (number >= 0)
         grams = np.zeros((len(self.gram_vocabulary), n), np.uint8)
         grams[number[hit], owner[hit]] = 1
-        cosine = np.round(np.clip(weights @ self.weights, 0, 1), 6)
-        bonus = np.stack([b[2] for b in block])
-        most = 0.45 * np.minimum(1, grams.sum(0, dtype=np.int64)[:, None] / self.sizes) + 0.47 * cosine + 0.08 * bonus + 3e-6
-        can = most >= self.floor
-        for q in np.flatnonzero(can.any(0) | ~self.met).tolist():
-            near = tokens[self.tokens[q]].any(0)
-            if not self.met[q] and near.any():
+        # by query and span: what a score has without its 3-grams, which add 0.45 at most; 4e-6 for all that is rounded
+        dots, bonus = self.weights @ weights.T, np.stack([b[2] for b in block], 1)
+        part = 0.47 * dots + 0.08 * bonus + 4e-6
+        places: dict[int, tuple] = {}
+
+        def place(i: int) -> tuple:
+            if i not in places:
+                path, _, _, kind, line, text = block[i]
+                places[i] = 0 if self.alone and kind == 0 else norm(text), path or "", line, kind
+            return places[i]
+
+        can = np.flatnonzero((part.max(1) + 0.45 >= self.floor) | ~self.met)
+        shared = np.zeros((len(can), n), np.uint32)
+        for i, q in enumerate(can.tolist()):
+            for a in range(0, len(self.grams[q]), 255):
+                shared[i] += np.add.reduce(grams.take(self.grams[q][a : a + 255], 0), 0, dtype=np.uint8)
+        most = 0.45 * shared / self.sizes[can, None] + part[can]
+        good = most >= self.floor[can, None]
+        for i in np.flatnonzero(good.any(1) | ~self.met[can]).tolist():
+            q, rows = can[i], np.flatnonzero(good[i])
+            if not self.met[q] and (near := tokens[self.tokens[q]].any(0)).any():
                 self.met[q], self.best[q], self.floor[q] = True, [], self.given[q]
-            rows = np.flatnonzero(can[:, q] & near) if self.met[q] else np.flatnonzero(most[:, q] >= self.floor[q])
+                rows = np.flatnonzero(near & (most[i] >= self.floor[q]))
+            elif self.met[q]:
+                rows = rows[tokens[self.tokens[q][:, None], rows].any(0)]
             if not len(rows):
                 continue
-            mine, shared = self.grams[q], np.zeros(len(rows), np.int64)
-            for a in range(0, len(mine), 255):
-                some = grams[mine[a : a + 255]]
-                shared += np.add.reduce(some if len(rows) == n else some[:, rows], 0, dtype=np.uint8)
-            structural = np.round(shared / self.sizes[q], 6)
-            final = np.round(np.minimum(1.0, 0.45 * structural + 0.47 * cosine[rows, q] + 0.08 * bonus[rows, q]) + fusion.TIE, 6)
-            good = np.flatnonzero((final > 0) & (final >= self.floor[q]))
-            if len(good) > self.most:
-                good = good[final[good] >= np.partition(final[good], -self.most)[-self.most]]
-            if len(good):
-                self._keep(q, [(-final[i], -cosine[rows[i], q], -structural[i], *self._place(block[rows[i]])) for i in good.tolist()])
-
-    def _place(self, b: tuple) -> tuple:
-        return 0 if self.alone and b[3] == 0 else norm(b[5]), b[0] or "", b[4], b[3]
+            structural, cosine = np.round(shared[i, rows] / self.sizes[q], 6), np.round(np.clip(dots[q, rows], 0, 1), 6)
+            final = np.round(np.minimum(1.0, 0.45 * structural + 0.47 * cosine + 0.08 * bonus[q, rows]) + fusion.TIE, 6)
+            at = np.flatnonzero((final > 0) & (final >= self.floor[q]))
+            if len(at) > self.most:
+                at = at[final[at] >= np.partition(final[at], -self.most)[-self.most]]
+            if len(at):
+                self._keep(q, [(-float(final[k]), -float(cosine[k]), -float(structural[k]), *place(int(rows[k]))) for k in at.tolist()])
 
     def _keep(self, q: int, new: list[tuple]) -> None:
         """The best spans by score with all their ties, as occurrences order those; spans of one norm occur equally often, so most of them are enough."""
