@@ -313,7 +313,10 @@ def best(corpus: DataFrame, found: DataFrame, planned: DataFrame, most: int) ->
     found: the corpus's written facts; planned: few queries.
     """
     key, scores = ["request_id", "plan"], ["final", "cosine", "structural"]
-    asked = [(*r, None) for r in planned.where("trim(query) <> ''").select(*key, "query").collect()]
+    # equal queries are searched once, under their number
+    numbers: dict[str, int] = {}
+    named = [(numbers.setdefault(q, len(numbers)), r, p) for r, p, q in planned.where("trim(query) <> ''").select(*key, "query").collect()]
+    asked = [(i, 0, q, None) for q, i in numbers.items()]
     alone, first = single(found), F.pmod(F.xxhash64("path"), F.lit(FIRST)) == 0
     n = corpus.sparkSession.sparkContext.defaultParallelism
     part = written(_scan(corpus.where(first).coalesce(n), asked, most, alone), "found")
@@ -334,4 +337,6 @@ def best(corpus: DataFrame, found: DataFrame, planned: DataFrame, most: int) ->
     texts = corpus.join(sized(written(ranked.select("path").distinct(), "paths")), "path", "left_semi").select("path", "source_type", "content").mapInArrow(_cut_rows, "path string, source_type string, kind int, line_number int, text string")
     texts = written(spans.with_hazards(texts.join(where, ["path", "kind", "line_number"], "left_semi"), "text"), "texts")
     out = spans.calmed(texts, threshold(found)).withColumn("span", F.concat_ws("#", "path", "kind", "line_number"))
+    names = F.broadcast(corpus.sparkSession.createDataFrame(named, "number long, request_id long, plan int"))
+    ranked = ranked.drop("plan").withColumnRenamed("request_id", "number").join(names, "number").drop("number")
     return ranked.hint("merge").join(out, ["path", "kind", "line_number"])

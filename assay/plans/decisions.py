@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions import fixed, paths
@@ -9,7 +12,7 @@ from assay.operators import decide, fusion, graph, hybrid, lexical, span_scan, s
 from assay.plans import rules
 from assay.plans.lexical import distinct, texts
 from assay.plans.lexical import ranked as by_words
-from assay.sources.shared import once, written
+from assay.sources.shared import made, once, written
 from assay.sources.tables import corpus, corpus_paths, edges, requests, small
 
 KEYS = ("request_id", "plan")
@@ -31,26 +34,53 @@ def _planned(spark, d, kind="change"):
     return once(spark, d, f"planned-{kind}", lambda: fusion.planned_queries(asked(spark, d, kind)))
 
 
+def _best(spark, d, planned):
+    """The best spans of planned queries: by a reading of the texts if the queries are few, else by an index of blocks of spans."""
+    if distinct(spark, d) and small(planned):
+        c = texts(spark, d)
+        return span_scan.best(c, once(spark, d, "span-facts", lambda: span_scan.facts(c)), planned, rules.MATCH)
+    blocks = once(spark, d, "span-blocks", lambda: span_search.blocks(_index(spark, d)), span_search.ROW_GROUP)
+    lists = once(spark, d, "span-lists", lambda: span_search.lists(blocks))
+    return span_search.best(_index(spark, d), blocks, lists, planned, rules.MATCH)
+
+
 def _spans(spark, d, kind="change"):
-    def make():
-        planned = _planned(spark, d, kind)
-        if distinct(spark, d) and small(planned):
-            c = texts(spark, d)
-            return span_scan.best(c, once(spark, d, "span-facts", lambda: span_scan.facts(c)), planned, rules.MATCH)
-        blocks = once(spark, d, "span-blocks", lambda: span_search.blocks(_index(spark, d)), span_search.ROW_GROUP)
-        lists = once(spark, d, "span-lists", lambda: span_search.lists(blocks))
-        return span_search.best(_index(spark, d), blocks, lists, planned, rules.MATCH)
+    return once(spark, d, f"best-spans-{kind}", lambda: hybrid.evaluated(_best(spark, d, _planned(spark, d, kind))))
+
+
+def words(spark, d, kind="change"):
+    """The best documents of all planned queries by their words, with their rank."""
+    return once(spark, d, f"lexical-{kind}", lambda: by_words(spark, d, _planned(spark, d, kind), rules.MATCH, KEYS))
+
+
+def own_words(spark, d, k, kind="change"):
+    """The k best documents by the words of each request's own query: plan 0 has it unchanged."""
+    return words(spark, d, kind).where(F.col("plan") == 0).where(F.col("rank") <= k).select("request_id", "path", "score", "rank")
+
+
+#: Plans of the kinds that are searched together lie so far apart.
+_APART = 100
+
 
-    return once(spark, d, f"best-spans-{kind}", lambda: hybrid.evaluated(make()))
+def together(spark, d, *kinds):
+    """Makes the spans and documents of several kinds' planned queries by one reading of the texts, those that are there already left out."""
+    for name, make in (("best-spans", lambda planned: hybrid.evaluated(_best(spark, d, planned))), ("lexical", lambda planned: by_words(spark, d, planned, rules.MATCH, KEYS))):
+        new = [k for k in kinds if not made(spark, d, f"{name}-{k}")]
+        if len(new) < 2:
+            continue
+        every = [_planned(spark, d, k).withColumn("plan", F.col("plan") + i * _APART) for i, k in enumerate(new)]
+        found = written(make(written(functools.reduce(DataFrame.unionByName, every), "planned")), name)
+        for i, k in enumerate(new):
+            mine = found.where((F.col("plan") >= i * _APART) & (F.col("plan") < (i + 1) * _APART))
+            once(spark, d, f"{name}-{k}", lambda mine=mine, i=i: mine.withColumn("plan", F.col("plan") - i * _APART))
 
 
 def _lexical(spark, d, kind="change"):
     """Lexical hits of all planned queries, with their best lines."""
 
     def make():
-        c, planned = texts(spark, d), _planned(spark, d, kind)
-        hits = written(by_words(spark, d, planned, rules.MATCH, KEYS), "lexical")
-        lines = lexical.best_lines(c, planned, hits, KEYS)
+        planned, hits = _planned(spark, d, kind), words(spark, d, kind)
+        lines = lexical.best_lines(texts(spark, d), planned, hits, KEYS)
         out = hits.hint("merge").join(lines, [*KEYS, "path"])
         return out.select(*KEYS, "path", paths.source_type(F.col("path")).alias("source_type"), "score", F.lit(False).alias("verified"), "snippet", "line_number")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assay.functions import fixed, paths, text
 from assay.operators import decide, evaluate, lexical
 from assay.plans import decisions, rules
-from assay.plans.lexical import SCORES_SQL, lexical_topk, ranked
+from assay.plans.lexical import SCORES_SQL, lexical_topk
 from assay.sources import exports
 from assay.sources.shared import once, written
 from assay.sources.tables import CORPUS_SQL, REQUESTS_SQL, corpus, requests, table
@@ -31,7 +31,7 @@ def _results(spark, d):
 
     def make():
         c, hits = written(cases(spark, d), "cases"), decisions.ranked(spark, d, "cases")
-        lex = written(ranked(spark, d, c, 12), "lexical")
+        lex = decisions.own_words(spark, d, 12, "cases")
         s = evaluate.focused(hits, c).select("request_id", F.col("admit").alias("structural"), F.col("support").alias("structural_support"))
         b = lexical.baseline(lex).select("request_id", (F.col("decision") == "admit").alias("baseline"), F.col("support").alias("baseline_support"))
         rank = lambda h, name: evaluate.expected_rank(h.select("request_id", "path", "rank"), c.select("request_id", "hints")).withColumnRenamed("rank", name)
@@ -124,7 +124,7 @@ def retry_tests(spark, d):
         support, _ = decisions._support(spark, d)
         gold = support.where(_GOLD_TESTS).where(paths.is_test(F.col("path"))).withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("path"))).where("rank <= 2").select("request_id", "path", "rank")
         r = requests(spark, d)
-        lex = ranked(spark, d, r, 20)
+        lex = decisions.own_words(spark, d, 20)
         own = r.select("request_id", F.explode("changed_paths").alias("path"))
         other = lex.where(paths.is_test(F.col("path"))).hint("merge").join(own, ["request_id", "path"], "left_anti").hint("merge").join(gold.select("request_id").distinct(), "request_id", "left_anti")
         other = other.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("rank"))).where("rank <= 2").select("request_id", "path", "rank")
@@ -159,10 +159,11 @@ def replay_results(spark, d):
     """Each request's first action, its retry with tests where it is blocked for want of them, and a decoy, under the agile policy."""
 
     def make():
+        decisions.together(spark, d, "change", "decoy")
         of = lambda kind, name: _agile(spark, d, kind).select("request_id", F.col("allowed").alias(f"{name}_allowed"), F.col("decision").alias(f"{name}_decision"))
         first = _agile(spark, d, "change").select("request_id", F.col("allowed").alias("initial_allowed"), F.exists("missing", lambda m: F.contains(F.lower(m), F.lit("test evidence"))).alias("test_gap"))
         gap = _agile(spark, d, "decoy").select("request_id", F.array_contains("missing", fixed.NOTE_GAP).alias("alignment_gap"))
-        base = lexical.baseline(lexical_topk(spark, d)).select("request_id", (F.col("decision") == "admit").alias("baseline_allowed"))
+        base = lexical.baseline(decisions.own_words(spark, d, 12)).select("request_id", (F.col("decision") == "admit").alias("baseline_allowed"))
         out = first
         for part in (of("retry", "retry"), of("decoy", "decoy"), gap, base):
             out = out.hint("merge").join(part, "request_id", "left")
@@ -181,11 +182,12 @@ def replay_rates(spark, d):
 
 def group_rates_rollup(spark, d):
     """Rates of the replay by repository and over all: allowed, decoys allowed, and evidence on a changed path and on a test."""
+    replayed = replay_results(spark, d)
     evidence = decide.split(decisions.ranked(spark, d)).where("NOT twin")
     own = requests(spark, d).select("request_id", F.explode("changed_paths").alias("path"))
     source = evidence.hint("merge").join(own, ["request_id", "path"], "left_semi").select("request_id").distinct().withColumn("source_hit", F.lit(True))
     tested = evidence.hint("merge").join(retry_tests(spark, d), ["request_id", "path"], "left_semi").select("request_id").distinct().withColumn("test_hit", F.lit(True))
-    r = replay_results(spark, d).hint("merge").join(source, "request_id", "left").hint("merge").join(tested, "request_id", "left").na.fill(False)
+    r = replayed.hint("merge").join(source, "request_id", "left").hint("merge").join(tested, "request_id", "left").na.fill(False)
     return r.rollup("repo").agg(F.count("*").alias("n"), *[evaluate.rate(F.col(c)).alias(f"{c}_rate") for c in ("initial_allowed", "decoy_allowed", "source_hit", "test_hit")], F.grouping("repo").cast("int").alias("is_total"))
 
 

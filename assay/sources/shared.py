@@ -68,6 +68,11 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     return _made[key][1]
 
 
+def made(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    """Whether `once` has a table of that name that no file's change has outdated."""
+    return _made.get((spark.sparkContext.applicationId, sf_dir, name), ("",))[0] == _state(spark, sf_dir)
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes all tables that this application has written here; results that rest on them must have been read."""
     app, hadoop = spark.sparkContext.applicationId, spark._jvm.org.apache.hadoop.fs
