@@ -174,8 +174,9 @@ def scanned(corpus: DataFrame, counts: DataFrame, n_documents: int, requests: Da
         asked = []
         for words in shared.value.values():
             at = np.array([vocabulary.setdefault(w, len(vocabulary)) for w, _, _ in words])
-            tf, weight = np.array([x[1] for x in words], np.int64)[:, None], np.array([x[2] for x in words])[:, None]
-            asked.append((at, tf, weight, float((weight * tf).sum()), len(words)))
+            tf, weight = np.array([x[1] for x in words], np.int64), np.array([x[2] for x in words])
+            again = np.flatnonzero(tf > 1)  # words that a request has once count where they stand; the others as often as in both
+            asked.append((at, np.stack([weight, np.ones(len(words))]), at[again], (tf[again] - 1)[:, None], weight[again], float((weight * tf).sum()), len(words)))
         best: list[list[tuple]] = [[] for _ in asked]
         floor = [0.0] * len(asked)
         block: list[tuple[str, str]] = []
@@ -191,10 +192,14 @@ def scanned(corpus: DataFrame, counts: DataFrame, n_documents: int, requests: Da
 
         def visit():
             tf = np.maximum(held([x[1] for x in block]), held([x[0] for x in block]))
-            for i, (at, query_tf, weight, most, n) in enumerate(asked):
-                mine = tf[at]
-                overlap = (np.minimum(query_tf, mine) * weight).sum(0)
-                raw = np.minimum(1.0, 0.6 * (mine > 0).sum(0) / n + 0.4 * np.minimum(1.0, overlap / most))
+            here, more = (tf > 0).astype(np.float64), np.maximum(tf - 1, 0)
+            for i, (at, sums, again, query_tf, weight, most, n) in enumerate(asked):
+                overlap, matched = sums @ here.take(at, 0)
+                if len(again):
+                    overlap += weight @ np.minimum(query_tf, more.take(again, 0))
+                raw = np.minimum(1.0, 0.6 * matched / n + 0.4 * np.minimum(1.0, overlap / most))
+                if raw.max() < floor[i] - 2e-6:
+                    continue
                 score = np.floor(raw * 1e6 + 0.5) / 1e6
                 good = np.flatnonzero((overlap > 0) & (score >= floor[i]))
                 if len(good):
