@@ -25,6 +25,8 @@ from assay.sources.shared import written
 from assay.sources.tables import sized
 
 BLOCK_SPANS = 256
+#: Queries that a task has at most, some 20 MB for each `span_search.TASK_QUERIES` of them; more are for the index.
+MOST_QUERIES = 4096
 #: One document in so many goes first.
 FIRST = 16
 #: Distinct facts that a task gathers before it hands them on, and cells of the table from three characters to a 3-gram's number.

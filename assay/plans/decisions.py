@@ -36,7 +36,7 @@ def _planned(spark, d, kind="change"):
 
 def _best(spark, d, planned):
     """The best spans of planned queries: by a reading of the texts if the queries are few, else by an index of blocks of spans."""
-    if distinct(spark, d) and small(planned):
+    if distinct(spark, d) and small(planned, span_scan.MOST_QUERIES):
         c = texts(spark, d)
         return span_scan.best(c, once(spark, d, "span-facts", lambda: span_scan.facts(c)), planned, rules.MATCH)
     blocks = once(spark, d, "span-blocks", lambda: span_search.blocks(_index(spark, d)), span_search.ROW_GROUP)
